@@ -25,7 +25,7 @@ def masks(replica: str, degree: int) -> list[Column]:
     out = []
     for w in range((degree + BITS - 1) // BITS):
         r = F.col(replica).cast("long") - w * BITS
-        bit = F.when((r >= 0) & (r < BITS), F.shiftleft(F.lit(1).cast("long"), 0) * F.pow(F.lit(2.0), r.cast("double")).cast("long"))
+        bit = F.when((r >= 0) & (r < BITS), F.call_function("shiftleft", F.lit(1).cast("long"), r.cast("int")))
         out.append(F.coalesce(F.bit_or(bit), F.lit(0).cast("long")).alias(f"__m{w}"))
     return out
 
@@ -36,7 +36,6 @@ def mask_members(degree: int, present: bool = True) -> Column:
     for w in range((degree + BITS - 1) // BITS):
         last = min(BITS, degree - w * BITS) - 1
         m = F.col(f"__m{w}")
-        test = lambda i, m=m: F.getbit(m, i)
         parts.append(F.transform(_pick(F.sequence(F.lit(0), F.lit(last)), m, present),
                                  _shift(w * BITS)))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
