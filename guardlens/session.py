@@ -6,6 +6,9 @@ master, shuffle partitions and checkpoint folder and these are kept.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -32,11 +35,14 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
-def checkpoint_folder(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared folder named by the cluster; ``fallback`` is used only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback was given")
-    return fallback
+def work_folder(spark: SparkSession, name: str) -> str:
+    """New folder for intermediate tables and stream state.
+
+    Lives under the shared folder the cluster names in ``spark.checkpoint.dir``; only where that
+    is unset (tests, one machine) a local temporary folder is made and set.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="guardlens-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/guardlens-{name}-{uuid.uuid4().hex[:12]}"
