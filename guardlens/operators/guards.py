@@ -135,18 +135,20 @@ def schema_gaps(spark, library: Sequence[Constraint], captured: DataFrame) -> Da
     return req.join(captured.select("hookpoint", "path").distinct(), ["hookpoint", "path"], "left_anti")
 
 
-def strip_guards(constraints: DataFrame, column: str, mode: str) -> DataFrame:
-    """Drop topology guards, the other guards, or all guards from a map column."""
+def stripped(guards: Column | str, mode: str) -> Column:
+    """Guard map without topology guards (``no_topo``), without the others (``no_precond``) or empty."""
     topo = lambda k: k.isin(*AXIS_CATEGORY) | k.isin("sp", "zero_stage") | k.startswith("pi_")
     if mode == "no_topo":
-        m = F.map_filter(column, lambda k, v: ~topo(k))
-    elif mode == "no_precond":
-        m = F.map_filter(column, lambda k, v: topo(k))
-    elif mode == "none":
-        m = F.map_filter(column, lambda k, v: F.lit(False))
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    return constraints.withColumn(column, m)
+        return F.map_filter(guards, lambda k, v: ~topo(k))
+    if mode == "no_precond":
+        return F.map_filter(guards, lambda k, v: topo(k))
+    if mode == "none":
+        return F.map_filter(guards, lambda k, v: F.lit(False))
+    raise ValueError(f"unknown mode {mode!r}")
+
+
+def strip_guards(constraints: DataFrame, column: str, mode: str) -> DataFrame:
+    return constraints.withColumn(column, stripped(column, mode))
 
 
 def guard_audit(records: DataFrame, keys: Sequence[str], size: str, equal: str) -> DataFrame:

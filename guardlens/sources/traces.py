@@ -78,21 +78,32 @@ def typed_state(dump: DataFrame) -> DataFrame:
 
 
 # Rows each logical relation selects by data type or stage.
-def logical_relations(state: DataFrame) -> dict[str, DataFrame]:
-    """Eight logical relations as selections over one typed dump."""
+def relation_conditions() -> dict[str, Column]:
     t, s = F.lower(F.coalesce("type", F.lit(""))), F.col("stage")
     return {
-        "tensor_state": state.where(F.col("cksum").isNotNull() & s.startswith("model-")),
-        "grad_state": state.where(F.col("grad_cksum").isNotNull() | s.contains("grad")),
-        "optimizer_state": state.where(F.col("state_key").isNotNull() | s.contains("optimizer-state")),
-        "call_event": state.where(s.startswith("call")),
-        "comm_event": state.where(s.startswith("comm")),
-        "topology_lineage": state.where((t == "parallel_metadata") | F.col("param_sharded").isNotNull()),
-        "checkpoint_state": state.where(s.contains("checkpoint") | s.contains("save") | s.contains("load")),
-        "loss_event": state.where(s.contains("loss")),
+        "tensor_state": F.col("cksum").isNotNull() & s.startswith("model-"),
+        "grad_state": F.col("grad_cksum").isNotNull() | s.contains("grad"),
+        "optimizer_state": F.col("state_key").isNotNull() | s.contains("optimizer-state"),
+        "call_event": s.startswith("call"),
+        "comm_event": s.startswith("comm"),
+        "topology_lineage": (t == "parallel_metadata") | F.col("param_sharded").isNotNull(),
+        "checkpoint_state": s.contains("checkpoint") | s.contains("save") | s.contains("load"),
+        "loss_event": s.contains("loss"),
     }
 
 
+def logical_relations(state: DataFrame) -> dict[str, DataFrame]:
+    """Eight logical relations as selections over one typed dump."""
+    return {n: state.where(c) for n, c in relation_conditions().items()}
+
+
+def relation_sizes(state: DataFrame) -> DataFrame:
+    """Rows per logical relation in one pass."""
+    conds = relation_conditions()
+    g = state.agg(*[F.count_if(c).alias(n) for n, c in conds.items()])
+    return g.select(F.inline(F.array(*[F.struct(F.lit(n).alias("relation"), F.col(n).alias("n_rows")) for n in conds])))
+
+
 def register_relations(state: DataFrame) -> list[str]:
     rel = logical_relations(state)
     for name, df in rel.items():

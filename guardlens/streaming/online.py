@@ -13,9 +13,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from guardlens import schema as sc
 from guardlens.functions import ordered
 from guardlens.operators import relational as R
 from guardlens.operators.spec import ALL_GUARDS, Check, for_hookpoints, row_violations, violations, with_run
@@ -238,19 +240,15 @@ class OnlineRunner:
         self.state.write("metrics", batch_id, metrics)
 
     def _snapshot(self, batch_id: int) -> DataFrame | None:
-        from guardlens import schema as sc
+        """Frame-check violations after the given tick; None until a frame check has run."""
         if batch_id < 0:
             return None
-        schema = sc.T.StructType([f for f in sc.VIOLATION.fields if f.name in self.KEYS])
-        schema = sc.T.StructType([next(f for f in schema.fields if f.name == k) for k in self.KEYS])
-        for b in range(batch_id, -1, -1):
-            try:
-                df = self.spark.read.schema(schema).parquet(self.state.path("snapshot", b))
-                df.schema  # noqa: B018
-                return df
-            except Exception:  # noqa: BLE001 - no frame check had run up to that tick
-                continue
-        return None
+        fields = {f.name: f for f in sc.VIOLATION.fields}
+        schema = sc.T.StructType([fields[k] for k in self.KEYS])
+        try:
+            return self.spark.read.schema(schema).parquet(self.state.path("snapshot", batch_id))
+        except AnalysisException:
+            return None
 
 
 def _null_safe_anti(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
