@@ -1 +1,199 @@
-"""Queries."""
+"""Online checking (K, and the streaming source and sink of A).
+
+Each query stages the whole table as three consecutive parts in the shared work folder and
+drains them through a real streaming query, one part per micro-batch.
+"""
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from guardlens import schema as sc
+from guardlens.operators import rules as R
+from guardlens.plans.q_rules import clip, counter
+from guardlens.plans.registry import query
+from guardlens.plans.views import micros
+from guardlens.session import work_folder
+from guardlens.sources.traces import stream_trace
+from guardlens.streaming import online as K
+
+TRACE = T.StructType([*sc.ENVELOPE.fields, T.StructField("run", sc.S)])
+
+
+def staged(v, trace, part, name):
+    """Write the parts one after the other, so that file order is batch order."""
+    folder = work_folder(v.spark, name)
+    for i in range(3):
+        trace.where(part == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return folder
+
+
+def third(v, column="event_id"):
+    """Part number 0..2 by position of the id in its range."""
+    top = v.events.agg(F.max(column).alias("m")).scalar() + 1
+    return F.floor(F.col(column) * 3 / top).cast("int")
+
+
+def drained(v, trace, part, name, make):
+    folder = staged(v, trace, part, name)
+    handler = make(f"{folder}/state")
+    stream = stream_trace(v.spark, f"{folder}/in", trace.schema, max_files=1)
+    K.run_batches(stream, handler, f"{folder}/checkpoint")
+    return handler, folder
+
+
+def to_table(v, stream_of, trace, part, name):
+    folder = staged(v, trace, part, name)
+    out = stream_of(stream_trace(v.spark, f"{folder}/in", trace.schema, max_files=1))
+    K.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint")
+    return v.spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+THIRD = "CAST(floor(event_id * 3 / ((SELECT max(event_id) FROM events) + 1)) AS BIGINT)"
+RUNNER_CHECKS = ("T0-clip-grad-bounded", "T0-grad-norm-finite", "T0-norm-output-unit-rms")
+
+
+def runner(v, trace, part, ids, name):
+    checks = [R.RULES_BY_ID[i] for i in ids]
+    return drained(v, trace, part, name, lambda root: K.OnlineRunner(v.spark, root, checks))[0]
+
+
+@query("a14_stream_source", "SELECT event_id, 'utils.clip_grad.post' AS hookpoint FROM events")
+def a14(v):
+    return to_table(v, lambda s: s.select("event_id", "hookpoint"), clip(v), third(v), "a14")
+
+
+@query("a15_stream_sink", "SELECT event_id, 'T0-clip-grad-bounded' AS check_id FROM events WHERE value > 40.4")
+def a15(v):
+    r = runner(v, clip(v), third(v), RUNNER_CHECKS, "a15")
+    schema = T.StructType([f for k in K.OnlineRunner.KEYS for f in sc.VIOLATION.fields if f.name == k])
+    return r.state.all("new", schema).select("event_id", "check_id")
+
+
+@query("k01_incremental_ticks", f"SELECT {THIRD} AS tick, count(*) AS n_new_events, max(event_id) AS last_event_id FROM events GROUP BY 1")
+def k01(v):
+    return metrics(runner(v, clip(v), third(v), RUNNER_CHECKS, "k01")).select("tick", "n_new_events", "last_event_id")
+
+
+def metrics(r):
+    return r.state.all("metrics", "tick long, n_new_events long, n_rules_evaluated int, n_new_violations long, last_event_id long")
+
+
+@query("k02_hookpoint_skip", f"""
+SELECT {THIRD} AS tick, count(DISTINCT CASE WHEN {THIRD} = 1 AND event_type = 'view' THEN 'b' ELSE 'a' END)::INTEGER AS n_rules_evaluated FROM events GROUP BY 1""")
+def k02(v):
+    hook = F.when((third(v) == 1) & (F.col("event_type") == "view"), "optim.step.pre").otherwise("utils.clip_grad.post")
+    t = v.events_as(hook, "events", "event_id", post_norm=F.col("value"), max_norm=F.lit(40.0), total_grad_l2=F.col("value"))
+    return metrics(runner(v, t, third(v), RUNNER_CHECKS, "k02")).select("tick", "n_rules_evaluated")
+
+
+@query("k03_exactly_once_violations", """
+SELECT 'T0-clip-grad-bounded' AS check_id, 'run' || CAST(event_id % 3 AS VARCHAR) AS run, event_id, round(value, 6) AS observed FROM events WHERE value > 40.4""")
+def k03(v):
+    doubled = clip(v).unionByName(clip(v))  # every event is delivered twice
+    found = to_table(v, lambda s: K.stream_violations(s, [R.RULES_BY_ID["T0-clip-grad-bounded"]]), doubled, third(v), "k03")
+    return found.select("check_id", "run", "event_id", F.round("observed", 6).alias("observed"))
+
+
+@query("k04_retired_violations", """
+SELECT 'T0-evaluator-eval-mode' AS check_id, 'run0' AS run, event_id FROM events WHERE event_id % 3 = 0 AND value < 20 AND event_type = 'view'""")
+def k04(v):
+    """Violations found first are withdrawn for the run whose checkpoint calls arrive later."""
+    fwd = v.events_as("module.fwd.pre", "events", "event_id", grad_enabled=F.col("value") >= 20, training=F.col("event_type") == "view")
+    ck = v.events_as("checkpoint.call", "pages", F.col("page_id") + 1000000000, key=F.lit(0), function=F.col("url"))
+    t = fwd.unionByName(ck.select(*fwd.columns))
+    r = runner(v, t, F.when(F.col("hookpoint") == "checkpoint.call", 1).otherwise(0), ("T0-evaluator-eval-mode",), "k04")
+    schema = T.StructType([f for k in K.OnlineRunner.KEYS for f in sc.VIOLATION.fields if f.name == k])
+    return r.state.all("retired", schema).select("check_id", "run", "event_id")
+
+
+@query("k05_tick_metrics", f"""
+SELECT {THIRD} AS tick, count(*) AS n_new_events, 1 AS n_rules_evaluated, count(*) FILTER (WHERE value > 40.4) AS n_new_violations FROM events GROUP BY 1""")
+def k05(v):
+    return metrics(runner(v, clip(v), third(v), RUNNER_CHECKS, "k05")).select("tick", "n_new_events", "n_rules_evaluated", "n_new_violations")
+
+
+MONO = """SELECT event_id, s AS value, p AS prev FROM (SELECT event_id, s, lag(s) OVER (PARTITION BY event_id % 3, event_id % 4 ORDER BY event_id) AS p
+  FROM (SELECT event_id, CAST(trunc(value) AS BIGINT) AS s FROM events)) WHERE s <= p"""
+
+
+@query("k06_stateful_monotonic", MONO)
+def k06(v):
+    from guardlens.functions import exprs as X
+    t = counter(v).select("run", "rank", "event_id", X.json_number("payload", "state_step_max", "long").alias("value"))
+    h, _ = drained(v, t, third(v), "k06", lambda root: K.OnlineMonotonic(v.spark, root, ["run", "rank"], "event_id", "value", span=1000))
+    return h.state.all("violations", "run string, rank int, event_id long, value long, prev long").select("event_id", "value", "prev")
+
+
+def timed(v):
+    e = v.events
+    return e.select("event_id", F.timestamp_micros(micros(F.col("ts"))).alias("ts"), (F.col("user_id") % 4).alias("rank"), "user_id", "event_type", "value")
+
+
+@query("k07_stream_replica_equality", """
+WITH w AS (SELECT date_trunc('day', ts) AS w, user_id % 4 AS rank, event_type FROM events), g AS (SELECT w, rank, count(*) AS n_rows, min(event_type) AS a, max(event_type) AS b FROM w GROUP BY 1, 2)
+SELECT epoch_us(w) AS window_us, rank, n_rows, a AS min_value, b AS max_value FROM g WHERE a <> b AND w + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def k07(v):
+    out = to_table(v, lambda s: K.stream_replica_equality(s, ["rank"], "event_type", width="1 day"), timed(v), third(v), "k07")
+    return out.select(F.unix_micros("window_start").alias("window_us"), "rank", "n_rows", "min_value", "max_value")
+
+
+@query("k08_stream_step_counts", """
+WITH g AS (SELECT date_trunc('day', ts) AS w, user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1, 2)
+SELECT epoch_us(w) AS window_us, user_id, n FROM g WHERE n > 1 AND w + INTERVAL 1 DAY <= (SELECT max(ts) FROM events WHERE event_type = 'view') - INTERVAL 10 MINUTE""")
+def k08(v):
+    out = to_table(v, lambda s: K.stream_step_counts(s, ["user_id"], F.col("event_type") == "view", width="1 day"), timed(v), third(v), "k08")
+    return out.select(F.unix_micros("window_start").alias("window_us"), "user_id", "n")
+
+
+ANOMALY = """
+w AS (SELECT event_id, user_id % 4 AS k, CASE WHEN value > 220 AND event_type = 'error' THEN 'nan'::DOUBLE ELSE value END AS loss, value * 2 AS g FROM events),
+b AS (SELECT *, count(*) OVER x AS n, median(loss) OVER x AS med, max(g) OVER x AS mx FROM w WINDOW x AS (PARTITION BY k ORDER BY event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+s AS (SELECT k, event_id, CASE WHEN isnan(loss) THEN 'loss_nan' WHEN n = 20 AND med > 0 AND loss > med * 4 THEN 'loss_spike' WHEN n = 20 AND mx > 0 AND g > mx * 4 THEN 'gradnorm_spike' END AS signal FROM b)"""
+
+
+def metrics_of(v):
+    loss = F.when((F.col("value") > 220) & (F.col("event_type") == "error"), F.lit(float("nan"))).otherwise(F.col("value"))
+    return v.events.select("event_id", (F.col("user_id") % 4).alias("k"), loss.alias("loss"), (F.col("value") * 2).alias("g"))
+
+
+@query("k09_trailing_anomalies", f"WITH {ANOMALY} SELECT k, event_id, signal FROM s WHERE signal IS NOT NULL")
+def k09(v):
+    return K.trailing_anomalies(metrics_of(v), ["k"], "event_id", "loss", "g", 20, 4.0, span=1000).select("k", "event_id", "signal")
+
+
+@query("k09_first_signal", f"""
+WITH {ANOMALY}, r AS (SELECT k, signal, event_id, row_number() OVER (PARTITION BY k ORDER BY CASE signal WHEN 'loss_nan' THEN 0 WHEN 'loss_spike' THEN 2 ELSE 3 END, event_id) AS rn FROM s WHERE signal IS NOT NULL)
+SELECT k, signal AS trigger_signal, event_id AS trigger_at FROM r WHERE rn = 1""")
+def k09_first(v):
+    return K.first_signal(K.trailing_anomalies(metrics_of(v), ["k"], "event_id", "loss", "g", 20, 4.0, span=1000), ["k"], "event_id")
+
+
+@query("k09_online_trailing", f"WITH {ANOMALY} SELECT k, event_id, signal FROM s WHERE signal IS NOT NULL")
+def k09_online(v):
+    h, _ = drained(v, metrics_of(v), third(v), "k09", lambda root: K.OnlineTrailing(v.spark, root, ["k"], "event_id", "loss", "g", 20, 4.0))
+    return h.state.all("anomalies", "k long, event_id long, loss double, g double, signal string").select("k", "event_id", "signal")
+
+
+@query("k10_sample_every", """
+SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events) WHERE (n - 1) % 4 = 0""")
+def k10(v):
+    return K.sample_every(v.events, ["event_type"], "event_id", 0.25, span=1000).select("event_id", "event_type")
+
+
+@query("k10_sample_by_hash")
+def k10_hash(v):
+    return K.sample_by_hash(v.events, "user_id", 0.1).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k11_replay_first_tick", "SELECT event_type AS check_id, CAST(min(ceil(event_id / 100.0)) AS BIGINT) AS first_tick FROM events WHERE value > 100 GROUP BY 1")
+def k11(v):
+    bad = v.events.where(F.col("value") > 100).select(F.col("event_type").alias("check_id"), "event_id")
+    return K.replay_first_tick(bad, 100)
+
+
+@query("k11_violations_per_tick", "SELECT event_type AS check_id, CAST(ceil(event_id / 100.0) AS BIGINT) AS tick, count(DISTINCT event_id) AS n_new FROM events WHERE value > 100 GROUP BY 1, 2")
+def k11_ticks(v):
+    bad = v.events.where(F.col("value") > 100).select(F.col("event_type").alias("check_id"), "event_id")
+    return K.violations_per_tick(bad, 100)
+
+

@@ -1 +1,43 @@
-"""Queries."""
+"""User extension surface (N)."""
+
+from pyspark.sql import functions as F
+
+from guardlens.functions import sqlfuncs
+from guardlens.operators import rules as R
+from guardlens.operators import spec as S
+from guardlens.plans.q_rules import clip
+from guardlens.plans.registry import query
+
+
+@query("n01_registered_check", "SELECT 'user-big-preclip' AS check_id, event_id, value * 2 AS observed FROM events WHERE value * 2 > 150")
+def n01(v):
+    reg = sqlfuncs.CheckRegistry(R.RULES)
+
+    @reg.check("user-big-preclip", hookpoints=("utils.clip_grad.post",), fields=("pre_norm",))
+    def big(parsed):
+        p = F.col("p")
+        return parsed.where(p.pre_norm > 150).select("run", "rank", "step", "event_id", F.lit("pre_norm").alias("entity"), F.lit("large").alias("issue"), p.pre_norm.alias("observed"))
+
+    return S.violations(clip(v), [reg["user-big-preclip"]]).select("check_id", "event_id", "observed")
+
+
+@query("n02_column_builder", "SELECT event_id, value AS observed FROM events WHERE value > 40 AND value * 2 < 100")
+def n02(v):
+    c = S.Check("user-column", ("utils.clip_grad.post",), fields=("post_norm", "pre_norm"), precondition=lambda p: p.pre_norm < 100,
+                findings=lambda p: S.fail_if(p.post_norm > 40, "post_norm", "large", p.post_norm))
+    return S.violations(clip(v), [c]).select("event_id", "observed")
+
+
+@query("n03_sql_functions", """
+SELECT vec_id, shape[1] * 2 AS numel, round(l2 / sqrt(CAST(shape[1] * 2 AS DOUBLE)), 8) AS rms, abs(l2 * l2 - 1) < 0.05 AS one_hot, block AS idx, round(greatest(l2 / 2.0, 2.0 / l2), 8) AS dev FROM v_tensor""")
+def n03(v):
+    sqlfuncs.register_sql_functions(v.spark)
+    t = v.tensor.withColumn("s", F.array(F.element_at("shape", 1), F.lit(2).cast("long"))).withColumn("name", F.concat(F.lit("m.blocks."), F.col("block").cast("string"), F.lit(".x")))
+    return t.selectExpr("vec_id", "gl_numel(s) AS numel", "round(gl_rms(l2, s), 8) AS rms", "gl_one_hot(l2, 1.0D, 1L) AS one_hot", "gl_block_index(name) AS idx", "round(gl_deviation(l2, 2.0D), 8) AS dev")
+
+
+@query("n04_json_leaves", """
+SELECT '$.k' AS path, 'number' AS type, count(*) AS n FROM events""")
+def n04(v):
+    leaves = v.events.select("props").lateralJoin(sqlfuncs.JsonLeaves(F.col("props").outer()))
+    return leaves.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"))

@@ -18,6 +18,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "pages", "benchmark", "labels", "conversations")
 
 
+EPOCH_NS = 1_704_067_200_000_000_000  # start of the events table's month
+
+
 def micros(ts: Column) -> Column:
     """Epoch microseconds of a zone-less timestamp, independent of the session zone."""
     return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts.cast("timestamp_ntz"))
@@ -78,7 +81,7 @@ class Views:
             eid.cast("long").alias("event_id"), (F.lit(0) if step is None else step).cast("int").alias("step"),
             F.pmod(k, F.lit(4)).cast("int").alias("rank"),
             (F.lit(hookpoint) if isinstance(hookpoint, str) else hookpoint).alias("hookpoint"),
-            (eid * 1000).cast("long").alias("ts_ns"), F.lit(1).alias("schema_version"),
+            (F.lit(EPOCH_NS).cast("long") + eid.cast("long") * 1000).alias("ts_ns"), F.lit(1).alias("schema_version"),
             F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()])).alias("payload"),
             F.concat(F.lit("run"), F.pmod(k, F.lit(3)).cast("string")).alias("run"))
 

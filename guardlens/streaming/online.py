@@ -29,7 +29,8 @@ def stream_violations(stream: DataFrame, checks: Sequence[Check], watermark: str
     rows = [c for c in checks if c.findings is not None]
     if time not in stream.columns and "ts_ns" in stream.columns:
         stream = stream.withColumn(time, F.timestamp_micros(F.floor(F.col("ts_ns") / 1000).cast("long")))
-    marked = stream.withWatermark(time, watermark).dropDuplicatesWithinWatermark(["event_id"])
+    marked = stream.withWatermark(time, watermark).dropDuplicatesWithinWatermark(
+        ["run", "event_id"] if "run" in stream.columns else ["event_id"])
     return row_violations(marked, rows, guards)
 
 
