@@ -239,38 +239,67 @@ def vocabulary_coverage(terms: DataFrame, term: str, mapping: Mapping[str, str])
         term, "n", m.alias("mapped_to"), m.isNotNull().alias("mapped"))
 
 
-# Evidence patterns.
-SILENT_OUTPUT = r"(?i)BUG DETECTED|mismatch|diverged|wrong|differs|incorrect|inconsistent|CLEAN"
-CRASH_WORDS = r"(?i)\bcrash\b|RuntimeError|AssertionError|\bOOM\b|\bNaN\b|\bInf\b|cuda error"
-SILENT_CAUSE = (r"(?i)silently|wrong value|corrupted|inconsistent|undercount|overcount|duplicate|missing|not normalized|"
-                r"dtype|precision|race|reorder|flag|tag")
-LOUD_CAUSE = r"(?i)throws|raises|crash|segfault|assertionerror|runtimeerror"
-SILENT_TITLE = r"(?i)skip|wrong|incorrect|mismatch|undercount|lost|duplicate|precision|dtype|sync|reduce"
-
-
-def evidence_level(title: Column, description: Column, cause: Column, invariant: Column, method: Column,
-                   reproduced: Column, buggy_output: Column, fixed_output: Column) -> dict[str, Column]:
-    """Strength of evidence that a record describes a silent error, with warnings and signals."""
+# Evidence words. Words matched inside any text are tested literally on the
+# lower-cased text; the word-bounded ones keep a pattern behind a literal pre-test.
+SILENT_OUTPUT = ("bug detected", "mismatch", "diverged", "wrong", "differs", "incorrect", "inconsistent", "clean")
+CRASH_PLAIN = ("runtimeerror", "assertionerror", "cuda error")
+CRASH_BOUNDED = ("crash", "oom", "nan", "inf")
+SILENT_CAUSE = ("silently", "wrong value", "corrupted", "inconsistent", "undercount", "overcount", "duplicate", "missing",
+                "not normalized", "dtype", "precision", "race", "reorder", "flag", "tag")
+LOUD_CAUSE = ("throws", "raises", "crash", "segfault", "assertionerror", "runtimeerror")
+SILENT_TITLE = ("skip", "wrong", "incorrect", "mismatch", "undercount", "lost", "duplicate", "precision", "dtype", "sync",
+                "reduce")
+
+
+def _crashes(low: Column) -> Column:
+    bounded = r"\b(" + "|".join(CRASH_BOUNDED) + r")\b"
+    return X.contains_any(low, CRASH_PLAIN) | (X.contains_any(low, CRASH_BOUNDED) & low.rlike(bounded))
+
+
+EVIDENCE_INPUTS = ("title", "description", "cause", "invariant", "method", "buggy_output", "fixed_output")
+
+
+def score_evidence(records: DataFrame, reproduced: Column, keep: Sequence[str], **texts: Column) -> DataFrame:
+    """Strength of evidence that a record describes a silent error, with warnings and signals.
+
+    ``texts`` gives any of the seven text inputs. Each text is scanned once: the first projection
+    holds the word tests, the second derives levels from them.
+    """
+    unknown = set(texts) - set(EVIDENCE_INPUTS)
+    if unknown:
+        raise ValueError(f"unknown evidence inputs {sorted(unknown)}")
     e = F.lit("")
-    t, d, c, i, m, b, f = [F.coalesce(x, e) for x in (title, description, cause, invariant, method, buggy_output, fixed_output)]
-    loud = F.concat_ws(" ", d, c).rlike(LOUD_CAUSE)
-    crash = (b != "") & b.rlike(CRASH_WORDS)
-    clean = (b != "") & (b.rlike(SILENT_OUTPUT) | f.rlike(SILENT_OUTPUT))
-    rc = F.concat_ws(" ", c, i, m)
-    l1 = F.coalesce(reproduced, F.lit(False)) & clean & ~crash
-    l2 = (F.trim(rc) != "") & rc.rlike(SILENT_CAUSE) & ~rc.rlike(LOUD_CAUSE)
-    level = F.when(l1, "L1").when(l2, "L2").when(t.rlike(SILENT_TITLE), "L3").otherwise("L4")
-    warnings = F.filter(F.array(F.when(crash, F.lit("crash_keyword_in_buggy_output")),
-                                F.when(loud, F.lit("loud_keyword_in_description"))), lambda x: x.isNotNull())
-    signals = F.filter(F.array(
-        F.when(l1, F.lit("reproduced")), F.when(l1, F.lit("expected_output_silent_keyword")),
-        F.when(l1 & ~loud, F.lit("fix_diff_no_raise")), F.when(level == "L2", F.lit("root_cause_silent_keyword")),
-        F.when((level == "L2") & (i != ""), F.lit("invariant_present")), F.when(level == "L3", F.lit("title_silent_keyword")),
-        F.when(level == "L4", F.lit("no_clean_signal"))), lambda x: x.isNotNull())
-    warned = F.size(warnings) > 0
-    return {"underlying_level": level, "evidence_level": F.when(warned, "WARNING").otherwise(level),
-            "signals": F.array_join(signals, ","), "warnings": F.array_join(warnings, ","),
-            "needs_review": warned | (level == "L4")}
+    raw = {n: F.coalesce(texts[n], e) if n in texts else e for n in EVIDENCE_INPUTS}
+    low = {n: F.lower(c) for n, c in raw.items()}
+    some = lambda n, words: X.contains_any(low[n], words) if n in texts else F.lit(False)
+    has = lambda n: (F.trim(raw[n]) != "") if n in texts else F.lit(False)
+    b = (raw["buggy_output"] != "") if "buggy_output" in texts else F.lit(False)
+    flags = records.select(
+        *keep, F.coalesce(reproduced, F.lit(False)).alias("__rep"),
+        (b & (_crashes(low["buggy_output"]) if "buggy_output" in texts else F.lit(False))).alias("__crash"),
+        (b & (some("buggy_output", SILENT_OUTPUT) | some("fixed_output", SILENT_OUTPUT))).alias("__clean"),
+        (some("description", LOUD_CAUSE) | some("cause", LOUD_CAUSE)).alias("__loud"),
+        (some("cause", LOUD_CAUSE) | some("invariant", LOUD_CAUSE) | some("method", LOUD_CAUSE)).alias("__loud_cause"),
+        (some("cause", SILENT_CAUSE) | some("invariant", SILENT_CAUSE) | some("method", SILENT_CAUSE)).alias("__silent"),
+        (has("cause") | has("invariant") | has("method")).alias("__any"), has("invariant").alias("__inv"),
+        some("title", SILENT_TITLE).alias("__title"))
+    c = F.col
+    l1 = c("__rep") & c("__clean") & ~c("__crash")
+    l2 = c("__any") & c("__silent") & ~c("__loud_cause")
+    level = F.when(l1, "L1").when(l2, "L2").when(c("__title"), "L3").otherwise("L4")
+    warned = c("__crash") | c("__loud")
+    kept = lambda *xs: F.array_join(F.array_compact(F.array(*xs)), ",")
+    return flags.withColumn("underlying_level", level).select(
+        *keep, "underlying_level", F.when(warned, "WARNING").otherwise(c("underlying_level")).alias("evidence_level"),
+        kept(F.when(l1, F.lit("reproduced")), F.when(l1, F.lit("expected_output_silent_keyword")),
+             F.when(l1 & ~c("__loud"), F.lit("fix_diff_no_raise")),
+             F.when(c("underlying_level") == "L2", F.lit("root_cause_silent_keyword")),
+             F.when((c("underlying_level") == "L2") & c("__inv"), F.lit("invariant_present")),
+             F.when(c("underlying_level") == "L3", F.lit("title_silent_keyword")),
+             F.when(c("underlying_level") == "L4", F.lit("no_clean_signal"))).alias("signals"),
+        kept(F.when(c("__crash"), F.lit("crash_keyword_in_buggy_output")),
+             F.when(c("__loud"), F.lit("loud_keyword_in_description"))).alias("warnings"),
+        (warned | (c("underlying_level") == "L4")).alias("needs_review"))
 
 
 def timing_summary(iterations: DataFrame, by: Sequence[str], order: ordered.Order, value: str, base: Column) -> DataFrame:

@@ -36,7 +36,8 @@ def schema_profile(trace: DataFrame, hookpoint: str = "hookpoint", payload: str
     Payloads are grouped by their structural type inside the JVM (combined map-side); only one
     representative payload per distinct structure is walked in Python.
     """
-    clean = F.regexp_replace(F.col(payload), NON_STANDARD, "0.5")
+    raw = F.col(payload)
+    clean = F.when(raw.contains("NaN") | raw.contains("Infinity"), F.regexp_replace(raw, NON_STANDARD, "0.5")).otherwise(raw)
     shape = F.regexp_replace(F.schema_of_variant(F.try_parse_json(clean)),
                              r"DECIMAL\(\d+, ?\d+\)|BIGINT|DOUBLE|FLOAT", "NUMBER")
     shapes = (trace.select(F.col(hookpoint).alias("hookpoint"), shape.alias("shape"), clean.alias("doc"))

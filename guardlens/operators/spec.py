@@ -21,6 +21,8 @@ from guardlens import schema as sc
 from guardlens.functions import exprs as X
 
 FINDING_TYPE = "array<struct<entity:string,issue:string,observed:double>>"
+LABELLED_TYPE = "array<struct<check_id:string,entity:string,issue:string,observed:double>>"
+COUNT_TYPE = "array<struct<check_id:string,checked:int,found:int>>"
 
 
 def finding(entity: Column | str | None = None, issue: Column | str | None = None,
@@ -119,17 +121,43 @@ def with_run(trace: DataFrame) -> DataFrame:
 
 
 def row_violations(trace: DataFrame, checks: Sequence[Check], guards: frozenset[str] = ALL_GUARDS) -> DataFrame:
-    """All row checks over one scan: findings become one array, exploded once."""
+    """All row checks over one scan: findings become one array, exploded once.
+
+    The array expression branches on the hookpoint first, so an event only evaluates the checks
+    bound to its own hookpoint however many checks are fused.
+    """
     p = F.col("p")
     parsed = parse(trace, checks)
-    per_check = [_labelled(F.when(c.guarded(p, guards), c.findings(p)).cast(FINDING_TYPE), c.check_id)
-                 for c in checks]
-    none = F.array().cast("array<struct<check_id:string,entity:string,issue:string,observed:double>>")
-    merged = F.concat(*[F.coalesce(a, none) for a in per_check])
+    merged = _by_hookpoint(checks, lambda c: _labelled(_found(c, p, guards), c.check_id), LABELLED_TYPE)
     return (parsed.select("run", "rank", "step", "event_id", F.inline(merged))
             .select(*violation_columns()))
 
 
+def _found(c: Check, p: Column, guards: frozenset[str]) -> Column:
+    return F.coalesce(F.when(c.guarded(p, guards), c.findings(p)).cast(FINDING_TYPE), F.array().cast(FINDING_TYPE))
+
+
+def _by_hookpoint(checks: Sequence[Check], build: Callable[[Check], Column], array_type: str) -> Column:
+    """Concatenated arrays of the checks bound to the row's hookpoint.
+
+    Checks on one or two hookpoints sit in the branch of their hookpoint; checks on many are one
+    guarded term each, so their expression is not repeated per branch.
+    """
+    empty = F.array().cast(array_type)
+    wide = [c for c in checks if len(c.hookpoints) > 2]
+    narrow = [c for c in checks if len(c.hookpoints) <= 2]
+    terms = [F.when(X.hookpoint_in(c.hookpoints), build(c)).otherwise(empty) for c in wide]
+    branches = None
+    for h in sorted({h for c in narrow for h in c.hookpoints}):
+        parts = [build(c) for c in narrow if h in c.hookpoints]
+        branch = parts[0] if len(parts) == 1 else F.concat(*parts)
+        cond = F.col("hookpoint") == h
+        branches = F.when(cond, branch) if branches is None else branches.when(cond, branch)
+    if branches is not None:
+        terms.append(branches.otherwise(empty))
+    return terms[0] if len(terms) == 1 else F.concat(*terms)
+
+
 def _labelled(findings: Column, check_id: str) -> Column:
     return F.transform(findings, lambda x: F.struct(F.lit(check_id).alias("check_id"), x.entity.alias("entity"),
                                                     x.issue.alias("issue"), x.observed.alias("observed")))
@@ -160,21 +188,24 @@ def results(trace: DataFrame, checks: Sequence[Check], guards: frozenset[str] =
     """
     p = F.col("p")
     parsed = parse(trace, checks)
-    aggs = []
-    for i, c in enumerate(checks):
-        scope = c.scope(p) if c.findings is not None else X.hookpoint_in(c.hookpoints)
-        aggs.append(F.count_if(scope).alias(f"s{i}"))
-        if c.findings is not None:
-            g = c.guarded(p, guards)
-            n = F.size(F.coalesce(F.when(g, c.findings(p)).cast(FINDING_TYPE), F.array().cast(FINDING_TYPE)))
-            aggs += [F.count_if(g).alias(f"c{i}"), F.sum(n).alias(f"v{i}")]
-        else:
-            aggs += [F.count_if(scope).alias(f"c{i}"), F.lit(0).cast("long").alias(f"v{i}")]
-    counts = parsed.groupBy("run").agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c.check_id).alias("check_id"), F.lit(c.tier).alias("tier"),
-                              F.col(f"s{i}").alias("n_scope"), F.col(f"c{i}").alias("n_checked"),
-                              F.col(f"v{i}").alias("n_row")) for i, c in enumerate(checks)])
-    base = counts.select("run", F.inline(rows))
+
+    def counts(c: Check) -> Column:
+        cid = F.lit(c.check_id).alias("check_id")
+        if c.findings is None:
+            return F.array(F.struct(cid, F.lit(1).alias("checked"), F.lit(0).alias("found")))
+        one = F.struct(cid, F.when(c.guarded(p, guards), 1).otherwise(0).alias("checked"),
+                       F.size(_found(c, p, guards)).alias("found"))
+        if c.applies is None:
+            return F.array(one)
+        return F.when(F.coalesce(c.applies(p), F.lit(False)), F.array(one)).otherwise(F.array().cast(COUNT_TYPE))
+
+    seen = (parsed.select("run", F.inline(_by_hookpoint(checks, counts, COUNT_TYPE)))
+            .groupBy("run", "check_id").agg(F.count(F.lit(1)).alias("n_scope"), F.sum("checked").alias("n_checked"),
+                                            F.sum("found").alias("n_row")))
+    # one row per (run, check), also for checks without any event in scope
+    listed = F.array(*[F.struct(F.lit(c.check_id).alias("check_id"), F.lit(c.tier).alias("tier")) for c in checks])
+    base = (with_run(trace).select("run").distinct().select("run", F.inline(listed))
+            .join(seen, ["run", "check_id"], "left"))
     framed = [c for c in checks if c.frame is not None]
     if framed:
         extra = (violations(trace, framed, guards).groupBy("run", "check_id")
@@ -182,9 +213,11 @@ def results(trace: DataFrame, checks: Sequence[Check], guards: frozenset[str] =
         base = base.join(extra, ["run", "check_id"], "left")
     else:
         base = base.withColumn("n_frame", F.lit(0).cast("long"))
-    nv = (F.col("n_row") + F.coalesce(F.col("n_frame"), F.lit(0))).cast("long")
-    return base.select("run", "check_id", "tier", "n_scope", "n_checked", nv.alias("n_violations"),
-                       F.when(F.col("n_scope") == 0, "passive").when(nv > 0, "fail").otherwise("pass").alias("status"))
+    zero = F.lit(0).cast("long")
+    n_scope, nv = F.coalesce("n_scope", zero), F.coalesce("n_row", zero) + F.coalesce("n_frame", zero)
+    return base.select("run", "check_id", "tier", n_scope.alias("n_scope"), F.coalesce("n_checked", zero).alias("n_checked"),
+                       nv.alias("n_violations"),
+                       F.when(n_scope == 0, "passive").when(nv > 0, "fail").otherwise("pass").alias("status"))
 
 
 def sample_violations(v: DataFrame, k: int = 3) -> DataFrame:

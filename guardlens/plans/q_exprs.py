@@ -185,10 +185,9 @@ e AS (SELECT doc_id, source, lang, CASE WHEN reproduced AND clean AND NOT crash
 
 
 def evidence(v):
-    d = v.documents
-    lv = evalkit.evidence_level(F.element_at(F.split("text", "\n"), 1), F.lit(""), F.col("text"), F.lit(""), F.lit(""),
-                                F.col("lang") == "en", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.lit("")), F.lit(""))
-    return d.select("doc_id", "source", "lang", *[c.alias(k) for k, c in lv.items()])
+    return evalkit.score_evidence(v.documents, F.col("lang") == "en", ["doc_id", "source", "lang"],
+                                  title=F.substring_index("text", "\n", 1), cause=F.col("text"),
+                                  buggy_output=F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.lit("")))
 
 
 @query("b23_evidence_level", EVIDENCE_SQL + """

@@ -42,10 +42,10 @@ def g04(v):
 
 
 @query("g05_value_scaling", """
-SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice / l_quantity / 1000, 6) AS scale_ratio FROM lineitem WHERE l_extendedprice / l_quantity / 1000 NOT BETWEEN 0.5 AND 20""")
+SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice / l_quantity / 1000, 3) AS scale_ratio FROM lineitem WHERE l_extendedprice / l_quantity / 1000 NOT BETWEEN 0.5 AND 20""")
 def g05(v):
     d = G.value_scaling(v.lineitem, F.col("l_extendedprice") / F.col("l_quantity"), F.lit(1.0), F.lit(1000.0), 0.5, 20.0)
-    return d.select("l_orderkey", "l_linenumber", "l_partkey", F.round("scale_ratio", 6).alias("scale_ratio"))
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", F.round("scale_ratio", 3).alias("scale_ratio"))
 
 
 @query("g06_ordering", """

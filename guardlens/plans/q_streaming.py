@@ -146,13 +146,13 @@ def k08(v):
 
 
 ANOMALY = """
-w AS (SELECT event_id, user_id % 4 AS k, CASE WHEN value > 220 AND event_type = 'error' THEN 'nan'::DOUBLE ELSE value END AS loss, value * 2 AS g FROM events),
+w AS (SELECT event_id, user_id % 4 AS k, CASE WHEN value > 220 AND event_type = 'error' THEN 'inf'::DOUBLE ELSE value END AS loss, value * 2 AS g FROM events),
 b AS (SELECT *, count(*) OVER x AS n, median(loss) OVER x AS med, max(g) OVER x AS mx FROM w WINDOW x AS (PARTITION BY k ORDER BY event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
-s AS (SELECT k, event_id, CASE WHEN isnan(loss) THEN 'loss_nan' WHEN n = 20 AND med > 0 AND loss > med * 4 THEN 'loss_spike' WHEN n = 20 AND mx > 0 AND g > mx * 4 THEN 'gradnorm_spike' END AS signal FROM b)"""
+s AS (SELECT k, event_id, CASE WHEN isinf(loss) THEN 'loss_nan' WHEN n = 20 AND med > 0 AND loss > med * 4 THEN 'loss_spike' WHEN n = 20 AND mx > 0 AND g > mx * 4 THEN 'gradnorm_spike' END AS signal FROM b)"""
 
 
 def metrics_of(v):
-    loss = F.when((F.col("value") > 220) & (F.col("event_type") == "error"), F.lit(float("nan"))).otherwise(F.col("value"))
+    loss = F.when((F.col("value") > 220) & (F.col("event_type") == "error"), F.lit(float("inf"))).otherwise(F.col("value"))
     return v.events.select("event_id", (F.col("user_id") % 4).alias("k"), loss.alias("loss"), (F.col("value") * 2).alias("g"))
 
 
