@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from guardlens.session import cut
+
 _B = "__bucket"
 
 
@@ -89,16 +91,27 @@ def with_previous(df: DataFrame, value: str, o: Order, out: str = "previous") ->
             .drop("__rn", "__lag", "__prev_tail", _B))
 
 
+def running_sums(df: DataFrame, values: dict[str, Column], o: Order, inclusive: bool = True) -> DataFrame:
+    """Cumulative sums up to (and, if inclusive, with) the current row; NULL counts as 0."""
+    b = o.bucketed(df)
+    zero = F.lit(0)
+    for n, c in values.items():
+        b = b.withColumn(f"__v_{n}", F.coalesce(c, zero))
+    before = o.across.rowsBetween(Window.unboundedPreceding, -1)
+    totals = b.groupBy(*o.keys).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values])
+    for n in values:
+        totals = totals.withColumn(f"__off_{n}", F.sum(f"__t_{n}").over(before))
+    local = o.inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    for n in values:
+        b = b.withColumn(f"__loc_{n}", F.sum(f"__v_{n}").over(local))
+    j = _attach(b, totals, o.keys, [f"__off_{n}" for n in values])
+    for n in values:
+        j = j.withColumn(n, F.coalesce(F.col(f"__loc_{n}"), zero) + F.coalesce(F.col(f"__off_{n}"), zero))
+    return j.drop(*[f"{p}{n}" for n in values for p in ("__v_", "__loc_", "__off_")], _B)
+
+
 def running_sum(df: DataFrame, value: Column, o: Order, out: str, inclusive: bool = True) -> DataFrame:
-    """Cumulative sum up to (and, if inclusive, with) the current row; NULL counts as 0."""
-    b = o.bucketed(df).withColumn("__v", F.coalesce(value, F.lit(0)))
-    totals = (b.groupBy(*o.keys).agg(F.sum("__v").alias("__t"))
-              .withColumn("__off", F.sum("__t").over(o.across.rowsBetween(Window.unboundedPreceding, -1))))
-    end = 0 if inclusive else -1
-    local = b.withColumn("__loc", F.sum("__v").over(o.inside.rowsBetween(Window.unboundedPreceding, end)))
-    return (_attach(local, totals, o.keys, ["__off"])
-            .withColumn(out, F.coalesce(F.col("__loc"), F.lit(0)) + F.coalesce(F.col("__off"), F.lit(0)))
-            .drop("__v", "__loc", "__off", _B))
+    return running_sums(df, {out: value}, o, inclusive)
 
 
 def carry_forward(df: DataFrame, value: Column, o: Order, out: str, inclusive: bool = True) -> DataFrame:
@@ -149,7 +162,7 @@ def neighbours(df: DataFrame, o: Order, before: int, after: int, wanted: DataFra
     looked up, fanned out to the at most before+after neighbouring ordinals, and joined by
     equality on (group, ordinal): no range join and no all-pairs step.
     """
-    d = with_ordinal(df, o, "__ord")
+    d = cut(with_ordinal(df, o, "__ord"), "ordinals")
     marks = wanted.join(d.select(*o.by, o.key, "__ord"), [*o.by, o.key])
     steps = F.filter(F.sequence(F.lit(-before), F.lit(after)), lambda x: x != 0)
     fan = (marks.select(*o.by, *on, F.col("__ord").alias("__at"), F.explode(steps).alias(out))

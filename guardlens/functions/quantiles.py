@@ -1,8 +1,13 @@
 """Exact quantiles for groups of any size.
 
-``percentile``/``median`` keep every distinct value of a group in one aggregation buffer.
-Here a mergeable sketch first brackets the wanted rank; only the rows inside the bracket are
-ranked exactly. Rows are pre-counted per value, so duplicates never reach the ranking.
+``percentile``/``median`` keep every distinct value of a group in one aggregation buffer. Here
+the wanted rank is narrowed down in three combinable passes over (group, value):
+
+1. a mergeable sketch gives cut points that bracket the rank (about 5 / grid of the group);
+2. counts of equal-width bins inside the bracket find the single bin that holds the rank;
+3. only that bin's values, pre-counted per value, are ranked exactly.
+
+The last step sees about 5 / (grid * bins) of a group, so no task grows with a hot group.
 """
 
 from __future__ import annotations
@@ -25,51 +30,68 @@ def _pick(method: str, p: float, n: Column) -> tuple[Column, Column, Column]:
     return k, k, F.lit(0.0)
 
 
+def _with_group_values(df: DataFrame, per_group: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Attach one row of values per group: a join on the keys, or scalars without keys."""
+    if not by:
+        for c in columns:
+            df = df.withColumn(c, per_group.select(c).scalar())
+        return df
+    right = per_group.select(*[F.col(k).alias(f"__r_{k}") for k in by], *columns)
+    cond = F.lit(True)
+    for k in by:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return df.join(right, cond).drop(*[f"__r_{k}" for k in by])
+
+
 def exact_quantile(df: DataFrame, by: list[str], value: str, p: float, out: str = "quantile",
-                   method: str = "linear", grid: int = 1024) -> DataFrame:
-    """One row per group: ``by``, ``n`` and the exact quantile.
+                   method: str = "linear", grid: int = 256, bins: int = 1024) -> DataFrame:
+    """One row per group: ``by``, ``n`` and the exact quantile of the non-NULL values.
 
     ``linear`` interpolates (median = mean of the middle two); ``index_n_minus_1`` and
     ``index_n`` pick the value at ``int(p*(n-1))`` / ``int(p*n)`` without interpolation.
     """
-    if not by:
-        one = df.select(F.lit(0).alias("__all"), value)
-        return exact_quantile(one, ["__all"], value, p, out, method, grid).drop("__all")
     d = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
     probs = [i / grid for i in range(grid + 1)]
-    sketch = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
+    sketch = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
                                 F.percentile_approx("__v", probs, grid * 10).alias("__cuts"))
     k0, k1, w = _pick(method, p, F.col("n"))
     lo_i = F.floor(k0 * grid / F.col("n")).cast("int") - 2
     hi_i = F.ceil((k1 + 1) * grid / F.col("n")).cast("int") + 2
     bounds = sketch.select(
         *by, "n", k0.cast("long").alias("__k0"), k1.cast("long").alias("__k1"), w.alias("__w"),
-        F.when(lo_i >= 0, F.get("__cuts", lo_i)).alias("__lo"),
-        F.when(hi_i <= grid, F.get("__cuts", hi_i)).alias("__hi"))
-    right = bounds.select(*[F.col(k).alias(f"__r_{k}") for k in by], "__lo", "__hi")
-    cond = F.lit(True)
-    for k in by:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    inside = d.join(right, cond)
-    # rows below the bracket collapse into one NULL-valued count row per group
-    counted = (inside.where(F.col("__hi").isNull() | (F.col("__v") <= F.col("__hi")))
-               .withColumn("__x", F.when(F.col("__lo").isNull() | (F.col("__v") >= F.col("__lo")), F.col("__v")))
-               .groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__c")))
-    cum = counted.withColumn("__cum", F.sum("__c").over(
-        Window.partitionBy(*by).orderBy(F.col("__x").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, 0)))
-    b2 = bounds.select(*[F.col(k).alias(f"__r_{k}") for k in by], "n", "__k0", "__k1", "__w")
-    j = cum.join(b2, cond)
-    picked = j.groupBy(*by).agg(
-        F.first("n").alias("n"), F.first("__w").alias("__w"),
-        F.min(F.when(F.col("__cum") > F.col("__k0"), F.col("__x"))).alias("__a"),
-        F.min(F.when(F.col("__cum") > F.col("__k1"), F.col("__x"))).alias("__b"),
-        F.max(F.when(F.col("__x").isNull(), F.col("__cum") > F.col("__k0")).otherwise(F.lit(False))).alias("__miss"))
-    value_col = F.col("__a") + F.when(F.col("__w") > 0, (F.col("__b") - F.col("__a")) * F.col("__w")).otherwise(0.0)
-    checked = F.when(F.col("__miss") | F.col("__a").isNull() | F.col("__b").isNull(),
-                     F.raise_error(F.lit("quantile bracket missed the wanted rank")).cast("double")).otherwise(value_col)
-    return picked.select(*by, "n", checked.alias(out))
-
-
-def exact_median(df: DataFrame, by: list[str], value: str, out: str = "median", grid: int = 1024) -> DataFrame:
+        F.when(lo_i >= 0, F.get("__cuts", lo_i)).otherwise(F.col("__min")).alias("__lo"),
+        F.when(hi_i <= grid, F.get("__cuts", hi_i)).otherwise(F.col("__max")).alias("__hi"))
+
+    # bin -1 holds everything below the bracket; infinite widths fall into one bin and stay exact
+    lo, hi, v = F.col("__lo"), F.col("__hi"), F.col("__v")
+    width = hi - lo
+    usable = (width > 0) & (width < F.lit(float("inf")))
+    inner = F.when(usable, F.least(F.floor((v - lo) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+    binned = (_with_group_values(d, bounds, by, ["__lo", "__hi"]).where(v <= hi)
+              .select(*by, "__v", F.when(v < lo, F.lit(-1)).otherwise(inner).alias("__bin")))
+    sizes = binned.groupBy(*by, "__bin").agg(F.count(F.lit(1)).alias("__c"))
+    up_to = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)  # <= bins + 1 rows per group
+    cum = _with_group_values(sizes.withColumn("__cum", F.sum("__c").over(up_to)), bounds, by, ["n", "__k0", "__k1", "__w"])
+    first = lambda k: F.min(F.when(F.col("__cum") > F.col(k), F.struct("__bin", (F.col("__cum") - F.col("__c")).alias("base"))))
+    where = cum.groupBy(*by).agg(F.first("n").alias("n"), F.first("__k0").alias("__k0"), F.first("__k1").alias("__k1"),
+                                 F.first("__w").alias("__w"), first("__k0").alias("__s0"), first("__k1").alias("__s1"))
+
+    target = _with_group_values(binned, where, by, ["n", "__k0", "__k1", "__w", "__s0", "__s1"])
+    target = target.where((F.col("__bin") == F.col("__s0.__bin")) | (F.col("__bin") == F.col("__s1.__bin")))
+    counted = target.groupBy(*by, "__bin", "__v").agg(
+        F.count(F.lit(1)).alias("__c"), *[F.first(c).alias(c) for c in ("n", "__k0", "__k1", "__w", "__s0", "__s1")])
+    inside = Window.partitionBy(*by, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    base = F.when(F.col("__bin") == F.col("__s0.__bin"), F.col("__s0.base")).otherwise(F.col("__s1.base"))
+    ranked = counted.withColumn("__cum", base + F.sum("__c").over(inside))
+    hit = lambda k, s: F.min(F.when((F.col("__bin") == F.col(f"{s}.__bin")) & (F.col("__cum") > F.col(k)), F.col("__v")))
+    picked = ranked.groupBy(*by).agg(F.first("n").alias("n"), F.first("__w").alias("__w"),
+                                     hit("__k0", "__s0").alias("__a"), hit("__k1", "__s1").alias("__b"),
+                                     F.min(F.least("__s0.__bin", "__s1.__bin")).alias("__low"))
+    result = F.col("__a") + F.when(F.col("__w") > 0, (F.col("__b") - F.col("__a")) * F.col("__w")).otherwise(0.0)
+    missed = (F.col("__low") < 0) | F.col("__a").isNull() | F.col("__b").isNull()
+    checked = F.when(missed, F.raise_error(F.lit("quantile bracket missed the wanted rank")).cast("double")).otherwise(result)
+    return picked.where(F.col("n").isNotNull()).select(*by, "n", checked.alias(out))
+
+
+def exact_median(df: DataFrame, by: list[str], value: str, out: str = "median", grid: int = 256) -> DataFrame:
     return exact_quantile(df, by, value, 0.5, out, "linear", grid)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from guardlens.functions import exprs as X
 from guardlens.functions import ordered
 from guardlens.operators import relational as R
+from guardlens.session import cut
 
 
 def ablation(cells: DataFrame, arm: str, base: str, count: Column, keep: Column | None = None) -> DataFrame:
@@ -88,12 +89,9 @@ def cohen_kappa(pairs: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> Dat
     marg = (c.select(*by, F.inline(F.array(F.struct(F.col("la").alias("label"), F.col("c").alias("ca"), F.lit(0).cast("long").alias("cb")),
                                            F.struct(F.col("lb").alias("label"), F.lit(0).cast("long").alias("ca"), F.col("c").alias("cb")))))
             .groupBy(*by, "label").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb")))
-    key = by or ["__one"]
-    if not by:
-        c, marg = c.withColumn("__one", F.lit(1)), marg.withColumn("__one", F.lit(1))
-    n = c.groupBy(*key).agg(F.sum("c").alias("n"), F.sum(F.when(F.col("la") == F.col("lb"), F.col("c")).otherwise(0)).alias("agree"))
-    pe = marg.groupBy(*key).agg(F.sum(F.col("ca").cast("double") * F.col("cb")).alias("__pe"))
-    j = n.join(pe, key)
+    n = c.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.when(F.col("la") == F.col("lb"), F.col("c")).otherwise(0)).alias("agree"))
+    pe = marg.groupBy(*by).agg(F.sum(F.col("ca").cast("double") * F.col("cb")).alias("__pe"))
+    j = n.join(pe, by) if by else n.withColumn("__pe", pe.scalar())
     po = F.col("agree").cast("double") / F.col("n")
     e = F.col("__pe") / (F.col("n").cast("double") * F.col("n"))
     return j.select(*by, "n", po.alias("raw_agreement"), F.when(e != 1.0, (po - e) / (1.0 - e)).alias("kappa"))
@@ -122,6 +120,7 @@ def stratified_split(cases: DataFrame, key: str, leak_key: Column, strata: Seque
     groups = g.groupBy("__leak").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(key, *strata)).alias("rep"))
     groups = groups.select("__leak", "size", *[F.col(f"rep.{s}").alias(s) for s in strata],
                            X.hash_order(seed, "__leak").alias("h"))
+    groups = cut(groups, "leak-groups")
     per = groups.groupBy(*strata).agg(F.sum("size").alias("n"))
     n_all = per.agg(F.sum("n").alias("t")).scalar()
     exact = F.lit(float(total)) * F.col("n") / n_all
@@ -189,7 +188,8 @@ def order_bands(cases: DataFrame, key: str, label: str, n_orders: int, seed: int
     seeds = F.transform(F.sequence(F.lit(0), F.lit(n_orders - 1)), lambda i: i + seed)
     d = cases.select(key, label, F.explode(seeds).alias("order_no"))
     d = d.withColumn("h", X.hash_order(F.col("order_no"), key))
-    d = ordered.with_ordinal(d, ordered.Order(("order_no",), "h", (key,), span), "pos")
+    d = ordered.with_ordinal(d, ordered.Order(("order_no",), "h", (key,), span), "pos").select("order_no", label, "pos")
+    d = cut(d, "positions")
     lab = d.where(F.col(label).isNotNull())
     first = lab.groupBy("order_no", label).agg(F.min("pos").alias("p1"))
     second = (lab.join(first, ["order_no", label]).where(F.col("pos") > F.col("p1"))
@@ -200,8 +200,8 @@ def order_bands(cases: DataFrame, key: str, label: str, n_orders: int, seed: int
     d = d.join(found, ["order_no", label], "left")
     d = d.withColumn("__cov", (F.col("pos") >= F.col("at")).cast("long")).withColumn("__new", (F.col("pos") == F.col("at")).cast("long"))
     o = ordered.Order(("order_no",), "pos", (), 1 << 20)
-    d = ordered.running_sum(d, F.col("__cov"), o, "covered")
-    d = ordered.running_sum(d, F.col("__new"), o, "templates")
+    d = cut(d.select("order_no", "pos", "__cov", "__new"), "discoveries")
+    d = ordered.running_sums(d, {"covered": F.col("__cov"), "templates": F.col("__new")}, o)
     d = d.withColumn("coverage", F.col("covered") / F.col("pos"))
     # every position has exactly n_orders rows
     pick = lambda c, i: F.element_at(F.sort_array(F.collect_list(c)), i + 1)
@@ -302,10 +302,11 @@ def score_evidence(records: DataFrame, reproduced: Column, keep: Sequence[str],
         (warned | (c("underlying_level") == "L4")).alias("needs_review"))
 
 
-def timing_summary(iterations: DataFrame, by: Sequence[str], order: ordered.Order, value: str, base: Column) -> DataFrame:
+def timing_summary(iterations: DataFrame, by: Sequence[str], order: str, value: str, base: Column) -> DataFrame:
     """Mean / median / min / max without the first iteration of each group, and factor over the base group."""
     from guardlens.functions.quantiles import exact_median
-    d = ordered.with_ordinal(iterations, order, "__i").where(F.col("__i") > 1)
+    first = iterations.groupBy(*by).agg(F.min(order).alias("__first"))
+    d = iterations.join(first, list(by)).where(F.col(order) > F.col("__first"))
     g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_iters"), F.avg(value).alias("mean"), F.min(value).alias("min"),
                            F.max(value).alias("max"))
     med = exact_median(d, list(by), value, "median").drop("n")

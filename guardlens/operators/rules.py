@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from guardlens.functions import exprs as X
 from guardlens.functions import ordered
 from guardlens.functions import quantiles as Q
+from guardlens.session import cut
 from guardlens.operators.spec import (Check, Predicate, Bound, Scope, compile_predicate, fail_each, fail_if, finding,
                                       monotonic_frame, tensor_summaries)
 
@@ -279,7 +280,7 @@ def _block_rule(hook: str, skip: tuple[str, ...], value, issue: str):
         v = value(p)
         rec = parsed.where((F.col("hookpoint") == hook) & keep & v.isNotNull()).select(
             "run", "rank", "step", "event_id", cls.alias("module_class"), idx.alias("block"), v.alias("value"))
-        bad = block_uniformity(rec, ["run", "module_class"], "block", "value")
+        bad = block_uniformity(cut(rec, "block-records"), ["run", "module_class"], "block", "value")
         return bad.select("run", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("int").alias("step"),
                           F.col("sample_id").alias("event_id"),
                           F.concat_ws("#", "module_class", F.col("block").cast("string")).alias("entity"),
@@ -352,10 +353,12 @@ def residual_fallback(parsed: DataFrame, guards: frozenset[str], span: int = 1 <
         ((hp == "module.fwd.post") & is_norm & p.output.isNotNull()).alias("norms"),
         ((hp == "module.fwd.post") & is_block & p.output.isNotNull() & p.output.l2_norm.isNotNull()).alias("closes"),
         p.output.l2_norm.alias("out_l2"))
+    d = cut(d, "block-events")
     o = ordered.Order(("run", "rank"), "event_id", (), span)
     slot = (F.when(F.col("opens"), F.struct(F.col("in_l2").alias("v")))
             .when(F.col("closes"), F.struct(F.lit(None).cast("double").alias("v"))))
     d = ordered.carry_forward(d, slot, o, "in_slot", inclusive=False).withColumn("cur_in", F.col("in_slot.v"))
+    d = cut(d.drop("in_slot"), "block-inputs")
     sets = F.col("norms") & F.col("cur_in").isNotNull()
     done = F.col("closes") & F.col("cur_in").isNotNull()
     slot2 = (F.when(done, F.struct(F.lit(None).cast("double").alias("v")))

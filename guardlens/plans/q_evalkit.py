@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from guardlens.functions.ordered import Order
 from guardlens.operators import evalkit as M
 from guardlens.operators import relational as R
 from guardlens.operators import rules as RU
@@ -246,7 +245,7 @@ g AS (SELECT f, count(*) AS n_iters, avg(ms) AS mean, median(ms) AS median, min(
 SELECT 'log' || CAST(f AS VARCHAR) AS file, n_iters, round(mean, 6) AS mean, median, min, max, round(mean / (SELECT mean FROM g WHERE f = 0), 9) AS vs_baseline FROM g""")
 def m21(v):
     it = textlogs.iteration_times(_iteration_log(v), ["file"], "line_no")
-    d = M.timing_summary(it, ["file"], Order(("file",), "line_no"), "ms", F.col("file") == "log0")
+    d = M.timing_summary(it, ["file"], "line_no", "ms", F.col("file") == "log0")
     return d.withColumn("mean", F.round("mean", 6)).withColumn("vs_baseline", F.round("vs_baseline", 9))
 
 

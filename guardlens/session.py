@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,3 +48,15 @@ def work_folder(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="guardlens-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/guardlens-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result once to the shared folder and continue from the table.
+
+    Used where a plan refers to the same expensive input several times; the table also cuts the
+    lineage, so a lost executor re-reads files instead of recomputing.
+    """
+    spark = df.sparkSession
+    path = work_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
