@@ -69,7 +69,7 @@ def guard_holds(actual: Column, text: Column) -> Column:
     num = (F.when(op.isin("=", "=="), a == b).when(op == "!=", a != b).when(op == ">", a > b)
            .when(op == ">=", a >= b).when(op == "<", a < b).when(op == "<=", a <= b))
     txt = F.when(op.isin("=", "=="), s == t).when(op == "!=", s != t).when(op != "", F.lit(False))
-    return F.coalesce(F.when(op == "", F.lit(True)).when(a.isNotNull() & b.isNotNull(), num).otherwise(txt), F.lit(True))
+    return F.coalesce(F.when((op == "") | actual.isNull(), F.lit(True)).when(a.isNotNull() & b.isNotNull(), num).otherwise(txt), F.lit(True))
 
 
 def constraint_holds(c: Constraint, axes: Iterable[str]) -> Column:

@@ -5,7 +5,7 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 from guardlens import schema as sc  # noqa: E402
 from guardlens.session import local_session  # noqa: E402
@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, 8, "8g", "guardlens-tests")
+    return local_session(8, 4, "8g", "guardlens-tests")
 
 
 @pytest.fixture(scope="session")
