@@ -152,7 +152,10 @@ def marker_name(c: Column | str, drop: Iterable[str] = ("begin", "end"),
 
 
 def epoch_text(micros: Column | str) -> Column:
-    return F.date_format(F.timestamp_micros(col(micros).cast("long")), "yyyy-MM-dd HH:mm:ss")
+    """UTC text of epoch microseconds, whatever the session time zone is."""
+    start = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    span = F.make_dt_interval(secs=(col(micros) / 1000000).cast("decimal(20,6)"))
+    return F.date_format(start + span, "yyyy-MM-dd HH:mm:ss")
 
 
 def map_label(c: Column | str, mapping: Mapping[str, str], default: Column | str | None = None) -> Column:

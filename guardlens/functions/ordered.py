@@ -54,7 +54,8 @@ class Order:
 
     @property
     def position(self) -> Column:
-        return F.struct(F.col(self.key), *[F.col(t) for t in self.ties])
+        # a single column keeps max_by in hash aggregation; a struct would force sorting
+        return F.struct(F.col(self.key), *[F.col(t) for t in self.ties]) if self.ties else F.col(self.key)
 
 
 def _attach(df: DataFrame, summary: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
@@ -114,22 +115,26 @@ def running_sum(df: DataFrame, value: Column, o: Order, out: str, inclusive: boo
     return running_sums(df, {out: value}, o, inclusive)
 
 
-def carry_forward(df: DataFrame, value: Column, o: Order, out: str, inclusive: bool = True) -> DataFrame:
-    """Most recent non-NULL value at or before (inclusive) / strictly before the row."""
+def carry_forward(df: DataFrame, value: Column, o: Order, out: str, inclusive: bool = True,
+                  is_set: Column | None = None) -> DataFrame:
+    """Most recent value at or before (inclusive) / strictly before the row.
+
+    Rows count as setting the value where it is non-NULL, or where ``is_set`` says so (a row may
+    then set NULL, which clears the slot).
+    """
     b = o.bucketed(df).withColumn("__v", value)
-    tails = (b.where(F.col("__v").isNotNull()).groupBy(*o.keys)
-             .agg(F.max_by(F.col("__v"), o.position).alias("__tail")))
-    # Buckets without a value still need the state of earlier buckets.
-    every = b.groupBy(*o.keys).agg(F.count(F.lit(1)).alias("__n"))
-    state = (_attach(every, tails, o.keys, ["__tail"])
-             .withColumn("__carried", F.last("__tail", ignorenulls=True)
-                         .over(o.across.rowsBetween(Window.unboundedPreceding, -1))))
-    end = 0 if inclusive else -1
-    local = b.withColumn("__loc", F.last("__v", ignorenulls=True)
-                         .over(o.inside.rowsBetween(Window.unboundedPreceding, end)))
+    b = b.withColumn("__set", F.col("__v").isNotNull() if is_set is None else F.coalesce(is_set, F.lit(False)))
+    tails = b.groupBy(*o.keys).agg(F.max_by("__v", F.when(F.col("__set"), o.position)).alias("__tail"),
+                                   F.max("__set").alias("__any"))
+    slot = F.when(F.col("__any"), F.struct(F.col("__tail").alias("v")))
+    state = tails.withColumn("__carried", F.last(slot, ignorenulls=True)
+                             .over(o.across.rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.when(F.col("__set"), F.struct(F.col("__v").alias("v")))
+    local = b.withColumn("__loc", F.last(own, ignorenulls=True)
+                         .over(o.inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)))
     return (_attach(local, state, o.keys, ["__carried"])
-            .withColumn(out, F.coalesce(F.col("__loc"), F.col("__carried")))
-            .drop("__v", "__loc", "__carried", _B))
+            .withColumn(out, F.coalesce(F.col("__loc"), F.col("__carried")).getField("v"))
+            .drop("__v", "__set", "__loc", "__carried", _B))
 
 
 def trailing(df: DataFrame, o: Order, n: int, aggs: dict[str, Column], chunk: int = 1 << 16) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from guardlens.functions import exprs as X
 from guardlens.functions import ordered
+from guardlens.functions.quantiles import exact_median, exact_quantile
 from guardlens.operators import relational as R
 from guardlens.session import cut
 
@@ -108,7 +109,7 @@ def coverage_metrics(cases: DataFrame, by: Sequence[str], expressible: Column, g
 
 
 def stratified_split(cases: DataFrame, key: str, leak_key: Column, strata: Sequence[str], total: int, seed: int = 0,
-                     span: int = 1 << 24) -> DataFrame:
+                     span: int = 1 << 18) -> DataFrame:
     """Mark about ``total`` cases as test, proportional per stratum, without splitting leak groups.
 
     Cases with the same leak key form one group that is wholly in or out. Quotas are the largest
@@ -139,7 +140,6 @@ def temporal_split(cases: DataFrame, time: str, cutoff: str | None = None, train
     d = cases.where(F.col(time).isNotNull())
     if cutoff is not None:
         return d.withColumn("split", F.when(F.col(time) < F.lit(cutoff), "train").otherwise("test"))
-    from guardlens.functions.quantiles import exact_quantile
     t = d.select(F.unix_micros(F.col(time).cast("timestamp")).cast("double").alias("t"))
     cut = exact_quantile(t, [], "t", train_fraction, "cutoff", "index_n").select("cutoff")
     return d.withColumn("split", F.when(F.unix_micros(F.col(time).cast("timestamp")) < cut.scalar(), "train").otherwise("test"))
@@ -174,7 +174,7 @@ def saturation(decisions: DataFrame, batch: str, decision: str, streak: int = 3)
             .drop("__island", "__cov"))
 
 
-def order_bands(cases: DataFrame, key: str, label: str, n_orders: int, seed: int = 0, span: int = 1 << 24,
+def order_bands(cases: DataFrame, key: str, label: str, n_orders: int, seed: int = 0, span: int = 1 << 18,
                 seed_support: Mapping[str, int] | None = None) -> DataFrame:
     """Discovery and coverage curves over hash-shuffled orders, as median and 5-95 % bands.
 
@@ -304,7 +304,6 @@ def score_evidence(records: DataFrame, reproduced: Column, keep: Sequence[str],
 
 def timing_summary(iterations: DataFrame, by: Sequence[str], order: str, value: str, base: Column) -> DataFrame:
     """Mean / median / min / max without the first iteration of each group, and factor over the base group."""
-    from guardlens.functions.quantiles import exact_median
     first = iterations.groupBy(*by).agg(F.min(order).alias("__first"))
     d = iterations.join(first, list(by)).where(F.col(order) > F.col("__first"))
     g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_iters"), F.avg(value).alias("mean"), F.min(value).alias("min"),
@@ -351,7 +350,7 @@ def holdout_pool(cases: DataFrame, key: str, pattern: str) -> DataFrame:
 def yield_by_arm(results: DataFrame, arm: str, repetition: str, survivors: Column, base: str) -> DataFrame:
     """Survivors per arm and repetition, median per arm and ratio to the base arm."""
     per = results.groupBy(arm, repetition).agg(F.sum(survivors).cast("double").alias("yield"))
-    med = per.groupBy(arm).agg(F.percentile("yield", 0.5).alias("median_yield"), F.count(F.lit(1)).alias("n_repetitions"))
+    med = exact_median(per, [arm], "yield", "median_yield").select(arm, "median_yield", F.col("n").alias("n_repetitions"))
     ref = med.where(F.col(arm) == base).select("median_yield").scalar()
     return med.withColumn("ratio", F.col("median_yield") / ref)
 

@@ -18,6 +18,7 @@ from guardlens.functions import ordered
 from guardlens.functions import quantiles as Q
 from guardlens.functions.sqlfuncs import JsonLeaves
 from guardlens.operators.spec import OPS, with_run
+from guardlens.session import cut
 
 MAX_PER_HYPOTHESIS = 50
 NON_STANDARD = r"(?<=[:,\[]\s{0,2})-?(NaN|Infinity)(?=\s*[,}\]])"
@@ -30,19 +31,28 @@ COMPANIONS = (("post_norm", "max_norm", "<="), ("post_norm", "pre_norm", "<="),
 
 # -- profile -------------------------------------------------------------------------------
 
-def schema_profile(trace: DataFrame, hookpoint: str = "hookpoint", payload: str = "payload") -> DataFrame:
+def schema_profile(trace: DataFrame, hookpoint: str = "hookpoint", payload: str = "payload",
+                   key: str = "event_id") -> DataFrame:
     """(hookpoint, path, type, n_events): leaf paths of every payload, whole table.
 
-    Payloads are grouped by their structural type inside the JVM (combined map-side); only one
-    representative payload per distinct structure is walked in Python.
+    Payloads are counted per structural type inside the JVM by hash aggregation; one
+    representative payload per distinct structure is then fetched by key and walked in Python.
     """
     raw = F.col(payload)
     clean = F.when(raw.contains("NaN") | raw.contains("Infinity"), F.regexp_replace(raw, NON_STANDARD, "0.5")).otherwise(raw)
-    shape = F.regexp_replace(F.schema_of_variant(F.try_parse_json(clean)),
-                             r"DECIMAL\(\d+, ?\d+\)|BIGINT|DOUBLE|FLOAT", "NUMBER")
-    shapes = (trace.select(F.col(hookpoint).alias("hookpoint"), shape.alias("shape"), clean.alias("doc"))
-              .where(F.col("shape").isNotNull()).groupBy("hookpoint", "shape")
-              .agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc")))
+
+    def shape_of(c: str) -> Column:
+        return F.regexp_replace(F.schema_of_variant(F.try_parse_json(c)),
+                                r"DECIMAL\(\d+, ?\d+\)|BIGINT|DOUBLE|FLOAT", "NUMBER")
+
+    docs = trace.select(F.col(hookpoint).alias("hookpoint"), F.col(key).alias("__key"), clean.alias("doc"))
+    counted = (docs.select("hookpoint", "__key", shape_of("doc").alias("shape")).where(F.col("shape").isNotNull())
+               .groupBy("hookpoint", "shape").agg(F.count(F.lit(1)).alias("n"), F.min("__key").alias("__key")))
+    counted = cut(counted, "payload-shapes")
+    # fetch one document per shape by its key; keys may repeat across runs, so the shape is tested again
+    found = docs.join(counted.select("hookpoint", "__key").distinct(), ["hookpoint", "__key"], "left_semi")
+    found = found.select("hookpoint", "doc", shape_of("doc").alias("shape")).dropDuplicates(["hookpoint", "shape"])
+    shapes = found.join(counted, ["hookpoint", "shape"])
     leaves = shapes.lateralJoin(JsonLeaves(F.col("doc").outer()))
     return leaves.groupBy("hookpoint", "path", "type").agg(F.sum("n").alias("n_events"))
 
@@ -298,13 +308,19 @@ def learned_ranges(df: DataFrame, config: str, fields: Sequence[str]) -> DataFra
 def leave_one_out(ranges: DataFrame, config: str) -> DataFrame:
     """Envelope of all *other* configurations per field, and whether they agree on a constant.
 
-    The window runs over configurations (one row each), not over trace rows.
+    Leaving one out changes an extreme only for its unique holder, so the two most extreme values
+    per field are enough: combinable aggregates and a join on the field, no window over configurations.
     """
-    w = Window.partitionBy("field").orderBy(config)
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    lo = F.least(F.min("lo").over(before), F.min("lo").over(after))
-    hi = F.greatest(F.max("hi").over(before), F.max("hi").over(after))
-    return ranges.select(config, "field", lo.alias("lo"), hi.alias("hi")).withColumn("is_constant", F.col("lo") == F.col("hi"))
+    top = ranges.groupBy("field").agg(F.min("lo").alias("__lo1"), F.max("hi").alias("__hi1"))
+    d = ranges.join(top, "field")
+    at_lo, at_hi = F.col("lo") == F.col("__lo1"), F.col("hi") == F.col("__hi1")
+    second = d.groupBy("field").agg(F.count_if(at_lo).alias("__nlo"), F.count_if(at_hi).alias("__nhi"),
+                                    F.min(F.when(~at_lo, F.col("lo"))).alias("__lo2"),
+                                    F.max(F.when(~at_hi, F.col("hi"))).alias("__hi2"))
+    j = d.join(second, "field")
+    lo = F.when(at_lo & (F.col("__nlo") == 1), F.col("__lo2")).otherwise(F.col("__lo1"))
+    hi = F.when(at_hi & (F.col("__nhi") == 1), F.col("__hi2")).otherwise(F.col("__hi1"))
+    return j.select(config, "field", lo.alias("lo"), hi.alias("hi")).withColumn("is_constant", F.col("lo") == F.col("hi"))
 
 
 def loo_false_positives(df: DataFrame, config: str, fields: Sequence[str]) -> DataFrame:
@@ -331,7 +347,6 @@ def coverage_by_size(cases: DataFrame, template: str) -> DataFrame:
 
     The window runs over templates, already reduced from cases.
     """
-    from guardlens.operators.relational import keep_first  # noqa: F401
     c = cases.where(F.col(template).isNotNull()).groupBy(template).agg(F.count(F.lit(1)).alias("n_cases"))
     total = cases.agg(F.count(F.lit(1)).alias("t"))
     w = Window.orderBy(F.desc("n_cases"), template)

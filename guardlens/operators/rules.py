@@ -355,16 +355,13 @@ def residual_fallback(parsed: DataFrame, guards: frozenset[str], span: int = 1 <
         p.output.l2_norm.alias("out_l2"))
     d = cut(d, "block-events")
     o = ordered.Order(("run", "rank"), "event_id", (), span)
-    slot = (F.when(F.col("opens"), F.struct(F.col("in_l2").alias("v")))
-            .when(F.col("closes"), F.struct(F.lit(None).cast("double").alias("v"))))
-    d = ordered.carry_forward(d, slot, o, "in_slot", inclusive=False).withColumn("cur_in", F.col("in_slot.v"))
-    d = cut(d.drop("in_slot"), "block-inputs")
+    d = ordered.carry_forward(d, F.when(F.col("opens"), F.col("in_l2")), o, "cur_in", inclusive=False,
+                              is_set=F.col("opens") | F.col("closes"))
     sets = F.col("norms") & F.col("cur_in").isNotNull()
     done = F.col("closes") & F.col("cur_in").isNotNull()
-    slot2 = (F.when(done, F.struct(F.lit(None).cast("double").alias("v")))
-             .when(sets, F.struct(F.col("out_l2").alias("v"))))
-    d = ordered.carry_forward(d, slot2, o, "norm_slot", inclusive=False)
-    cur_norm = F.when(sets, F.col("out_l2")).otherwise(F.col("norm_slot.v"))
+    d = cut(d, "block-inputs")
+    d = ordered.carry_forward(d, F.when(sets & ~done, F.col("out_l2")), o, "norm_before", inclusive=False, is_set=sets | done)
+    cur_norm = F.when(sets, F.col("out_l2")).otherwise(F.col("norm_before"))
     d_in, d_norm = F.abs(F.col("out_l2") - F.col("cur_in")), F.abs(F.col("out_l2") - cur_norm)
     return d.where(done & (d_norm * 3 < d_in)).select(
         *KEYS, F.col("cls").alias("entity"), F.lit("nearer to normalised input").alias("issue"),

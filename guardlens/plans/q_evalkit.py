@@ -144,7 +144,7 @@ c AS (SELECT leak, st, sum(size) OVER (PARTITION BY st ORDER BY h, leak ROWS BET
 SELECT part.p_partkey, p_type, CASE WHEN cum <= quota THEN 'test' ELSE 'dev' END AS split FROM part JOIN c ON p_name || '#' || CAST(p_partkey // 3 AS VARCHAR) = c.leak JOIN q ON c.st = q.st""")
 def m12(v):
     leak = F.concat_ws("#", "p_name", F.expr("CAST(p_partkey div 3 AS STRING)"))
-    return M.stratified_split(v.part.select("p_partkey", "p_type", "p_name"), "p_partkey", leak, ["p_type"], 50, seed=5, span=1 << 28)
+    return M.stratified_split(v.part.select("p_partkey", "p_type", "p_name"), "p_partkey", leak, ["p_type"], 50, seed=5)
 
 
 @query("m13_temporal_split_cutoff", "SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'train' ELSE 'test' END AS split FROM orders")
@@ -196,7 +196,7 @@ u AS (SELECT o, pos, CAST(sum(n) OVER w AS BIGINT) AS t, sum(c) OVER w * 1.0::DO
 a AS (SELECT pos, list_sort(list(t)) AS ts, list_sort(list(cov)) AS cs FROM u GROUP BY pos)
 SELECT pos, ts[3] AS templates_median, ts[1] AS templates_p05, ts[5] AS templates_p95, round(cs[3], 9) AS coverage_median, round(cs[1], 9) AS coverage_p05, round(cs[5], 9) AS coverage_p95 FROM a""")
 def m16(v):
-    d = M.order_bands(v.part.select("p_partkey", "p_name"), "p_partkey", "p_name", 5, span=1 << 28)
+    d = M.order_bands(v.part.select("p_partkey", "p_name"), "p_partkey", "p_name", 5)
     return d.select("pos", "templates_median", "templates_p05", "templates_p95", *[F.round(f"coverage_{x}", 9).alias(f"coverage_{x}") for x in ("median", "p05", "p95")])
 
 

@@ -151,8 +151,7 @@ def b19(v):
 
 @query("b20_epoch_text", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t FROM events")
 def b20(v):
-    return v.events.select("event_id", F.date_format(F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(
-        secs=(micros(F.col("ts")) / 1000000).cast("decimal(20,6)")), "yyyy-MM-dd HH:mm:ss").alias("t"))
+    return v.events.select("event_id", X.epoch_text(micros(F.col("ts"))).alias("t"))
 
 
 @query("b21_case_classification", """

@@ -138,7 +138,7 @@ def g15(v):
 
 
 @query("g16_layout_conformance", """
-SELECT o_orderkey AS k, s AS shards_total, n AS n_shards, f AS full_total FROM (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) AS s, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS k, s AS shards_total, n AS n_shards, f AS full_total FROM (SELECT l_orderkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS s, count(*) AS n FROM lineitem GROUP BY 1)
 JOIN (SELECT o_orderkey, o_custkey % 200 AS f FROM orders) ON l_orderkey = o_orderkey WHERE s <> f""")
 def g16(v):
     sh = v.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_quantity").cast("long").alias("size"))

@@ -46,7 +46,7 @@ def a02_rel(v):
 
 
 @query("a03_union_ranks", """
-SELECT 'rank' || CAST(rank AS VARCHAR) AS run, count(*) AS n_events, sum(event_id) AS id_sum FROM v_trace GROUP BY 1""")
+SELECT 'rank' || CAST(rank AS VARCHAR) AS run, count(*) AS n_events, CAST(sum(event_id) AS BIGINT) AS id_sum FROM v_trace GROUP BY 1""")
 def a03(v):
     parts = {f"rank{r}": v.trace.where(F.col("rank") == r).drop("run") for r in range(4)}
     return traces.union_runs(parts).groupBy("run").agg(F.count(F.lit(1)).alias("n_events"), F.sum("event_id").alias("id_sum"))

@@ -41,3 +41,22 @@ SELECT '$.k' AS path, 'number' AS type, count(*) AS n FROM events""")
 def n04(v):
     leaves = v.events.select("props").lateralJoin(sqlfuncs.JsonLeaves(F.col("props").outer()))
     return leaves.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("n05_stateful_detector", """
+SELECT event_id, v AS value, p AS prev FROM (SELECT event_id, user_id AS v, lag(user_id) OVER (PARTITION BY event_type ORDER BY event_id) AS p FROM events) WHERE v <= p""")
+def n05(v):
+    from guardlens.plans.q_streaming import drained, third
+    from guardlens.streaming.online import OnlineMonotonic
+    t = v.events.select("event_type", "event_id", F.col("user_id").alias("value"))
+    h, _ = drained(v, t, third(v), "n05", lambda root: OnlineMonotonic(v.spark, root, ["event_type"], "event_id", "value", span=1000))
+    return h.state.all("violations", "event_type string, event_id long, value long, prev long").select("event_id", "value", "prev")
+
+
+@query("n06_leave_one_out_ranges", """
+WITH r AS (SELECT l_suppkey AS config, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1),
+o AS (SELECT config, (SELECT min(lo) FROM r b WHERE b.config <> a.config) AS lo, (SELECT max(hi) FROM r b WHERE b.config <> a.config) AS hi FROM r a)
+SELECT config, 'l_extendedprice' AS field, lo, hi, lo = hi AS is_constant FROM o""")
+def n06(v):
+    from guardlens.operators import mining as J
+    return J.leave_one_out(J.learned_ranges(v.lineitem.withColumnRenamed("l_suppkey", "config"), "config", ["l_extendedprice"]), "config")

@@ -37,16 +37,21 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
+_fallback_root: str | None = None
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """New folder for intermediate tables and stream state.
 
     Lives under the shared folder the cluster names in ``spark.checkpoint.dir``; only where that
-    is unset (tests, one machine) a local temporary folder is made and set.
+    is unset (tests, one machine) a local temporary folder takes its place.
     """
+    global _fallback_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="guardlens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if _fallback_root is None:
+            _fallback_root = tempfile.mkdtemp(prefix="guardlens-")
+        root = _fallback_root
     return f"{root.rstrip('/')}/guardlens-{name}-{uuid.uuid4().hex[:12]}"
 
 

@@ -122,18 +122,21 @@ class BatchState:
     def path(self, name: str, batch: int) -> str:
         return f"{self.root}/{name}/batch={batch}"
 
-    def write(self, name: str, batch: int, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name, batch))
+    def write(self, name: str, batch: int, df: DataFrame, partition: Sequence[str] = ()) -> DataFrame:
+        w = df.write.mode("overwrite")
+        (w.partitionBy(*partition) if partition else w).parquet(self.path(name, batch))
         return self.read(name, batch, df)
 
     def read(self, name: str, batch: int, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(self.path(name, batch))
+        return self.spark.read.schema(like.schema).parquet(self.path(name, batch)).select(*like.columns)
 
     def previous(self, name: str, batch: int, like: DataFrame) -> DataFrame | None:
         return self.read(name, batch - 1, like) if batch > 0 else None
 
     def all(self, name: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/*")
+        """All batches; ``batch`` is a partition column and is left out."""
+        d = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        return d.drop("batch")
 
 
 class OnlineMonotonic:
@@ -201,7 +204,8 @@ class OnlineRunner:
         return df.where(keep) if self.sample_rates else df
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        trace = self.state.write("trace", batch_id, self._sampled(with_run(batch)))
+        # partitioned by hookpoint, so a re-evaluated frame check reads only its own hookpoints
+        trace = self.state.write("trace", batch_id, self._sampled(with_run(batch)), ["hookpoint"])
         # at most one row per hookpoint name of the trace format
         stats = trace.groupBy("hookpoint").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last")).collect()
         active = for_hookpoints(self.checks, [r.hookpoint for r in stats])
