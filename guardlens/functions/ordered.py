@@ -37,7 +37,7 @@ class Order:
     def bucketed(self, df: DataFrame) -> DataFrame:
         k = F.col(self.key).cast("long")
         w = F.lit(self.span).cast("long")
-        return df.withColumn(_B, F.floor((k - F.pmod(k, w)) / w).cast("long"))
+        return df.withColumn(_B, F.call_function("div", k - F.pmod(k, w), w))
 
     @property
     def keys(self) -> list[str]:

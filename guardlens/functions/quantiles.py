@@ -44,13 +44,19 @@ def _with_group_values(df: DataFrame, per_group: DataFrame, by: list[str], colum
 
 
 def exact_quantile(df: DataFrame, by: list[str], value: str, p: float, out: str = "quantile",
-                   method: str = "linear", grid: int = 256, bins: int = 1024) -> DataFrame:
+                   method: str = "linear", grid: int = 256, bins: int = 1024, small: int = 100_000) -> DataFrame:
     """One row per group: ``by``, ``n`` and the exact quantile of the non-NULL values.
 
     ``linear`` interpolates (median = mean of the middle two); ``index_n_minus_1`` and
     ``index_n`` pick the value at ``int(p*(n-1))`` / ``int(p*n)`` without interpolation.
+
+    The largest group is counted first: when it holds at most ``small`` values, one aggregation
+    buffer per group is safe and a single pass is planned; otherwise the three passes run
+    (``small=0`` always takes them). The input is read several times, so cut expensive inputs.
     """
     d = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    if small and (d.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= small:
+        return _single_pass(d, by, p, out, method)
     probs = [i / grid for i in range(grid + 1)]
     sketch = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
                                 F.percentile_approx("__v", probs, grid * 10).alias("__cuts"))
@@ -93,5 +99,16 @@ def exact_quantile(df: DataFrame, by: list[str], value: str, p: float, out: str
     return picked.where(F.col("n").isNotNull()).select(*by, "n", checked.alias(out))
 
 
-def exact_median(df: DataFrame, by: list[str], value: str, out: str = "median", grid: int = 256) -> DataFrame:
-    return exact_quantile(df, by, value, 0.5, out, "linear", grid)
+def _single_pass(d: DataFrame, by: list[str], p: float, out: str, method: str) -> DataFrame:
+    """Groups of checked size: every value of a group fits one buffer."""
+    if method == "linear":
+        g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile("__v", p).alias(out))
+        return g.where(F.col("n") > 0)
+    g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("__v")).alias("__s")).where(F.col("n") > 0)
+    k = _pick(method, p, F.col("n"))[0]
+    return g.select(*by, "n", F.get("__s", k.cast("int")).alias(out))
+
+
+def exact_median(df: DataFrame, by: list[str], value: str, out: str = "median", grid: int = 256,
+                 small: int = 100_000) -> DataFrame:
+    return exact_quantile(df, by, value, 0.5, out, "linear", grid, small=small)

@@ -46,7 +46,7 @@ def _leaves(value, path: str):
         yield path, "string"
 
 
-@udtf(returnType="path string, type string")
+@udtf(returnType="path string, type string", useArrow=True)
 class JsonLeaves:
     """Leaf paths and types of one JSON text (``[*]`` for list elements)."""
 

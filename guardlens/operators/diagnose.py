@@ -11,6 +11,7 @@ from guardlens import schema as sc
 from guardlens.functions import exprs as X
 from guardlens.functions import ordered
 from guardlens.operators.relational import majority_minority
+from guardlens.session import cut
 
 EVENT_KEY = ("run", "event_id")
 
@@ -99,6 +100,25 @@ def context_slice(violations: DataFrame, trace: DataFrame, by: Sequence[str], be
     return ordered.neighbours(trace, o, before, after, marks, ["check_id", "violation_id"])
 
 
+def context_events(violations: DataFrame, trace: DataFrame, before: int = 6, after: int = 6,
+                   span: int = 1 << 20) -> DataFrame:
+    """Context by module where the violating event names one, else by hookpoint.
+
+    The trace is first restricted to the keys of the violations, so only their modules and
+    hookpoints are numbered.
+    """
+    module = F.from_json("payload", sc.payload_schema(["module_id"])).getField("module_id")
+    by_hook, by_module = F.concat(F.lit("h:"), "hookpoint"), F.concat(F.lit("m:"), F.col("__mid").cast("string"))
+    t = trace.select("run", "event_id", "step", "rank", "hookpoint", module.alias("__mid"))
+    marks = violations.select("check_id", "run", "event_id").join(t, list(EVENT_KEY)).select(
+        "check_id", "run", "event_id", F.coalesce(by_module, by_hook).alias("key"))
+    marks = cut(marks, "marks")
+    keyed = t.select("run", "event_id", "step", "rank", "hookpoint",
+                     F.explode(F.array_compact(F.array(by_hook, by_module))).alias("key"))
+    keyed = keyed.join(marks.select("run", "key").distinct(), ["run", "key"], "left_semi")
+    return context_slice(marks, keyed, ("run", "key"), before, after, span)
+
+
 def hypothesis(check_id: Column, where: Column, step: Column, rank: Column, detail: Column) -> Column:
     """One sentence naming the suspected location."""
     # Suspected cause per check.

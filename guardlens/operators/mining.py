@@ -42,13 +42,15 @@ def schema_profile(trace: DataFrame, hookpoint: str = "hookpoint", payload: str
     clean = F.when(raw.contains("NaN") | raw.contains("Infinity"), F.regexp_replace(raw, NON_STANDARD, "0.5")).otherwise(raw)
 
     def shape_of(c: str) -> Column:
-        return F.regexp_replace(F.schema_of_variant(F.try_parse_json(c)),
+        # never NULL: a NULL test would be pushed below and parse every payload a second time
+        kind = F.regexp_replace(F.schema_of_variant(F.try_parse_json(c)),
                                 r"DECIMAL\(\d+, ?\d+\)|BIGINT|DOUBLE|FLOAT", "NUMBER")
+        return F.coalesce(kind, F.lit(""))
 
     docs = trace.select(F.col(hookpoint).alias("hookpoint"), F.col(key).alias("__key"), clean.alias("doc"))
-    counted = (docs.select("hookpoint", "__key", shape_of("doc").alias("shape")).where(F.col("shape").isNotNull())
+    counted = (docs.select("hookpoint", "__key", shape_of("doc").alias("shape"))
                .groupBy("hookpoint", "shape").agg(F.count(F.lit(1)).alias("n"), F.min("__key").alias("__key")))
-    counted = cut(counted, "payload-shapes")
+    counted = cut(counted, "payload-shapes").where(F.col("shape") != "")
     # fetch one document per shape by its key; keys may repeat across runs, so the shape is tested again
     found = docs.join(counted.select("hookpoint", "__key").distinct(), ["hookpoint", "__key"], "left_semi")
     found = found.select("hookpoint", "doc", shape_of("doc").alias("shape")).dropDuplicates(["hookpoint", "shape"])

@@ -387,7 +387,7 @@ def _router_attribute(parsed: DataFrame, guards: frozenset[str]) -> DataFrame:
         has = F.map_contains_key(meg, F.lit("calculate_per_token_loss"))
         flag = _declared(parsed.where(F.col("hookpoint") == "build.snapshot"),
                          F.element_at(meg, F.lit("calculate_per_token_loss")), F.when(has, F.col("event_id")),
-                         F.max_by, "flag").where(F.col("flag").isin("true", "1"))
+                         F.max_by, "flag").where(~F.lower("flag").isin("false", "0", "0.0", ""))
         rows = rows.where(p.semantic.is_router).join(flag.select("run"), "run", "left_semi")
     return rows.select(*KEYS, p.module_class.alias("entity"), F.lit("attribute missing").alias("issue"),
                        F.lit(None).cast("double").alias("observed"))

@@ -172,7 +172,7 @@ def b22(v):
 # The evidence columns are read from the whole texts: the title is the first line, the cause the rest.
 EVIDENCE_SQL = """
 WITH d AS (SELECT doc_id, source, lang, string_split(text, chr(10))[1] AS title, text AS cause, lang = 'en' AS reproduced,
-                  CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END AS buggy FROM documents),
+                  CASE WHEN lang IN ('en', 'de') THEN text ELSE '' END AS buggy FROM documents),
 f AS (SELECT *, regexp_matches(cause, '(?i)throws|raises|crash|segfault|assertionerror|runtimeerror') AS loud,
   buggy <> '' AND regexp_matches(buggy, '(?i)\\bcrash\\b|RuntimeError|AssertionError|\\bOOM\\b|\\bNaN\\b|\\bInf\\b|cuda error') AS crash,
   buggy <> '' AND regexp_matches(buggy, '(?i)BUG DETECTED|mismatch|diverged|wrong|differs|incorrect|inconsistent|CLEAN') AS clean,
@@ -186,7 +186,7 @@ e AS (SELECT doc_id, source, lang, CASE WHEN reproduced AND clean AND NOT crash
 def evidence(v):
     return evalkit.score_evidence(v.documents, F.col("lang") == "en", ["doc_id", "source", "lang"],
                                   title=F.substring_index("text", "\n", 1), cause=F.col("text"),
-                                  buggy_output=F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.lit("")))
+                                  buggy_output=F.when(F.col("lang").isin("en", "de"), F.col("text")).otherwise(F.lit("")))
 
 
 @query("b23_evidence_level", EVIDENCE_SQL + """

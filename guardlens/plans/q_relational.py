@@ -162,7 +162,7 @@ def i04(v):
 SELECT o_orderstatus, n, x AS p75 FROM (SELECT o_orderstatus, o_totalprice AS x, count(*) OVER (PARTITION BY o_orderstatus) AS n, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) - 1 AS k FROM orders)
 WHERE k = least(CAST(floor(0.75 * n + 1e-12) AS BIGINT), n - 1)""")
 def i04_n(v):
-    return Q.exact_quantile(v.orders, ["o_orderstatus"], "o_totalprice", 0.75, "p75", "index_n", grid=256)
+    return Q.exact_quantile(v.orders, ["o_orderstatus"], "o_totalprice", 0.75, "p75", "index_n", small=0)
 
 
 @query("i05_content_fingerprint", """

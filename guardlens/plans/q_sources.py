@@ -251,12 +251,12 @@ def a21(v):
 @query("a21_verify_manifest", """
 WITH a AS (SELECT url AS path, octet_length(encode(html)) AS size, sha256(html) AS h, page_id FROM pages),
 e AS (SELECT path, CASE WHEN page_id % 7 = 1 THEN size + 1 ELSE size END AS size, CASE WHEN page_id % 11 = 2 THEN 'x' ELSE h END AS h
-      FROM a WHERE page_id % 13 <> 3)
+      FROM a WHERE path NOT LIKE '%/fr/%')
 SELECT a.path, CASE WHEN e.h IS NULL THEN 'unexpected' WHEN a.size <> e.size THEN 'size differs' WHEN a.h <> e.h THEN 'hash differs' ELSE 'ok' END AS status
 FROM a LEFT JOIN e ON a.path = e.path""")
 def a21_verify(v):
     actual = manifest.content_manifest(v.pages, F.col("url"), F.col("html"))
-    e = v.pages.where(F.col("page_id") % 13 != 3)
+    e = v.pages.where(~F.col("url").contains("/fr/"))
     expected = manifest.content_manifest(e, F.col("url"), F.col("html")).join(e.select(F.col("url").alias("path"), "page_id"), "path")
     expected = expected.select("path", F.when(F.col("page_id") % 7 == 1, F.col("size") + 1).otherwise(F.col("size")).alias("size"),
                                F.when(F.col("page_id") % 11 == 2, F.lit("x")).otherwise(F.col("sha256")).alias("sha256"))

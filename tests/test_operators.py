@@ -123,6 +123,16 @@ def test_context_evidence_and_hypothesis(spark, trace):
     assert '"outlier_rank":0' in e and '"param_name":"w"' in e
 
 
+def test_context_prefers_module(spark, trace):
+    clip = lambda i, **kw: ("utils.clip_grad.post", {"max_norm": 1.0, "post_norm": 5.0 if i in (2, 6) else 0.5, **kw})
+    t = trace(clip(0, module_id=7), ("loss.call", {"module_id": 7}), clip(2, module_id=7), clip(3), clip(4), ("loss.call", {}), clip(6), clip(7, module_id=8))
+    v = S.violations(t, [RU.RULES_BY_ID["T0-clip-grad-bounded"]])
+    got = {}
+    for r in L.context_events(v, t, 2, 2).collect():
+        got.setdefault(r.violation_id, set()).add(r.event_id)
+    assert got == {3: {1, 2}, 7: {4, 5, 8}}
+
+
 def test_tree_root_causes(spark):
     n = spark.createDataFrame([("p", None, "p", 0, "fail"), ("c1", "p", "x_cksum", 1, "fail"), ("c2", "p", "y", 1, "pass"), ("q", None, "q_shape", 0, "fail"), ("d", "q", "z", 1, "pass")],
                               "node string, parent string, name string, level int, status string")
