@@ -1,8 +1,8 @@
 """Log, source-text and table-text sources.
 
-Line order inside a file is carried by ``line_no`` from ``posexplode`` of the file's text or
-from the caller; stateful parsing runs over two-level ordered scans, so a single huge log is not
-one task. Files that are too large for one row are read line-wise with ``spark.read.text``.
+Line order inside a file is carried by ``line_no``: from ``posexplode`` of the file's text
+(``read_lines``), from byte ranges for files of any size (``read_large_lines``), or from the caller.
+Stateful parsing runs over two-level ordered scans, so a single huge log is not one task.
 """
 
 from __future__ import annotations
@@ -25,6 +25,20 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return split_lines(t, ["file"], "text")
 
 
+def read_large_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of text files of any size.
+
+    Files are split by byte ranges. A line's place is its range start and its sequence inside the
+    range, so numbering runs per range and only the range sizes are summed up in order.
+    """
+    seq = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"),
+                                     F.col("_metadata.file_block_start").alias("__block"), seq.alias("__seq"),
+                                     F.col("value").alias("line"))
+    o = ordered.Order(("file",), "__block", ("__seq",), 1)
+    return ordered.with_ordinal(t, o, "line_no").select("file", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
 def split_lines(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """One row per line, numbered from 1."""
     return df.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("__pos", "line")).select(

@@ -115,3 +115,20 @@ def test_exact_quantile(spark, kind, grid, bins, small):
     assert len(one) == 1
     if kind != "special":
         assert math.isclose(one[0].m, statistics.median(by["hot"]), rel_tol=1e-12)
+
+
+def test_hot_group_is_spread_over_tasks(spark):
+    """All rows in one group still occupy many tasks."""
+    df = spark.range(40_000).select(F.lit("hot").alias("g"), F.col("id"), F.col("id").cast("double").alias("v"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        for d in (ordered.with_previous(df, "v", Order(("g",), "id", (), 500), "p"),
+                  ordered.trailing(df, Order(("g",), "id", (), 500), 20, {"m": F.max("v")}, chunk=500)):
+            d = d.withColumn("t", F.spark_partition_id())  # every column stays in use, so nothing is pruned away
+            sizes = [r.n for r in d.groupBy("t").agg(F.count(F.lit(1)).alias("n"), *[F.max(c) for c in d.columns]).collect()]
+            assert len(sizes) > 8 and max(sizes) < 40_000 / 4
+    finally:
+        for k, x in keep.items():
+            spark.conf.set(k, x)

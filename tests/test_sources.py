@@ -66,6 +66,19 @@ def test_log_files(spark, tmp_path):
     assert len(m) == 1 and m[0].loss != m[0].loss
 
 
+def test_large_files_are_numbered_across_ranges(spark, tmp_path):
+    for name, n in (("a.log", 3000), ("b.log", 7)):
+        (tmp_path / name).write_text("".join(f"line {i}\n" for i in range(1, n + 1)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        d = textlogs.read_large_lines(spark, str(tmp_path / "*.log")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(d) == 3007
+    assert all(r.line == f"line {r.line_no}" for r in d)
+
+
 def test_markdown_and_hits(spark):
     d = spark.createDataFrame([("d", 1, "| a | ✓ (1/316) |"), ("d", 2, "|---|---|"), ("d", 3, "text TODO x")], "doc string, line_no long, line string")
     t = textlogs.markdown_table(d)
