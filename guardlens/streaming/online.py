@@ -262,10 +262,14 @@ def _null_safe_anti(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFram
     return a.join(r, cond, "left_anti")
 
 
-def run_batches(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Drive a handler over all available data, one micro-batch after the other."""
+def run_batches(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str) -> list[int]:
+    """Drive a handler over all available data, one micro-batch after the other.
+
+    Returns the wall time of the recent batches in milliseconds.
+    """
     q = stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    return [p["durationMs"]["triggerExecution"] for p in q.recentProgress if p["numInputRows"] > 0]
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
