@@ -88,8 +88,11 @@ def replica_equality_multi(df: DataFrame, entity: Sequence[str], replica: str, v
                            guard: Column | None = None) -> DataFrame:
     """Several value columns at once with a typed inconsistency label and the replica list."""
     d = df if guard is None else df.where(guard)
-    g = d.groupBy(*entity).agg(*masks(replica, degree), F.count(F.lit(1)).alias("n_rows"),
-                               *[F.count_distinct(v).alias(f"n_{v}") for v in values])
+    words = [f"__m{w}" for w in range((degree + BITS - 1) // BITS)]
+    # replicas that agree collapse to one row before the distinct counts expand anything
+    pre = d.groupBy(*entity, *values).agg(*masks(replica, degree), F.count(F.lit(1)).alias("__c"))
+    g = pre.groupBy(*entity).agg(*[F.bit_or(w).alias(w) for w in words], F.sum("__c").alias("n_rows"),
+                                 *[F.count_distinct(v).alias(f"n_{v}") for v in values])
     g = g.withColumn("n_replicas", mask_size(degree).cast("long"))
     every = F.lit(True)
     for v in values:
@@ -117,8 +120,10 @@ def attribute_consistency(df: DataFrame, entity: Sequence[str], attributes: Sequ
     """One row per (entity, attribute) whose replicas disagree on that attribute."""
     d = df if guard is None else df.where(guard)
     pairs = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("__v")) for a in attributes])
-    long = d.select(*entity, F.inline(pairs)).where(F.col("__v").isNotNull())
-    return (long.groupBy(*entity, "attribute", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    # replicas that agree on all attributes collapse to one row before the attributes are spread
+    pre = d.groupBy(*entity, *attributes).agg(F.count(F.lit(1)).alias("__n"))
+    long = pre.select(*entity, "__n", F.inline(pairs)).where(F.col("__v").isNotNull())
+    return (long.groupBy(*entity, "attribute", "__v").agg(F.sum("__n").alias("__c"))
             .groupBy(*entity, "attribute").agg(F.count(F.lit(1)).alias("n_values"), F.sum("__c").alias("n_rows"))
             .where(F.col("n_values") > 1))
 
