@@ -2,24 +2,59 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from guardlens.llm import decontaminate, mixing, quality
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, as ``--py-files`` would: their Python need not have it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="guardlens-code-")) / "guardlens.zip"  # read by the driver only
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
 def op7_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from guardlens.llm import quality
-
     return quality.judged(_read(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return decontaminate.digests(found, "doc_id")
+
+
+def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_winnowing_decontamination": op5_winnowing_decontamination,
     "op7_line_first_quality": op7_line_first_quality,
+    "op10_hash_threshold_mix": op10_hash_threshold_mix,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_winnowing_decontamination": decontaminate.SQL,
+    "op10_hash_threshold_mix": mixing.SQL,
+}
