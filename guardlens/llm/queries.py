@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardlens.llm import decontaminate, mixing, quality
+from guardlens.llm import decontaminate, mixing, quality, token_ids
 
 
 _SHIPPED: set[str] = set()
@@ -39,6 +39,22 @@ def op7_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_read(spark, sf_dir, "documents")).drop("clean_text")
 
 
+#: folder of the tokenizer files, unless the installed package of public tokenizers has them
+TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer_file(name: str) -> str:
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
+
+
+def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.round_trip(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return decontaminate.digests(found, "doc_id")
@@ -49,6 +65,7 @@ def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_id_files": op4_token_id_files,
     "op5_winnowing_decontamination": op5_winnowing_decontamination,
     "op7_line_first_quality": op7_line_first_quality,
     "op10_hash_threshold_mix": op10_hash_threshold_mix,
