@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from guardlens.llm.bitmaps import bitmap, in_bitmap
 from guardlens.llm.text import BY_ALNUM, as_bytes, chunks, gram_hashes
 from guardlens.session import cut
 
@@ -79,21 +80,6 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str, window: int)
     return items.select(id_col, text_col).mapInArrow(run, f"fp long, words binary, length int, item {kind}").distinct()
 
 
-def bitmap(df: DataFrame, key: str, bits: int) -> np.ndarray:
-    """Bits set by the keys of a table, as bytes. The driver gets at most 2**bits / 64 rows, whatever the table's size."""
-    slot = F.pmod(F.col(key), F.lit(1 << bits))
-    words = (df.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, int(pmod({key}, 64)))").alias("b"))
-             .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    return out.view(np.uint8)
-
-
-def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys & np.uint64(len(bits) * 8 - 1)
-    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
-
-
 def _candidates(docs: DataFrame, bits, lengths: list[int], window: int) -> DataFrame:
     """Per row: number of words, and candidate windows as parallel arrays of fingerprint, position and words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

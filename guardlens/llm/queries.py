@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardlens.llm import decontaminate, mixing, quality, token_ids
+from guardlens.llm import decontaminate, jaccard_join, mixing, quality, token_ids
 
 
 _SHIPPED: set[str] = set()
@@ -35,6 +35,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(_read(spark, sf_dir, "documents"))
+
+
 def op7_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_read(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -67,6 +71,7 @@ def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_id_files": op4_token_id_files,
     "op5_winnowing_decontamination": op5_winnowing_decontamination,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_line_first_quality": op7_line_first_quality,
     "op10_hash_threshold_mix": op10_hash_threshold_mix,
 }
