@@ -43,15 +43,9 @@ def op7_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_read(spark, sf_dir, "documents")).drop("clean_text")
 
 
-#: folder of the tokenizer files, unless the installed package of public tokenizers has them
-TOKENIZERS = "/opt/tokenizers"
-
-
 def tokenizer_file(name: str) -> str:
-    try:
-        import public_tokenizers
-    except ImportError:
-        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
     return public_tokenizers.path(name)
 
 
@@ -68,12 +62,19 @@ def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # beside the entry module; it imports this one
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_id_files": op4_token_id_files,
     "op5_winnowing_decontamination": op5_winnowing_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_line_first_quality": op7_line_first_quality,
     "op10_hash_threshold_mix": op10_hash_threshold_mix,
+    "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {
