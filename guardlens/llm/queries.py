@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardlens.llm import decontaminate, jaccard_join, mixing, quality, token_ids
+from guardlens.llm import decontaminate, jaccard_join, mixing, quality, token_ids, url_filter, wordpiece
 
 
 _SHIPPED: set[str] = set()
@@ -49,6 +49,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.round_trip(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -58,6 +62,10 @@ def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digests(found, "doc_id")
 
 
+def op8_url_segment_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(_read(spark, sf_dir, "pages"))
+
+
 def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents"))
 
@@ -69,10 +77,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_wordpiece_counts": op3_wordpiece_counts,
     "op4_token_id_files": op4_token_id_files,
     "op5_winnowing_decontamination": op5_winnowing_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_line_first_quality": op7_line_first_quality,
+    "op8_url_segment_filter": op8_url_segment_filter,
     "op10_hash_threshold_mix": op10_hash_threshold_mix,
     "pipeline": pipeline,
 }
