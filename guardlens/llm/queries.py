@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardlens.llm import decontaminate, jaccard_join, mixing, quality, token_ids, url_filter, wordpiece
+from guardlens.llm import decontaminate, hpyp, jaccard_join, mixing, quality, token_ids, url_filter, wordpiece
 
 
 _SHIPPED: set[str] = set()
@@ -49,6 +49,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpyp.scores(_read(spark, sf_dir, "documents"))
+
+
 def op3_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -77,6 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pitman_yor_scores": op1_pitman_yor_scores,
     "op3_wordpiece_counts": op3_wordpiece_counts,
     "op4_token_id_files": op4_token_id_files,
     "op5_winnowing_decontamination": op5_winnowing_decontamination,
