@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardlens.llm import decontaminate, hpyp, jaccard_join, mixing, quality, token_ids, url_filter, wordpiece
+from guardlens.llm import chat_roles, decontaminate, hpyp, jaccard_join, license_scan, mixing, quality, token_ids, url_filter, wordpiece
 
 
 _SHIPPED: set[str] = set()
@@ -53,6 +53,10 @@ def op1_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpyp.scores(_read(spark, sf_dir, "documents"))
 
 
+def op2_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def op3_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -70,6 +74,10 @@ def op8_url_segment_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(_read(spark, sf_dir, "pages"))
 
 
+def op9_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_roles.recover(_read(spark, sf_dir, "conversations"))
+
+
 def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents"))
 
@@ -82,12 +90,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pitman_yor_scores": op1_pitman_yor_scores,
+    "op2_license_alignment": op2_license_alignment,
     "op3_wordpiece_counts": op3_wordpiece_counts,
     "op4_token_id_files": op4_token_id_files,
     "op5_winnowing_decontamination": op5_winnowing_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_line_first_quality": op7_line_first_quality,
     "op8_url_segment_filter": op8_url_segment_filter,
+    "op9_chat_roles": op9_chat_roles,
     "op10_hash_threshold_mix": op10_hash_threshold_mix,
     "pipeline": pipeline,
 }
