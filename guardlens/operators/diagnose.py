@@ -13,17 +13,16 @@ from guardlens.functions import ordered
 from guardlens.operators.relational import majority_minority
 from guardlens.session import cut
 
-EVENT_KEY = ("run", "event_id")
+EVENT_KEY = ("run", "rank", "event_id")  # every rank numbers its own events
 
 
 def expand(violations: DataFrame, trace: DataFrame, fields: Sequence[str] = (
         "module_name", "module_class", "module_id", "callsite")) -> DataFrame:
     """Each violation with the envelope and the locating fields of its source event."""
     p = F.from_json("payload", sc.payload_schema(fields))
-    src = trace.select("run", "event_id", "hookpoint", F.col("rank").alias("suspect_rank"),
-                       F.col("step").alias("suspect_step"), p.alias("p"))
-    j = violations.select("check_id", "run", "event_id", "entity", "issue", "observed").join(src, list(EVENT_KEY))
-    return j.select("check_id", "run", "event_id", "hookpoint", "suspect_step", "suspect_rank", "entity", "issue",
+    src = trace.select(*EVENT_KEY, "hookpoint", F.col("step").alias("suspect_step"), p.alias("p"))
+    j = violations.select("check_id", *EVENT_KEY, "entity", "issue", "observed").join(src, list(EVENT_KEY))
+    return j.select("check_id", "run", "event_id", "hookpoint", "suspect_step", F.col("rank").alias("suspect_rank"), "entity", "issue",
                     "observed", *[F.col("p").getField(f).alias(f) for f in fields])
 
 
@@ -68,11 +67,11 @@ def bug_evidence(violations: DataFrame, trace: DataFrame) -> DataFrame:
     """Check-specific evidence as JSON; checks without a projection get NULL."""
     fields = sorted({f for fs in EVIDENCE_FIELDS.values() for f in fs})
     p = F.col("p")
-    src = trace.select("run", "event_id", F.from_json("payload", sc.payload_schema(fields)).alias("p"))
+    src = trace.select(*EVENT_KEY, F.from_json("payload", sc.payload_schema(fields)).alias("p"))
     out = F.lit(None).cast("string")
     for cid in EVIDENCE_FIELDS:
         out = F.when(F.col("check_id") == cid, _evidence(cid, p)).otherwise(out)
-    return violations.join(src, list(EVENT_KEY)).select("check_id", "run", "event_id", out.alias("evidence"))
+    return violations.join(src, list(EVENT_KEY)).select("check_id", *EVENT_KEY, out.alias("evidence"))
 
 
 def outlier_in_list(values: Column) -> Column:
@@ -93,8 +92,10 @@ def context_slice(violations: DataFrame, trace: DataFrame, by: Sequence[str], be
                   span: int = 1 << 20) -> DataFrame:
     """Up to ``before``/``after`` neighbouring events with the same key, in event order.
 
-    ``by`` is the key that makes events comparable, e.g. (run, module_id) or (run, hookpoint).
+    ``by`` is the key that makes events comparable, e.g. (run, module_id) or (run, hookpoint). The rank is always part
+    of it: ids of different ranks have no order.
     """
+    by = list(dict.fromkeys([*by, "rank"]))
     o = ordered.Order(tuple(by), "event_id", (), span)
     marks = violations.select(*by, "event_id", F.col("event_id").alias("violation_id"), "check_id")
     return ordered.neighbours(trace, o, before, after, marks, ["check_id", "violation_id"])
@@ -109,13 +110,13 @@ def context_events(violations: DataFrame, trace: DataFrame, before: int = 6, aft
     """
     module = F.from_json("payload", sc.payload_schema(["module_id"])).getField("module_id")
     by_hook, by_module = F.concat(F.lit("h:"), "hookpoint"), F.concat(F.lit("m:"), F.col("__mid").cast("string"))
-    t = trace.select("run", "event_id", "step", "rank", "hookpoint", module.alias("__mid"))
-    marks = violations.select("check_id", "run", "event_id").join(t, list(EVENT_KEY)).select(
-        "check_id", "run", "event_id", F.coalesce(by_module, by_hook).alias("key"))
+    t = trace.select(*EVENT_KEY, "step", "hookpoint", module.alias("__mid"))
+    marks = violations.select("check_id", *EVENT_KEY).join(t, list(EVENT_KEY)).select(
+        "check_id", *EVENT_KEY, F.coalesce(by_module, by_hook).alias("key"))
     marks = cut(marks, "marks")
-    keyed = t.select("run", "event_id", "step", "rank", "hookpoint",
+    keyed = t.select(*EVENT_KEY, "step", "hookpoint",
                      F.explode(F.array_compact(F.array(by_hook, by_module))).alias("key"))
-    keyed = keyed.join(marks.select("run", "key").distinct(), ["run", "key"], "left_semi")
+    keyed = keyed.join(marks.select("run", "rank", "key").distinct(), ["run", "rank", "key"], "left_semi")
     return context_slice(marks, keyed, ("run", "key"), before, after, span)
 
 
@@ -203,19 +204,24 @@ def parent_status(children: DataFrame, parent: str = "parent", status: str = "st
         .otherwise("pass").alias(status))
 
 
-def with_ancestors(edges: DataFrame, depth: int = 8) -> DataFrame:
-    """(node, ancestor, distance) pairs for trees up to ``depth`` levels by repeated joins.
+def with_ancestors(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, ancestor, distance) pairs by repeated joins, up to the roots or to ``depth`` levels.
 
-    Edges: node, parent. Each round joins the frontier with the edge table; rounds that add
-    nothing join empty inputs, which the runtime planner prunes.
+    Edges: node, parent. Each round joins the frontier with the edge table and stores it; the rounds end when a
+    frontier is empty. A node that is its own ancestor is an error.
     """
     e = edges.where(F.col("parent").isNotNull()).select("node", "parent")
     step = e.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
     frontier = e.select("node", F.col("parent").alias("ancestor")).withColumn("distance", F.lit(1))
-    out = frontier
-    for d in range(2, depth + 1):
-        frontier = (frontier.select("node", F.col("ancestor").alias("parent")).join(step, "parent")
-                    .select("node", F.col("up").alias("ancestor"), F.lit(d).alias("distance")))
+    out, d = frontier, 1
+    while depth is None or d < depth:
+        d += 1
+        frontier = cut(frontier.select("node", F.col("ancestor").alias("parent")).join(step, "parent")
+                       .select("node", F.col("up").alias("ancestor"), F.lit(d).alias("distance")), "ancestors")
+        if frontier.isEmpty():
+            break
+        if not frontier.where(F.col("node") == F.col("ancestor")).isEmpty():
+            raise ValueError("the edges have a cycle")
         out = out.unionByName(frontier)
     return out
 
@@ -226,7 +232,7 @@ def severity(name: Column, path_length: Column) -> Column:
             .when(path_length > 2, "medium").otherwise("low"))
 
 
-def root_causes(nodes: DataFrame, depth: int = 2) -> DataFrame:
+def root_causes(nodes: DataFrame, depth: int | None = None) -> DataFrame:
     """Failed leaves, and failed inner nodes none of whose children failed.
 
     nodes: node, parent, name, level, status. Adds the failed path length, whether every child

@@ -356,11 +356,12 @@ def yield_by_arm(results: DataFrame, arm: str, repetition: str, survivors: Colum
 
 
 def line_counts(lines: DataFrame, file: str, line: str, claims: DataFrame | None = None, factor: float = 1.5) -> DataFrame:
-    """Total and code lines per file; with claims, whether the count is inside the factor band."""
+    """Total and code lines per file; with claims, whether either count is inside the factor band."""
     t = F.trim(line)
     g = lines.groupBy(file).agg(F.count(F.lit(1)).alias("total_lines"),
                                 F.count_if((t != "") & ~t.startswith("#")).alias("code_lines"))
     if claims is None:
         return g
-    r = F.col("code_lines") / F.nullif(F.col("claimed"), F.lit(0))
-    return g.join(claims, file).withColumn("in_band", r.between(1 / factor, factor))
+    claimed = F.nullif(F.col("claimed"), F.lit(0))
+    near = [(F.col(c) / claimed).between(1 / factor, factor) for c in ("total_lines", "code_lines")]
+    return g.join(claims, file).withColumn("in_band", near[0] | near[1])

@@ -20,7 +20,6 @@ from guardlens.functions.sqlfuncs import JsonLeaves
 from guardlens.operators.spec import OPS, with_run
 from guardlens.session import cut
 
-MAX_PER_HYPOTHESIS = 50
 NON_STANDARD = r"(?<=[:,\[]\s{0,2})-?(NaN|Infinity)(?=\s*[,}\]])"
 
 # Fields whose constraints are kept without further evidence.
@@ -105,8 +104,12 @@ RELATIONS = ("monotonic", "positive", "stat_positive", "nonzero", "all_equal")
 
 
 def parametric_candidates(profile: DataFrame, relations: Sequence[str] = RELATIONS,
-                          cap: int = MAX_PER_HYPOTHESIS) -> DataFrame:
-    """Candidates for every (hookpoint, field) of the profile; list elements are skipped."""
+                          cap: int | None = None) -> DataFrame:
+    """Candidates for every (hookpoint, field) of the profile; list elements are skipped.
+
+    All are returned, unless the caller caps them per (relation, hookpoint); ``n_dropped`` then says how many
+    candidates of the group are left out.
+    """
     name = F.regexp_replace("path", r"^\$\.", "")
     number = F.col("type") == "number"
     stat = number & F.col("path").rlike(r"l2_norm|\.max|\.min|_norm")
@@ -122,8 +125,12 @@ def parametric_candidates(profile: DataFrame, relations: Sequence[str] = RELATIO
             F.lit(value).cast("string").alias("value"), F.lit(False).alias("value_is_field"))))
     c = (profile.where(~F.col("path").contains("[*]"))
          .select(F.inline(F.filter(F.array(*items), lambda x: x.isNotNull()))))
-    w = Window.partitionBy("relation", "hookpoint").orderBy("candidate_id")
-    return (c.dropDuplicates(["candidate_id"]).withColumn("__rn", F.row_number().over(w))
+    c = c.dropDuplicates(["candidate_id"])
+    if cap is None:
+        return c
+    group = Window.partitionBy("relation", "hookpoint")
+    return (c.withColumn("__rn", F.row_number().over(group.orderBy("candidate_id")))
+            .withColumn("n_dropped", F.greatest(F.count(F.lit(1)).over(group) - cap, F.lit(0)))
             .where(F.col("__rn") <= cap).drop("__rn"))
 
 
@@ -260,8 +267,8 @@ def accept_gate(candidates: DataFrame, min_counterexamples: int = 2, min_confide
     """
     reason = (F.when(~F.col("has_schema"), "schema predicate missing").when(~F.col("has_topo"), "topology guard missing")
               .when(~F.col("has_precond"), "precondition missing").when(F.col("template_id").isNull(), "no template")
-              .when(F.col("n_counterexamples") < min_counterexamples, "too few counterexamples")
               .when(F.col("n_holding") > 0, "counterexample holds")
+              .when(F.col("n_counterexamples") < min_counterexamples, "too few counterexamples")
               .when(F.col("confidence") < min_confidence, "low confidence")
               .when(F.col("probe_rows").isNull(), "probe not run").when(F.col("probe_rows") > 0, "probe fired"))
     return candidates.withColumn("reject_reason", reason).withColumn("accepted", reason.isNull())

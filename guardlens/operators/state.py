@@ -20,6 +20,12 @@ from guardlens.functions import exprs as X
 BITS = 62
 
 
+def degree_of(df: DataFrame, replica: str, degree: int | None = None) -> int:
+    """Number of replicas that masks must hold: the largest number in the data counts, also beyond ``degree``."""
+    top = df.agg(F.max(F.col(replica).cast("long"))).first()[0]
+    return max(degree or 1, (top if top is not None else -1) + 1)
+
+
 def masks(replica: str, degree: int) -> list[Column]:
     """Aggregates giving the set of replica numbers in [0, degree) as bit words."""
     out = []
@@ -84,10 +90,11 @@ def replica_difference(df: DataFrame, entity: Sequence[str], value: str, replica
     return g.where((F.col("n_values") == 1) & (F.col("min_replica") < F.col("max_replica")))
 
 
-def replica_equality_multi(df: DataFrame, entity: Sequence[str], replica: str, values: Sequence[str], degree: int,
+def replica_equality_multi(df: DataFrame, entity: Sequence[str], replica: str, values: Sequence[str], degree: int | None = None,
                            guard: Column | None = None) -> DataFrame:
     """Several value columns at once with a typed inconsistency label and the replica list."""
     d = df if guard is None else df.where(guard)
+    degree = degree_of(d, replica, degree)
     words = [f"__m{w}" for w in range((degree + BITS - 1) // BITS)]
     # replicas that agree collapse to one row before the distinct counts expand anything
     pre = d.groupBy(*entity, *values).agg(*masks(replica, degree), F.count(F.lit(1)).alias("__c"))

@@ -30,10 +30,10 @@ def l02(v):
 
 
 @query("l03_context_slice", """
-WITH t AS (SELECT event_id, run, hookpoint, row_number() OVER (PARTITION BY run, hookpoint ORDER BY event_id) AS n FROM v_trace), b AS (SELECT t.* FROM t JOIN events e ON t.event_id = e.event_id WHERE e.value > 150)
-SELECT b.event_id AS violation_id, t.event_id, CAST(t.n - b.n AS INTEGER) AS "offset" FROM b JOIN t ON b.run = t.run AND b.hookpoint = t.hookpoint AND t.n BETWEEN b.n - 6 AND b.n + 6 AND t.n <> b.n""")
+WITH t AS (SELECT event_id, run, rank, hookpoint, row_number() OVER (PARTITION BY run, rank, hookpoint ORDER BY event_id) AS n FROM v_trace), b AS (SELECT t.* FROM t JOIN events e ON t.event_id = e.event_id WHERE e.value > 150)
+SELECT b.event_id AS violation_id, t.event_id, CAST(t.n - b.n AS INTEGER) AS "offset" FROM b JOIN t ON b.run = t.run AND b.rank = t.rank AND b.hookpoint = t.hookpoint AND t.n BETWEEN b.n - 6 AND b.n + 6 AND t.n <> b.n""")
 def l03(v):
-    bad = v.trace.where(F.col("value") > 150).select("run", "hookpoint", "event_id", F.lit("big").alias("check_id"))
+    bad = v.trace.where(F.col("value") > 150).select("run", "rank", "hookpoint", "event_id", F.lit("big").alias("check_id"))
     return L.context_slice(bad, v.trace, ["run", "hookpoint"], span=1000).select("violation_id", "event_id", "offset")
 
 

@@ -295,7 +295,7 @@ def m26_distinct(v):
 
 @query("m27_line_counts", """
 WITH g AS (SELECT doc_id, count(*) AS total_lines, count(*) FILTER (WHERE trim(line, ' ') <> '' AND NOT starts_with(trim(line, ' '), '#')) AS code_lines FROM v_doc_lines GROUP BY 1)
-SELECT g.doc_id, total_lines, code_lines, n_chars // 400 AS claimed, CASE WHEN n_chars // 400 > 0 THEN code_lines * 1.0::DOUBLE / (n_chars // 400) BETWEEN 1 / 1.5 AND 1.5 END AS in_band FROM g JOIN documents d ON g.doc_id = d.doc_id""")
+SELECT g.doc_id, total_lines, code_lines, n_chars // 400 AS claimed, CASE WHEN n_chars // 400 > 0 THEN (code_lines * 1.0::DOUBLE / (n_chars // 400) BETWEEN 1 / 1.5 AND 1.5 OR total_lines * 1.0::DOUBLE / (n_chars // 400) BETWEEN 1 / 1.5 AND 1.5) END AS in_band FROM g JOIN documents d ON g.doc_id = d.doc_id""")
 def m27(v):
     claims = v.documents.select("doc_id", F.expr("n_chars div 400").alias("claimed"))
     return M.line_counts(v.doc_lines, "doc_id", F.col("line"), claims, 1.5)

@@ -115,7 +115,7 @@ def j09(v):
 
 @query("j10_accept_gate", """
 SELECT p_partkey, CASE WHEN p_size < 3 THEN 'schema predicate missing' WHEN p_type = 'PROMO' THEN 'topology guard missing' WHEN p_type = 'SMALL' THEN 'precondition missing' WHEN p_brand = 'Brand#1' THEN 'no template'
-  WHEN p_size % 5 < 2 THEN 'too few counterexamples' WHEN p_partkey % 11 = 0 THEN 'counterexample holds' WHEN p_retailprice / 1000 < 0.92 THEN 'low confidence'
+  WHEN p_partkey % 11 = 0 THEN 'counterexample holds' WHEN p_size % 5 < 2 THEN 'too few counterexamples' WHEN p_retailprice / 1000 < 0.92 THEN 'low confidence'
   WHEN p_size > 48 THEN 'probe not run' WHEN p_size % 7 > 0 AND p_size > 40 THEN 'probe fired' END AS reject_reason FROM part""")
 def j10(v):
     s, k = F.col("p_size"), F.col("p_partkey")

@@ -451,10 +451,10 @@ def e35_freq(v):
 WITH m AS (SELECT run, step, rank, min(value) AS x FROM v_trace GROUP BY 1, 2, 3)
 SELECT a.run, a.step, a.rank, a.x AS value, b.x AS rank0 FROM m a JOIN m b ON a.run = b.run AND a.step = b.step AND b.rank = 0 WHERE a.rank > 0 AND abs(a.x - b.x) > 1e-9""")
 def e35_metric(v):
-    m = v.trace.groupBy("run", "step").agg(*[F.min(F.when(F.col("rank") == r, F.col("value"))).alias(f"r{r}") for r in range(4)])
-    rows = F.filter(F.array(*[F.struct(F.lit(r).cast("long").alias("rank"), F.col(f"r{r}").alias("value")) for r in range(1, 4)]),
-                    lambda x: F.abs(x.value - F.col("r0")) > 1e-9)
-    return m.select("run", "step", F.inline(rows), F.col("r0").alias("rank0"))
+    m = v.trace.groupBy("run", "step", "rank").agg(F.min("value").alias("value"))
+    first = m.where(F.col("rank") == 0).select("run", "step", F.col("value").alias("rank0"))
+    return (m.where(F.col("rank") > 0).join(first, ["run", "step"]).where(F.abs(F.col("value") - F.col("rank0")) > 1e-9)
+            .select("run", "step", "rank", "value", "rank0"))
 
 
 @query("e35_round_trip_drift", """

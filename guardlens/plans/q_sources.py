@@ -169,8 +169,9 @@ SELECT name, hash, n, CAST(variant_no AS INTEGER) AS variant_no FROM t WHERE var
 def a12(v):
     sp = F.when(F.col("value") > 50, F.lit("  ")).otherwise(F.lit(" "))
     sql = F.concat(F.lit("SELECT"), sp, (F.col("user_id") % 20).cast("string"), F.lit(" FROM"), sp, F.lit("t"))
-    text = F.concat(F.lit("reply: "), F.to_json(F.struct(F.col("event_type").alias("name"), sql.alias("sql"))), F.lit(" end {broken"))
-    return textlogs.embedded_records(v.events.select(text.alias("text")), "text", "name", "sql").drop("value")
+    record = F.struct(F.col("event_type").alias("name"), sql.alias("sql"), F.struct(F.lit("} {").alias("note")).alias("extra"))
+    text = F.concat(F.lit("reply {: "), F.to_json(record), F.lit(" end {broken"))
+    return textlogs.embedded_records(v.events.select(text.alias("text")), "text", "name", "sql", top=3).drop("value")
 
 
 RECIPES = {"number": r"\d{5,}", "mail": r"[\w.]+@[\w.]+", "benchmark_word": r"\bthe\b"}
@@ -179,18 +180,18 @@ RECIPES = {"number": r"\d{5,}", "mail": r"[\w.]+@[\w.]+", "benchmark_word": r"\b
 @query("a13_pattern_hits_top", """
 WITH h AS (SELECT r.recipe, doc_id, line_no, substr(trim(line, ' '), 1, 160) AS snippet FROM v_doc_lines,
     (VALUES ('number', '[0-9]{5,}'), ('mail', '[0-9A-Za-z_.]+@[0-9A-Za-z_.]+'), ('benchmark_word', '(^|[^0-9A-Za-z_])the([^0-9A-Za-z_]|$)')) r(recipe, pat)
-    WHERE regexp_matches(line, r.pat)),
+    WHERE regexp_matches(line, r.pat, 'i')),
 t AS (SELECT *, row_number() OVER (PARTITION BY recipe ORDER BY doc_id, line_no) AS rn FROM h)
 SELECT recipe, doc_id, line_no, snippet FROM t WHERE rn <= 50""")
 def a13(v):
-    return textlogs.pattern_hits(v.doc_lines, RECIPES, "doc_id", max_hits=50)
+    return textlogs.pattern_hits(v.doc_lines, RECIPES, "doc_id", max_hits=50, snippet=160)
 
 
 @query("a13_pattern_hit_counts", """
 SELECT recipe, count(*) AS n_hits, count(DISTINCT doc_id) AS n_docs FROM (
  SELECT r.recipe, doc_id FROM v_doc_lines,
     (VALUES ('number', '[0-9]{5,}'), ('mail', '[0-9A-Za-z_.]+@[0-9A-Za-z_.]+'), ('benchmark_word', '(^|[^0-9A-Za-z_])the([^0-9A-Za-z_]|$)')) r(recipe, pat)
-    WHERE regexp_matches(line, r.pat)) GROUP BY recipe""")
+    WHERE regexp_matches(line, r.pat, 'i')) GROUP BY recipe""")
 def a13_counts(v):
     return textlogs.pattern_hits(v.doc_lines, RECIPES, "doc_id").groupBy("recipe").agg(
         F.count(F.lit(1)).alias("n_hits"), F.count_distinct("doc_id").alias("n_docs"))

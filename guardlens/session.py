@@ -6,6 +6,7 @@ master, shuffle partitions and checkpoint folder and these are kept.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -44,11 +45,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
     """New folder for intermediate tables and stream state.
 
     Lives under the shared folder the cluster names in ``spark.checkpoint.dir``; only where that
-    is unset (tests, one machine) a local temporary folder takes its place.
+    is unset and all runs on one machine (tests) a local temporary folder takes its place.
     """
     global _fallback_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if _fallback_root is None:
             _fallback_root = tempfile.mkdtemp(prefix="guardlens-")
         root = _fallback_root

@@ -7,10 +7,13 @@ Stateful parsing runs over two-level ordered scans, so a single huge log is not
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from guardlens.functions import exprs as X
 from guardlens.functions import ordered
@@ -90,26 +93,57 @@ def sectioned_verdicts(lines: DataFrame, keys: Sequence[str], order: str, line:
                                               F.count(F.lit(1)).alias("n_verdict_lines"))
 
 
+_BRACES = re.compile(r"\\.|[{}\"]", re.S)
+
+
+def _objects(texts: pd.Series) -> pd.Series:
+    """Outermost balanced {...} of each text; braces inside JSON strings do not count, a brace never closed is skipped."""
+    def one(text: str | None) -> list[str]:
+        out: list[tuple[int, int]] = []
+        opened: list[int] = []
+        quoted = False
+        for m in _BRACES.finditer(text or ""):
+            c = m[0]
+            if c == '"':
+                quoted = bool(opened) and not quoted
+            elif quoted or len(c) > 1:
+                continue
+            elif c == "{":
+                opened.append(m.start())
+            elif opened:
+                start = opened.pop()
+                while out and out[-1][0] > start:
+                    out.pop()
+                out.append((start, m.end()))
+        return [text[a:b] for a, b in out]
+    return texts.map(one)
+
+
 def embedded_records(texts: DataFrame, text: str, name_path: str, value_path: str,
-                     pattern: str = r"\{[^{}]*\}", top: int = 3) -> DataFrame:
-    """JSON objects found in text: variants per name by normalised hash, most frequent first."""
-    obj = texts.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("obj"))
+                     top: int | None = None) -> DataFrame:
+    """JSON objects found in text: variants per name by normalised hash, most frequent first.
+
+    Objects may hold others and braces inside strings; the outermost ones count. ``top`` keeps the first variants of a name.
+    """
+    objects = F.pandas_udf(_objects, T.ArrayType(T.StringType()))
+    obj = texts.where(F.col(text).contains("{")).select(F.explode(objects(F.col(text))).alias("obj"))
     r = obj.select(X.json_value("obj", name_path).alias("name"), X.json_value("obj", value_path).alias("value")).where(
         F.col("name").isNotNull() & F.col("value").isNotNull())
     h = X.content_hash(X.normalised_text("value"))
     v = r.groupBy("name", h.alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("value"))
-    return top_k(v, ["name"], top, F.desc("n"), "hash", out="variant_no")
+    return top_k(v, ["name"], top or (1 << 31) - 1, F.desc("n"), "hash", out="variant_no")
 
 
 def pattern_hits(lines: DataFrame, recipes: Mapping[str, str], path: str, max_hits: int | None = None,
-                 snippet: int = 160) -> DataFrame:
-    """Lines matching named patterns: (recipe, path, line_no, snippet), optionally first n per recipe.
+                 snippet: int | None = None) -> DataFrame:
+    """Lines matching named patterns, whatever their case: (recipe, path, line_no, snippet), optionally first n per recipe.
 
-    All recipes are tested in one pass over the lines.
+    The snippet is the trimmed line, cut only if a length is given. All recipes are tested in one pass over the lines.
     """
     l = F.col("line")  # noqa: E741
-    found = F.filter(F.array(*[F.when(l.rlike(p), F.lit(n)) for n, p in recipes.items()]), lambda x: x.isNotNull())
-    d = lines.select(F.explode(found).alias("recipe"), path, "line_no", F.substring(F.trim(l), 1, snippet).alias("snippet"))
+    found = F.filter(F.array(*[F.when(l.rlike(f"(?i){p}"), F.lit(n)) for n, p in recipes.items()]), lambda x: x.isNotNull())
+    d = lines.select(F.explode(found).alias("recipe"), path, "line_no",
+                     (F.trim(l) if snippet is None else F.substring(F.trim(l), 1, snippet)).alias("snippet"))
     return d if max_hits is None else top_k(d, ["recipe"], max_hits, path, "line_no")
 
 

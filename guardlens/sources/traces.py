@@ -45,9 +45,16 @@ def union_runs(traces: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def union_ranks_with_offset(traces: Sequence[DataFrame], key: str = "event_id", offset: int = KEY_OFFSET) -> DataFrame:
-    """UNION ALL of per-rank traces; rank i keeps unique ids by adding i * offset."""
-    return reduce(DataFrame.unionByName, [
-        d.withColumn(key, F.lit(i).cast("long") * F.lit(offset).cast("long") + F.col(key)) for i, d in enumerate(traces)])
+    """UNION ALL of per-rank traces; rank i keeps unique ids by adding i * offset.
+
+    An id outside [0, offset) would meet another rank's ids and fails the query.
+    """
+    def shifted(i: int) -> Column:
+        ok = (F.col(key) >= 0) & (F.col(key) < offset)
+        bad = F.raise_error(F.concat(F.lit(f"{key} outside the offset {offset}: "), F.col(key).cast("string"))).cast("long")
+        return F.when(F.col(key).isNull() | ok, F.lit(i * offset).cast("long") + F.col(key)).otherwise(bad)
+
+    return reduce(DataFrame.unionByName, [d.withColumn(key, shifted(i)) for i, d in enumerate(traces)])
 
 
 def rank_columns(file_name: Column, pattern: str = RANK_FILE, axes: Sequence[str] = ("dp", "tp", "pp", "cp")) -> list[Column]:

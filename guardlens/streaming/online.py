@@ -29,8 +29,8 @@ def stream_violations(stream: DataFrame, checks: Sequence[Check], watermark: str
     rows = [c for c in checks if c.findings is not None]
     if time not in stream.columns and "ts_ns" in stream.columns:
         stream = stream.withColumn(time, F.timestamp_micros(F.floor(F.col("ts_ns") / 1000).cast("long")))
-    marked = stream.withWatermark(time, watermark).dropDuplicatesWithinWatermark(
-        ["run", "event_id"] if "run" in stream.columns else ["event_id"])
+    keys = [k for k in ("run", "rank", "event_id") if k in stream.columns]
+    marked = stream.withWatermark(time, watermark).dropDuplicatesWithinWatermark(keys)
     return row_violations(marked, rows, guards)
 
 
@@ -188,7 +188,7 @@ class OnlineRunner:
     the runs the batch touched, then compared with the snapshot of the tick before.
     """
 
-    KEYS = ["check_id", "run", "event_id", "entity", "issue"]
+    KEYS = ["check_id", "run", "rank", "event_id", "entity", "issue"]
 
     def __init__(self, spark: SparkSession, root: str, checks: Sequence[Check], guards: frozenset[str] = ALL_GUARDS,
                  sample_rates: dict[str, float] | None = None):
@@ -252,7 +252,9 @@ class OnlineRunner:
         schema = sc.T.StructType([fields[k] for k in self.KEYS])
         try:
             return self.spark.read.schema(schema).parquet(self.state.path("snapshot", batch_id))
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
 
