@@ -145,12 +145,13 @@ def hypothesis(check_id: Column, where: Column, step: Column, rank: Column, deta
 # Stage names and check targets with their keywords, most specific first.
 STAGES = ("model-before-backward", "model-after-backward", "model-before-optimizer-step", "model-after-optimizer-step",
           "main-grad-in-backward")
-TARGETS = (("optimizer_state_dict", ("optimizer_state_dict",)), ("optimizer_state", ("optimizer_state",)),
-           ("main_grad", ("main_grad", "main-grad")), ("grad", ("grad_cksum",)), ("cksum", ("cksum",)),
-           ("requires_grad", ("requires_grad",)), ("dtype", ("dtype",)), ("shape", ("shape",)),
-           ("distribution", ("distribution", "statistic")), ("bitwise", ("bitwise",)), ("parameter", ("parameter",)))
-CRITICAL = ("cksum", "checksum", "grad", "optimizer")
-HIGH = ("shape", "dtype", "requires_grad", "sync")
+TARGETS = (("optimizer_state_dict", ("optimizer_state_dict",)), ("optimizer_state", ("optimizer_state", "优化器状态")),
+           ("main_grad", ("main_grad", "主梯度", "main-grad")), ("grad", ("grad_cksum", "梯度cksum", "梯度校验")),
+           ("cksum", ("cksum", "校验和")), ("requires_grad", ("requires_grad",)), ("dtype", ("dtype", "数据类型")),
+           ("shape", ("shape", "形状")), ("distribution", ("distribution", "statistic", "分布", "统计", "均值", "方差")),
+           ("bitwise", ("bitwise", "位级")), ("parameter", ("parameter", "参数一致", "参数属性")))
+CRITICAL = ("cksum", "checksum", "梯度", "grad", "optimizer")
+HIGH = ("shape", "dtype", "requires_grad", "同步", "sync")
 ADVICE = (("cksum", "check parameter synchronisation of the stage"), ("checksum", "check parameter synchronisation of the stage"),
           ("dtype", "check mixed precision settings across ranks"), ("shape", "check model initialisation across ranks"),
           ("requires_grad", "check parameter freezing across ranks"), ("grad", "check gradient synchronisation in backward"),

@@ -86,9 +86,9 @@ def skip_flag(c: Constraint, columns: Iterable[str]) -> Column:
     """Name-based skips: tied weights, sequence parallelism and sharded optimizers."""
     name, cols = c.name.lower(), set(columns)
     skip = F.lit(False)
-    if "weight_tying" in name and "untie_embeddings" in cols:
+    if ("weight_tying" in name or "权重共享" in name) and "untie_embeddings" in cols:
         skip = skip | F.col("untie_embeddings")
-    if "sequence_parallel" in name and "sequence_parallel" in cols:
+    if ("sequence_parallel" in name or "序列并行" in name) and "sequence_parallel" in cols:
         skip = skip | ~F.col("sequence_parallel")
     if ("zero" in name or "distributed_optimizer" in name) and "distributed_optimizer" in cols:
         skip = skip | ~F.col("distributed_optimizer")

@@ -93,3 +93,12 @@ def rollup_totals(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]
 
 def rate_per_million(violations: Column, evaluations: Column) -> Column:
     return violations.cast("double") * 1e6 / F.nullif(evaluations.cast("double"), F.lit(0.0))
+
+
+def distinct_list(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Sorted list of the distinct non-NULL values of any type, and their number, per group.
+
+    Equal values collapse in each task before the list is gathered, so a hot group holds its distinct values only.
+    """
+    once = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    return once.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("members"), F.count(F.lit(1)).alias("n_members"))

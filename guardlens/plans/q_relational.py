@@ -108,12 +108,12 @@ def h11(v):
 
 
 @query("h12_completeness_grid", """
-WITH g AS (SELECT l_suppkey, unnest(range(1, 8)) AS r FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50))
-SELECT g.l_suppkey, CAST(g.r AS INTEGER) AS missing FROM g LEFT JOIN (SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50) x ON g.l_suppkey = x.l_suppkey AND g.r = x.l_linenumber WHERE x.l_suppkey IS NULL""")
+WITH g AS (SELECT l_orderkey, unnest(range(1, 8)) AS r FROM (SELECT DISTINCT l_orderkey FROM lineitem))
+SELECT g.l_orderkey, CAST(g.r AS INTEGER) AS missing FROM g LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) x ON g.l_orderkey = x.l_orderkey AND g.r = x.l_linenumber WHERE x.l_orderkey IS NULL""")
 def h12(v):
     from guardlens.operators.state import completeness
-    d = v.lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") == 50)).withColumn("slot", F.col("l_linenumber") - 1)
-    return completeness(d, ["l_suppkey"], "slot", 7).select("l_suppkey", (F.col("missing_replica") + 1).alias("missing"))
+    d = v.lineitem.withColumn("slot", F.col("l_linenumber") - 1)
+    return completeness(d, ["l_orderkey"], "slot", 7).select("l_orderkey", (F.col("missing_replica") + 1).alias("missing"))
 
 
 @query("h13_union_first_wins", """
@@ -143,6 +143,13 @@ def i02(v):
     return g.select("l_orderkey", F.array_join(mask_members(8).cast("array<string>"), ",").alias("members"), mask_size(8).cast("long").alias("n_members"))
 
 
+@query("i02_distinct_strings", """
+SELECT l_suppkey, string_agg(DISTINCT l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS members, count(DISTINCT l_returnflag || l_linestatus) AS n_members FROM lineitem GROUP BY 1""")
+def i02_strings(v):
+    d = v.lineitem.withColumn("flag", F.concat("l_returnflag", "l_linestatus"))
+    return R.distinct_list(d, ["l_suppkey"], "flag").select("l_suppkey", F.array_join("members", ",").alias("members"), "n_members")
+
+
 @query("i03_median_of_medians", """
 SELECT l_returnflag, median(m) AS med_of_med, count(*) AS n_groups FROM (SELECT l_returnflag, l_suppkey, median(l_extendedprice) AS m FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
 def i03(v):
