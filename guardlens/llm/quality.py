@@ -113,8 +113,8 @@ def repeated_words(h: np.ndarray, k: int = 3) -> int:
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules(),
            carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, carried columns, base figures, verdict, ``lost_words`` and ``clean_text``."""
-    carried = [docs.schema[c] for c in carry]
+    """One row per input row: id, base figures, verdict, ``lost_words``, ``clean_text``; carried columns as ``__c_`` + name."""
+    carried = [(f"__c_{c}", docs.schema[c].dataType.simpleString()) for c in carry]
     src = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text"), *[docs[c].alias(f"__c_{c}") for c in carry])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,10 +140,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
                 [batch.column(0), *batch.columns[2:], *[pa.array(x, pa.int64()) for x in cols[:5]],
                  pa.array(cols[5], pa.bool_()), pa.array(cols[6], pa.bool_()), pa.array(cols[7], pa.int64()),
                  pa.array(cleaned, pa.binary()).cast(pa.string())],
-                names=[id_col, *carry, *FIGURES, "clean_text"])
+                names=[id_col, *[c for c, _ in carried], *FIGURES, "clean_text"])
 
     fields = [f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}",
-              *[f"`{f.name}` {f.dataType.simpleString()}" for f in carried],
+              *[f"`{c}` {kind}" for c, kind in carried],
               "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
               "kept boolean, lost_words long, clean_text string"]
     return src.mapInArrow(run, ", ".join(fields))
@@ -155,7 +155,8 @@ FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """Rows of the kept documents with cleaned text (and ``n_chars`` brought up to date, where there is one)."""
     rest = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    j = judged(docs, id_col, text_col, rules, rest).where("kept").withColumn(text_col, F.col("clean_text"))
+    j = judged(docs, id_col, text_col, rules, rest).where("kept")
+    out = {c: F.col(f"__c_{c}") for c in rest} | {id_col: F.col(id_col), text_col: F.col("clean_text")}
     if "n_chars" in rest:
-        j = j.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return j.select(*docs.columns)
+        out["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
+    return j.select(*[out[c].alias(c) for c in docs.columns])
