@@ -19,11 +19,14 @@ from guardlens.streaming import online as K
 TRACE = T.StructType([*sc.ENVELOPE.fields, T.StructField("run", sc.S)])
 
 
+FILES = 4  # of a part; a micro-batch takes as many
+
+
 def staged(v, trace, part, name):
     """Write the parts one after the other, so that file order is batch order."""
     folder = work_folder(v.spark, name)
     for i in range(3):
-        trace.where(part == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        trace.where(part == i).repartition(FILES).write.mode("append").parquet(f"{folder}/in")
     return folder
 
 
@@ -36,14 +39,14 @@ def third(v, column="event_id"):
 def drained(v, trace, part, name, make):
     folder = staged(v, trace, part, name)
     handler = make(f"{folder}/state")
-    stream = stream_trace(v.spark, f"{folder}/in", trace.schema, max_files=1)
+    stream = stream_trace(v.spark, f"{folder}/in", trace.schema, max_files=FILES)
     K.run_batches(stream, handler, f"{folder}/checkpoint")
     return handler, folder
 
 
 def to_table(v, stream_of, trace, part, name):
     folder = staged(v, trace, part, name)
-    out = stream_of(stream_trace(v.spark, f"{folder}/in", trace.schema, max_files=1))
+    out = stream_of(stream_trace(v.spark, f"{folder}/in", trace.schema, max_files=FILES))
     K.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint")
     return v.spark.read.schema(out.schema).parquet(f"{folder}/out")
 
@@ -180,7 +183,8 @@ def k10(v):
     return K.sample_every(v.events, ["event_type"], "event_id", 0.25, span=1000).select("event_id", "event_type")
 
 
-@query("k10_sample_by_hash")
+@query("k10_sample_by_hash", """
+SELECT user_id, count(*) AS n FROM events WHERE ('0x' || substr(md5('0:' || CAST(user_id AS VARCHAR)), 1, 8))::BIGINT < 0.1 * 4294967296 GROUP BY 1""")
 def k10_hash(v):
     return K.sample_by_hash(v.events, "user_id", 0.1).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardlens import schema as sc
+from guardlens.functions import exprs as X
 from guardlens.functions import ordered
 from guardlens.operators import relational as R
 from guardlens.operators.spec import ALL_GUARDS, Check, for_hookpoints, row_violations, violations, with_run
@@ -64,11 +65,9 @@ def sample_every(df: DataFrame, keys: Sequence[str], order: str, rate: float, sp
 
 
 def sample_by_hash(df: DataFrame, key: str, rate: float) -> DataFrame:
-    """Stateless form for streams: whole keys are kept or dropped by hash."""
+    """Stateless form for streams: a key is kept whole if its hash lies in the first ``rate`` of the range."""
     rate = min(max(float(rate), 0.0), 1.0)
-    if rate == 0.0:
-        return df.where(F.lit(False))
-    return df.where(F.pmod(F.xxhash64(key), F.lit(max(int(round(1.0 / rate)), 1)).cast("long")) == 0)
+    return df.where(X.hash_order(0, key) < rate * (1 << 32))
 
 
 def replay_first_tick(found: DataFrame, every: int, keys: Sequence[str] = ("check_id",), order: str = "event_id") -> DataFrame:
