@@ -25,3 +25,18 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """For unsigned 64-bit keys: is the bit set?"""
     slot = keys & np.uint64(len(bits) * 8 - 1)
     return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+
+
+BROADCAST_ROWS = 1 << 21
+
+
+def small(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow table, to be broadcast if it is counted and found within bounds; else the planner decides."""
+    return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows whose id is not among the ids; a null id only goes if null is among them. Whole rows are not shuffled where
+    the ids are few."""
+    gone = small(ids.select(F.col(ids.columns[0]).alias("__gone")))
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")

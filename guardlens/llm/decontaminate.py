@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardlens.llm.bitmaps import bitmap, in_bitmap
+from guardlens.llm.bitmaps import bitmap, in_bitmap, without
 from guardlens.llm.text import BY_ALNUM, as_bytes, chunks, gram_hashes
 from guardlens.session import cut
 
@@ -149,11 +149,10 @@ def digests(found: DataFrame, id_col: str) -> DataFrame:
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The documents without any hit, with their own columns.
 
-    Hit documents are few, so their ids go through a join of the ids only; rows that share an id with a hit
-    row go with it.
+    Rows that share an id with a hit row go with it.
     """
-    hit = decontaminate(docs, items, id_col, text_col, **kw).where("n_hit > 0").select(F.col("id").alias("__hit")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["__hit"]), "left_anti")
+    hit = decontaminate(docs, items, id_col, text_col, **kw).where("n_hit > 0").select("id").distinct()
+    return without(docs, cut(hit, "hit-ids"), id_col)
 
 
 SQL = r"""

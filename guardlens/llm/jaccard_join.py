@@ -8,18 +8,19 @@ The distance 1 - J is a metric, but nearly every pair of documents shares nothin
 exactly, so windows around arbitrary pivots would copy every document into every region. Pivots are therefore
 taken where distances can be below 1, among documents that share shingles:
 
-1. *Prefixes.* In a fixed order of shingles, two linked sets share ``1 + SPARE`` of their first
-   n - ceil(0.75 n) + 1 + SPARE ones. Only these are counted.
-2. *Thinning.* A bitmap of fixed size of the shingles seen twice goes to the tasks. A set of ``LARGE`` or more
-   shingles may leave out its SPARE most frequent ones: both sides of a link keep their rarest common one. Sets
-   with no more than SPARE shared shingles are alone and go no further; frequent lines and passages vanish here.
+1. *Prefixes.* In a fixed order of shingles, two linked sets share more than ``spare(n)`` of their first
+   n - ceil(0.75 n) + 1 + spare(n) ones, n the smaller size. Only these are counted.
+2. *Thinning.* A bitmap of fixed size of the shingles seen twice goes to the tasks. A set may leave out its most frequent
+   shared shingles, as many as the smallest set that could link with it has to spare: both sides of a link keep their
+   rarest common one. Sets with no more shared shingles than that are alone and go no further; frequent lines and
+   passages, and the chance repeats of long texts, vanish here.
 3. *Regions.* Each shingle that is left elects a pivot, the set whose shingles are the most frequent (the centre
    of a group of near copies). The region of a pivot holds all sets of the shingles that elected it, so both ends
    of every link meet in a region. Rows: at most one for each set and pivot.
-4. *Windows.* A region within ``REGION_SETS`` and ``REGION_SHINGLES`` is joined in one task. A larger one gets new
-   pivots in Spark: each set goes to the nearest (its Voronoi cell) and, by the triangle inequality, as a guest
-   to each cell whose pivot is at most 2 * 0.25 farther. The cells are joined in the same way, recursively. A cell that
-   does not shrink is cut into blocks, each pair of blocks one task: slower, but whole.
+4. *Windows.* Regions that overlap are joined together in one task as long as they stay within ``REGION_SETS`` and
+   ``REGION_SHINGLES``. A larger one gets new pivots in Spark: each set goes to the nearest (its Voronoi cell) and, by the
+   triangle inequality, as a guest to each cell whose pivot is at most 2 * 0.25 farther. Large cells are split again. A
+   region whose windows copy it more than twice is cut into blocks instead, each pair of blocks a cell: slower, but whole.
 5. *Cells.* In a task, overlaps come from the postings of all shingles at once, exactly. Sets that are in the cell's
    largest component already are not compared again.
 
@@ -36,18 +37,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from guardlens.llm.bitmaps import bitmap, in_bitmap
+from guardlens.llm.bitmaps import bitmap, in_bitmap, small, without
 from guardlens.llm.components import components
-from guardlens.llm.text import BY_SPACE, as_bytes, chunks, gram_hashes
+from guardlens.llm.text import BY_SPACE, chunks, gram_hashes, pieces
 from guardlens.session import cut
 
 SHINGLE, PERCENT = 5, 75
 SPARE, LARGE = 24, 40
 SHARED_BITS, SET_BITS = 25, 24
-REGION_SETS, REGION_SHINGLES = 20_000, 4_000_000
+REGION_SETS, REGION_SHINGLES = 20_000, 2_000_000
 PIVOTS, MAX_DEPTH = 8, 6
 
 
@@ -67,8 +68,19 @@ def set_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return min(n, n - -(-percent * n // 100) + 1 + SPARE)
+def spare(n):
+    """By how much the prefix of a set of n shingles is longer than it need be; 1 + spare(n) <= 0.75 n from LARGE on."""
+    return SPARE + n // 8
+
+
+def dropped(n):
+    """How many shared shingles a set may leave out: what its smallest possible partner, of 0.75 n, has to spare."""
+    least = PERCENT * n // 100
+    return np.where(least >= LARGE, spare(least), 0)
+
+
+def prefix_length(n: int) -> int:
+    return n if n < LARGE else min(n, n - -(-PERCENT * n // 100) + 1 + spare(n))
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
@@ -76,7 +88,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, e, size, parts = [], [], [0], []
-            for s in shingle_sets(as_bytes(batch.column(1))):
+            for s in (s for texts in pieces(batch.column(1)) for s in shingle_sets(texts)):
                 n.append(len(s))
                 e.append(set_id(s) if len(s) else 0)
                 parts.append(s[:prefix_length(len(s))])
@@ -100,7 +112,7 @@ def _shared_prefixes(profiles: DataFrame, bits) -> DataFrame:
             upto = np.concatenate(([0], np.cumsum(hit)))
             count = upto[ends[1:]] - upto[ends[:-1]]
             n = batch.column(1).to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero(count > np.where(n >= LARGE, SPARE, 0))
+            keep = np.flatnonzero(count > dropped(n))
             take = np.concatenate([np.flatnonzero(hit[ends[i]:ends[i + 1]]) + ends[i] for i in keep]) if len(keep) else np.zeros(0, np.int64)
             size = np.concatenate(([0], np.cumsum(count[keep]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)),
@@ -117,15 +129,16 @@ def _region_members(profiles: DataFrame) -> DataFrame:
     bits = sc.broadcast(bitmap(shared, "s", SHARED_BITS))
     rows = (_shared_prefixes(profiles, bits).dropDuplicates(["e"])
             .select("e", "n", F.explode("prefix").alias("s")).join(shared, "s"))
-    # rarest first; the SPARE most frequent ones of a large set go
-    sets = rows.groupBy("e", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("own"))
-    left = F.size("own") - F.when(F.col("n") >= LARGE, SPARE).otherwise(0)
-    weight = F.aggregate("own", F.lit(0.0), lambda a, x: a + x.df) / F.col("n")
-    kept = cut(sets.where(left > 0).select("e", weight.alias("weight"), F.explode(F.slice("own", F.lit(1), left)).alias("o"))
-               .select("e", "weight", "o.s"), "kept-shingles")
+    # rarest first; the most frequent ones go
+    own = Window.partitionBy("e")
+    least = F.floor(F.col("n") * PERCENT / 100)
+    left = F.count(F.lit(1)).over(own) - F.when(least >= LARGE, SPARE + F.floor(least / 8)).otherwise(0)
+    kept = (rows.withColumn("left", left).withColumn("weight", F.sum("df").over(own) / F.col("n"))
+            .withColumn("place", F.row_number().over(own.orderBy("df", "s"))).where(F.col("place") <= F.col("left")).select("e", "n", "weight", "s"))
+    kept = cut(kept, "kept-shingles")
     top = (kept.groupBy("s").agg(F.max(F.struct("weight", "e")).alias("top"), F.count(F.lit(1)).alias("m"))
            .where("m > 1").select("s", F.col("top.e").alias("p")))
-    return kept.select("s", "e").join(top, "s").select("p", "e").distinct()
+    return kept.select("s", "e", "n").join(top, "s").select("p", "e", "n").distinct()
 
 
 def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -133,9 +146,9 @@ def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(members, "e", SET_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for texts in (t for batch in batches for t in pieces(batch.column(0))):
             e, n, raw = [], [], []
-            for s in shingle_sets(as_bytes(batch.column(0))):
+            for s in shingle_sets(texts):
                 i = set_id(s) if len(s) else 0
                 if len(s) and in_bitmap(bits.value, np.array([i]).view(np.uint64))[0]:
                     e.append(i)
@@ -152,14 +165,15 @@ def link_cell(e: np.ndarray, n: np.ndarray, elements: list[bytes], percent: int
     if m < 2:
         return
     flat = np.frombuffer(b"".join(elements), np.uint64)
-    owner = np.repeat(np.arange(m), n)
+    owner = np.repeat(np.arange(m, dtype=np.int32), n)
     ends = np.cumsum(np.concatenate(([0], n)))
     order = np.argsort(flat, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
     size = np.diff(np.append(first, len(flat)))
-    group = np.empty(len(flat), np.int64)
-    group[order] = np.repeat(np.arange(len(first)), size)
+    group = np.empty(len(flat), np.int32)
+    group[order] = np.repeat(np.arange(len(first), dtype=np.int32), size)
     posting = owner[order]
+    del flat, order, owner
     comp = np.arange(m)
     weight = np.add.reduceat(size[group], ends[:-1]) / n
     for x in np.argsort(-weight, kind="stable").tolist():  # the centre first: it links the most
@@ -207,7 +221,7 @@ def _cell_links(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _voronoi(rows: DataFrame, depth: int, pivots: int, percent: int) -> DataFrame:
-    """New cells of large regions: (kind, p, e, n, elements) with kind 0 for cell members and 1 for links (e, p)."""
+    """New cells of large regions: (q, kind, p, e, n, elements), q the region, kind 0 for cell members and 1 for links (e, p)."""
     picks = [F.min(F.struct(F.xxhash64("e", F.lit(depth), F.lit(j)).alias("h"), "e", "n", "elements")) for j in range(pivots)]
     heads = rows.groupBy("p").agg(F.array(*picks).alias("heads"))
     reach = 2 * (100 - percent)
@@ -221,51 +235,72 @@ def _voronoi(rows: DataFrame, depth: int, pivots: int, percent: int) -> DataFram
                 ids = sorted(heads)
                 inter = [int(np.isin(own, np.frombuffer(heads[i][1], np.uint64), assume_unique=True).sum()) for i in ids]
                 union = [n + heads[i][0] - c for i, c in zip(ids, inter)]
-                out.extend((1, i, e, 0, b"") for i, c, u in zip(ids, inter, union) if i != e and 100 * c >= percent * u)
+                out.extend((p, 1, i, e, 0, b"") for i, c, u in zip(ids, inter, union) if i != e and 100 * c >= percent * u)
                 far = [1 - c / u for c, u in zip(inter, union)]
                 near = min(far) + reach / 100 + 1e-9
                 # the cell of a pivot within a region: a number of its own
-                out.extend((0, int.from_bytes(hashlib.blake2b(f"{p} {i} {depth}".encode(), digest_size=8).digest(), "little", signed=True), e, n, raw)
+                out.extend((p, 0, int.from_bytes(hashlib.blake2b(f"{p} {i} {depth}".encode(), digest_size=8).digest(), "little", signed=True), e, n, raw)
                            for i, f in zip(ids, far) if f <= near)
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                                             names=["kind", "p", "e", "n", "elements"])
+            cols = list(zip(*out)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                                             names=["q", "kind", "p", "e", "n", "elements"])
 
     return (rows.join(heads, "p").select("p", "e", "n", "elements", "heads")
-            .mapInArrow(run, "kind int, p long, e long, n long, elements binary"))
+            .mapInArrow(run, "q long, kind int, p long, e long, n long, elements binary"))
 
 
 def _blocks(rows: DataFrame, sizes: DataFrame, cell: int) -> DataFrame:
     """Cells that are pairs of blocks of a region, half a cell each."""
     m = F.ceil(F.col("sets") / F.lit(max(1, cell // 2))).cast("int")
-    r = rows.join(sizes, "p").withColumn("m", m).withColumn("b", F.pmod(F.xxhash64("e", F.lit(-1)), F.col("m")).cast("int"))
+    r = rows.join(sizes.select("p", "sets"), "p").withColumn("m", m).withColumn("b", F.pmod(F.xxhash64("e", F.lit(-1)), F.col("m")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(F.col("b"), j).alias("i"), F.greatest(F.col("b"), j).alias("j")))
     return r.withColumn("c", F.explode(pair)).select(F.xxhash64("p", "c.i", "c.j").alias("p"), "e", "n", "elements")
 
 
+def _sizes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("p").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+
+
+def _split(rows: DataFrame, percent: int, region_sets: int, beyond: Column) -> list[DataFrame]:
+    """Links of regions that are too large for a task."""
+    found = []
+    for depth in range(MAX_DEPTH):
+        sizes = cut(_sizes(rows), "region-sizes")
+        new = cut(_voronoi(rows, depth, PIVOTS, percent), "cells")
+        found.append(new.where("kind = 1").select(F.col("e").alias("a"), F.col("p").alias("b")))
+        cells = new.where("kind = 0")
+        # windows that copy most of a region into most of its cells do not get anywhere
+        stuck = cut(cells.groupBy("q").agg(F.count(F.lit(1)).alias("made")).join(sizes, F.col("q") == F.col("p"))
+                    .where(F.col("made") > 2 * F.col("sets")).select("p", "sets"), "stuck")
+        found.append(_cell_links(_blocks(rows, stuck, region_sets), percent))
+        cells = cells.join(stuck.select(F.col("p").alias("q")), "q", "left_anti").select("p", "e", "n", "elements")
+        after = cut(_sizes(cells), "region-sizes")
+        found.append(_cell_links(cells.join(after.where(beyond), "p", "left_anti"), percent))
+        if after.where(beyond).isEmpty():
+            return found
+        rows = cut(cells.join(after.where(beyond).select("p"), "p", "left_semi"), "region-sets")
+    return [*found, _cell_links(_blocks(rows, _sizes(rows), region_sets), percent)]
+
+
 def links(docs: DataFrame, profiles: DataFrame, percent: int = PERCENT, region_sets: int = REGION_SETS,
           region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """Links (a, b) between set ids whose components are those of all links."""
+    beyond = (F.col("sets") > region_sets) | (F.col("shingles") > region_shingles)
     members = cut(_region_members(profiles), "regions")
-    sets = _sets_of(docs, members)
-    rows = cut(members.join(sets, "e").select("p", "e", "n", "elements"), "region-sets")
-    found = []
-    for depth in range(MAX_DEPTH + 1):
-        sizes = cut(rows.groupBy("p").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles")), "region-sizes")
-        large = sizes.where((F.col("sets") > region_sets) | (F.col("shingles") > region_shingles))
-        if large.isEmpty():
-            found.append(_cell_links(rows.join(sizes.where("sets > 1").select("p"), "p", "left_semi"), percent))
-            break
-        found.append(_cell_links(rows.join(large.select("p"), "p", "left_anti"), percent))
-        big = rows.join(large.select("p"), "p", "left_semi")
-        if depth == MAX_DEPTH:
-            found.append(_cell_links(_blocks(big, large.select("p", "sets"), region_sets), percent))
-            break
-        new = cut(_voronoi(big, depth, PIVOTS, percent), "cells")
-        found.append(new.where("kind = 1").select(F.col("e").alias("a"), F.col("p").alias("b")))
-        rows = new.where("kind = 0").select("p", "e", "n", "elements").distinct()
-    out = found[0]
-    for f in found[1:]:
+    # regions that overlap are one where that still fits a task: their sets then travel once
+    joint = components(members.select(F.col("p").alias("a"), F.col("e").alias("b")))
+    one = members.select("e", "n").distinct().join(joint, F.col("e") == F.col("v")).select(F.col("root").alias("p"), "e", "n")
+    apart = cut(_sizes(one).where(beyond).select("p"), "apart")
+    rest = members.join(one.join(apart, "p", "left_semi").select("e"), "e", "left_semi").select(F.xxhash64("p", F.lit(1)).alias("p"), "e", "n")
+    cells = cut(one.join(apart, "p", "left_anti").union(rest), "cells")
+    large = cut(_sizes(cells).where(beyond).select("p"), "large")
+    several = _sizes(cells).where("sets > 1").select("p")
+    sets = _sets_of(docs, members).drop("n")
+    if large.isEmpty():
+        return _cell_links(cells.join(several, "p", "left_semi").join(sets, "e"), percent)
+    rows = cut(cells.join(sets, "e").select("p", "e", "n", "elements"), "region-sets")
+    out = _cell_links(rows.join(large, "p", "left_anti"), percent)
+    for f in _split(rows.join(large, "p", "left_semi"), percent, region_sets, beyond):
         out = out.union(f)
     return out
 
@@ -293,7 +328,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat an id are one document; rows without an id cannot be told apart and all stay.
     """
-    rest = (classes(docs, id_col, text_col, **kw).where(~F.col(id_col).eqNullSafe(F.col("component_id")))
-            .where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__gone")).distinct())
-    stays = docs.where(docs[id_col].isNotNull()).join(rest, F.col(id_col) == F.col("__gone"), "left_anti").dropDuplicates([id_col])
-    return stays.unionByName(docs.where(docs[id_col].isNull()))
+    found = classes(docs, id_col, text_col, **kw).where(F.col(id_col).isNotNull())
+    ids = cut(found.groupBy(id_col).agg(F.max(F.col(id_col) != F.col("component_id")).alias("gone"), F.count(F.lit(1)).alias("k"))
+              .where("gone or k > 1"), "gone-ids")
+    twice = small(ids.where("not gone").select(F.col(id_col).alias("__id")))
+    again = docs.join(twice, docs[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    return without(docs, ids.select(id_col), id_col).unionByName(again)

@@ -135,6 +135,12 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def pieces(column: pa.Array, rows: int = 256) -> Iterator[list[bytes]]:
+    """The texts of a batch, some rows at a time."""
+    for i in range(0, len(column), rows):
+        yield as_bytes(column.slice(i, rows))
+
+
 def chunks(texts: list[bytes], is_word: np.ndarray = BY_SPACE, size: int = CHUNK, fold: bool = True) -> Iterator[Chunk]:
     """Groups of whole texts of about ``size`` bytes with their word hashes. A longer text is a group of its own."""
     i = 0
