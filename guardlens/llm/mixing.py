@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from guardlens.llm.bitmaps import small
 from guardlens.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,9 +58,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
             .select("source", "source_size", "target"))
 
 
-def _with(rows: DataFrame, small: DataFrame, on: tuple[str, ...] = ("source",), how: str = "inner") -> DataFrame:
+def _with(rows: DataFrame, few: DataFrame, on: tuple[str, ...] = ("source",), how: str = "inner") -> DataFrame:
     """Join on null-safe keys; the planner broadcasts the per-source side by its measured size."""
-    right = small.select(*[F.col(c).alias(f"__{c}") for c in on], *[c for c in small.columns if c not in on])
+    right = few.select(*[F.col(c).alias(f"__{c}") for c in on], *[c for c in few.columns if c not in on])
     same = reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"__{c}")), on, F.lit(True))
     return rows.join(right, same, how).drop(*[f"__{c}" for c in on])
 
@@ -89,7 +90,8 @@ def thresholds(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: flo
 def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows with the columns source and h get source_size, target and copies."""
     extra = F.coalesce(F.col("h") < F.col("threshold"), F.lit(False)).cast("int")
-    return _with(rows, plan).withColumn("copies", F.col("copies") + extra).drop("threshold")
+    # one row a source: broadcast once counted, else rows would be dealt by source, a third of them to one task
+    return _with(rows, small(cut(plan, "mix-plan"))).withColumn("copies", F.col("copies") + extra).drop("threshold")
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
