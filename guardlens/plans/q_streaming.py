@@ -184,9 +184,9 @@ def k10(v):
 
 
 @query("k10_sample_by_hash", """
-SELECT user_id, count(*) AS n FROM events WHERE ('0x' || substr(md5('0:' || CAST(user_id AS VARCHAR)), 1, 8))::BIGINT < 0.1 * 4294967296 GROUP BY 1""")
+SELECT user_id, count(*) AS n FROM events WHERE ('0x' || substr(md5('0:' || CAST(event_id AS VARCHAR)), 1, 8))::BIGINT < 0.1 * 4294967296 GROUP BY 1""")
 def k10_hash(v):
-    return K.sample_by_hash(v.events, "user_id", 0.1).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return K.sample_by_hash(v.events, "event_id", 0.1).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("k11_replay_first_tick", "SELECT event_type AS check_id, CAST(min(ceil(event_id / 100.0)) AS BIGINT) AS first_tick FROM events WHERE value > 100 GROUP BY 1")
