@@ -22,7 +22,7 @@ taken where distances can be below 1, among documents that share shingles:
    triangle inequality, as a guest to each cell whose pivot is at most 2 * 0.25 farther. Large cells are split again. A
    region whose windows copy it more than twice is cut into blocks instead, each pair of blocks a cell: slower, but whole.
 5. *Cells.* In a task, overlaps come from the postings of all shingles at once, exactly. Sets that are in the cell's
-   largest component already are not compared again.
+   largest component already are put off; at the end those outside the component that is largest then are compared too.
 
 Texts without words (null, empty, white space) have no set and link with nothing; a null id cannot be a component's
 smallest id unless all its members' are null. Rows with equal ids and texts are copies of each other. Hashes
@@ -176,22 +176,33 @@ def link_cell(e: np.ndarray, n: np.ndarray, elements: list[bytes], percent: int
     del flat, order, owner
     comp = np.arange(m)
     weight = np.add.reduceat(size[group], ends[:-1]) / n
-    for x in np.argsort(-weight, kind="stable").tolist():  # the centre first: it links the most
-        count = np.bincount(comp, minlength=m)
-        if count.max() == m:
-            break
-        if comp[x] == count.argmax() and count.max() > 1:
-            continue
+
+    def join_linked(x: int) -> None:
         g = group[ends[x]:ends[x + 1]]
         g = g[size[g] > 1]
         lens = size[g]
         if not len(g):
-            continue
+            return
         at = np.repeat(first[g] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
         inter = np.bincount(posting[at], minlength=m)
         linked = np.flatnonzero((inter > 0) & (100 * inter >= percent * (n[x] + n - inter)) & (comp != comp[x]))
         for c in np.unique(comp[linked]).tolist():
             comp[comp == c] = comp[x]
+
+    skipped = []
+    for x in np.argsort(-weight, kind="stable").tolist():  # the centre first: it links the most
+        count = np.bincount(comp, minlength=m)
+        if count.max() == m:
+            break
+        if comp[x] == count.argmax() and count.max() > 1:
+            skipped.append(x)
+        else:
+            join_linked(x)
+    # another component may have been the largest when a set was skipped: only the members of one need no comparison
+    one = int(np.flatnonzero(comp == np.bincount(comp, minlength=m).argmax())[0])
+    for x in skipped:
+        if comp[x] != comp[one]:
+            join_linked(x)
     least = np.full(m, np.iinfo(np.int64).max)
     np.minimum.at(least, comp, e)
     for i in np.flatnonzero(least[comp] != e).tolist():
