@@ -10,7 +10,12 @@ it shares with the document, counted with repetition. Only pairs whose bound rea
 none above it is lost. A match must also be dense: at least ``min_density`` of the words between its first and last
 anchor. Memory is that of one group of texts and one long text's words.
 
-Null and empty texts match nothing. Of equally covered templates the longer one is reported, then the first by name.
+Over a whole text, repeated notices have no unique words and stray words stretch a match. Where the alignment is not a full
+and dense match, every stretch that could be dense is therefore looked at: from each template word, as far as a dense
+match can reach, the longest common subsequence up to every later word, exactly. The best dense stretch counts.
+
+Null and empty texts match nothing. Of equally covered templates the longer one is reported, then the first by name;
+``licenses`` has the names of all templates that reach both thresholds.
 Rows are judged one by one; only id and text are read.
 """
 
@@ -134,9 +139,47 @@ def align(text: list[int], template: list[int]) -> tuple[int, int, int]:
     return (matched, first, end) if matched else (0, 0, 0)
 
 
+def best_stretch(text: list[int], template: list[int], min_coverage: int, min_density: int) -> tuple[int, int, int]:
+    """The stretch of the text that matches most of the template among those that reach both thresholds, the shortest and
+    first of equals: matched words, and its positions [first, end); (0, 0, 0) if none does."""
+    size = len(template)
+    reach = 100 * size // min_density if min_density else len(text)
+    need: dict[int, int] = {}
+    where: dict[int, int] = {}
+    for i, x in enumerate(template):
+        need[x] = need.get(x, 0) + 1
+        where[x] = where.get(x, 0) | 1 << i
+    full = (1 << size) - 1
+    at = [i for i, x in enumerate(text) if x in need]
+    have = dict.fromkeys(need, 0)
+    best, bound, upto = (0, 0, 0), 0, 0
+    for k, a in enumerate(at):
+        while upto < len(at) and at[upto] < a + reach:
+            x = text[at[upto]]
+            have[x] += 1
+            bound += have[x] <= need[x]
+            upto += 1
+        if 100 * bound >= min_coverage * size and bound >= best[0]:
+            row, m = full, 0
+            for i in at[k:upto]:
+                hit = row & where[text[i]]
+                row = ((row + hit) | (row - hit)) & full
+                n = size - row.bit_count()
+                if n > m:
+                    m, span = n, i + 1 - a
+                    if 100 * m >= min_coverage * size and 100 * m >= min_density * span and (m, -span) > (best[0], best[1] - best[2]):
+                        best = (m, a, i + 1)
+            if best[0] == size == best[2] - best[1]:
+                break
+        x = text[a]
+        bound -= have[x] <= need[x]
+        have[x] -= 1
+    return best
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None,
          min_coverage: int = MIN_COVERAGE, min_density: int = MIN_DENSITY) -> DataFrame:
-    """(id, n_words, license, matched, template_words, coverage, start_word, end_word); license is null without a match."""
+    """(id, n_words, license, matched, template_words, coverage, start_word, end_word, licenses); license is null without a match."""
     named = dict(sorted((templates or TEMPLATES).items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,22 +205,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                 bound = np.stack([np.minimum(have, r).sum(axis=1) for r in need], axis=1) if names else np.zeros((n, 0))
                 for i in range(n):
                     h = c.hash[c.bounds[i]:c.bounds[i + 1]]
-                    best = (len(h), None, 0, None, None, None, None)
+                    best = (len(h), None, 0, None, None, None, None, [])
                     rank = (0.0, 0)
                     text = None
                     for t in np.flatnonzero(100 * bound[i] >= min_coverage * total):
                         k, size = names[t], int(total[t])
                         text = h.tolist() if text is None else text
                         m, a, b = align(text, words_of[k])
-                        if 100 * m >= min_coverage * size and 100 * m >= min_density * (b - a) and (m / size, size) > rank:
-                            rank = (m / size, size)
-                            best = (len(h), k, m, size, m / size, a, b)
+                        if 100 * m < min_coverage * size or 100 * m < min_density * (b - a):
+                            m, a, b = 0, 0, 0
+                        if m < size:
+                            m, a, b = max((m, a, b), best_stretch(text, words_of[k], min_coverage, min_density), key=lambda x: x[0])
+                        if m:
+                            best[-1].append(k)
+                            if (m / size, size) > rank:
+                                rank = (m / size, size)
+                                best = (len(h), k, m, size, m / size, a, b, best[-1])
                     rows.append(best)
-            cols = list(zip(*rows)) or [[]] * 7
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            cols = list(zip(*rows)) or [[]] * 8
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, k) for x, k in zip(cols, kinds)]],
-                                             names=[id_col, "n_words", "license", "matched", "template_words", "coverage", "start_word", "end_word"])
+                                             names=[id_col, "n_words", "license", "matched", "template_words", "coverage", "start_word", "end_word",
+                                                    "licenses"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words long, license string, matched long, template_words long, "
-                                                         "coverage double, start_word long, end_word long")
+                                                         "coverage double, start_word long, end_word long, licenses array<string>")

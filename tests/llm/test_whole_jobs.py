@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from guardlens.llm import jaccard_join
+from guardlens.llm import jaccard_join, license_scan
 
 
 def test_bridge_between_clusters_of_which_the_later_one_is_larger():
@@ -21,3 +21,26 @@ def test_bridge_between_clusters_of_which_the_later_one_is_larger():
     sets = [np.array(sorted(s), np.uint64) for s in [c, x, b, y, *variants(c, 8), *variants(b, 16), *others]]
     found = dict(jaccard_join.link_cell(np.arange(len(sets)), np.array([len(s) for s in sets]), [s.tobytes() for s in sets]))
     assert [found.get(i, i) for i in range(len(sets))] == [0] * 28 + list(range(28, len(sets)))
+
+
+def test_notice_twice_in_a_long_text_and_stray_words_far_away(spark):
+    isc = license_scan.TEMPLATES["isc"]
+    words, noise = isc.split(), "the software and this notice is for any use with words of no license at all. " * 200
+    changed = " ".join([*words[:-2], "every", "copy."])  # "all" stands far behind, in the noise
+    df = spark.createDataFrame([(1, f"{isc} {noise} {isc}"), (2, f"{changed} {noise}"), (3, f"{noise} {changed}"), (4, noise),
+                                (5, f"{license_scan.TEMPLATES['apache-2.0-notice']} {noise}")], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    assert [got[k].license for k in (1, 2, 3, 4, 5)] == ["isc"] * 3 + [None, "apache-2.0-notice"]
+    assert (got[1].coverage, got[1].start_word, got[1].end_word) == (1.0, 0, got[1].template_words)
+    assert got[2].start_word == 0 and got[2].matched >= got[2].template_words - 2
+    assert got[4].licenses == [] and {"apache-2.0-notice", "apache-2.0-short"} <= set(got[5].licenses)
+
+
+def test_best_stretch_is_the_best_of_all_stretches():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        text, template = r.integers(0, 9, r.integers(1, 30)).tolist(), r.integers(0, 6, r.integers(1, 8)).tolist()
+        every = [(license_scan._lcs_length(text[a:b], template), a, b) for a in range(len(text)) for b in range(a + 1, len(text) + 1)]
+        dense = [(m, a - b, -a) for m, a, b in every if 100 * m >= 80 * len(template) and 100 * m >= 50 * (b - a)]
+        m, span, a = max(dense, default=(0, 0, 0))
+        assert license_scan.best_stretch(text, template, 80, 50) == (m, -a, -a - span)
