@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all rows of its predecessor, an
 again before the next. All but the last return the columns of ``documents``.
 
 * ``quality``: rejected documents go; in the others failing lines are removed and ``n_chars`` follows the text.
-* ``near_duplicates``: the document with the smallest id of each group of linked documents stays.
-* ``decontamination``: documents with an occurrence of a benchmark window go.
+* ``near_duplicates``: the row with the smallest id of each group of linked documents stays, the first of equal ids.
+* ``decontamination``: rows with an occurrence of a benchmark window go.
 * ``mixing``: a document appears as often as the mix takes it (not at all, once or twice).
 * ``token_files``: token ids in binary files; one row per document with the figures read back from them.
 

@@ -147,12 +147,10 @@ def digests(found: DataFrame, id_col: str) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The documents without any hit, with their own columns.
-
-    Rows that share an id with a hit row go with it.
-    """
-    hit = decontaminate(docs, items, id_col, text_col, **kw).where("n_hit > 0").select("id").distinct()
-    return without(docs, cut(hit, "hit-ids"), id_col)
+    """The rows without any hit, with their own columns; other rows with a hit row's id stay."""
+    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    hit = decontaminate(numbered, items, "__row", text_col, **kw).where("n_hit > 0").select("id")
+    return without(numbered, cut(hit, "hit-rows"), "__row").drop("__row")
 
 
 SQL = r"""

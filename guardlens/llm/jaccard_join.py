@@ -40,7 +40,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from guardlens.llm.bitmaps import bitmap, in_bitmap, small, without
+from guardlens.llm.bitmaps import bitmap, in_bitmap, without
 from guardlens.llm.components import components
 from guardlens.llm.text import BY_SPACE, chunks, gram_hashes, pieces
 from guardlens.session import cut
@@ -335,13 +335,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The document with the smallest id of each component, once, with the input's columns.
+    """Of each component the row with the smallest id (null last, then the first row), once, with the input's columns.
 
-    Rows that repeat an id are one document; rows without an id cannot be told apart and all stay.
+    Rows are told apart by a row number written with them, so equal and null ids neither take rows along nor save them.
     """
-    found = classes(docs, id_col, text_col, **kw).where(F.col(id_col).isNotNull())
-    ids = cut(found.groupBy(id_col).agg(F.max(F.col(id_col) != F.col("component_id")).alias("gone"), F.count(F.lit(1)).alias("k"))
-              .where("gone or k > 1"), "gone-ids")
-    twice = small(ids.where("not gone").select(F.col(id_col).alias("__id")))
-    again = docs.join(twice, docs[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return without(docs, ids.select(id_col), id_col).unionByName(again)
+    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    found = classes(numbered.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", **kw)
+    gone = cut(found.where("key.row <> component_id.row").select("key.row"), "gone-rows")
+    return without(numbered, gone, "__row").drop("__row")

@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from guardlens.llm import jaccard_join, license_scan
+from llm_rows import prose
+from guardlens.llm import decontaminate, jaccard_join, license_scan
 
 
 def test_bridge_between_clusters_of_which_the_later_one_is_larger():
@@ -44,3 +45,14 @@ def test_best_stretch_is_the_best_of_all_stretches():
         dense = [(m, a - b, -a) for m, a, b in every if 100 * m >= 80 * len(template) and 100 * m >= 50 * (b - a)]
         m, span, a = max(dense, default=(0, 0, 0))
         assert license_scan.best_stretch(text, template, 80, 50) == (m, -a, -a - span)
+
+
+def test_rows_are_kept_and_dropped_by_row_not_by_id(spark):
+    a, b, c, d = (prose(700 + k, 60) for k in range(4))
+    rows = [(None, a, 0), (None, a, 1), (None, b, 2), (7, b, 3), (7, c, 4), (1, c, 5), (7, d, 6), (None, "", 7), (None, None, 8), (7, "", 9), (7, "", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k long").coalesce(1)
+    stay = jaccard_join.one_of_each(docs)
+    assert sorted(r.k for r in stay.collect()) == [0, 3, 5, 6, 7, 8, 9, 10] and stay.columns == docs.columns
+    items = spark.createDataFrame([(1, " ".join(b.split()[20:34]))], "item_id long, text string")
+    clean = decontaminate.clean_documents(docs, items)
+    assert sorted(r.k for r in clean.collect()) == [0, 1, 4, 5, 6, 7, 8, 9, 10] and clean.columns == docs.columns
