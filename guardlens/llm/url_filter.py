@@ -1,13 +1,14 @@
 """URL filter: rules first, then host word segmentation and naive Bayes.
 
 * Host and path come from the url (host lower-cased, A-Z). The longest rule that fits decides.
-* Word counts for the segmentation are those of all pages' HTML. Counts are kept by word hash; the substrings (up to
-  ``LONGEST`` letters) of the letter runs of distinct hosts are joined to them, and a Viterbi pass over each run picks
-  the split with the highest product of unigram probabilities. A substring of n letters that is no word has
+* Word counts for the segmentation are those of all pages' HTML. Counts are kept by word hash; the substrings of the letter
+  runs of distinct hosts that are as long as some word are joined to them, and a Viterbi pass over each run picks
+  the split with the highest product of unigram probabilities. A substring of n bytes that is no word has
   probability 10 / (N * 10**n).
 * Multinomial naive Bayes is fitted on all pages that a rule decides. Its tokens are the words of the host and the
-  pieces of the path (digits become #), hashed to 2**FEATURE_BITS features: the model has that size whatever the
-  table's. Pages without a rule are blocked if the log odds are above 0.
+  pieces of the path (digits become #). Their log odds are a table by the token itself, broadcast up to ``BROADCAST_TOKENS``
+  tokens and beyond that joined to the pages' tokens, spread over ``SALTS`` keys each. Pages without a rule are blocked if the
+  log odds are above 0.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the prior alone.
 Without any page decided by a rule every verdict is allow. Null HTML has no words. Repeated rows are judged
@@ -28,8 +29,7 @@ from guardlens.llm.text import as_bytes, chunks, hash_words
 from guardlens.session import cut
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-LONGEST = 24
-FEATURE_BITS = 16
+BROADCAST_TOKENS, SALTS = 1 << 16, 16
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: words are letters: a-z (after lower-casing) and everything outside ASCII
 BY_LETTER = np.array([97 <= b < 123 or 65 <= b < 91 or b >= 128 for b in range(256)])
@@ -56,27 +56,29 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 
 
 def word_counts(pages: DataFrame, text_col: str) -> DataFrame:
-    """(h, n): hash and number of every letter word of at most LONGEST bytes."""
+    """(h, n, size): hash, number and bytes of every letter word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [c.hash[c.end - c.start <= LONGEST] for c in chunks(as_bytes(batch.column(0)), BY_LETTER)]
-            h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
+            found = [(c.hash, c.end - c.start) for c in chunks(as_bytes(batch.column(0)), BY_LETTER)]
+            every = np.concatenate([h for h, _ in found]) if found else np.zeros(0, np.uint64)
+            size = np.concatenate([z for _, z in found]) if found else np.zeros(0, np.int64)
+            h, at, n = np.unique(every, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64()), pa.array(size[at], pa.int64())], names=["h", "n", "size"])
 
-    return pages.select(text_col).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return pages.select(text_col).mapInArrow(run, "h long, n long, size long").groupBy("h").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
 
 
-def substrings(runs: DataFrame) -> DataFrame:
-    """(run, a, b, h): every substring [a, b) of up to LONGEST bytes of distinct letter runs, with its hash."""
+def substrings(runs: DataFrame, lengths: list[int]) -> DataFrame:
+    """(run, a, b, h): every substring [a, b) of distinct letter runs that has one of the lengths in bytes, with its hash."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in batch.column(0).to_pylist():
                 raw = run.encode()
-                at = [(a, b) for a in range(len(raw)) for b in range(a + 1, min(len(raw), a + LONGEST) + 1)]
-                _, _, h = hash_words(np.frombuffer(b"\n".join(raw[a:b] for a, b in at), np.uint8), BY_LETTER)
-                a, b = zip(*at)
-                yield pa.RecordBatch.from_arrays([pa.array([run] * len(at)), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(h.view(np.int64))],
-                                                 names=["run", "a", "b", "h"])
+                for size in (k for k in lengths if k <= len(raw)):
+                    a = np.arange(len(raw) - size + 1, dtype=np.int32)
+                    _, _, h = hash_words(np.frombuffer(b"\n".join(raw[k:k + size] for k in a.tolist()), np.uint8), BY_LETTER)
+                    yield pa.RecordBatch.from_arrays([pa.array([run] * len(a)), pa.array(a), pa.array(a + np.int32(size)), pa.array(h.view(np.int64))],
+                                                     names=["run", "a", "b", "h"])
 
     return runs.mapInArrow(rows, "run string, a int, b int, h long")
 
@@ -86,12 +88,20 @@ def best_split(run: str, known: dict[tuple[int, int], int], total: int) -> list[
     raw = run.encode()
     best, back = [0.0] + [-math.inf] * len(raw), [0] * (len(raw) + 1)
     log_n = math.log10(max(1, total))
+    ending: dict[int, list[tuple[int, int]]] = {}
+    for (a, b), n in known.items():
+        ending.setdefault(b, []).append((a, n))
+    start = 0  # where the best last word that is not known begins: best[a] + a is largest
     for b in range(1, len(raw) + 1):
-        for a in range(max(0, b - LONGEST), b):
-            n = known.get((a, b), 0)
-            p = best[a] + (math.log10(n) - log_n if n else 1 - log_n - (b - a))
-            if p > best[b]:
-                best[b], back[b] = p, a
+        if best[b - 1] + b - 1 > best[start] + start:
+            start = b - 1
+        ways = [(best[a] + math.log10(n) - log_n, -a) for a, n in ending.get(b, [])]
+        if (start, b) not in known:
+            ways.append((best[start] + (1 - log_n - (b - start)), -start))
+        else:  # a known word may be less likely than the same letters unknown: look at the other starts
+            ways.extend((best[a] + (1 - log_n - (b - a)), -a) for a in range(b) if (a, b) not in known)
+        best[b], a = max(ways)
+        back[b] = -a
     out, b = [], len(raw)
     while b:
         out.append(raw[back[b]:b].decode("utf-8", "replace"))
@@ -102,13 +112,14 @@ def best_split(run: str, known: dict[tuple[int, int], int], total: int) -> list[
 def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
     """(run, words) for distinct letter runs."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    sub = substrings(runs)
-    # a run has at most LONGEST rows for each of its bytes
-    known = sub.join(counts, "h", "left").groupBy("run").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("a", "b", "n"))).alias("known"))
+    lengths = sorted(r[0] for r in counts.select("size").distinct().collect())  # one number for each length
+    # a run has at most as many rows as there are lengths for each of its bytes
+    found = substrings(runs, lengths).join(counts, "h").groupBy("run").agg(F.collect_list(F.struct("a", "b", "n")).alias("known"))
+    known = runs.join(found, "run", "left").select("run", "known")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [best_split(r, {(x["a"], x["b"]): x["n"] for x in k}, total)
+            words = [best_split(r, {(x["a"], x["b"]): x["n"] for x in k or []}, total)
                      for r, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["run", "words"])
 
@@ -123,28 +134,22 @@ def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
             .select("host", F.flatten(F.col("w.words")).alias("words")))
 
 
-def fit(labelled: DataFrame) -> tuple[float, np.ndarray]:
-    """Prior log odds of block, and the log odds of each feature, from rows (verdict, features).
-
-    The driver gets at most two rows for each of the 2**FEATURE_BITS features.
-    """
-    size = 1 << FEATURE_BITS
-    t = (labelled.select("verdict", F.explode("features").alias("f")).groupBy("verdict", "f").agg(F.count(F.lit(1)).alias("n")).toArrow())
+def fit(labelled: DataFrame) -> tuple[float, DataFrame, int, float]:
+    """Prior log odds of block, (token, odds) of every token, their number, and the odds of a token not among them, from
+    rows (verdict, tokens)."""
     docs = {r[0]: r[1] for r in labelled.groupBy("verdict").count().collect()}  # two rows
-    n = np.zeros((2, size))
-    block = np.array([v == "block" for v in t.column("verdict").to_pylist()], np.int64)
-    n[block, t.column("f").to_numpy()] = t.column("n").to_numpy()
-    seen = max(1, int((n.sum(axis=0) > 0).sum()))
-    odds = np.log((n[1] + 1) / (n[1].sum() + seen)) - np.log((n[0] + 1) / (n[0].sum() + seen))
-    if not docs:
-        return 0.0, np.zeros(size)
-    return math.log((docs.get("block", 0) + 1) / (docs.get("allow", 0) + 1)), odds
+    of = [F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)).alias(v) for v in ("block", "allow")]
+    t = cut(labelled.select("verdict", F.explode("tokens").alias("token")).groupBy("token").agg(*of), "token-counts")
+    seen, block, allow = t.agg(F.count(F.lit(1)), F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("allow"), F.lit(0))).first()
+    unseen = math.log(allow + max(1, seen)) - math.log(block + max(1, seen))
+    prior = math.log((docs.get("block", 0) + 1) / (docs.get("allow", 0) + 1)) if docs else 0.0
+    odds = F.log(F.col("block") + 1.0) - F.log(F.col("allow") + 1.0) + F.lit(unseen)
+    return prior, t.select("token", odds.alias("odds")), seen, unseen
 
 
 def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html",
-           rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+           rules: tuple[tuple[str, str], ...] = RULES, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """(id, host, path, rule, verdict, score, host_words): score is the log odds of block."""
-    sc = pages.sparkSession.sparkContext
     base = pages.select(pages[id_col].alias("id"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"))
     base = base.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     counts = cut(word_counts(pages, text_col), "word-counts")
@@ -153,19 +158,18 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text
     pieces = F.regexp_extract_all(low, F.lit(r"[a-z#[^\x00-\x7F]]+"), F.lit(0))
     tokens = F.concat(F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda w: F.concat(F.lit("h:"), w)),
                       F.transform(pieces, lambda w: F.concat(F.lit("p:"), w)))
-    feature = F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(1 << FEATURE_BITS)).cast("int"))
-    rows = cut(base.join(words, "host", "left").select("id", "host", "path", "r.rule", "r.verdict", feature.alias("features"),
-                                                       F.concat_ws(" ", "words").alias("host_words")), "pages")
-    prior, odds = fit(rows.where("rule is not null"))
-    model = sc.broadcast(odds)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = [prior + float(model.value[np.array(f, np.int64)].sum()) for f in batch.column("features").to_pylist()]
-            verdict = [v or ("block" if x > 0 else "allow") for v, x in zip(batch.column("verdict").to_pylist(), s)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "host", "path", "rule")], pa.array(verdict, pa.string()),
-                                              pa.array(s, pa.float64()), batch.column("host_words")],
-                                             names=[id_col, "host", "path", "rule", "verdict", "score", "host_words"])
-
-    kind = pages.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(score, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, score double, host_words string")
+    rows = base.join(words, "host", "left").select("id", "host", "path", "r.rule", "r.verdict", tokens.alias("tokens"), F.concat_ws(" ", "words").alias("host_words"))
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
+    prior, odds, seen, unseen = fit(rows.where("rule is not null"))
+    of_page = rows.select("row", F.explode("tokens").alias("token"))
+    if seen <= broadcast_tokens:
+        found = of_page.join(F.broadcast(odds), "token", "left")
+    else:
+        salted = odds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = of_page.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"], "left")
+    # summed in order, so that reruns agree
+    sums = found.groupBy("row").agg(F.sort_array(F.collect_list(F.coalesce("odds", F.lit(unseen)))).alias("odds"))
+    score = F.lit(prior) + F.aggregate(F.coalesce("odds", F.array().cast("array<double>")), F.lit(0.0), lambda a, x: a + x)
+    out = rows.join(sums, "row", "left").withColumn("score", score)
+    verdict = F.coalesce("verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score", "host_words")

@@ -1,9 +1,11 @@
 """Cases that an operator once did only in part."""
 
+import math
+
 import numpy as np
 
 from llm_rows import prose
-from guardlens.llm import decontaminate, jaccard_join, license_scan
+from guardlens.llm import decontaminate, jaccard_join, license_scan, url_filter
 
 
 def test_bridge_between_clusters_of_which_the_later_one_is_larger():
@@ -56,3 +58,19 @@ def test_rows_are_kept_and_dropped_by_row_not_by_id(spark):
     items = spark.createDataFrame([(1, " ".join(b.split()[20:34]))], "item_id long, text string")
     clean = decontaminate.clean_documents(docs, items)
     assert sorted(r.k for r in clean.collect()) == [0, 1, 4, 5, 6, 7, 8, 9, 10] and clean.columns == docs.columns
+
+
+def test_url_tokens_have_their_own_counts_and_words_any_length(spark):
+    long = "достопримечательность"  # 42 bytes
+    odd = [chr(97 + k // 676) + chr(97 + k // 26 % 26) + chr(97 + k % 26) for k in range(17576)]
+    rows = [(0, "http://h.com/aaa", f"кот {long} " * 9), (1, f"http://кот{long}.com/", None)]
+    rows += [(2 + k, f"http://x.{'net' if k % 2 else 'org'}/fr/" + "/".join(f"{w}{v}" for w in odd[k::40] for v in odd[:5]), "x") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [{r.page_id: r for r in url_filter.judged(pages, broadcast_tokens=n).collect()} for n in (1 << 20, 0)]
+    assert [r.score for r in got[0].values()] == [got[1][k].score for k in got[0]]
+    assert got[0][1].host_words == f"кот {long} com"
+    # fr, x and org or net, and 87,880 pieces; no piece of the page 0 but unseen ones
+    half = [sum(len(odd[k::40]) * 5 for k in range(s, 40, 2)) for s in (0, 1)]
+    seen = 4 + sum(half)
+    unseen = math.log(half[0] + 60 + seen) - math.log(half[1] + 60 + seen)
+    assert abs(got[0][0].score - 3 * unseen) < 1e-9
