@@ -260,10 +260,11 @@ def _voronoi(rows: DataFrame, depth: int, pivots: int, percent: int) -> DataFram
             .mapInArrow(run, "q long, kind int, p long, e long, n long, elements binary"))
 
 
-def _blocks(rows: DataFrame, sizes: DataFrame, cell: int) -> DataFrame:
-    """Cells that are pairs of blocks of a region, half a cell each."""
-    m = F.ceil(F.col("sets") / F.lit(max(1, cell // 2))).cast("int")
-    r = rows.join(sizes.select("p", "sets"), "p").withColumn("m", m).withColumn("b", F.pmod(F.xxhash64("e", F.lit(-1)), F.col("m")).cast("int"))
+def _blocks(rows: DataFrame, sizes: DataFrame, cell: int, shingles: int) -> DataFrame:
+    """Cells that are pairs of blocks of a region, half a cell each, by sets or by shingles, whichever makes more blocks."""
+    m = F.greatest(F.ceil(F.col("sets") / F.lit(max(1, cell // 2))),
+                   F.least("sets", F.ceil(F.col("shingles") / F.lit(max(1, shingles // 2))))).cast("int")
+    r = rows.join(sizes.select("p", "sets", "shingles"), "p").withColumn("m", m).withColumn("b", F.pmod(F.xxhash64("e", F.lit(-1)), F.col("m")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(F.col("b"), j).alias("i"), F.greatest(F.col("b"), j).alias("j")))
     return r.withColumn("c", F.explode(pair)).select(F.xxhash64("p", "c.i", "c.j").alias("p"), "e", "n", "elements")
 
@@ -272,7 +273,7 @@ def _sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("p").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
 
 
-def _split(rows: DataFrame, percent: int, region_sets: int, beyond: Column) -> list[DataFrame]:
+def _split(rows: DataFrame, percent: int, region_sets: int, region_shingles: int, beyond: Column) -> list[DataFrame]:
     """Links of regions that are too large for a task."""
     found = []
     for depth in range(MAX_DEPTH):
@@ -282,15 +283,15 @@ def _split(rows: DataFrame, percent: int, region_sets: int, beyond: Column) -> l
         cells = new.where("kind = 0")
         # windows that copy most of a region into most of its cells do not get anywhere
         stuck = cut(cells.groupBy("q").agg(F.count(F.lit(1)).alias("made")).join(sizes, F.col("q") == F.col("p"))
-                    .where(F.col("made") > 2 * F.col("sets")).select("p", "sets"), "stuck")
-        found.append(_cell_links(_blocks(rows, stuck, region_sets), percent))
+                    .where(F.col("made") > 2 * F.col("sets")).select("p", "sets", "shingles"), "stuck")
+        found.append(_cell_links(_blocks(rows, stuck, region_sets, region_shingles), percent))
         cells = cells.join(stuck.select(F.col("p").alias("q")), "q", "left_anti").select("p", "e", "n", "elements")
         after = cut(_sizes(cells), "region-sizes")
         found.append(_cell_links(cells.join(after.where(beyond), "p", "left_anti"), percent))
         if after.where(beyond).isEmpty():
             return found
         rows = cut(cells.join(after.where(beyond).select("p"), "p", "left_semi"), "region-sets")
-    return [*found, _cell_links(_blocks(rows, _sizes(rows), region_sets), percent)]
+    return [*found, _cell_links(_blocks(rows, _sizes(rows), region_sets, region_shingles), percent)]
 
 
 def links(docs: DataFrame, profiles: DataFrame, percent: int = PERCENT, region_sets: int = REGION_SETS,
@@ -311,7 +312,7 @@ def links(docs: DataFrame, profiles: DataFrame, percent: int = PERCENT, region_s
         return _cell_links(cells.join(several, "p", "left_semi").join(sets, "e"), percent)
     rows = cut(cells.join(sets, "e").select("p", "e", "n", "elements"), "region-sets")
     out = _cell_links(rows.join(large, "p", "left_anti"), percent)
-    for f in _split(rows.join(large, "p", "left_semi"), percent, region_sets, beyond):
+    for f in _split(rows.join(large, "p", "left_semi"), percent, region_sets, region_shingles, beyond):
         out = out.union(f)
     return out
 

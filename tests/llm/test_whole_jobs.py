@@ -74,3 +74,12 @@ def test_url_tokens_have_their_own_counts_and_words_any_length(spark):
     seen = 4 + sum(half)
     unseen = math.log(half[0] + 60 + seen) - math.log(half[1] + 60 + seen)
     assert abs(got[0][0].score - 3 * unseen) < 1e-9
+
+
+def test_a_region_of_few_very_long_sets_is_cut_into_blocks(spark):
+    rows = spark.createDataFrame([(1, e, 1000, b"") for e in range(40)], "p long, e long, n long, elements binary")
+    cells: dict[int, set[int]] = {}
+    for r in jaccard_join._blocks(rows, jaccard_join._sizes(rows), 1000, 20_000).collect():
+        cells.setdefault(r.p, set()).add(r.e)
+    assert max(map(len, cells.values())) < 40  # one cell by the number of sets, 40,000 shingles in four blocks
+    assert all(any({a, b} <= c for c in cells.values()) for a in range(40) for b in range(40))
