@@ -10,7 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardlens.llm import chat_roles, decontaminate, hpyp, jaccard_join, license_scan, mixing, quality, token_ids, url_filter, wordpiece
+from guardlens.llm import (chat_roles, decontaminate, fim, hpyp, importance, jaccard_join, license_scan, mixing, quality, token_ids, topk, url_filter,
+                           wordpiece)
 
 
 _SHIPPED: set[str] = set()
@@ -82,6 +83,18 @@ def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(_read(spark, sf_dir, "documents"))
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_sorted_list_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.report(_read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # beside the entry module; it imports this one
 
@@ -99,10 +112,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_segment_filter": op8_url_segment_filter,
     "op9_chat_roles": op9_chat_roles,
     "op10_hash_threshold_mix": op10_hash_threshold_mix,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_importance_resample": op12_importance_resample,
+    "op13_sorted_list_topk": op13_sorted_list_topk,
     "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {
     "op5_winnowing_decontamination": decontaminate.SQL,
     "op10_hash_threshold_mix": mixing.SQL,
+    "op11_fill_in_middle": fim.SQL,
+    "op12_importance_resample": importance.SQL,
+    "op13_sorted_list_topk": topk.SQL,
 }
