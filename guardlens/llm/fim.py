@@ -65,13 +65,13 @@ def layout(text: bytes, ends: np.ndarray, h: list[int], fim_percent: int, spm_pe
     return ("spm" if h[3] % 100 < spm_percent else "psm"), a, b
 
 
-def _chunks(ends: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int]]:
+def _chunks(ends: np.ndarray, a: int, b: int, units: int = UNITS, size: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Byte ranges of the units a to b, in order."""
     at = int(ends[a - 1]) if a else 0
-    for k in [*range(a + UNITS, b, UNITS), b] if b > a else []:
+    for k in [*range(a + units, b, units), b] if b > a else []:
         end = int(ends[k - 1])
-        for s in range(at, end, PIECE_BYTES):
-            yield s, min(end, s + PIECE_BYTES)
+        for s in range(at, end, size):
+            yield s, min(end, s + size)
         at = end
 
 
@@ -79,7 +79,7 @@ META = ("id", "n", "form", "prefix_chars", "middle_chars")
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, fim_percent: int = 50,
-           spm_percent: int = 80) -> DataFrame:
+           spm_percent: int = 80, units: int = UNITS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """(row, pos, data, id, n, form, prefix_chars, middle_chars): the output in pieces; the first one of a row has the figures."""
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"),
@@ -96,11 +96,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
                 ends = unit_ends(data)
                 form, a, b = layout(text, ends, h, fim_percent, spm_percent)
                 if form == "plain":
-                    out = [text[s:e] for s, e in _chunks(ends, 0, len(ends))] or [b""]
+                    out = [text[s:e] for s, e in _chunks(ends, 0, len(ends), units, piece_bytes)] or [b""]
                     meta = (ident, len(ends), form, None, None)
                 else:
                     bounds = {"P": (0, a), "M": (a, b), "S": (b, len(ends))}
-                    out = [x for k in ORDERS[form] for x in (MARKS[k], *(text[s:e] for s, e in _chunks(ends, *bounds[k])))]
+                    out = [x for k in ORDERS[form] for x in (MARKS[k], *(text[s:e] for s, e in _chunks(ends, *bounds[k], units, piece_bytes)))]
                     cut = [int(ends[k - 1]) if k else 0 for k in (a, b)]
                     meta = (ident, len(ends), form, code_points(data[:cut[0]]), code_points(data[cut[0]:cut[1]]))
                 for pos, x in enumerate(out):

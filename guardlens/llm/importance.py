@@ -13,7 +13,7 @@ modulo ``buckets``, is computed from the offsets for all words of a slice at onc
    place in its partition after the rows of the partitions before it (one count a partition).
 
 Null, empty and wordless texts have no features, weight 0, and are not drawn; a text of one word has one feature. Long texts are
-split in slices of ``SLICE`` bytes that end between words, so memory stays near a slice plus two bytes a feature. Ties of score go to the smaller
+split in slices of about ``SLICE`` bytes that end between words, so memory stays near a slice plus two bytes a feature. Ties of score go to the smaller
 id, null ids last, then to the earlier row; repeated rows take part each for itself. A null id is the empty string in the hash.
 Empty tables: no documents give no rows; an empty target has T = 0. Only the id and text columns are read.
 """
@@ -81,21 +81,21 @@ class Splitter:
         return at[:, 0], at[:, 1]
 
 
-def slices(data: np.ndarray) -> Iterator[tuple[int, int, bool]]:
-    """(start, end, goes on): slices that end between words; one that goes on starts with the last word of the slice before."""
-    at = last = 0
+def slices(data: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, start and end of the last word before it): slices that end between words."""
+    at = word_start = word_end = 0
     while at < len(data):
         end = min(len(data), at + SLICE)
         while end < len(data) and not len(gap := np.flatnonzero(~BY_ALNUM[data[at:end]])):
             end = min(len(data), end + SLICE)
         if end < len(data):
             end = at + int(gap[-1]) + 1
-        yield last, end, last < at
         word = BY_ALNUM[data[at:end]]
-        if word.any():  # the start of the last word
+        if word.any():
+            yield at, end, word_start, word_end
             stop = int(np.flatnonzero(word)[-1])
             gap = np.flatnonzero(~word[:stop])
-            last = at + (int(gap[-1]) + 1 if len(gap) else 0)
+            word_start, word_end = at + (int(gap[-1]) + 1 if len(gap) else 0), at + stop + 1
         at = end
 
 
@@ -121,25 +121,28 @@ def group_buckets(texts: list[bytes], splitter: Splitter, buckets: int) -> tuple
         edges = np.cumsum([len(t) + 1 for t in texts[i:j]])
         low = np.frombuffer(raw, np.uint8)
         held: list[list[np.ndarray]] = [[] for _ in range(i, j)]
-        for a, b, goes_on in slices(low):
-            start, end = splitter(raw[a:b])
-            part, doc = low[a:b], np.searchsorted(edges, start + a, side="right")
+        for a, b, c, d in slices(low):
+            part = raw[c:d] + b" " + raw[a:b] if c < d else raw[a:b]
+            start, end = splitter(part)
+            where = start + (a - d + c - 1 if c < d else a)
+            if c < d:
+                where[0] = c
+            doc = np.searchsorted(edges, where, side="right")
             pair = np.flatnonzero(doc[:-1] == doc[1:])
-            one, two = feature_crcs(part, start, end, pair)
-            if goes_on:
+            one, two = feature_crcs(np.frombuffer(part, np.uint8), start, end, pair)
+            own = doc
+            if c < d:  # the word before is only there for its pair
                 one, own = one[1:], doc[1:]
-            else:
-                own = doc
             both, of = np.concatenate([one, two]) % np.uint32(buckets), np.concatenate([own, doc[pair]])
             order = np.argsort(of, kind="stable")
             cuts = np.searchsorted(of[order], np.arange(j - i + 1))
             both = both[order].astype(kind)
-            for d, n in enumerate(np.bincount(own, minlength=j - i).tolist()):
-                words[i + d] += n
-                if cuts[d] < cuts[d + 1]:
-                    held[d].append(both[cuts[d]:cuts[d + 1]])
-        for d, h in enumerate(held):
-            found[i + d] = b"".join(x.tobytes() for x in h)
+            for t, n in enumerate(np.bincount(own, minlength=j - i).tolist()):
+                words[i + t] += n
+                if cuts[t] < cuts[t + 1]:
+                    held[t].append(both[cuts[t]:cuts[t + 1]])
+        for t, h in enumerate(held):
+            found[i + t] = b"".join(x.tobytes() for x in h)
         i = j
     return words, found
 
