@@ -17,11 +17,10 @@ from guardlens.functions import exprs as X
 from guardlens.functions import ordered
 from guardlens.functions import quantiles as Q
 from guardlens.functions.sqlfuncs import JsonLeaves
+from guardlens.operators.candidates import GUARD, NON_STANDARD, candidate_failures
 from guardlens.operators.spec import OPS, with_run
 from guardlens.session import cut
 
-NON_STANDARD = r"(?<=[:,\[]\s{0,2})-?(NaN|Infinity)(?=\s*[,}\]])"
-
 # Fields whose constraints are kept without further evidence.
 GENUINE_FIELDS = ("all_equal", "has_nan", "has_inf", "has_initial_lr", "preserve_rng_state", "expert_bias_dtype",
                   "post_norm", "rms", "n_parameters", "n_modules", "state_step_max", "state_step_min")
@@ -135,44 +134,43 @@ def parametric_candidates(profile: DataFrame, relations: Sequence[str] = RELATIO
 
 
 def shape_candidates(profile: DataFrame) -> DataFrame:
-    """Six shape-specific enumerators over the profile."""
+    """Six shape-specific enumerators over the profile; a candidate of several fields has a row for each."""
     paths = profile.groupBy("hookpoint").agg(F.sort_array(F.collect_set("path")).alias("paths"))
     has = lambda p: F.array_contains("paths", p)
     ends = lambda s: F.exists("paths", lambda p: p.endswith(s))
     hook = F.col("hookpoint")
 
-    def cand(cond, cid, relation, fld, op, value, is_field=False):
+    def guard(scope, fld, op, value):
+        return F.struct(F.lit(scope).alias("scope"), F.lit(fld).alias("field"), F.lit(op).alias("op"), F.lit(value).alias("value"))
+
+    def cand(cond, cid, relation, fld, op, value, is_field=False, only=None, walk=False):
         return F.when(cond, F.struct(cid.alias("candidate_id"), F.lit(relation).alias("relation"), hook.alias("hookpoint"),
                                      F.lit(fld).alias("field"), F.lit(op).alias("op"),
-                                     F.lit(value).cast("string").alias("value"), F.lit(is_field).alias("value_is_field")))
+                                     F.lit(value).cast("string").alias("value"), F.lit(is_field).alias("value_is_field"),
+                                     (F.lit(None) if only is None else only).cast(GUARD).alias("guard"), F.lit(walk).alias("walk")))
 
+    # Names of the enumerated constraints, as other tools of the trace format know them.
     items = [cand((hook == "build.snapshot") & has("$.cross_rank_cksums[*].all_equal"),
-                  F.lit("hyp/cross_rank_equal/replica_cksum"), "all_equal", "cross_rank_cksums[*].all_equal", "==", "true")]
+                  F.lit("hyp/cross_rank_equal/replica_cksum"), "all_equal", "cross_rank_cksums[*].all_equal", "==", "true",
+                  only=guard("element", "group_size", ">", "1"))]
     for left, right, op in COMPANIONS:
         cond = has(f"$.{left}") & (has(f"$.{right}") if isinstance(right, str) else F.lit(True))
         items.append(cand(cond, F.concat(F.lit("hyp/pfc/"), hook, F.lit(f"/{left}_{op}_{right}")), "companion", left, op,
                           str(right), isinstance(right, str)))
-    items.append(cand(ends(".has_nan"), F.concat(F.lit("hyp/tsb/no_nan_inf/"), hook), "no_nan_inf", "has_nan", "==", "false"))
+    for f in ("has_nan", "has_inf"):
+        items.append(cand(ends(".has_nan") & ends(f".{f}"), F.concat(F.lit("hyp/tsb/no_nan_inf/"), hook), "no_nan_inf", f, "==", "false", walk=True))
     for f in ("state_step_max", "state_step_min"):
         items.append(cand((hook == "optim.step.post") & has(f"$.{f}"), F.concat(F.lit("hyp/csm/"), hook, F.lit(f"/{f}")),
                           "monotonic", f, "increasing", None))
-    items.append(cand((hook == "build.snapshot") & has("$.model.n_parameters") & has("$.model.n_modules"),
-                      F.lit("hyp/sp/build_has_modules"), "nonzero", "model.n_parameters", ">", "0"))
+    for f in ("n_parameters", "n_modules"):
+        items.append(cand((hook == "build.snapshot") & has("$.model.n_parameters") & has("$.model.n_modules"),
+                          F.lit("hyp/sp/build_has_modules"), "nonzero", f"model.{f}", ">", "0"))
     items.append(cand((hook == "scheduler.init") & has("$.last_epoch") & has("$.param_groups[*].has_initial_lr"),
                       F.lit("hyp/cond/scheduler_resume_initial_lr"), "conditional", "param_groups[*].has_initial_lr",
-                      "==", "true"))
+                      "==", "true", only=guard("payload", "last_epoch", "!=", "-1")))
     return paths.select(F.inline(F.filter(F.array(*items), lambda x: x.isNotNull())))
 
 
-def to_candidates(df: DataFrame, limit: int = 5000) -> list[Candidate]:
-    """Candidate specs as plan input; the count is bounded by the schema and checked."""
-    rows = df.select("candidate_id", "relation", "hookpoint", "field", "op", "value", "value_is_field").orderBy(
-        "candidate_id").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} candidates; narrow the hypotheses")
-    return [Candidate(*r) for r in rows]
-
-
 def _typed(paths: Iterable[str]) -> T.StructType:
     """Nested schema of doubles for dotted numeric paths."""
     tree: dict = {}
@@ -188,19 +186,26 @@ def _typed(paths: Iterable[str]) -> T.StructType:
     return build(tree)
 
 
+def _is_number(value: object) -> bool:
+    try:
+        float(value)  # type: ignore[arg-type]
+        return True
+    except (TypeError, ValueError):
+        return False
+
+
 def failure_counts(trace: DataFrame, candidates: Sequence[Candidate], span: int = 1 << 20) -> DataFrame:
-    """Violations of every candidate on every trace (``run``): (candidate_id, run, n_violations).
+    """Violations of a few given candidates on every trace (``run``): (candidate_id, run, n_violations).
 
     All bound candidates are conditional counts of a single aggregate over one parse; each
-    monotonic candidate adds one two-level pass.
+    monotonic candidate adds one two-level pass. Candidates on lists and texts are interpreted; mined tables of
+    candidates go to ``candidates.candidate_failures`` as they are.
     """
     t = with_run(trace)
     runs = None
-    bounds = [c for c in candidates if c.op in OPS and "[*]" not in c.field]
+    bounds = [c for c in candidates if c.op in OPS and "[*]" not in c.field and (c.value_is_field or _is_number(c.value))]
     mono = [c for c in candidates if c.relation == "monotonic"]
-    unsupported = [c for c in candidates if c not in bounds and c not in mono]
-    if unsupported:
-        raise ValueError(f"no failure form for {[c.candidate_id for c in unsupported]}")
+    others = [c for c in candidates if c not in bounds and c not in mono]
     parts = []
     if bounds:
         fields = {c.field for c in bounds} | {str(c.value) for c in bounds if c.value_is_field}
@@ -214,8 +219,14 @@ def failure_counts(trace: DataFrame, candidates: Sequence[Candidate], span: int
         rows = F.array(*[F.struct(F.lit(c.candidate_id).alias("candidate_id"), F.col(f"v{i}").alias("n_violations"))
                          for i, c in enumerate(bounds)])
         parts.append(wide.select("run", F.inline(rows)).select("candidate_id", "run", "n_violations"))
-    if mono:
+    if mono or others:
         runs = t.select("run").distinct()
+    if others:
+        table = t.sparkSession.createDataFrame([(c.candidate_id, c.relation, c.hookpoint, c.field, c.op, None if c.value is None else str(c.value), c.value_is_field)
+                                                for c in others], CANDIDATE_SCHEMA)
+        found = candidate_failures(t, table, span=span).select("candidate_id", "run", F.col("n_violations").alias("n"))
+        every = runs.select("run", F.explode(F.array(*[F.lit(c.candidate_id) for c in others])).alias("candidate_id"))
+        parts.append(every.join(found, ["candidate_id", "run"], "left").select("candidate_id", "run", F.coalesce("n", F.lit(0)).cast("long").alias("n_violations")))
     for c in mono:
         rank = ["rank"] if "rank" in t.columns else []
         v = (t.where(F.col("hookpoint") == c.hookpoint)

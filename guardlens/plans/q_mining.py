@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from guardlens.operators import candidates as C
 from guardlens.operators import mining as J
 from guardlens.operators import state as S
 from guardlens.plans.registry import query
 from guardlens.plans.views import tensor_json
+from guardlens.session import cut
 
 
 def healthy(v):
@@ -88,6 +90,59 @@ def j06(v):
     return J.validate(counts(v))
 
 
+def mixed(v):
+    """Five hookpoints with lists, tensors, guards and counters, in three runs; every event is of one of them."""
+    hooks = ["optim.step.post", "utils.clip_grad.post", "build.snapshot", "scheduler.init", "module.fwd.post"]
+    k, x = F.col("event_id") % 5, F.col("value")
+    at = lambda i, c: F.when(k == i, c)
+    replica = lambda g, ok: F.struct(g.cast("long").alias("group_size"), ok.alias("all_equal"))
+    return v.events_as(
+        F.element_at(F.array(*map(F.lit, hooks)), (k + 1).cast("int")), "events", "event_id",
+        lr=at(0, x - 1), state_step_max=at(0, F.when(F.col("event_id") % 3 == 2, x.cast("long")).otherwise(F.col("event_id"))),
+        post_norm=at(1, x), max_norm=at(1, F.lit(150.0)), pre_norm=at(1, F.when(F.col("event_id") % 3 == 0, x / 2).otherwise(x)),
+        cross_rank_cksums=at(2, F.array(replica(F.col("event_id") % 2 + 1, x <= 100), replica(F.lit(1), F.lit(False)))),
+        model=at(2, F.struct(F.lit(7).alias("n_parameters"), F.when(x > 250, 0).otherwise(3).alias("n_modules"))),
+        last_epoch=at(3, F.col("event_id") % 4 - 1), param_groups=at(3, F.array(F.struct(F.lit(True).alias("has_initial_lr")), F.struct((x < 200).alias("has_initial_lr")))),
+        output=at(4, tensor_json(l2_norm=x, has_nan=F.lit(False), has_inf=x > 300)), inputs=at(4, F.array(tensor_json(has_nan=x < 1, has_inf=F.lit(False)))))
+
+
+MIXED_SQL = """
+e AS (SELECT event_id, event_id % 3 AS r, event_id % 4 AS rank, event_id % 5 AS k, value AS x FROM events),
+hooks(k, h) AS (VALUES (0, 'optim.step.post'), (1, 'utils.clip_grad.post'), (2, 'build.snapshot'), (3, 'scheduler.init'), (4, 'module.fwd.post')),
+leaf AS (SELECT r, rank, event_id, h, unnest(CASE e.k WHEN 0 THEN [{'f': 'lr', 'v': x - 1}, {'f': 'state_step_max', 'v': CASE WHEN r = 2 THEN trunc(x) ELSE event_id END}]
+    WHEN 1 THEN [{'f': 'post_norm', 'v': x}, {'f': 'max_norm', 'v': 150.0}, {'f': 'pre_norm', 'v': CASE WHEN r = 0 THEN x / 2 ELSE x END}]
+    WHEN 2 THEN [{'f': 'model.n_parameters', 'v': 7.0}, {'f': 'model.n_modules', 'v': CASE WHEN x > 250 THEN 0.0 ELSE 3.0 END}]
+    WHEN 3 THEN [{'f': 'last_epoch', 'v': (event_id % 4 - 1)::DOUBLE}] ELSE [{'f': 'output.l2_norm', 'v': x}] END, recursive := true) FROM e JOIN hooks USING (k)),
+steps AS (SELECT r, h, f, v, lag(v) OVER (PARTITION BY h, f, r, rank ORDER BY event_id) AS p FROM leaf),
+fails AS (
+  SELECT 'hyp/param/pfc/' || h || '/' || f || '_positive' AS id, r, count(*) FILTER (WHERE NOT v > 0) AS n FROM leaf GROUP BY ALL
+  UNION ALL SELECT 'hyp/param/sp/' || h || '/' || f || '_nonzero', r, count(*) FILTER (WHERE NOT v > 0) FROM leaf GROUP BY ALL
+  UNION ALL SELECT 'hyp/param/tsb/' || h || '/' || f || '_positive', r, count(*) FILTER (WHERE NOT v > 0) FROM leaf WHERE f LIKE '%_norm' GROUP BY ALL
+  UNION ALL SELECT 'hyp/param/csm/' || h || '/' || f, r, count(*) FILTER (WHERE v <= p) FROM steps GROUP BY ALL
+  UNION ALL SELECT 'hyp/csm/' || h || '/' || f, r, count(*) FILTER (WHERE v <= p) FROM steps WHERE f = 'state_step_max' GROUP BY ALL
+  UNION ALL SELECT 'hyp/cross_rank_equal/replica_cksum', r, count(*) FILTER (WHERE event_id % 2 = 1 AND x > 100) FROM e WHERE k = 2 GROUP BY ALL
+  UNION ALL SELECT 'hyp/sp/build_has_modules', r, count(*) FILTER (WHERE x > 250) FROM e WHERE k = 2 GROUP BY ALL
+  UNION ALL SELECT 'hyp/cond/scheduler_resume_initial_lr', r, count(*) FILTER (WHERE event_id % 4 <> 0 AND x >= 200) FROM e WHERE k = 3 GROUP BY ALL
+  UNION ALL SELECT 'hyp/tsb/no_nan_inf/module.fwd.post', r, count(*) FILTER (WHERE x > 300 OR x < 1) FROM e WHERE k = 4 GROUP BY ALL
+  UNION ALL SELECT 'hyp/pfc/utils.clip_grad.post/post_norm_<=_max_norm', r, count(*) FILTER (WHERE x > 150) FROM e WHERE k = 1 GROUP BY ALL
+  UNION ALL SELECT 'hyp/pfc/utils.clip_grad.post/post_norm_<=_pre_norm', r, count(*) FILTER (WHERE r = 0) FROM e WHERE k = 1 GROUP BY ALL
+  UNION ALL SELECT 'hyp/pfc/optim.step.post/lr_>_0', r, count(*) FILTER (WHERE NOT x > 1) FROM e WHERE k = 0 GROUP BY ALL)"""
+
+
+def mined(v):
+    """Candidates of the profile of the mixed trace, and that profile."""
+    profile = cut(J.schema_profile(mixed(v)), "profile")
+    return cut(J.parametric_candidates(profile).unionByName(J.shape_candidates(profile), allowMissingColumns=True), "candidates"), profile
+
+
+@query("j06_mined_candidates", f"""
+WITH {MIXED_SQL} SELECT id AS candidate_id, 3::BIGINT AS n_traces, count(*) FILTER (WHERE n > 0) AS n_fired, max(n) AS max_violations, CAST(sum(n) AS BIGINT) AS total_violations, 0::BIGINT AS n_errors,
+  max(n) <= 0 AS accepted, CASE WHEN max(n) > 0 THEN 'fired' END AS reason FROM fails GROUP BY 1""")
+def j06_mined(v):
+    candidates, profile = mined(v)
+    return C.validated(candidates, C.candidate_failures(mixed(v), candidates, profile, span=1000), mixed(v))
+
+
 @query("j07_learned_tolerance", """
 WITH s AS (SELECT event_type AS hookpoint, value AS x, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k FROM events)
 SELECT hookpoint, n, x AS tolerance FROM s WHERE k = CAST(floor(0.99 * (n - 1) + 1e-12) AS BIGINT)""")
@@ -149,6 +204,21 @@ def j13(v):
     return J.seeded_sample(v.part.select("p_brand", "p_partkey"), ["p_brand"], "p_partkey", 5, 7)
 
 
+@query("j13_replay_on_other_traces", f"""
+WITH {MIXED_SQL}, c AS (SELECT DISTINCT id, CASE WHEN starts_with(id, 'hyp/param/') THEN 'parametric' ELSE 'shape' END AS cohort FROM fails),
+s AS (SELECT id, cohort FROM (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY ('0x' || substr(md5('7:' || id), 1, 8))::BIGINT, id) AS rn FROM c) WHERE rn <= 8)
+SELECT cohort, 'run' || CAST(r AS VARCHAR) AS run, (SELECT count(*) FROM s z WHERE z.cohort = x.cohort) AS n_sampled, count(*) FILTER (WHERE n > 0) AS n_fired, 0::BIGINT AS n_errors,
+  round(count(*) FILTER (WHERE n > 0) * 1.0 / (SELECT count(*) FROM s z WHERE z.cohort = x.cohort), 9) AS fire_rate
+FROM (SELECT s.cohort, g.r, coalesce(f.n, 0) AS n FROM s CROSS JOIN (VALUES (1), (2)) g(r) LEFT JOIN fails f ON f.id = s.id AND f.r = g.r) x GROUP BY cohort, r""")
+def j13_replay(v):
+    """Sampled candidates of both cohorts, replayed on the runs other than run0."""
+    candidates, profile = mined(v)
+    cohort = F.when(F.col("candidate_id").startswith("hyp/param/"), "parametric").otherwise("shape")
+    ids = J.seeded_sample(candidates.select(cohort.alias("cohort"), "candidate_id").distinct(), ["cohort"], "candidate_id", 8, 7)
+    out = C.replay(cut(candidates.join(ids, "candidate_id"), "sample"), mixed(v).where("run <> 'run0'"), "cohort", profile)
+    return out.withColumn("fire_rate", F.round("fire_rate", 9))
+
+
 @query("j14_leave_one_out_baseline", """
 WITH r AS (SELECT user_id % 5 AS config, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1), l AS (SELECT a.config, min(b.lo) AS lo, max(b.hi) AS hi FROM r a JOIN r b ON a.config <> b.config GROUP BY 1)
 SELECT CAST(config AS BIGINT) AS config, 'value' AS field, 'range' AS rule, count(*) AS n_evaluations, count(*) FILTER (WHERE lo < hi AND (value < lo OR value > hi)) AS n_fires FROM events JOIN l ON user_id % 5 = config GROUP BY 1

@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,5 +68,30 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_folder(spark, name)
+    for made in _scratch:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The folders that ``cut`` makes inside the block, for ``discard`` once nothing unwritten reads them."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield made
+    finally:
+        _scratch[:] = [m for m in _scratch if m is not made]
+
+
+def discard(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Delete folders of this library, through the file system that holds them."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if not path.getName().startswith("guardlens-"):
+            raise ValueError(f"{folder} is not a folder of this library")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

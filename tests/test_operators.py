@@ -12,6 +12,7 @@ from guardlens.operators import diagnose as L
 from guardlens.operators import evalkit as M
 from guardlens.operators import generic as G
 from guardlens.operators import guards as D
+from guardlens.operators import candidates as C
 from guardlens.operators import mining as J
 from guardlens.operators import relational as R
 from guardlens.operators import rules as RU
@@ -84,12 +85,31 @@ def test_candidates_and_validation(spark, trace):
     healthy = [("utils.clip_grad.post", {"max_norm": 1.0, "post_norm": 0.5}, None, None, r) for r in ("a", "b")]
     odd = [("utils.clip_grad.post", {"max_norm": 1.0, "post_norm": 2.0}, None, None, "b")]
     t = trace(*healthy)
-    c = J.to_candidates(J.shape_candidates(J.schema_profile(t)))
-    assert [x.candidate_id for x in c] == ["hyp/pfc/utils.clip_grad.post/post_norm_<=_max_norm"]
-    assert [r.accepted for r in J.validate(J.failure_counts(t, c)).collect()] == [True]
-    assert [r.accepted for r in J.validate(J.failure_counts(trace(*healthy, *odd), c)).collect()] == [False]
-    with pytest.raises(ValueError):
-        J.to_candidates(J.parametric_candidates(J.schema_profile(t)), limit=1)
+    c = J.shape_candidates(J.schema_profile(t))
+    assert [x.candidate_id for x in c.collect()] == ["hyp/pfc/utils.clip_grad.post/post_norm_<=_max_norm"]
+    for events, accepted in ((healthy, True), (healthy + odd, False)):
+        t = trace(*events)
+        assert [r.accepted for r in C.validated(c, C.candidate_failures(t, c), t).collect()] == [accepted]
+
+
+def test_candidates_are_interpreted_and_errors_reject_them(spark, trace):
+    nan = '{"x": NaN, "output": {"dtype": "f", "shape": [2], "has_nan": false, "has_inf": true}}'
+    deep = {"a": [{"b": [{"c": 1}, {"c": -2}]}, {"b": []}, {}], "t": "no"}
+    t = trace(("h", {"x": 1, "y": 2, "t": "yes", "l": [{"v": True, "g": 2}, {"v": False, "g": 1}]}), ("h", {"x": None, "y": 3, "l": []}),
+              ("h", nan), ("h", deep), ("h", "{broken"), ("k", {"x": "text"}), ("h", {"l": [{"v": False, "g": 5}, {"v": None, "g": 5}]}),
+              ("m", {"s": 1}), ("m", {"s": 3}), ("m", {"s": 3}), ("m", {"s": 2}, 0, 1), ("m", {"s": "?"}, 0, 1))
+    profile = J.schema_profile(t)
+    made = [("less", "h", "x", "<", "y", True, None, False), ("elem", "h", "l[*].v", "==", "true", False, ("element", "g", ">", "1"), False),
+            ("deep", "h", "a[*].b[*].c", ">", "0", False, None, False), ("text", "h", "t", "!=", "no", False, None, False),
+            ("walk", "h", "has_nan", "==", "false", False, None, True), ("walk", "h", "has_inf", "==", "false", False, None, True),
+            ("type", "k", "x", ">", "0", False, None, False), ("op", "k", "x", "~", "0", False, None, False), ("none", "z", "x", ">", "0", False, None, False),
+            ("steps", "m", "s", "increasing", None, False, None, False), ("only", "h", "y", ">", "2", False, ("payload", "t", "==", "yes"), False)]
+    c = spark.createDataFrame([(i, "x", *r) for i, *r in made], f"candidate_id string, relation string, hookpoint string, field string, op string, value string, value_is_field boolean, guard {C.GUARD}, walk boolean")
+    got = {r.candidate_id: (r.n_violations, r.n_errors) for r in C.candidate_failures(t, c, profile).collect()}
+    # the broken payload is an error of every candidate of its hookpoint
+    assert got == {"less": (0, 1), "elem": (1, 1), "deep": (1, 1), "text": (1, 1), "walk": (1, 1), "type": (0, 1), "op": (0, 1), "steps": (1, 1), "only": (1, 1)}
+    v = {r.candidate_id: (r.accepted, r.reason) for r in C.validated(c, C.candidate_failures(t, c, profile), t).collect()}
+    assert v["none"] == (True, None) and v["type"] == (False, "error") and all(not a for k, (a, _) in v.items() if k != "none")
 
 
 def test_kappa_and_split(spark):
