@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardlens.llm.bitmaps import bitmap, in_bitmap, without
+from guardlens.llm.rows import ROW, numbered
 from guardlens.llm.text import BY_ALNUM, as_bytes, chunks, gram_hashes
-from guardlens.session import cut
+from guardlens.session import cut, discard, scratch
 
 WINDOW, GRAM = 10, 5
 BITMAP_BITS = 23
@@ -148,9 +149,12 @@ def digests(found: DataFrame, id_col: str) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows without any hit, with their own columns; other rows with a hit row's id stay."""
-    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    hit = decontaminate(numbered, items, "__row", text_col, **kw).where("n_hit > 0").select("id")
-    return without(numbered, cut(hit, "hit-rows"), "__row").drop("__row")
+    rows = numbered(docs)
+    with scratch() as made:
+        hit = decontaminate(rows, items, ROW, text_col, **kw).where("n_hit > 0").select("id")
+        gone = cut(hit, "hit-rows")
+    discard(docs.sparkSession, made[:-1])  # all but the last
+    return without(rows, gone, ROW).drop(ROW)
 
 
 SQL = r"""

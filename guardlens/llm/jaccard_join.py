@@ -42,8 +42,9 @@ from pyspark.sql import functions as F
 
 from guardlens.llm.bitmaps import bitmap, in_bitmap, without
 from guardlens.llm.components import components
+from guardlens.llm.rows import ROW, numbered
 from guardlens.llm.text import BY_SPACE, chunks, gram_hashes, pieces
-from guardlens.session import cut
+from guardlens.session import cut, discard, scratch
 
 SHINGLE, PERCENT = 5, 75
 SPARE, LARGE = 24, 40
@@ -338,10 +339,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """Of each component the row with the smallest id (null last, then the first row), once, with the input's columns.
 
-    Rows are told apart by a row number written with them, so equal and null ids neither take rows along nor save them.
+    Rows are told apart by their place, so equal and null ids neither take rows along nor save them.
     """
-    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
-    found = classes(numbered.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", **kw)
-    gone = cut(found.where("key.row <> component_id.row").select("key.row"), "gone-rows")
-    return without(numbered, gone, "__row").drop("__row")
+    rows = numbered(docs)
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(ROW).alias("row"))
+    with scratch() as made:
+        found = classes(rows.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", **kw)
+        gone = cut(found.where("key.row <> component_id.row").select("key.row"), "gone-rows")
+    discard(docs.sparkSession, made[:-1])  # all but the last
+    return without(rows, gone, ROW).drop(ROW)

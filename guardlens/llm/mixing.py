@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardlens.llm.bitmaps import small
-from guardlens.session import cut
+from guardlens.session import cut, discard, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -91,7 +91,7 @@ def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows with the columns source and h get source_size, target and copies."""
     extra = F.coalesce(F.col("h") < F.col("threshold"), F.lit(False)).cast("int")
     # one row a source: broadcast once counted, else rows would be dealt by source, a third of them to one task
-    return _with(rows, small(cut(plan, "mix-plan"))).withColumn("copies", F.col("copies") + extra).drop("threshold")
+    return _with(rows, small(plan)).withColumn("copies", F.col("copies") + extra).drop("threshold")
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -103,7 +103,7 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: int = 2) -> DataFrame:
     """One row per document: size, source_size, target, copies, and ``taken`` = copies * size."""
     sizes = cut(_sized(docs, id_col, text_col, source_col), "mix-sizes")
-    plan = thresholds(sizes, weights, budget, most)
+    plan = cut(thresholds(sizes, weights, budget, most), "mix-plan")
     return _taken(sizes, plan).select(F.col("id").alias(id_col), "size", "source_size", "target",
                                       (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
@@ -111,8 +111,10 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                   weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: int = 2) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of the input."""
-    sizes = cut(_sized(docs, id_col, text_col, source_col).drop("id"), "mix-sizes")
-    plan = thresholds(sizes, weights, budget, most)
+    with scratch() as made:
+        sizes = cut(_sized(docs, id_col, text_col, source_col).drop("id"), "mix-sizes")
+        plan = cut(thresholds(sizes, weights, budget, most), "mix-plan")
+    discard(docs.sparkSession, made[:-1])  # all but the last
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[source_col].alias("source"), hash48(docs[id_col]).alias("h"))
     taken = _taken(rows, plan).where(F.col("copies") > 0)
     return taken.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")

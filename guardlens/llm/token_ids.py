@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from guardlens.session import cut, work_folder
+from guardlens.session import cut, discard, scratch, work_folder
 
 MAGIC = b"TOKVAR1\0"
 BLOCK_IDS = 1 << 20
@@ -320,7 +320,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                       file_bytes: int = FILE_BYTES, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Encode and write; returns the manifest (file, part, seq, n_docs, n_ids), stored in the folder as well."""
     spark: SparkSession = docs.sparkSession
-    ids = cut(encoded(docs, id_col, text_col, tokenizer, end_id), "token-ids")
+    with scratch() as made:
+        ids = cut(encoded(docs, id_col, text_col, tokenizer, end_id), "token-ids")
     ranks_of(ids).write.parquet(f"{folder}/ranks")
     token_of = _token_of(spark, folder)
     rank = np.zeros(int(token_of.max()) + 1 if len(token_of) else 1, np.uint32)
@@ -372,6 +373,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     (ids.where("n >= 0").repartitionByRange("id", "row").sortWithinPartitions("id", "row").select("id", "ids")
      .mapInArrow(run, "file string, part int, seq int, n_docs long, n_ids long").write.parquet(f"{folder}/manifest"))
+    discard(spark, made)
     return spark.read.parquet(f"{folder}/manifest")
 
 
