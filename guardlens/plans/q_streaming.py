@@ -14,6 +14,7 @@ from guardlens.plans.registry import query
 from guardlens.plans.views import micros
 from guardlens.session import work_folder
 from guardlens.sources.traces import stream_trace
+from guardlens.streaming import keyed as Y
 from guardlens.streaming import online as K
 
 TRACE = T.StructType([*sc.ENVELOPE.fields, T.StructField("run", sc.S)])
@@ -45,10 +46,15 @@ def drained(v, trace, part, name, make):
 
 
 def to_table(v, stream_of, trace, part, name):
+    return to_table_and_state(v, stream_of, trace, part, name)[0]
+
+
+def to_table_and_state(v, stream_of, trace, part, name):
+    """Rows of the sink, and the folder of the checkpoint that holds what is open."""
     folder = staged(v, trace, part, name)
     out = stream_of(stream_trace(v.spark, f"{folder}/in", trace.schema, max_files=FILES))
     K.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint")
-    return v.spark.read.schema(out.schema).parquet(f"{folder}/out")
+    return v.spark.read.schema(out.schema).parquet(f"{folder}/out"), f"{folder}/checkpoint"
 
 
 THIRD = "CAST(floor(event_id * 3 / ((SELECT max(event_id) FROM events) + 1)) AS BIGINT)"
@@ -201,3 +207,70 @@ def k11_ticks(v):
     return K.violations_per_tick(bad, 100)
 
 
+
+
+# -- keyed state and event time ---------------------------------------------------------------
+
+def ticking(v):
+    """Events with a clock of one second an id, so that event time follows arrival."""
+    return v.events.select("event_id", F.timestamp_seconds(F.col("event_id") + 1_700_000_000).alias("ts"), "user_id", "event_type", "value")
+
+
+def voted(v, keys, value, trace, name, **kw):
+    Y.stateful(v.spark)
+    closed, state = to_table_and_state(v, lambda s: Y.votes(s, keys, value, **kw), trace, third(v), name)
+    return closed.unionByName(Y.open_groups(v.spark, state, keys))
+
+
+@query("k07_votes_by_entity_and_step", """
+SELECT event_id // 4 AS entity, CAST(event_id // 200 AS INTEGER) AS step, count(*) AS n_rows, min(event_type) AS min_value, max(event_type) AS max_value,
+  CASE WHEN count(*) = 4 THEN 'degree' ELSE 'end' END AS closed_by FROM events GROUP BY 1, 2 HAVING min(event_type) <> max(event_type)""")
+def k07_votes(v):
+    """Four replicas an entity: a group closes with its fourth row; one that lacks replicas is reported when the stream ends."""
+    t = ticking(v).withColumn("entity", F.expr("event_id div 4")).withColumn("step", F.expr("event_id div 200").cast("int"))
+    out = voted(v, ["entity", "step"], "event_type", t, "k07", degree=4, wait="60 days")
+    return out.where("min_value <> max_value")
+
+
+@query("k08_counts_closed_by_timer", """
+WITH g AS (SELECT CAST(event_id // 50 AS INTEGER) AS step, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1, 2)
+SELECT step, event_type, n FROM g WHERE n > 12""")
+def k08_timer(v):
+    """Events per step and kind: closed by a timer a minute after the first of them; the last steps when the stream ends."""
+    t = ticking(v).withColumn("step", F.expr("event_id div 50").cast("int"))
+    out = voted(v, ["step", "event_type"], "event_type", t, "k08", wait="60 seconds", lateness="0 seconds")
+    return out.where("n_rows > 12").select("step", "event_type", F.col("n_rows").alias("n"))
+
+
+@query("k12_save_load_join", """
+SELECT a.event_id AS save_id, b.event_id AS load_id, a.user_id, round(b.value - a.value, 9) AS drift FROM events a JOIN events b
+  ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type = 'view' AND b.event_id BETWEEN a.event_id AND a.event_id + 600""")
+def k12_join(v):
+    """Loads within ten minutes after a save of the same key, as a join of two streams."""
+    def both(s):
+        a, b = s.where("event_type = 'purchase'"), s.where("event_type = 'view'")
+        return Y.pairs(a, b, ["user_id"], "ts", "ts", "600 SECONDS")
+    out = to_table(v, both, ticking(v), third(v), "k12")
+    return out.select(F.col("l_event_id").alias("save_id"), F.col("r_event_id").alias("load_id"), F.col("l_user_id").alias("user_id"),
+                      F.round(F.col("r_value") - F.col("l_value"), 9).alias("drift"))
+
+
+@query("k12_sessions", """
+WITH t AS (SELECT user_id % 20 AS k, event_id AS s FROM events), m AS (SELECT *, s - lag(s) OVER (PARTITION BY k ORDER BY s) > 30 AS starts FROM t),
+g AS (SELECT k, s, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s) AS no FROM m)
+SELECT CAST(k AS BIGINT) AS k, min(s) AS started, max(s) + 30 AS ended, count(*) AS n_rows FROM g GROUP BY k, no HAVING max(s) + 30 <= (SELECT max(event_id) FROM events) - 60""")
+def k12_sessions(v):
+    """Sessions that had ended, by the watermark, when the stream did."""
+    t = ticking(v).withColumn("k", F.col("user_id") % 20)
+    out = to_table(v, lambda s: Y.sessions(s, ["k"], "ts", "30 seconds", "60 seconds"), t, third(v), "k12s")
+    second = lambda c: (F.unix_seconds(c) - 1_700_000_000).alias(c)
+    return out.select(F.col("k").cast("long"), second("started"), second("ended"), "n_rows")
+
+
+@query("k12_late_rows", f"""
+WITH p AS (SELECT event_id, ts, {THIRD} AS part FROM events), m AS (SELECT part, max(ts) AS top FROM p GROUP BY 1)
+SELECT event_id, coalesce(ts < (SELECT max(top) FROM m WHERE m.part < p.part) - INTERVAL 10 DAY, FALSE) AS is_late FROM p""")
+def k12_late(v):
+    """Rows that come more than ten days behind the largest time of the batches before go to a table of their own."""
+    h, _ = drained(v, timed(v).select("event_id", "ts"), third(v), "k12l", lambda root: Y.LateRows(K.BatchState(v.spark, root), "ts", "10 days"))
+    return h.state.spark.read.schema("event_id long, ts timestamp, is_late boolean").parquet(f"{h.state.root}/rows").select("event_id", "is_late")
