@@ -135,6 +135,63 @@ def stratified_split(cases: DataFrame, key: str, leak_key: Column, strata: Seque
     return g.join(picked, "__leak").select(key, *strata, F.when(F.col("in_test"), "test").otherwise("dev").alias("split"))
 
 
+def first_fit(items: DataFrame, size: str, key: str, ties: Sequence[str], cap: int, span: int = 1 << 18) -> DataFrame:
+    """The items that a pass in the order of ``key`` takes when it takes whatever still fits into ``cap``.
+
+    Done in rounds instead of one by one: a round takes the longest run from the front that fits (two-level running sums) and drops
+    the items that are larger than what is left, the one that stopped it among them. The largest size falls each round, so there
+    are at most as many rounds as different sizes.
+    """
+    rest, taken, left = cut(items.withColumn("__one", F.lit(0)), "fit"), None, cap
+    while left > 0 and not rest.isEmpty():
+        run = ordered.running_sum(rest, F.col(size), ordered.Order(("__one",), key, tuple(ties), span), "__cum")
+        run = cut(run, "fit")
+        fits = run.where(F.col("__cum") <= left)
+        used = fits.agg(F.sum(size).alias("n")).first().n or 0
+        taken = fits if taken is None else taken.unionByName(fits)
+        rest = cut(run.where((F.col("__cum") > left) & (F.col(size) <= left - used)).drop("__cum"), "fit")
+        left -= used
+    out = (rest if taken is None else taken).select(*items.columns)
+    return out.where(F.lit(taken is not None))
+
+
+def quota_fill_split(cases: DataFrame, key: str, leak_key: Column, strata: Sequence[str], total: int, seed: int = 0, span: int = 1 << 18) -> DataFrame:
+    """Mark ``total`` cases as test: quotas by stratum first, then a fill of the shortfall over all strata; leak groups stay whole.
+
+    A stratum's groups are taken in hash order until its quota is reached, the last one may pass it; a group that would lift the test set
+    above ``total`` is left out and later ones are tried. What is missing after all strata is filled from all other groups in hash order, again
+    by whatever fits. The result has ``total`` cases whenever enough small groups remain for that.
+    """
+    g = cases.withColumn("__leak", F.coalesce(leak_key.cast("string"), F.col(key).cast("string")))
+    groups = g.groupBy("__leak").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(key, *strata)).alias("rep"))
+    groups = cut(groups.select("__leak", "size", *[F.col(f"rep.{s}").alias(s) for s in strata], X.hash_order(seed, "__leak").alias("h")), "leak-groups")
+    per = groups.groupBy(*strata).agg(F.sum("size").alias("n"))
+    exact = F.lit(float(total)) * F.col("n") / per.agg(F.sum("n").alias("t")).scalar()
+    per = per.withColumn("exact", exact).withColumn("base", F.floor("exact").cast("long"))
+    rest = F.lit(total) - per.agg(F.sum("base").alias("b")).scalar()
+    every = Window.partitionBy(F.lit(0))  # one row per stratum
+    by_rest = every.orderBy(F.desc(F.round(F.col("exact") - F.col("base"), 9)), *[F.desc(s) for s in strata])
+    quotas = per.withColumn("__r", F.row_number().over(by_rest)).withColumn("__no", F.row_number().over(every.orderBy(*strata))).select(
+        *strata, "__no", (F.col("base") + F.when(F.col("__r") <= rest, 1).otherwise(0)).cast("long").alias("quota"))
+    run = ordered.running_sum(groups, F.col("size"), ordered.Order(tuple(strata), "h", ("__leak",), span), "cum", inclusive=False)
+    wanted = (_null_safe(run, quotas, strata).where(F.col("cum") < F.col("quota"))
+              .select("__leak", "size", (F.col("__no") * F.lit(1 << 32) + F.col("h")).alias("place")))
+    first = cut(first_fit(wanted, "size", "place", ["__leak"], total, 1 << 32).select("__leak", "size"), "first-fit")
+    short = total - (first.agg(F.sum("size").alias("n")).first().n or 0)
+    others = groups.join(first, "__leak", "left_anti").select("__leak", "size", "h")
+    second = first_fit(others, "size", "h", ["__leak"], short, span).select("__leak", "size")
+    picked = first.unionByName(second).select("__leak", F.lit("test").alias("split"))
+    return g.join(picked, "__leak", "left").select(key, *strata, F.coalesce("split", F.lit("dev")).alias("split"))
+
+
+def _null_safe(rows: DataFrame, few: DataFrame, on: Sequence[str]) -> DataFrame:
+    right = few.select(*[F.col(c).alias(f"__r_{c}") for c in on], *[c for c in few.columns if c not in on])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return rows.join(right, same).drop(*[f"__r_{c}" for c in on])
+
+
 def temporal_split(cases: DataFrame, time: str, cutoff: str | None = None, train_fraction: float = 0.5) -> DataFrame:
     """Before the cutoff is train, the rest test; the cutoff defaults to the dated row at the fraction."""
     d = cases.where(F.col(time).isNotNull())

@@ -362,6 +362,44 @@ def loo_false_positives(df: DataFrame, config: str, fields: Sequence[str]) -> Da
     return g.select(config, F.inline(rows))
 
 
+def rank_agreement(df: DataFrame, config: str, group: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """(config, field, n_groups, n_unequal): groups such as (run, step) in which a field is reported, and those whose ranks differ in it.
+
+    Smallest and largest value tell agreement, so a group of any size is a few numbers.
+    """
+    ends = [a for f in fields for a in (F.min(f).alias(f"{f}__lo"), F.max(f).alias(f"{f}__hi"))]
+    per = df.groupBy(config, *group).agg(*ends)
+    counts = [a for f in fields for a in (F.count(f"{f}__lo").alias(f"{f}__n"), F.count_if(F.col(f"{f}__lo") != F.col(f"{f}__hi")).alias(f"{f}__bad"))]
+    g = per.groupBy(config).agg(*counts)
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}__n").alias("n_groups"), F.col(f"{f}__bad").alias("n_unequal")) for f in fields])
+    return g.select(config, F.inline(rows)).where("n_groups > 0")
+
+
+def rank_equal_baseline(df: DataFrame, config: str, group: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Rules "ranks agree on this field" learned on the other configurations, fired on the held-out one.
+
+    The learned set is the intersection over the other configurations. A field is in it iff as many of them support it as report it,
+    which two counts per field tell; leaving one out takes its own support away.
+    """
+    found = rank_agreement(df, config, group, fields)
+    holds = (F.col("n_unequal") == 0).cast("long")
+    support = found.groupBy("field").agg(F.count(F.lit(1)).alias("n_with"), F.sum(holds).alias("n_support"))
+    j = found.join(support, "field")
+    learned = (F.col("n_with") > 1) & (F.col("n_support") - holds == F.col("n_with") - 1)
+    return j.select(config, "field", F.lit("rank_equal").alias("rule"), F.col("n_groups").alias("n_evaluations"),
+                    F.when(learned, F.col("n_unequal")).otherwise(0).cast("long").alias("n_fires"), learned.alias("learned"))
+
+
+def false_positives_per_million(*results: DataFrame) -> DataFrame:
+    """Fires and evaluations of all held-out configurations by kind of rule, and fires per million evaluations."""
+    both = None
+    for r in results:
+        part = r.select("rule", "n_evaluations", "n_fires")
+        both = part if both is None else both.unionByName(part)
+    return both.groupBy("rule").agg(F.sum("n_evaluations").alias("n_evaluations"), F.sum("n_fires").alias("n_fires")).withColumn(
+        "per_million", F.col("n_fires") * F.lit(1e6) / F.nullif(F.col("n_evaluations").cast("double"), F.lit(0.0)))
+
+
 def coverage_by_size(cases: DataFrame, template: str) -> DataFrame:
     """Share of cases covered by the k most frequent templates, for every k.
 

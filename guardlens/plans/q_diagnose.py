@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from guardlens.operators import diagnose as L
 from guardlens.operators import rules as R
 from guardlens.operators import spec as S
+from guardlens.operators import trees as T
 from guardlens.plans.q_relational import OUTLIER_SQL
 from guardlens.plans.q_rules import clip
 from guardlens.plans.registry import query
@@ -99,6 +100,40 @@ def l08(v):
     return L.root_causes(nodes(v)).select("node", "path_length", "chain_start", "severity")
 
 
+LEVEL_SQL = """
+t AS (SELECT l_suppkey % 8 AS shard, l_returnflag AS layout, l_orderkey AS name, CASE WHEN l_suppkey % 8 IN (1, 3) AND l_quantity >= 50 AND l_returnflag <> 'N' THEN 'alt' ELSE 'base' END AS cksum FROM lineitem),
+a AS (SELECT shard, CASE WHEN min(cksum) <> max(cksum) THEN 'fail' ELSE 'pass' END AS status FROM t GROUP BY 1),
+b AS (SELECT shard, layout, CASE WHEN min(cksum) <> max(cksum) THEN 'fail' ELSE 'pass' END AS status FROM t WHERE shard IN (SELECT shard FROM a WHERE status = 'fail') GROUP BY 1, 2),
+c AS (SELECT shard, layout, name, CASE WHEN min(cksum) <> max(cksum) THEN 'fail' ELSE 'pass' END AS status FROM t WHERE (shard, layout) IN (SELECT (shard, layout) FROM b WHERE status = 'fail') GROUP BY 1, 2, 3)"""
+
+
+@query("l07_adaptive_levels", f"""
+WITH {LEVEL_SQL} SELECT 0 AS level, CAST(shard AS VARCHAR) AS node, status FROM a UNION ALL SELECT 1, CAST(shard AS VARCHAR) || '/' || layout, status FROM b
+UNION ALL SELECT 2, CAST(shard AS VARCHAR) || '/' || layout || '/' || CAST(name AS VARCHAR), status FROM c""")
+def l07_levels(v):
+    """Agreement by shard, then by layout inside failed shards, then by parameter inside failed layouts; other folders are not read."""
+    q, shard = F.col("l_quantity"), F.col("l_suppkey") % 8
+    bad = shard.isin(1, 3) & (q >= 50) & (F.col("l_returnflag") != "N")
+    rows = v.lineitem.select(shard.alias("shard"), F.col("l_returnflag").alias("layout"), F.col("l_orderkey").alias("name"), F.when(bad, "alt").otherwise("base").alias("cksum"))
+    keys = ("shard", "layout", "name")
+    levels = [T.Level(keys[i], keys[:i + 1], T.agree(keys[:i + 1], "cksum")) for i in range(3)]
+    return T.drill_down(T.stored_by(rows, ["shard"]), levels).select("level", "node", "status")
+
+
+@query("l08_deep_chains", """
+WITH c AS (SELECT c_custkey AS node, c_custkey // 1000 AS b, c_acctbal < 0 AS bad FROM customer),
+f AS (SELECT node, b, bad, count(*) FILTER (WHERE bad) OVER w AS n, min(CASE WHEN bad THEN node END) OVER w AS far, lead(bad) OVER (PARTITION BY b ORDER BY node) AS below
+  FROM c WINDOW w AS (PARTITION BY b ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT node, n + 1 AS path_length, coalesce(far, node) AS chain_start FROM f WHERE bad AND NOT coalesce(below, FALSE)""")
+def l08_deep(v):
+    """Chains of a thousand nodes, one under the other."""
+    key = F.col("c_custkey")
+    order = v.customer.select(key.alias("node"), F.when(key % 1000 != 0, key - 1).alias("up"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") < 0, "fail").otherwise("pass").alias("status"))
+    there = order.select(F.col("node").alias("parent"))  # the first key of a chain may not exist
+    n = order.join(there, F.col("up") == F.col("parent"), "left").select("node", "parent", "name", F.lit(0).alias("level"), "status")
+    return T.failure_chains(n).select("node", "path_length", "chain_start")
+
+
 @query("l08_ancestors", """
 WITH RECURSIVE e AS (SELECT CAST(c_custkey AS BIGINT) AS node, c_custkey // 3 AS parent FROM customer WHERE c_custkey > 0),
 a AS (SELECT node, parent AS ancestor, 1 AS distance FROM e UNION ALL SELECT a.node, e.parent, a.distance + 1 FROM a JOIN e ON a.ancestor = e.node WHERE a.distance < 4)
@@ -129,3 +164,22 @@ WITH {NODE_SQL} SELECT stage || '|' || target AS parent, stage || '|' || target
   CAST(count(*) FILTER (WHERE status = 'pass') AS VARCHAR) || ' pass]' AS line FROM k GROUP BY stage, target""")
 def l11(v):
     return L.tree_report(nodes(v)).select("parent", "line")
+
+
+@query("l11_nested_tree", """
+WITH s AS (SELECT s_nationkey, 's' || CAST(s_suppkey AS VARCHAR) AS name, CASE WHEN s_acctbal < 1000 THEN 'fail' ELSE 'pass' END AS status FROM supplier),
+n AS (SELECT n_regionkey, 'n' || CAST(n_nationkey AS VARCHAR) AS name, count(s.name) AS k, count(*) FILTER (WHERE s.status = 'fail') AS f,
+  coalesce(string_agg('{"name":"' || s.name || '","status":"' || s.status || '","n_nodes":1,"n_fail":' || CASE WHEN s.status = 'fail' THEN '1' ELSE '0' END || ',"children":[]}', ',' ORDER BY s.name), '') AS kids
+  FROM nation LEFT JOIN s ON s_nationkey = n_nationkey GROUP BY 1, 2),
+m AS (SELECT *, CASE WHEN f > 0 THEN 'fail' ELSE 'pass' END AS status, f + CASE WHEN f > 0 THEN 1 ELSE 0 END AS nf FROM n),
+r AS (SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS root, sum(k + 1) AS k, sum(nf) AS f,
+  string_agg('{"name":"' || m.name || '","status":"' || m.status || '","n_nodes":' || CAST(k + 1 AS VARCHAR) || ',"n_fail":' || CAST(nf AS VARCHAR) || ',"children":[' || kids || ']}', ',' ORDER BY m.name) AS kids
+  FROM region JOIN m ON n_regionkey = r_regionkey GROUP BY 1)
+SELECT root, CAST(k + 1 AS BIGINT) AS n_nodes, CAST(f AS BIGINT) AS n_fail, '{"name":"' || root || '","status":"unchecked","n_nodes":' || CAST(CAST(k + 1 AS BIGINT) AS VARCHAR) || ',"n_fail":' || CAST(CAST(f AS BIGINT) AS VARCHAR) || ',"children":[' || kids || ']}' AS report FROM r""")
+def l11_nested(v):
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    s = v.supplier.select(key("s", "s_suppkey").alias("node"), key("n", "s_nationkey").alias("parent"), F.when(F.col("s_acctbal") < 1000, "fail").otherwise("pass").alias("status"))
+    worst = s.groupBy(F.col("parent").alias("node")).agg(F.min("status").alias("status"))
+    n = v.nation.select(key("n", "n_nationkey").alias("node"), key("r", "n_regionkey").alias("parent")).join(worst, "node", "left").fillna("pass", ["status"])
+    r = v.region.select(key("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("status"))
+    return T.nested_report(s.unionByName(n.select("node", "parent", "status")).unionByName(r).withColumn("name", F.col("node")))

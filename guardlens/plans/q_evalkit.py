@@ -147,6 +147,27 @@ def m12(v):
     return M.stratified_split(v.part.select("p_partkey", "p_type", "p_name"), "p_partkey", leak, ["p_type"], 50, seed=5)
 
 
+@query("m12_quota_fill", """
+WITH RECURSIVE g AS (SELECT p_brand || '#' || CAST(p_partkey % 97 % (p_size + 2) AS VARCHAR) AS leak, count(*) AS size, min((p_partkey, p_type)) AS rep FROM part GROUP BY 1),
+h AS MATERIALIZED (SELECT leak, size, rep[2] AS st, ('0x' || substr(md5('5:' || leak), 1, 8))::BIGINT AS h FROM g),
+p AS (SELECT st, sum(size)::BIGINT AS n FROM h GROUP BY 1), x AS (SELECT st, n, 60.0::DOUBLE * n / (SELECT sum(n) FROM p) AS exact FROM p),
+b AS (SELECT st, exact, CAST(floor(exact) AS BIGINT) AS base FROM x),
+q AS (SELECT st, base + CASE WHEN row_number() OVER (ORDER BY round(exact - base, 9) DESC, st DESC) <= 60 - (SELECT sum(base) FROM b) THEN 1 ELSE 0 END AS quota FROM b),
+c AS (SELECT leak, size, h.st, h, quota, coalesce(sum(size) OVER (PARTITION BY h.st ORDER BY h, leak ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h JOIN q ON h.st = q.st),
+w AS MATERIALIZED (SELECT leak, size, row_number() OVER (ORDER BY st, h, leak) AS k FROM c WHERE before < quota),
+s AS (SELECT 0::BIGINT AS k, 0::BIGINT AS total, FALSE AS took, NULL::VARCHAR AS leak
+  UNION ALL SELECT w.k, s.total + CASE WHEN s.total + w.size <= 60 THEN w.size ELSE 0 END, s.total + w.size <= 60, w.leak FROM s JOIN w ON w.k = s.k + 1),
+f AS MATERIALIZED (SELECT leak FROM s WHERE took),
+o AS MATERIALIZED (SELECT leak, size, row_number() OVER (ORDER BY h, leak) AS k FROM h WHERE leak NOT IN (SELECT leak FROM f)),
+t AS (SELECT 0::BIGINT AS k, (SELECT max(total) FROM s)::BIGINT AS total, FALSE AS took, NULL::VARCHAR AS leak
+  UNION ALL SELECT o.k, t.total + CASE WHEN t.total + o.size <= 60 THEN o.size ELSE 0 END, t.total + o.size <= 60, o.leak FROM t JOIN o ON o.k = t.k + 1)
+SELECT p_partkey, p_type, CASE WHEN p_brand || '#' || CAST(p_partkey % 97 % (p_size + 2) AS VARCHAR) IN (SELECT leak FROM f UNION ALL SELECT leak FROM t WHERE took) THEN 'test' ELSE 'dev' END AS split FROM part""")
+def m12_fill(v):
+    """Sequential rule of the original split: quotas, groups that do not fit are passed over, the shortfall is filled from all strata."""
+    leak = F.concat_ws("#", "p_brand", (F.col("p_partkey") % 97 % (F.col("p_size") + 2)).cast("string"))
+    return M.quota_fill_split(v.part.select("p_partkey", "p_type", "p_brand", "p_size"), "p_partkey", leak, ["p_type"], 60, seed=5)
+
+
 @query("m13_temporal_split_cutoff", "SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'train' ELSE 'test' END AS split FROM orders")
 def m13(v):
     return M.temporal_split(v.orders.withColumn("d", F.date_format("o_orderdate", "yyyy-MM-dd")), "d", "1998-01-01").select("o_orderkey", "split")

@@ -227,6 +227,24 @@ def j14(v):
     return J.loo_false_positives(v.events.withColumn("config", F.col("user_id") % 5), "config", ["value"])
 
 
+@query("j14_false_positives_by_kind", """
+WITH e AS (SELECT user_id % 5 AS config, event_id // 8 AS step, value, CASE WHEN user_id % 5 = 3 AND value > 150 THEN 1 ELSE 0 END AS flag FROM events),
+r AS (SELECT config, min(value) AS vlo, max(value) AS vhi, min(flag) AS flo, max(flag) AS fhi FROM e GROUP BY 1),
+l AS (SELECT a.config, min(b.vlo) AS vlo, max(b.vhi) AS vhi, min(b.flo) AS flo, max(b.fhi) AS fhi FROM r a JOIN r b ON a.config <> b.config GROUP BY 1),
+x AS (SELECT 'range' AS rule, count(*) * 2 AS n_evaluations, count(*) FILTER (WHERE vlo < vhi AND (value < vlo OR value > vhi)) + count(*) FILTER (WHERE flo < fhi AND (flag < flo OR flag > fhi)) AS n_fires FROM e JOIN l USING (config)
+  UNION ALL SELECT 'constant', count(*) * 2, count(*) FILTER (WHERE vlo = vhi AND value <> vlo) + count(*) FILTER (WHERE flo = fhi AND flag <> flo) FROM e JOIN l USING (config)),
+g AS (SELECT config, step, min(value) <> max(value) AS v, min(flag) <> max(flag) AS f FROM e GROUP BY 1, 2),
+c AS (SELECT config, 'value' AS field, count(*) AS n, count(*) FILTER (WHERE v) AS bad FROM g GROUP BY 1 UNION ALL SELECT config, 'flag', count(*), count(*) FILTER (WHERE f) FROM g GROUP BY 1),
+q AS (SELECT a.n, a.bad, (SELECT bool_and(b.bad = 0) FROM c b WHERE b.field = a.field AND b.config <> a.config) AS learned FROM c a),
+y AS (SELECT * FROM x UNION ALL SELECT 'rank_equal', sum(n), sum(CASE WHEN learned THEN bad ELSE 0 END) FROM q)
+SELECT rule, CAST(n_evaluations AS BIGINT) AS n_evaluations, CAST(n_fires AS BIGINT) AS n_fires, round(n_fires * 1e6 / n_evaluations, 6) AS per_million FROM y""")
+def j14_kinds(v):
+    e = v.events.select((F.col("user_id") % 5).alias("config"), F.expr("event_id div 8").alias("step"), "value",
+                        F.when((F.col("user_id") % 5 == 3) & (F.col("value") > 150), 1).otherwise(0).alias("flag"))
+    out = J.false_positives_per_million(J.loo_false_positives(e, "config", ["value", "flag"]), J.rank_equal_baseline(e, "config", ["step"], ["value", "flag"]))
+    return out.withColumn("per_million", F.round("per_million", 6))
+
+
 @query("j15_manual_sql_baseline", """
 SELECT 'cross_rank_equality' AS kind, count(*) AS n FROM (SELECT step FROM v_trace GROUP BY run, step HAVING count(DISTINCT value) > 1) UNION ALL SELECT 'range', count(*) FROM events WHERE value < 1 OR value > 200
 UNION ALL SELECT 'monotonic', count(*) FROM (SELECT value AS x, lag(value) OVER (PARTITION BY run, rank ORDER BY event_id) AS p FROM v_trace) WHERE x <= p""")
