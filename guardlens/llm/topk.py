@@ -2,8 +2,8 @@
 
 Every component x becomes the integer floor(scale * x); a score is an integer inner product, so results are exact. Vectors are
 dealt by row number into blocks of about ``BLOCK`` rows, queries into groups of about ``GROUP``; a cell is one block with one group.
-In a cell each dimension has a list of the block's vectors sorted by component. A query reads its lists from the end that adds most,
-side by side, ever deeper; nothing is looked up by vector while it reads:
+In a cell each dimension has a list of the block's vectors sorted by component. Lists are read from both ends, side by side, ever deeper, once
+for all queries of a group; a query takes each list from the end that adds most to it. Nothing is looked up by vector while lists are read:
 
 * a vector's lower bound is the sum of what was read of it plus the least that its unread lists can add, its upper bound the same with what stands
   next in these lists;
@@ -34,8 +34,9 @@ from guardlens.session import cut
 
 K, SCALE, STEP = 10, 1024, 100
 BLOCK, GROUP = 4096, 1024
-FIRST_DEPTH = 32
-FEW = 8  # reading may end when at most FEW * k vectors can still reach the k-th lower bound
+FIRST_DEPTH = 64
+FEW, SHARE = 8, 2  # reading may end when at most FEW * k vectors, or one in SHARE, can still reach the k-th lower bound
+QUERIES = 128      # of a group that read the lists side by side
 
 
 def integers(vectors: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
@@ -76,63 +77,54 @@ class Lists:
         self.x = x
         self.up = np.argsort(x, axis=0, kind="stable").T.astype(np.int32)  # a row for each dimension
         self.value = np.take_along_axis(x.T, self.up, 1)
-        self.words = -(-x.shape[1] // 64)
 
-    def read(self, a: int, b: int, dims: np.ndarray, falling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries a to b of the lists of some dimensions, from the top where ``falling``."""
+    def read(self, a: int, b: int, top: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Entries a to b of every list, from its largest or its smallest component."""
         n = self.x.shape[0]
-        at = np.arange(a, b)
-        at = np.where(falling[:, None], n - 1 - at, at)
-        return self.up[dims[:, None], at], self.value[dims[:, None], at]
-
-
-def _unread(seen: np.ndarray, per_dim: np.ndarray) -> np.ndarray:
-    """For each vector, the sum of ``per_dim`` over the dimensions whose list has not shown it (bits of ``seen``)."""
-    out = np.full(seen.shape[1], per_dim.sum())
-    for w, word in enumerate(seen):
-        own = np.zeros(64, np.int64)
-        own[:len(per_dim[64 * w:64 * w + 64])] = per_dim[64 * w:64 * w + 64]
-        parts = word.view(np.uint8).reshape(-1, 8)
-        for k in range(8):
-            table = np.zeros(256, np.int64)
-            for j in range(8):
-                table[1 << j:2 << j] = table[:1 << j] + own[8 * k + j]
-            out -= table[parts[:, k]]
-    return out
-
-
-def contenders(lists: Lists, q: np.ndarray, k: int) -> np.ndarray:
-    """Vectors of the block that can be among the k best for q (all that are, and ties of the k-th)."""
-    n = lists.x.shape[0]
-    dims = np.flatnonzero(q)
-    if n <= k or not len(dims):
-        return np.arange(n)
-    falling, w = q[dims] > 0, q[dims]
-    per_dim = np.zeros(64 * lists.words, np.int64)
-    least = per_dim.copy()
-    least[dims] = w * np.where(falling, lists.value[dims, 0], lists.value[dims, n - 1])
-    known, seen = np.zeros(n, np.int64), np.zeros((lists.words, n), np.uint64)
+        part = slice(n - b, n - a) if top else slice(a, b)
+        return self.up[:, part], self.value[:, part]
+
+
+def contenders(lists: Lists, queries: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each query the vectors of the block that can be among its k best (all that are, and ties of the k-th).
+
+    The lists are read once for all queries. What was read lies in one array for each end, so the bounds of all (query, vector) are
+    two products of matrices: what was read, plus the sums over unread lists of what stands next, or of the least.
+    """
+    n, dims = lists.x.shape
+    if n <= k or not dims:
+        return [np.arange(n)] * len(queries)
+    size = float(np.abs(lists.x).max()) * float(np.abs(queries).max(initial=0)) * dims
+    kind = np.float64 if 4 * size < 2.0 ** 53 else np.int64  # sums of integers below 2**53 are exact in doubles
+    both = np.zeros((n, 4 * dims), kind)
+    read, shown = both[:, :2 * dims], both[:, 2 * dims:]
+    q = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)]).astype(kind)  # read from the top, and from the bottom
+    least = q * np.concatenate([lists.value[:, 0], lists.value[:, -1]]).astype(kind)
+    dim = np.arange(dims)[:, None]
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
+    open_ = np.arange(len(queries))
     a, b = 0, min(n, FIRST_DEPTH)
     while True:
-        ids, values = lists.read(a, b, dims, falling)
-        np.add.at(known, ids, values * w[:, None])
-        for word in range(lists.words):
-            mine = dims // 64 == word
-            # a list shows a vector once, so adding its bit sets it
-            np.add.at(seen[word], ids[mine], np.broadcast_to((np.uint64(1) << (dims[mine] % 64).astype(np.uint64))[:, None], ids[mine].shape))
+        for top, shift in ((True, 0), (False, dims)):
+            ids, values = lists.read(a, b, top)
+            read[ids, dim + shift], shown[ids, dim + shift] = values, 1
+        mine = q[open_]
         if b == n:
-            per_dim[:] = 0
-            lower = upper = known
-            outside = None
+            upper = lower = mine @ read.T
+            outside = np.full(len(open_), np.iinfo(np.int64).min // 4, kind)
         else:
-            nxt = lists.read(b, b + 1, dims, falling)[1][:, 0]
-            per_dim[dims] = nxt * w
-            lower, upper = known + _unread(seen, least), known + _unread(seen, per_dim)
-            outside = int(per_dim.sum())
-        bar = int(np.partition(lower, n - k)[n - k])
-        able = np.flatnonzero(upper >= bar)
-        if b == n or outside < bar and len(able) <= FEW * k:
-            return able
+            following = mine * np.concatenate([lists.value[:, n - 1 - b], lists.value[:, b]]).astype(kind)
+            outside = following.sum(1)
+            upper = np.hstack([mine, -following]) @ both.T + outside[:, None]
+            lower = np.hstack([mine, -least[open_]]) @ both.T + least[open_].sum(1)[:, None]
+        bar = np.partition(lower, n - k, axis=1)[:, n - k]
+        able = upper >= bar[:, None]
+        ends = (outside < bar) & (np.count_nonzero(able, axis=1) <= max(FEW * k, n // SHARE)) | (b == n)
+        for i in np.flatnonzero(ends).tolist():
+            out[open_[i]] = np.flatnonzero(able[i])
+        open_ = open_[~ends]
+        if not len(open_):
+            return out
         a, b = b, min(n, 2 * b)
 
 
@@ -161,10 +153,9 @@ def cell(rows: pa.Table, queries: pa.Table, dims: int, k: int) -> pa.Table:
     lists = Lists(distinct)
     out: list[list[np.ndarray]] = [[], [], []]
     own = {r: i for i, r in enumerate(row.tolist())}
-    for i in range(len(qs)):
+    # one more than k distinct vectors: the query's own may be one of them
+    for i, able in enumerate(able for a in range(0, len(qs), QUERIES) for able in contenders(lists, qs[a:a + QUERIES], k + 1)):
         me = own.get(int(q_row[i]), -1)
-        # one more than k distinct vectors: the query's own may be one of them
-        able = contenders(lists, qs[i], k + 1)
         score = distinct[able] @ qs[i]
         members = np.concatenate([order[first[v]:min(first[v + 1], first[v] + k + 1)] for v in able.tolist()])
         scores = np.repeat(score, [min(first[v + 1] - first[v], k + 1) for v in able.tolist()])
