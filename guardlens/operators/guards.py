@@ -185,3 +185,14 @@ def module_labels(cls: Column) -> dict[str, Column]:
 def feature_passive(rows: DataFrame, flags: DataFrame, by: Sequence[str], flag: str) -> DataFrame:
     """Rows of runs that declare the feature; runs without the flag are passive."""
     return rows.join(flags.where(F.col(flag)).select(*by), list(by), "left_semi")
+
+
+def feature_status(rows: DataFrame, flags: DataFrame, by: Sequence[str], flag: str, violated: Column) -> DataFrame:
+    """(by, n_violations, status): ``passive`` where the feature is off, undeclared (no flag row, or a null flag) or never seen in a row;
+    else ``fail`` or ``pass``."""
+    on = flags.groupBy(*by).agg(F.max(F.coalesce(F.col(flag), F.lit(False))).alias("__on"))
+    seen = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.count_if(violated).alias("__bad"))
+    j = on.join(seen, list(by), "full")
+    active = F.coalesce("__on", F.lit(False)) & (F.coalesce("__n", F.lit(0)) > 0)
+    n = F.when(active, F.col("__bad")).otherwise(0).cast("long")
+    return j.select(*by, n.alias("n_violations"), F.when(~active, "passive").when(n > 0, "fail").otherwise("pass").alias("status"))

@@ -444,6 +444,35 @@ def _dtype_join(parsed: DataFrame, guards: frozenset[str]) -> DataFrame:
                                F.lit(None).cast("double").alias("observed"))
 
 
+# -- what a run must show for a rule to apply: without it the rule is passive ------------------
+
+def _on(hook: str, cond=None):
+    """Events of a hookpoint, optionally those that meet a condition on the payload."""
+    return (lambda p: F.col("hookpoint") == hook) if cond is None else (lambda p: (F.col("hookpoint") == hook) & F.coalesce(cond(p), F.lit(False)))
+
+
+def _any_declared(key: str):
+    return lambda p: F.exists(F.map_values(p.framework_invariants), lambda m: F.coalesce(F.element_at(m, F.lit(key)), F.lit("")) != "")
+
+
+def _declares(framework: str, *keys: str):
+    def cond(p: Column) -> Column:
+        m = F.element_at(p.framework_invariants, F.lit(framework))
+        out = F.lit(True)
+        for k in keys:
+            out = out & F.element_at(m, F.lit(k)).isNotNull()
+        return out
+    return cond
+
+
+def _switched_on(framework: str, key: str):
+    return lambda p: ~F.lower(F.element_at(F.element_at(p.framework_invariants, F.lit(framework)), F.lit(key))).isin("false", "0", "0.0", "")
+
+
+def _grouped(name: str):
+    return lambda p: F.exists(X.field(p, name), lambda r: F.coalesce(r.group_size, F.lit(1).cast("long")) > 1)
+
+
 # -- the library ---------------------------------------------------------------------------------
 
 def _no_findings(p: Column) -> Column:
@@ -454,7 +483,8 @@ RULES: tuple[Check, ...] = (
     Check("T0-attention-head-uniformity", ("attention.fwd.post",),
           fields=("max_to_min_ratio", "any_zero_head", "module_name"), findings=_attention_heads),
     Check("T0-checkpoint-preserve-rng", ("checkpoint.call", "build.snapshot", "module.fwd.post"),
-          frame_fields=("preserve_rng_state", "function", "module_class", "model"), frame=_checkpoint_rng),
+          frame_fields=("preserve_rng_state", "function", "module_class", "model"), needs=((_on("checkpoint.call"), 1),),
+          frame=_checkpoint_rng),
     Check("T0-clip-grad-bounded", ("utils.clip_grad.post",), fields=("post_norm", "max_norm", "fn"),
           template="T09", findings=lambda p: fail_if(p.post_norm > p.max_norm * (1 + CLIP_SLACK), "post_norm",
                                                      "above max_norm", p.post_norm)),
@@ -463,7 +493,8 @@ RULES: tuple[Check, ...] = (
           precondition=lambda p: ~X.contains_any(F.coalesce(p.module_class, F.lit("")), CASTING_CLASSES),
           findings=_no_findings, description="counts checkable outputs; the joined form is tier 1"),
     Check("T0-evaluator-eval-mode", ("module.fwd.pre", "checkpoint.call"),
-          frame_fields=("grad_enabled", "training", "module_name"), frame=_eval_mode),
+          frame_fields=("grad_enabled", "training", "module_name"), needs=((_on("module.fwd.pre"), 1),), veto=_on("checkpoint.call"),
+          frame=_eval_mode),
     Check("T0-grad-norm-finite", ("optim.step.pre",), fields=("total_grad_l2",), findings=_grad_norm),
     Check("T0-initial-lr-present", ("scheduler.init",), fields=("last_epoch", "param_groups"), template="T11",
           precondition=lambda p: F.coalesce(p.last_epoch, F.lit(-1).cast("long")) != -1, findings=_initial_lr),
@@ -477,7 +508,8 @@ RULES: tuple[Check, ...] = (
     Check("T0-norm-output-unit-rms", ("module.fwd.post",), fields=("is_normalizer", "output", "module_class"),
           template="T04", precondition=lambda p: p.is_normalizer, findings=_norm_rms),
     Check("T0-optim-lr-positive", ("build.snapshot",), fields=("optimizer",), template="T14", findings=_lr_positive),
-    Check("T0-optim-step-counter-monotonic", ("optim.step.post",), frame_fields=("state_step_max",), template="T15",
+    Check("T0-optim-step-counter-monotonic", ("optim.step.post",), frame_fields=("state_step_max",), needs=((_on("optim.step.post", lambda p: p.state_step_max.isNotNull()), 2),),
+          template="T15",
           frame=monotonic_frame("state_step_max")),
     Check("T0-param-update-applied", ("optim.step.post",),
           fields=("total_param_delta_l2", "n_params_unchanged_with_grad", "optimizer_class"), findings=_update_applied),
@@ -486,10 +518,13 @@ RULES: tuple[Check, ...] = (
           findings=_softmax),
     Check("T0-token-id-in-vocab", ("dataloader.batch",), fields=("input_ids",), findings=_token_ids),
     Check("T1-buffer-replica-cksum-equal", ("build.snapshot",), tier=1, fields=("cross_rank_buffer_cksums",),
+          needs=((_on("build.snapshot", _grouped("cross_rank_buffer_cksums")), 1),),
           findings=_replicas_guarded("cross_rank_buffer_cksums")),
     Check("T1-comm-dtype-matches-training", ("comm.post", "build.snapshot"), tier=1,
-          frame_fields=("op", "tensor_post", "framework_invariants"), frame=_comm_dtype),
+          frame_fields=("op", "tensor_post", "framework_invariants"), needs=((_on("build.snapshot", _any_declared("training_dtype")), 1),),
+          frame=_comm_dtype),
     Check("T1-expert-bias-fp32", ("module.fwd.post",), tier=1, fields=("semantic", "module_class"), template="T05",
+          needs=((_on("module.fwd.post", lambda p: p.semantic.is_router & p.semantic.expert_bias_dtype.isNotNull()), 1),),
           precondition=lambda p: p.semantic.is_router, findings=_expert_bias),
     Check("T1-fwd-output-block-uniformity", ("module.fwd.post",), tier=1,
           frame_fields=("module_class", "module_name", "output"),
@@ -503,6 +538,7 @@ RULES: tuple[Check, ...] = (
           fields=("dtypes_match", "module_class", "output_dtype"),
           findings=lambda p: fail_if(p.dtypes_match == F.lit(False), p.module_class, p.output_dtype)),
     Check("T1-layer-count-strict", ("build.snapshot",), tier=1, frame_fields=("framework_invariants",),
+          needs=((_on("build.snapshot", _declares("megatron", "num_layers")), 1), (_on("build.snapshot", _declares("megatron", "n_transformer_layers_in_local_module")), 1)),
           frame=_layer_count),
     Check("T1-multi-backward-per-step-fragile-config", ("module.fwd.pre", "build.snapshot"), tier=1,
           frame_fields=("module_name", "framework_invariants"), frame=_multi_forward),
@@ -511,11 +547,14 @@ RULES: tuple[Check, ...] = (
     Check("T1-replica-cksum-equal", ("build.snapshot",), tier=1, fields=("cross_rank_cksums",), template="T01",
           findings=_replicas_guarded("cross_rank_cksums")),
     Check("T1-residual-stream-preserved", ("residual.probe", "module.fwd.pre", "module.fwd.post"), tier=1,
+          needs=((lambda p: (F.col("hookpoint") == "residual.probe") | F.coalesce(p.semantic.is_residual_block, F.lit(False)), 1),),
           template="T23", frame_fields=("d_to_original_input", "d_to_normed_input", "block_class", "module_class",
                                         "semantic", "inputs", "output"), frame=_residual),
     Check("T1-router-has-calculate-per-token-loss", ("module.fwd.post", "build.snapshot"), tier=1,
-          frame_fields=("semantic", "module_class", "framework_invariants"), frame=_router_attribute),
+          frame_fields=("semantic", "module_class", "framework_invariants"), needs=((_on("build.snapshot", _switched_on("megatron", "calculate_per_token_loss")), 1), (_on("module.fwd.post", lambda p: p.semantic.is_router), 1)),
+          frame=_router_attribute),
     Check("T1-sqrt-decay-front-loaded", ("decay.probe",), tier=1, frame_fields=("progress", "result"),
+          needs=((_on("decay.probe", lambda p: p.progress.isNotNull() & p["result"].isNotNull()), 5),),
           frame=_sqrt_decay),
 )
 

@@ -22,7 +22,6 @@ from guardlens.functions import exprs as X
 
 FINDING_TYPE = "array<struct<entity:string,issue:string,observed:double>>"
 LABELLED_TYPE = "array<struct<check_id:string,entity:string,issue:string,observed:double>>"
-COUNT_TYPE = "array<struct<check_id:string,checked:int,found:int>>"
 
 
 def finding(entity: Column | str | None = None, issue: Column | str | None = None,
@@ -62,6 +61,10 @@ class Check:
     precondition: Callable[[Column], Column] | None = None
     frame: Callable[[DataFrame, frozenset[str]], DataFrame] | None = None
     frame_fields: tuple[str, ...] = ()
+    #: conditions on (hookpoint, payload) and how many events of a run must meet each; else the check is passive there
+    needs: tuple[tuple[Callable[[Column], Column], int], ...] = ()
+    #: a run with an event like this makes the check passive
+    veto: Callable[[Column], Column] | None = None
     kind: str = "validity"
     template: str | None = None
     description: str = ""
@@ -102,17 +105,54 @@ def for_hookpoints(checks: Iterable[Check], present: Iterable[str]) -> list[Chec
     return [c for c in checks if seen.intersection(c.hookpoints)]
 
 
-def parse(trace: DataFrame, checks: Sequence[Check], keep: Sequence[str] = ()) -> DataFrame:
-    """One scan, one JSON parse, restricted to the hookpoints and fields the checks use."""
+BAD = "_unparsed"
+
+
+def _fields(checks: Sequence[Check]) -> list[str]:
+    return sorted({f for c in checks for f in (*c.fields, *c.frame_fields)})
+
+
+def _with_bad(schema: sc.T.StructType) -> sc.T.StructType:
+    return sc.T.StructType([*schema.fields, sc.T.StructField(BAD, sc.T.StringType())])
+
+
+def parse(trace: DataFrame, checks: Sequence[Check], keep: Sequence[str] = (), errors: bool = False) -> DataFrame:
+    """One scan, one JSON parse, restricted to the hookpoints and fields the checks use.
+
+    With ``errors`` the payload struct keeps the text of payloads that do not parse under these fields.
+    """
     hooks = sorted({h for c in checks for h in c.hookpoints})
-    fields = sorted({f for c in checks for f in (*c.fields, *c.frame_fields)})
+    fields = _fields(checks)
     base = with_run(trace).where(X.hookpoint_in(hooks))
     cols = ["run", "rank", "step", "event_id", "hookpoint", *keep]
     if "p" in base.columns:
         return base.select(*cols, "p")
     if not fields:
         return base.select(*cols, F.struct(F.lit(None).cast("string").alias("_")).alias("p"))
-    return base.select(*cols, F.from_json("payload", sc.payload_schema(fields)).alias("p"))
+    schema, options = sc.payload_schema(fields), {}
+    if errors:
+        schema, options = _with_bad(schema), {"columnNameOfCorruptRecord": BAD}
+    return base.select(*cols, F.from_json("payload", schema, options).alias("p"))
+
+
+def unparsed(c: Check, p: Column) -> Column:
+    """True for an event whose payload does not fit the fields of this check. Only events that failed the joint parse are parsed again."""
+    fields = _fields([c])
+    if not fields:
+        return F.lit(False)
+    bad = p.getField(BAD)
+    own = F.from_json(bad, _with_bad(sc.payload_schema(fields)), {"columnNameOfCorruptRecord": BAD}).getField(BAD)
+    return F.when(bad.isNotNull(), own.isNotNull()).otherwise(F.lit(False))
+
+
+def layout(trace: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """Typed payload fields of several frame checks, parsed once and stored by hookpoint: each check then reads its own columns and
+    folders instead of parsing the trace again."""
+    from guardlens.session import work_folder
+    parsed = parse(trace, checks)
+    path = work_folder(parsed.sparkSession, "layout")
+    parsed.write.partitionBy("hookpoint").parquet(path)
+    return parsed.sparkSession.read.schema(parsed.schema).parquet(path).select(*parsed.columns)
 
 
 def with_run(trace: DataFrame) -> DataFrame:
@@ -168,9 +208,12 @@ def violation_columns() -> list[Column]:
 
 
 def violations(trace: DataFrame, checks: Sequence[Check], guards: frozenset[str] = ALL_GUARDS) -> DataFrame:
-    """Violations of all checks; row checks share one scan, frame checks add their own plan."""
+    """Violations of all checks; row checks share one scan, frame checks add their own plan over one stored parse."""
     rows = [c for c in checks if c.findings is not None]
     parts = [row_violations(trace, rows, guards)] if rows else []
+    frames = [c for c in checks if c.frame is not None]
+    if len(frames) > 1 and "p" not in trace.columns:
+        trace = layout(trace, frames)
     for c in checks:
         if c.frame is not None:
             parts.append(c.frame(parse(trace, [c]), guards)
@@ -181,29 +224,35 @@ def violations(trace: DataFrame, checks: Sequence[Check], guards: frozenset[str]
 
 
 def results(trace: DataFrame, checks: Sequence[Check], guards: frozenset[str] = ALL_GUARDS) -> DataFrame:
-    """One row per (run, check): status, events in scope, events checked, violations.
+    """One row per (run, check): status, events in scope, events checked, violations, errors.
 
-    ``passive`` means no event was in scope; ``pass`` and ``fail`` are only given to checks
-    that saw data. Counting in-scope events for every check takes one pass.
+    ``fail`` if a violation was found; else ``error`` if a payload in scope does not have the types of the check's fields (such an event
+    gives no finding); else ``passive`` if no event was in scope, or what the check needs to be declared was not; else ``pass``.
+    Counting for every check takes one pass.
     """
     p = F.col("p")
-    parsed = parse(trace, checks)
+    parsed = parse(trace, checks, errors=True)
+    one = lambda c: F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0)
+    most = max((len(c.needs) for c in checks), default=0)
+    zeros = [F.lit(0) for _ in range(most)]
 
     def counts(c: Check) -> Column:
-        cid = F.lit(c.check_id).alias("check_id")
-        if c.findings is None:
-            return F.array(F.struct(cid, F.lit(1).alias("checked"), F.lit(0).alias("found")))
-        one = F.struct(cid, F.when(c.guarded(p, guards), 1).otherwise(0).alias("checked"),
-                       F.size(_found(c, p, guards)).alias("found"))
-        if c.applies is None:
-            return F.array(one)
-        return F.when(F.coalesce(c.applies(p), F.lit(False)), F.array(one)).otherwise(F.array().cast(COUNT_TYPE))
-
-    seen = (parsed.select("run", F.inline(_by_hookpoint(checks, counts, COUNT_TYPE)))
-            .groupBy("run", "check_id").agg(F.count(F.lit(1)).alias("n_scope"), F.sum("checked").alias("n_checked"),
-                                            F.sum("found").alias("n_row")))
+        bad = unparsed(c, p)
+        needs = [one(need(p)) for need, _ in c.needs]
+        inside = c.scope(p) if c.findings is not None else X.hookpoint_in(c.hookpoints)
+        checked, found = (F.lit(1), F.lit(0)) if c.findings is None else (one(c.guarded(p, guards)), F.size(_found(c, p, guards)))
+        applies = one(inside | bad) if c.applies is not None else F.lit(1)
+        fields = {"scope": applies, "checked": F.when(bad, 0).otherwise(checked), "found": F.when(bad, 0).otherwise(found), "bad": one(bad),
+                  "veto": F.lit(0) if c.veto is None else one(c.veto(p)), **{f"need{i}": n for i, n in enumerate([*needs, *zeros[len(needs):]])}}
+        return F.array(F.struct(F.lit(c.check_id).alias("check_id"), *[v.cast("int").alias(k) for k, v in fields.items()]))
+
+    kind = "array<struct<check_id:string,scope:int,checked:int,found:int,bad:int,veto:int" + "".join(f",need{i}:int" for i in range(most)) + ">>"
+    names = {"scope": "n_scope", "checked": "n_checked", "found": "n_row", "bad": "n_bad", "veto": "n_veto", **{f"need{i}": f"n_need{i}" for i in range(most)}}
+    seen = (parsed.select("run", F.inline(_by_hookpoint(checks, counts, kind)))
+            .groupBy("run", "check_id").agg(*[F.sum(k).alias(n) for k, n in names.items()]))
     # one row per (run, check), also for checks without any event in scope
-    listed = F.array(*[F.struct(F.lit(c.check_id).alias("check_id"), F.lit(c.tier).alias("tier")) for c in checks])
+    wanted = [F.array(*[F.lit(n) for _, n in c.needs]).cast("array<int>") for c in checks]
+    listed = F.array(*[F.struct(F.lit(c.check_id).alias("check_id"), F.lit(c.tier).alias("tier"), w.alias("wanted")) for c, w in zip(checks, wanted)])
     base = (with_run(trace).select("run").distinct().select("run", F.inline(listed))
             .join(seen, ["run", "check_id"], "left"))
     framed = [c for c in checks if c.frame is not None]
@@ -215,9 +264,13 @@ def results(trace: DataFrame, checks: Sequence[Check], guards: frozenset[str] =
         base = base.withColumn("n_frame", F.lit(0).cast("long"))
     zero = F.lit(0).cast("long")
     n_scope, nv = F.coalesce("n_scope", zero), F.coalesce("n_row", zero) + F.coalesce("n_frame", zero)
+    n_bad = F.coalesce("n_bad", zero)
+    unmet = F.coalesce("n_veto", zero) > 0
+    for i in range(most):
+        unmet = unmet | (F.coalesce(F.get("wanted", F.lit(i)), F.lit(0)) > F.coalesce(f"n_need{i}", zero))
     return base.select("run", "check_id", "tier", n_scope.alias("n_scope"), F.coalesce("n_checked", zero).alias("n_checked"),
-                       nv.alias("n_violations"),
-                       F.when(n_scope == 0, "passive").when(nv > 0, "fail").otherwise("pass").alias("status"))
+                       nv.alias("n_violations"), n_bad.alias("n_errors"),
+                       F.when(nv > 0, "fail").when(n_bad > 0, "error").when((n_scope == 0) | unmet, "passive").otherwise("pass").alias("status"))
 
 
 def sample_violations(v: DataFrame, k: int = 3) -> DataFrame:

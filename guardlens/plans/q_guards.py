@@ -137,6 +137,18 @@ def d12(v):
     return D.feature_passive(v.orders.where(F.col("o_orderstatus") == "F"), flags, ["o_custkey"], "flag").select("o_orderkey")
 
 
+@query("d12_feature_status", """
+WITH f AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment = 'BUILDING' END AS flag FROM customer WHERE c_custkey % 5 <> 0),
+o AS (SELECT o_custkey AS k, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS bad FROM orders GROUP BY 1)
+SELECT coalesce(f.k, o.k) AS o_custkey, CASE WHEN flag AND n > 0 THEN bad ELSE 0 END AS n_violations, CASE WHEN NOT coalesce(flag AND n > 0, FALSE) THEN 'passive' WHEN bad > 0 THEN 'fail' ELSE 'pass' END AS status
+FROM f FULL JOIN o ON f.k = o.k""")
+def d12_status(v):
+    """Flags are missing for some customers and null for others: both are undeclared, so passive."""
+    k = F.col("c_custkey")
+    flags = v.customer.where(k % 5 != 0).select(k.alias("o_custkey"), F.when(k % 3 != 0, F.col("c_mktsegment") == "BUILDING").alias("flag"))
+    return D.feature_status(v.orders, flags, ["o_custkey"], "flag", F.col("o_orderstatus") == "F")
+
+
 @query("d13_schema_tier_gate", """
 SELECT t AS tier, count(*) AS n_fields, count(*) FILTER (WHERE ok) AS n_captured FROM (
   SELECT 0 AS t, (SELECT count(*) > 0 FROM events WHERE event_type = 'click' AND json_extract_string(props, '$.k') IS NOT NULL) AS ok UNION ALL SELECT 0, FALSE

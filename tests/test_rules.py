@@ -129,7 +129,7 @@ def test_fault_matrix(trace):
 
 
 def test_results_status(trace):
-    t = trace(("utils.clip_grad.post", {"max_norm": 1.0, "post_norm": 2.0}), ("optim.step.post", {"state_step_max": 1}))
+    t = trace(("utils.clip_grad.post", {"max_norm": 1.0, "post_norm": 2.0}), ("optim.step.post", {"state_step_max": 1}), ("optim.step.post", {"state_step_max": 2}))
     st = {r.check_id: (r.status, r.n_violations) for r in S.results(t, R.RULES).collect()}
     assert st["T0-clip-grad-bounded"] == ("fail", 1)
     assert st["T0-optim-step-counter-monotonic"] == ("pass", 0)
@@ -137,6 +137,26 @@ def test_results_status(trace):
     assert st["T1-jitter-preserves-dtype"] == ("passive", 0)
 
 
+def test_results_error_and_passive(trace):
+    snap = lambda **kw: ("build.snapshot", {"framework_invariants": {"megatron": kw}, "model": {"n_parameters": 3, "n_modules": 1}})
+    comm = ("comm.post", {"op": "all_reduce", "tensor_post": {"dtype": "float32", "shape": [1]}})
+    router = ("module.fwd.post", {"module_class": "R", "semantic": {"is_router": True, "has_calculate_per_token_loss": False}})
+    runs = {"declared": [snap(training_dtype="bfloat16", calculate_per_token_loss="true"), comm, router],
+            "undeclared": [snap(), comm, router],
+            "off": [snap(training_dtype="float32", calculate_per_token_loss="false"), comm, router],
+            "broken": [("loss.call", {"per_token": "no struct", "reduction": "mean"}), ("optim.step.pre", "{cut off"), ("scheduler.init", {"last_epoch": 1, "param_groups": [{"has_initial_lr": "?"}]})],
+            "both": [("optim.step.pre", {"total_grad_l2": "x"}), ("optim.step.pre", {"total_grad_l2": float("nan")})]}
+    t = trace(*[(h, p, None, None, run) for run, evs in runs.items() for h, p in evs])
+    st = {(r.run, r.check_id): (r.status, r.n_violations, r.n_errors) for r in S.results(t, R.RULES).collect()}
+    comm_rule, router_rule = "T1-comm-dtype-matches-training", "T1-router-has-calculate-per-token-loss"
+    assert [st[run, comm_rule][0] for run in runs] == ["fail", "passive", "pass", "passive", "passive"]
+    assert [st[run, router_rule][0] for run in runs] == ["fail", "passive", "passive", "passive", "passive"]
+    # a payload is an error only of the checks that need what does not fit
+    assert st["broken", "T0-loss-per-token-dispersion"] == ("error", 0, 1) and st["broken", "T0-loss-reduction-mode-correct"] == ("pass", 0, 0)
+    assert st["broken", "T0-grad-norm-finite"] == ("error", 0, 1) and st["broken", "T0-initial-lr-present"] == ("error", 0, 1)
+    assert st["both", "T0-grad-norm-finite"] == ("fail", 1, 1)
+
+
 SPEC_CASES = {s.check_id: [(evs, n) for rule, evs, n in CASES if rule == s.check_id] for s in R.SPECS}
 
 
