@@ -387,13 +387,59 @@ def test_chat_roles(spark):
     assert sum(r.lines_right for r in got) > 0.9 * sum(r.n_lines for r in got)
     assert {r.conv_id for r in got} == {c[0] for c in conv} and sum(r.conv_id == 0 for r in got) == 3
     assert chat_roles.recover(df.limit(0)).count() == 0
-    # a conversation in parts is decoded as in one pass
-    scripts = chat_roles.transcripts(df.where("conv_id = 0"), part=64)
-    whole = chat_roles.transcripts(df.where("conv_id = 0"), part=10000)
-    one = np.log(np.random.default_rng(1).dirichlet(np.ones(chat_roles.STATES), chat_roles.STATES))
+
+
+def _random_model():
+    moves = np.log(np.random.default_rng(1).dirichlet(np.ones(chat_roles.STATES), chat_roles.STATES))
     seen = np.log(np.random.default_rng(2).dirichlet(np.ones(chat_roles.SYMBOLS), chat_roles.STATES))
-    model = (one[0], one, seen)
-    parts = sorted(chat_roles.parse(scripts, model).collect(), key=lambda r: r.part)
-    full = chat_roles.parse(whole, model).collect()
-    joined = b"".join(bytes(r.states) for r in parts)
-    assert len(parts) == 11 and abs(len(joined) - len(full[0].states)) <= 10
+    return moves[0], moves, seen
+
+
+def test_chat_in_parts_is_decoded_and_rendered_as_in_one_pass(spark):
+    texts = ["one line", "two\nlines", "", "blank\n\n\ninside", "ends blank\n\n", "\n\nstarts blank", "User: A: marker", "What?"]
+    rows = [(c, None if t % 17 == 3 else t // 2, ["user", "assistant", "system", None][t % 4], None if t % 13 == 5 else texts[(t * 7 + (c or 0)) % 8], "x", 1)
+            for c in (1, 2, 3, 4, None) for t in range(60)]
+    rows += [(1, None, "user", "tie", "x", 1)] * 5
+    # "part" and "lines" clash with names that the operator uses itself
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part string, lines int").repartition(3)
+    start, moves, seen = model = _random_model()
+
+    def log_p(lines, states):
+        obs = chat_roles.symbols_of(lines)
+        return start[states[0]] + sum(moves[x, y] for x, y in zip(states, states[1:])) + sum(seen[x, o] for x, o in zip(states, obs))
+    truths, same = [], 0
+    for part in (1, 2, 64, 10_000):
+        scripts = chat_roles.transcripts(df, part=part)
+        truth = {}
+        for r in sorted(scripts.collect(), key=lambda r: r.part):
+            held = truth.setdefault(r.conv, ([], b""))
+            truth[r.conv] = (held[0] + list(r.lines), held[1] + bytes(r.truth))
+        truths.append(truth)
+        out = {}
+        for r in sorted(chat_roles.parse(scripts, model).collect(), key=lambda r: r.part):
+            n, roles, text, states = out.get(r.conv, (0, "", [], b""))
+            out[r.conv] = (n + r.n_turns, roles + r.roles, text + ([r.rendered] if r.rendered else []), states + bytes(r.states))
+        for c, (n, roles, text, states) in out.items():
+            lines = truth[c][0]
+            best = chat_roles.decode(model, chat_roles.symbols_of(lines), -1, -1).tolist()
+            # the same sequence, or another that is exactly as likely (the same moves in another order)
+            assert log_p(lines, list(states)) == pytest.approx(log_p(lines, best), abs=1e-9)
+            same += list(states) == best
+            assert ("\n".join(text), n, roles) == chat_roles.render(lines, np.array(list(states)), -1, 0, True)
+    assert truths[0] == truths[1] == truths[2] == truths[3] and set(truths[0]) == {1, 2, 3, 4, None} and same >= 16
+
+
+def test_decoding_is_the_most_likely_sequence():
+    import itertools
+
+    start, moves, seen = model = _random_model()
+    r = np.random.default_rng(7)
+    for _ in range(20):
+        obs = r.integers(0, chat_roles.SYMBOLS, 4).tolist()
+
+        def p(states):
+            return start[states[0]] + sum(moves[a, b] for a, b in zip(states, states[1:])) + sum(seen[s, o] for s, o in zip(states, obs))
+        best = max(itertools.product(range(chat_roles.STATES), repeat=4), key=p)
+        assert chat_roles.decode(model, obs, -1, -1).tolist() == list(best)
+        m = chat_roles.span(model, obs, True)
+        assert m.max() == pytest.approx(p(best))
