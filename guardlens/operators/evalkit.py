@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -160,7 +161,7 @@ def quota_fill_split(cases: DataFrame, key: str, leak_key: Column, strata: Seque
 
     A stratum's groups are taken in hash order until its quota is reached, the last one may pass it; a group that would lift the test set
     above ``total`` is left out and later ones are tried. What is missing after all strata is filled from all other groups in hash order, again
-    by whatever fits. The result has ``total`` cases whenever enough small groups remain for that.
+    by whatever fits. If cases are still missing, the least exchange of chosen for other groups that closes the gap is made, if there is one.
     """
     g = cases.withColumn("__leak", F.coalesce(leak_key.cast("string"), F.col(key).cast("string")))
     groups = g.groupBy("__leak").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(key, *strata)).alias("rep"))
@@ -180,10 +181,47 @@ def quota_fill_split(cases: DataFrame, key: str, leak_key: Column, strata: Seque
     short = total - (first.agg(F.sum("size").alias("n")).first().n or 0)
     others = groups.join(first, "__leak", "left_anti").select("__leak", "size", "h")
     second = first_fit(others, "size", "h", ["__leak"], short, span).select("__leak", "size")
-    picked = first.unionByName(second).select("__leak", F.lit("test").alias("split"))
+    chosen = cut(first.unionByName(second), "chosen")
+    short -= second.agg(F.sum("size").alias("n")).first().n or 0
+    if short > 0:
+        chosen = _exchanged(groups, chosen, short, total)
+    picked = chosen.select("__leak", F.lit("test").alias("split"))
     return g.join(picked, "__leak", "left").select(key, *strata, F.coalesce("split", F.lit("dev")).alias("split"))
 
 
+def _sums(sizes: dict[int, int], most: int) -> list[dict[int, int] | None]:
+    """For each sum up to ``most``: how many groups of each size make it up, or None. Sizes and their numbers of groups are given."""
+    out: list[dict[int, int] | None] = [{}] + [None] * most
+    for size, n in sorted(sizes.items()):
+        for at in range(most, size - 1, -1):
+            if out[at] is None:
+                for k in range(1, min(n, at // size) + 1):
+                    if (rest := out[at - k * size]) is not None and size not in rest:
+                        out[at] = {**rest, size: k}
+                        break
+    return out
+
+
+def _exchanged(groups: DataFrame, chosen: DataFrame, short: int, total: int) -> DataFrame:
+    """Chosen groups after the smallest exchange that adds ``short`` cases; unchanged if none does.
+
+    Only the numbers of groups by size come to the driver, so at most as many as the largest group has cases.
+    """
+    others = groups.join(chosen, "__leak", "left_anti").select("__leak", "size")
+    inside, outside = ({r["size"]: r["n"] for r in d.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()} for d in (chosen, others))
+    top = max([*inside, *outside, 1])
+    most = min(total, top * top)
+    give, take = _sums(inside, most), _sums(outside, most + short)
+    best = next((r for r in range(most + 1) if give[r] is not None and take[r + short] is not None), None)
+    if best is None:
+        return chosen
+
+    def some(rows: DataFrame, wanted: dict[int, int]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [rows.where(F.col("size") == s).orderBy("__leak").limit(k) for s, k in wanted.items()], rows.limit(0))
+    kept = chosen.join(some(chosen, give[best]).select("__leak"), "__leak", "left_anti")
+    return kept.unionByName(some(others, take[best + short]))
+
+
 def _null_safe(rows: DataFrame, few: DataFrame, on: Sequence[str]) -> DataFrame:
     right = few.select(*[F.col(c).alias(f"__r_{c}") for c in on], *[c for c in few.columns if c not in on])
     same = F.lit(True)

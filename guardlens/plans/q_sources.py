@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from guardlens.functions import exprs as X
 from guardlens.plans.registry import query
 from guardlens.plans.views import micros
-from guardlens.sources import manifest, textlogs, timeline, traces
+from guardlens.session import work_folder
+from guardlens.sources import filesets, manifest, textlogs, timeline, traces
 
 
 @query("a01_scan_event_trace", """
@@ -52,6 +53,17 @@ def a03(v):
     return traces.union_runs(parts).groupBy("run").agg(F.count(F.lit(1)).alias("n_events"), F.sum("event_id").alias("id_sum"))
 
 
+@query("a03_rank_folders", """
+SELECT 'rank' || CAST(rank AS VARCHAR) AS run, count(*) AS n_events, CAST(sum(event_id) AS BIGINT) AS id_sum FROM v_trace GROUP BY 1""")
+def a03_folders(v):
+    """A folder for each rank, read as one relation."""
+    folder = work_folder(v.spark, "ranks")
+    rows = v.trace.select("event_id", "hookpoint", "value", "rank")
+    rows.write.partitionBy("rank").parquet(folder)
+    t = traces.read_ranks(v.spark, folder, rows.drop("rank").schema)
+    return t.groupBy("run").agg(F.count(F.lit(1)).alias("n_events"), F.sum("event_id").alias("id_sum"))
+
+
 @query("a04_union_with_key_offset", """
 SELECT CAST(CASE user_id % 2 WHEN 0 THEN 0 ELSE 1000000000 END + event_id AS BIGINT) AS event_id, event_type AS hookpoint FROM events""")
 def a04(v):
@@ -91,6 +103,22 @@ def a06(v):
     return _timeline(v)
 
 
+@query("a06_timeline_files", """
+SELECT epoch_us(ts) AS timestamp, 'host' || CAST(user_id % 5 AS VARCHAR) AS hostname, CAST(user_id % 4 AS INTEGER) AS rank,
+       CAST(user_id % 2 AS INTEGER) AS stream, event_type AS op_type,
+       event_type || CASE WHEN value > 50 THEN '_begin_kernel' ELSE '_end_kernel' END AS op_name,
+       CASE WHEN value > 50 THEN 'begin' ELSE 'end' END AS op_phase FROM events""")
+def a06_files(v):
+    """Headerless CSV files in a folder for each host, of two clocks, written and read back."""
+    folder = work_folder(v.spark, "timeline")
+    t = _timeline(v)
+    for unit, ranks, factor in (("ns", (0, 1), 1000), ("us", (2, 3), 1)):
+        rows = t.where(F.col("rank").isin(*ranks)).select((F.col("timestamp") * factor).alias("timestamp"), "rank", "stream", "op_type", "op_name", "op_phase", "hostname")
+        rows.write.partitionBy("hostname").csv(f"{folder}/{unit}")
+    host = F.regexp_extract(F.col("_metadata.file_path"), "/hostname=([^/]+)/", 1)
+    return timeline.read_timeline(v.spark, f"{folder}/ns/*", "ns", host).unionByName(timeline.read_timeline(v.spark, f"{folder}/us/*", "us", host))
+
+
 @query("a07_timeline_export", """
 SELECT CASE WHEN event_type = 'error' THEN 'ERR' ELSE event_type || '_kernel' END AS name, event_type AS cat,
        CASE WHEN value > 50 THEN 'B' ELSE 'E' END AS ph, epoch_us(ts) AS ts, CAST(user_id % 4 AS INTEGER) AS pid,
@@ -102,6 +130,46 @@ def a07(v):
     return d.select("name", "cat", "ph", "ts", "pid", "tid", F.col("args.hostname").alias("host"), F.col("args.time").alias("time"))
 
 
+@query("a07_timeline_files", """
+SELECT 'rank' || CAST(user_id % 4 AS VARCHAR) AS file, CASE WHEN event_type = 'error' THEN 'ERR' ELSE event_type || '_kernel' END AS name, event_type AS cat,
+       CASE WHEN value > 50 THEN 'B' ELSE 'E' END AS ph, epoch_us(ts) AS ts, CAST(user_id % 2 AS INTEGER) AS tid, 'host' || CAST(user_id % 5 AS VARCHAR) AS host
+FROM events WHERE user_id % 4 IN (1, 3) AND epoch_us(ts) >= 1704499200000000 AND epoch_us(ts) < 1705708800000000""")
+def a07_files(v):
+    """A gzip file of trace events for each rank, in order of time, committed by its manifest and read back."""
+    folder = work_folder(v.spark, "trace-files")
+    d = timeline.trace_events(_timeline(v), ranks=(1, 3), start=1704499200000000, end=1705708800000000, names={"error_kernel": "ERR"})
+    fields = F.to_json(F.struct(*[F.col(c) for c in d.columns]))
+    rows = d.select(F.concat(F.lit("rank"), F.col("pid").cast("string")).alias("file"), "ts", "name", fields.alias("line"))
+    filesets.write_files(rows, folder, "file", "line", ["ts", "name", "line"], suffix=".json.gz", gzip=True)
+    j = F.from_json("line", "name string, cat string, ph string, ts long, tid int, args struct<hostname:string>")
+    return filesets.read_files(v.spark, folder).select(F.col("name").alias("file"), j.alias("j")).select("file", "j.name", "j.cat", "j.ph", "j.ts", "j.tid", F.col("j.args.hostname").alias("host"))
+
+
+@query("a08_result_files", """
+SELECT run AS name, row_number() OVER (PARTITION BY run ORDER BY hookpoint) - 1 AS line_no, hookpoint || ',' || CAST(count(*) AS VARCHAR) AS line FROM v_trace GROUP BY run, hookpoint""")
+def a08_files(v):
+    """A CSV file with a header for each run, written, committed and read back."""
+    folder = work_folder(v.spark, "result-files")
+    _result_files(v, folder)
+    return filesets.read_files(v.spark, folder, header=True).select("name", "line_no", "line")
+
+
+def _result_files(v, folder):
+    g = v.trace.groupBy("run", "hookpoint").agg(F.count(F.lit(1)).alias("n"))
+    return filesets.write_files(g.select("run", "hookpoint", F.to_csv(F.struct("hookpoint", "n")).alias("line")), folder, "run", "line", ["hookpoint"], header="hookpoint,n", suffix=".csv")
+
+
+@query("a08_check_reports", """
+SELECT l_returnflag AS name, count(*) AS n_lines, CAST(min(l_orderkey) AS BIGINT) AS least FROM lineitem WHERE l_quantity >= 50 GROUP BY 1""")
+def a08_reports(v):
+    """JSON lines of violating rows, a file for each check in several parts, read back through the manifest."""
+    folder = work_folder(v.spark, "reports")
+    bad = v.lineitem.where("l_quantity >= 50").select("l_returnflag", "l_orderkey", "l_linenumber", F.to_json(F.struct("l_orderkey", "l_linenumber", "l_quantity")).alias("line"))
+    filesets.write_files(bad, folder, "l_returnflag", "line", ["l_orderkey", "l_linenumber"], part=F.col("l_orderkey") % 4, suffix=".json")
+    key = F.get_json_object("line", "$.l_orderkey").cast("long")
+    return filesets.read_files(v.spark, folder).groupBy("name").agg(F.count(F.lit(1)).alias("n_lines"), F.min(key).alias("least"))
+
+
 @query("a08_result_sink_csv", """
 SELECT run || ',' || hookpoint || ',' || CAST(count(*) AS VARCHAR) AS line FROM v_trace GROUP BY run, hookpoint""")
 def a08(v):
@@ -120,6 +188,18 @@ def a09(v):
     return r.select("r.id", "r.name", "r.balance", "j.segment")
 
 
+@query("a09_csv_json_files", """
+SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer""")
+def a09_files(v):
+    """The same records as CSV and as JSON lines on disk, read with declared schemas and joined."""
+    folder = work_folder(v.spark, "records")
+    v.customer.select("c_custkey", "c_name", "c_acctbal").write.option("header", "true").csv(f"{folder}/csv")
+    v.customer.select("c_custkey", F.struct(F.col("c_mktsegment").alias("segment")).alias("info")).write.json(f"{folder}/json")
+    a = traces.read_results(v.spark, f"{folder}/csv", "id long, name string, balance double")
+    b = traces.read_results(v.spark, f"{folder}/json", "c_custkey long, info struct<segment:string>", "json")
+    return a.join(b, a["id"] == b["c_custkey"]).select("id", "name", "balance", F.col("info.segment").alias("segment"))
+
+
 def _iteration_log(v):
     line = F.concat(F.lit("[rank "), (F.col("user_id") % 4).cast("string"), F.lit("] iteration done | elapsed time per iteration (ms): "),
                     F.col("value").cast("string"), F.lit(" | loss: 1.0"))
@@ -262,3 +342,14 @@ def a21_verify(v):
     expected = expected.select("path", F.when(F.col("page_id") % 7 == 1, F.col("size") + 1).otherwise(F.col("size")).alias("size"),
                                F.when(F.col("page_id") % 11 == 2, F.lit("x")).otherwise(F.col("sha256")).alias("sha256"))
     return manifest.verify_manifest(actual, expected)
+
+
+@query("a21_file_manifest", """
+WITH g AS (SELECT run, hookpoint, hookpoint || ',' || CAST(count(*) AS VARCHAR) AS line FROM v_trace GROUP BY run, hookpoint),
+f AS (SELECT 'hookpoint,n' || chr(10) || string_agg(line, chr(10) ORDER BY hookpoint) || chr(10) AS content FROM g GROUP BY run)
+SELECT TRUE AS below_data, octet_length(encode(content)) AS size, sha256(content) AS sha256 FROM f""")
+def a21_files(v):
+    """Files on disk, listed with paths below the root and digested by streaming."""
+    folder = work_folder(v.spark, "result-files")
+    _result_files(v, folder)
+    return filesets.digests(v.spark, folder, "*.csv").select(F.col("path").startswith("data/").alias("below_data"), "size", "sha256")

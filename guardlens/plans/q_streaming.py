@@ -14,6 +14,7 @@ from guardlens.plans.registry import query
 from guardlens.plans.views import micros
 from guardlens.session import work_folder
 from guardlens.sources.traces import stream_trace
+from guardlens.streaming import incremental as I
 from guardlens.streaming import keyed as Y
 from guardlens.streaming import online as K
 
@@ -274,3 +275,75 @@ def k12_late(v):
     """Rows that come more than ten days behind the largest time of the batches before go to a table of their own."""
     h, _ = drained(v, timed(v).select("event_id", "ts"), third(v), "k12l", lambda root: Y.LateRows(K.BatchState(v.spark, root), "ts", "10 days"))
     return h.state.spark.read.schema("event_id long, ts timestamp, is_late boolean").parquet(f"{h.state.root}/rows").select("event_id", "is_late")
+
+
+# -- incremental rules ----------------------------------------------------------------------------
+
+INCREMENTAL = ("T0-clip-grad-bounded", "T0-evaluator-eval-mode", "T0-optim-step-counter-monotonic", "T1-comm-dtype-matches-training", "T1-router-has-calculate-per-token-loss")
+
+
+def shifting(v):
+    """Events of five rules, and configuration that arrives late: dtypes with the second part, checkpoint calls and a switch with the third."""
+    x, k = F.col("value"), F.col("event_id") % 5
+    at = lambda i, c: F.when(k == i, c)
+    hooks = F.array(*map(F.lit, ["utils.clip_grad.post", "module.fwd.pre", "optim.step.post", "comm.post", "module.fwd.post"]))
+    t = v.events_as(F.element_at(hooks, (k + 1).cast("int")), "events", "event_id", post_norm=at(0, x), max_norm=at(0, F.lit(40.0)),
+                    grad_enabled=at(1, x >= 20), training=at(1, F.lit(True)), state_step_max=at(2, x.cast("long")), op=at(3, F.lit("all_reduce")),
+                    tensor_post=at(3, F.struct(F.when(x > 100, "float32").otherwise("bfloat16").alias("dtype"))), module_class=at(4, F.lit("Router")),
+                    semantic=at(4, F.struct(F.lit(True).alias("is_router"), (x > 60).alias("has_calculate_per_token_loss")))).withColumn("part", third(v))
+    few = v.events.where("event_id < 3")
+    eid = lambda base: F.col("event_id") + base
+    declared = v.events_as("build.snapshot", few, eid(1_000_000_000), key=F.col("event_id"),
+                           framework_invariants=F.create_map(F.lit("megatron"), F.create_map(F.lit("training_dtype"), F.when(F.col("event_id") == 0, "float32").otherwise("bfloat16"),
+                                                                                              F.lit("calculate_per_token_loss"), F.when(F.col("event_id") < 2, "true").otherwise("false")))).withColumn("part", F.lit(1))
+    switched = v.events_as("build.snapshot", few.where("event_id = 1"), eid(2_000_000_000), key=F.col("event_id"),
+                           framework_invariants=F.create_map(F.lit("megatron"), F.create_map(F.lit("calculate_per_token_loss"), F.lit("false")))).withColumn("part", F.lit(2))
+    calls = v.events_as("checkpoint.call", few.where("event_id = 2"), eid(3_000_000_000), key=F.col("event_id"), function=F.lit("f")).withColumn("part", F.lit(2))
+    out = t
+    for d in (declared, switched, calls):
+        out = out.unionByName(d.select(*t.columns))
+    return out
+
+
+def incremental(v, name):
+    """Each part is delivered twice, the second time together with the next one."""
+    t = shifting(v)
+    again = t.where("part < 2").withColumn("part", F.col("part") + 1)
+    both = t.unionByName(again)
+    folder = work_folder(v.spark, name)
+    for i in range(3):
+        both.where(F.col("part") == i).drop("part").repartition(FILES).write.mode("append").parquet(f"{folder}/in")
+    runner = I.IncrementalRunner(v.spark, f"{folder}/state", [R.RULES_BY_ID[i] for i in INCREMENTAL], span=1000)
+    schema = both.drop("part").schema
+    K.run_batches(stream_trace(v.spark, f"{folder}/in", schema, max_files=FILES), runner, f"{folder}/checkpoint")
+    return runner
+
+
+SHIFT_SQL = f"""
+e AS (SELECT event_id, event_id % 3 AS r, event_id % 4 AS rank, event_id % 5 AS k, value AS x, {THIRD} AS part FROM events),
+m AS (SELECT *, lag(CAST(trunc(x) AS BIGINT)) OVER (PARTITION BY r, rank ORDER BY event_id) AS p FROM e WHERE k = 2)"""
+
+
+@query("k03_incremental_standing", f"""
+WITH {SHIFT_SQL} SELECT 'T0-clip-grad-bounded' AS check_id, event_id FROM e WHERE k = 0 AND x > 40.4
+UNION ALL SELECT 'T0-evaluator-eval-mode', event_id FROM e WHERE k = 1 AND x < 20 AND r <> 2
+UNION ALL SELECT 'T0-optim-step-counter-monotonic', event_id FROM m WHERE CAST(trunc(x) AS BIGINT) <= p
+UNION ALL SELECT 'T1-comm-dtype-matches-training', event_id FROM e WHERE k = 3 AND (x > 100) <> (r = 0)
+UNION ALL SELECT 'T1-router-has-calculate-per-token-loss', event_id FROM e WHERE k = 4 AND NOT x > 60 AND r = 0""")
+def k03_standing(v):
+    """What holds after the last batch, as if all events had been there from the start."""
+    return incremental(v, "k03i").standing().select("check_id", "event_id")
+
+
+@query("k04_incremental_changes", f"""
+WITH {SHIFT_SQL}, c AS (
+  SELECT part AS batch, 'T0-clip-grad-bounded' AS check_id, 'new' AS change FROM e WHERE k = 0 AND x > 40.4
+  UNION ALL SELECT part, 'T0-evaluator-eval-mode', 'new' FROM e WHERE k = 1 AND x < 20 AND (r <> 2 OR part < 2) UNION ALL SELECT 2, 'T0-evaluator-eval-mode', 'retired' FROM e WHERE k = 1 AND x < 20 AND r = 2 AND part < 2
+  UNION ALL SELECT part, 'T0-optim-step-counter-monotonic', 'new' FROM m WHERE CAST(trunc(x) AS BIGINT) <= p
+  UNION ALL SELECT greatest(part, 1), 'T1-comm-dtype-matches-training', 'new' FROM e WHERE k = 3 AND (x > 100) <> (r = 0)
+  UNION ALL SELECT greatest(part, 1), 'T1-router-has-calculate-per-token-loss', 'new' FROM e WHERE k = 4 AND NOT x > 60 AND (r = 0 OR r = 1 AND part < 2)
+  UNION ALL SELECT 2, 'T1-router-has-calculate-per-token-loss', 'retired' FROM e WHERE k = 4 AND NOT x > 60 AND r = 1 AND part < 2)
+SELECT CAST(batch AS BIGINT) AS batch, check_id, change, count(*) AS n FROM c GROUP BY ALL""")
+def k04_changes(v):
+    """Assertions and retractions by batch: late configuration asserts earlier candidates, a late veto retracts them."""
+    return incremental(v, "k04i").changes().groupBy("batch", "check_id", "change").agg(F.count(F.lit(1)).alias("n"))

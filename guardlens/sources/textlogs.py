@@ -97,25 +97,32 @@ _BRACES = re.compile(r"\\.|[{}\"]", re.S)
 
 
 def _objects(texts: pd.Series) -> pd.Series:
-    """Outermost balanced {...} of each text; braces inside JSON strings do not count, a brace never closed is skipped."""
+    """Outermost balanced {...} of each text; braces inside JSON strings do not count, a brace never closed is skipped.
+
+    Whether a brace stands inside a string depends on the quotes since the object began, so on their parity: braces after an even and
+    after an odd number of quotes are matched apart. A brace that never closes, or a stray quote, then hides nothing that follows.
+    """
     def one(text: str | None) -> list[str]:
-        out: list[tuple[int, int]] = []
-        opened: list[int] = []
-        quoted = False
+        braces: list[tuple[int, str, int]] = []
+        quotes = 0
         for m in _BRACES.finditer(text or ""):
-            c = m[0]
-            if c == '"':
-                quoted = bool(opened) and not quoted
-            elif quoted or len(c) > 1:
-                continue
-            elif c == "{":
-                opened.append(m.start())
-            elif opened:
-                start = opened.pop()
-                while out and out[-1][0] > start:
-                    out.pop()
-                out.append((start, m.end()))
-        return [text[a:b] for a, b in out]
+            if m[0] == '"':
+                quotes += 1
+            elif len(m[0]) == 1:
+                braces.append((m.start(), m[0], quotes % 2))
+        ends: dict[int, int] = {}
+        opened: tuple[list[int], list[int]] = ([], [])
+        for at, c, side in braces:
+            if c == "{":
+                opened[side].append(at)
+            elif opened[side]:
+                ends[opened[side].pop()] = at + 1
+        out, upto = [], 0
+        for at, c, _ in braces:
+            if c == "{" and at >= upto and at in ends:
+                upto = ends[at]
+                out.append(text[at:upto])
+        return out
     return texts.map(one)
 
 

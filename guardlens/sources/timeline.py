@@ -25,7 +25,8 @@ def scaled(df: DataFrame, unit: str) -> DataFrame:
     if unit not in ("ns", "us"):
         raise ValueError(f"unknown unit {unit!r}")
     ts = F.col("timestamp")
-    ts = F.floor(ts / 1000).cast("long") if unit == "ns" else ts
+    if unit == "ns":  # nanoseconds of today are beyond what a double holds exactly
+        ts = F.call_function("div", ts - F.pmod(ts, F.lit(1000).cast("long")), F.lit(1000).cast("long"))
     return df.withColumn("timestamp", ts).select(*COLUMNS)
 
 

@@ -44,6 +44,13 @@ def union_runs(traces: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [d.withColumn("run", F.lit(n)) for n, d in traces.items()])
 
 
+def read_ranks(spark: SparkSession, path: str, schema: T.StructType, folder: str = r"/rank=(\d+)/") -> DataFrame:
+    """One scan over the folders of all ranks; run names come from the files' paths, so a fleet of any size is one relation."""
+    rank = F.regexp_extract(F.col("_metadata.file_path"), folder, 1)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    return rows.select("*", F.concat(F.lit("rank"), rank).alias("run"))
+
+
 def union_ranks_with_offset(traces: Sequence[DataFrame], key: str = "event_id", offset: int = KEY_OFFSET) -> DataFrame:
     """UNION ALL of per-rank traces; rank i keeps unique ids by adding i * offset.
 

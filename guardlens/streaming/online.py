@@ -26,7 +26,11 @@ from guardlens.operators.spec import ALL_GUARDS, Check, for_hookpoints, row_viol
 
 def stream_violations(stream: DataFrame, checks: Sequence[Check], watermark: str = "1 hour", time: str = "ts",
                       guards: frozenset[str] = ALL_GUARDS) -> DataFrame:
-    """Row-check violations of a stream, each (check, event, entity, issue) emitted once."""
+    """Row-check violations of a stream, each (check, event, entity, issue) emitted once.
+
+    The built-in duplicate filter keeps its state within the watermark, so events later than that are dropped;
+    ``incremental.IncrementalRunner`` keeps them.
+    """
     rows = [c for c in checks if c.findings is not None]
     if time not in stream.columns and "ts_ns" in stream.columns:
         stream = stream.withColumn(time, F.timestamp_micros(F.floor(F.col("ts_ns") / 1000).cast("long")))
@@ -70,6 +74,15 @@ def sample_by_hash(df: DataFrame, key: str, rate: float) -> DataFrame:
     return df.where(X.hash_order(0, key) < rate * (1 << 32))
 
 
+def sample_hooks(df: DataFrame, rates: dict[str, float], key: str = "event_id") -> DataFrame:
+    """The share ``rates`` says of the events of each named hookpoint, by the same hash as ``sample_by_hash``; all of the others."""
+    keep = F.lit(True)
+    for hook, rate in rates.items():
+        kept = X.hash_order(0, key) < min(max(float(rate), 0.0), 1.0) * (1 << 32)
+        keep = keep & (~F.col("hookpoint").eqNullSafe(hook) | kept)
+    return df.where(keep) if rates else df
+
+
 def replay_first_tick(found: DataFrame, every: int, keys: Sequence[str] = ("check_id",), order: str = "event_id") -> DataFrame:
     """First tick at which each key's violation surfaces when events arrive ``every`` per tick."""
     return found.groupBy(*keys).agg(F.min(F.ceil(F.col(order) / F.lit(every))).cast("long").alias("first_tick"))
@@ -196,11 +209,7 @@ class OnlineRunner:
         self.sample_rates = sample_rates or {}
 
     def _sampled(self, df: DataFrame) -> DataFrame:
-        keep = F.lit(True)
-        for hook, rate in self.sample_rates.items():
-            k = max(int(round(1.0 / min(max(rate, 1e-9), 1.0))), 1)
-            keep = keep & ((F.col("hookpoint") != hook) | (F.pmod(F.xxhash64("event_id"), F.lit(k).cast("long")) == 0))
-        return df.where(keep) if self.sample_rates else df
+        return sample_hooks(df, self.sample_rates)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         # partitioned by hookpoint, so a re-evaluated frame check reads only its own hookpoints

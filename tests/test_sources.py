@@ -5,6 +5,7 @@ import hashlib
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,60 @@ def test_result_sinks(spark, tmp_path):
 def test_table_catalog(spark):
     df = spark.createDataFrame([(1, "a")], "n int, s string")
     assert [(r.column_name, r.data_type) for r in traces.table_catalog(spark, {"t": df}).orderBy("position").collect()] == [("n", "int"), ("s", "string")]
+
+
+def test_file_sets_round_trip_and_only_committed_files_are_read(spark, tmp_path):
+    import os
+
+    from guardlens.sources import filesets
+    rows = [(f"n{k % 3}", k, f"line {k} é") for k in range(200)] + [("n1", 500, None), ("n2", 501, "")]
+    df = spark.createDataFrame(rows, "who string, at int, text string").repartition(7)
+    for gz in (False, True):
+        folder = str(tmp_path / f"set{gz}")
+        m = filesets.write_files(df, folder, "who", "text", ["at"], part=F.col("at") % 2, header="h", suffix=".txt.gz" if gz else ".txt", gzip=gz)
+        assert m.count() == 6 and m.agg(F.sum("n_lines")).first()[0] == 202
+        with open(f"{folder}/data/stray.txt", "w") as f:  # of an attempt that did not count
+            f.write("nothing\n")
+        got = sorted((r.name, r.part, r.line_no, r.line) for r in filesets.read_files(spark, folder, header=True).collect())
+        want = []
+        for who in ("n0", "n1", "n2"):
+            for part in (0, 1):
+                mine = sorted((a, t or "") for w, a, t in rows if w == who and a % 2 == part)
+                want += [(who, part, i, t) for i, (_, t) in enumerate(mine)]
+        assert got == want
+        one = m.first()
+        stored = {r.path: (r.size, r.sha256) for r in filesets.digests(spark, folder, "*.txt*").collect()}
+        assert stored[f"data/{one.file}"] == (one.size, one.sha256) and len(stored) == 7
+        with open(f"{folder}/data/{one.file}", "ab") as f:
+            f.write(b"more\n")
+        with pytest.raises(Exception, match="manifest"):
+            filesets.read_files(spark, folder).count()
+    assert os.path.exists(f"{folder}/manifest")
+
+
+def test_digests_of_large_and_nested_files(spark, tmp_path):
+    import hashlib
+    import os
+
+    from guardlens.sources import filesets
+    os.makedirs(tmp_path / "a" / "b c")
+    (tmp_path / "a" / "b c" / "x.bin").write_bytes(bytes(range(256)) * 50)
+    (tmp_path / "empty").write_bytes(b"")
+    with open(tmp_path / "big", "wb") as f:  # sparse: beyond two gigabytes, but no disk
+        f.truncate((2 << 30) + 5)
+    got = {r.path: (r.size, r.sha256) for r in filesets.digests(spark, str(tmp_path)).collect()}
+    zeros = hashlib.sha256()
+    for _ in range(2048):
+        zeros.update(bytes(1 << 20))
+    zeros.update(bytes(5))
+    assert got == {"a/b c/x.bin": (12800, hashlib.sha256(bytes(range(256)) * 50).hexdigest()), "empty": (0, hashlib.sha256(b"").hexdigest()), "big": ((2 << 30) + 5, zeros.hexdigest())}
+    tree = {r.path: (r.n_chunks, r.tree_sha256) for r in filesets.chunk_digests(spark, str(tmp_path / "a"), chunk=5000).collect()}
+    data = bytes(range(256)) * 50
+    assert tree == {"b c/x.bin": (3, hashlib.sha256(b"".join(hashlib.sha256(data[i:i + 5000]).digest() for i in range(0, 12800, 5000))).hexdigest())}
+
+
+def test_records_after_braces_that_never_close(spark):
+    texts = ['a { 6" wide {"name":"a","sql":"b"} end', '{ { {"name":"c","sql":"}{"}', '"{"name":"d","sql":"q"}" {', 'x {"name":"e","sql":"\\"{"} {"o":{"name":1}} }{', '{"name":"g","in":{"sql":"h"}}{"name":"i","sql":"j"}']
+    got = list(textlogs._objects(pd.Series(texts)))
+    assert got == [['{"name":"a","sql":"b"}'], ['{"name":"c","sql":"}{"}'], ['{"name":"d","sql":"q"}'], ['{"name":"e","sql":"\\"{"}', '{"o":{"name":1}}'], ['{"name":"g","in":{"sql":"h"}}', '{"name":"i","sql":"j"}']]
+    assert len(list(textlogs._objects(pd.Series(["{" * 200_000 + '{"a":1}'])))[0]) == 1
