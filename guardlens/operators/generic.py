@@ -88,6 +88,15 @@ def round_trip_drift(df: DataFrame, before: Column, after: Column, rel: float =
     return df.withColumn("rel_drift", drift).where(F.col("rel_drift") > rel)
 
 
+def stale_copy(df: DataFrame, cached: Column, actual: Column, absolute: float = 1e-6) -> DataFrame:
+    """Rows whose cached value is off the value it stands for by more than an absolute tolerance; a missing or NaN side is stale too
+    unless both are."""
+    known = cached.isNotNull() & ~F.isnan(cached), actual.isNotNull() & ~F.isnan(actual)
+    gap = F.abs(cached - actual)
+    bad = F.when(known[0] & known[1], gap > absolute).otherwise(known[0] | known[1])
+    return df.withColumn("gap", F.when(known[0] & known[1], gap)).where(bad)
+
+
 def conservation(parts: DataFrame, totals: DataFrame, keys: Sequence[str], part: Column, total: str,
                  rel_tol: float = 1e-6) -> DataFrame:
     """Parts summed per key (combined before the shuffle) against the declared total."""

@@ -422,6 +422,21 @@ def e33_all(v):
     return S.results(fleet(v), R.RULES)
 
 
+VARIED_SQL = """
+e AS (SELECT event_id, event_id % 3 AS r, event_id % 13 AS k, event_id % 4 AS rank, value AS x FROM events),
+m AS (SELECT r, count(*) FILTER (WHERE s <= p) AS steps FROM (SELECT r, s, lag(s) OVER (PARTITION BY r, rank ORDER BY event_id) AS p FROM
+  (SELECT event_id, r, rank, CASE WHEN r = 2 THEN CAST(trunc(x) AS BIGINT) ELSE event_id END AS s FROM e WHERE k = 1)) GROUP BY r),
+g AS (SELECT r, count(*) FILTER (WHERE k = 0 AND x > 60.0 * 1.01) AS clip, count(*) FILTER (WHERE k = 1 AND x = 0) AS upd,
+  count(*) FILTER (WHERE k = 2 AND r = 1 AND x > 90) AS overflow, count(*) FILTER (WHERE k = 3 AND r = 1) AS comm, count(*) FILTER (WHERE k = 4) AS lost,
+  count(*) FILTER (WHERE k = 5 AND x >= 100) AS router, count(*) FILTER (WHERE k = 5 AND x > 150) AS bias, count(*) FILTER (WHERE k = 5 AND x > 200) AS nan,
+  count(*) FILTER (WHERE k = 5 AND x < 50 AND NOT (x / sqrt(32) BETWEEN 0.5 AND 2.0)) AS rms, count(*) FILTER (WHERE k = 6 AND x >= 120) AS jitter, count(*) FILTER (WHERE k = 7 AND x / 20 > 10) AS heads,
+  count(*) FILTER (WHERE k = 9 AND NOT x < 80) AS lr, count(*) FILTER (WHERE k = 10 AND x * 1000 > 1048576) AS ids,
+  count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2, count(*) FILTER (WHERE k = 4) AS n4, count(*) FILTER (WHERE k = 5) AS n5, count(*) FILTER (WHERE k = 6) AS n6,
+  count(*) FILTER (WHERE k = 7) AS n7, count(*) FILTER (WHERE k = 8) AS n8, count(*) FILTER (WHERE k = 9) AS n9, count(*) FILTER (WHERE k = 10) AS n10, count(*) FILTER (WHERE k = 11) AS n11,
+  count(*) FILTER (WHERE k = 12 AND x < 50) AS residual FROM e GROUP BY r),
+h AS (SELECT * FROM g JOIN m USING (r))"""
+
+
 def varied(v):
     """Every hookpoint of the rules, with declared, undeclared and switched-off configuration by run, and payloads of wrong types."""
     x, k = F.col("value"), F.col("event_id") % 13
@@ -432,42 +447,37 @@ def varied(v):
     overflow = (k == 2) & (run == 1) & (x > 90)
     t = v.events_as(
         F.element_at(F.array(*map(F.lit, hooks)), (k + 1).cast("int")), v.events.where(~overflow), "event_id",
-        post_norm=at(0, x), max_norm=at(0, F.lit(60.0)), state_step_max=at(1, F.col("event_id")), total_param_delta_l2=at(1, x),
+        post_norm=at(0, x), max_norm=at(0, F.lit(60.0)), state_step_max=at(1, F.when(run == 2, x.cast("long")).otherwise(F.col("event_id"))), total_param_delta_l2=at(1, x),
         total_grad_l2=at(2, x), d_to_normed_input=at(12, x), d_to_original_input=at(12, F.lit(50.0)), op=at(3, F.lit("all_reduce")), tensor_post=at(3, tensor_json()),
         per_token=at(4, F.lit("lost")), reduction=at(4, F.lit("mean")), module_class=F.when(k.isin(5, 8), F.lit("TopKRouter")),
-        semantic=at(5, F.struct(F.lit(True).alias("is_router"), (x < 100).alias("has_calculate_per_token_loss"), F.lit("float32").alias("expert_bias_dtype"))),
-        output=at(5, tensor_json(l2_norm=x, abs_max=F.lit(5.0), has_nan=F.lit(False))), dtypes_match=at(6, x < 120), max_to_min_ratio=at(7, x / 20), grad_output=at(8, F.array(tensor_json(l2_norm=x))),
+        semantic=at(5, F.struct(F.lit(True).alias("is_router"), (x < 100).alias("has_calculate_per_token_loss"), F.when(x > 150, "float16").otherwise("float32").alias("expert_bias_dtype"))),
+        is_normalizer=at(5, x < 50), output=at(5, tensor_json(l2_norm=x, abs_max=F.lit(5.0), has_nan=x > 200)), dtypes_match=at(6, x < 120), max_to_min_ratio=at(7, x / 20), grad_output=at(8, F.array(tensor_json(l2_norm=x))),
         last_epoch=at(9, F.lit(3)), param_groups=at(9, F.array(F.struct((x < 80).alias("has_initial_lr")))), input_ids=at(10, tensor_json(max=x * 1000, min=F.lit(0.0))), grad_enabled=at(11, F.lit(True)))
     dtype = F.when(run == 0, "float32").when(run == 1, "bfloat16")
     snap = v.events_as("build.snapshot", v.events.where("event_id < 3"), F.col("event_id") + 1_000_000_000, key=F.col("event_id"),
                        framework_invariants=F.create_map(F.lit("megatron"), F.map_filter(F.create_map(F.lit("training_dtype"), dtype, F.lit("calculate_per_token_loss"), F.when(run == 1, "true").otherwise("false")), lambda _, y: y.isNotNull())),
-                       model=F.struct(F.lit(5).alias("n_parameters"), F.lit(2).alias("n_modules")))
+                       model=F.struct(F.lit(5).alias("n_parameters"), F.when(run == 1, 0).otherwise(2).alias("n_modules")),
+                       optimizer=F.struct(F.array(F.struct(F.when(run == 2, 0.0).otherwise(0.1).alias("lr"))).alias("param_groups")),
+                       cross_rank_cksums=F.array(F.struct(F.lit("w").alias("name"), F.lit(2).alias("group_size"), (run != 0).alias("all_equal"))))
     texts = v.events_as("optim.step.pre", v.events.where(overflow), "event_id", total_grad_l2=F.lit("overflow"))
     return t.unionByName(texts).unionByName(snap)
 
 
-@query("e33_all_statuses", """
-WITH e AS (SELECT event_id, event_id % 3 AS r, event_id % 13 AS k, event_id % 4 AS rank, value AS x FROM events),
-g AS (SELECT r, count(*) FILTER (WHERE k = 0 AND x > 60.0 * 1.01) AS clip, count(*) FILTER (WHERE k = 1 AND x = 0) AS upd,
-  count(*) FILTER (WHERE k = 2 AND r = 1 AND x > 90) AS overflow, count(*) FILTER (WHERE k = 3 AND r = 1) AS comm, count(*) FILTER (WHERE k = 4) AS lost,
-  count(*) FILTER (WHERE k = 5 AND x >= 100) AS router, count(*) FILTER (WHERE k = 6 AND x >= 120) AS jitter, count(*) FILTER (WHERE k = 7 AND x / 20 > 10) AS heads,
-  count(*) FILTER (WHERE k = 9 AND NOT x < 80) AS lr, count(*) FILTER (WHERE k = 10 AND x * 1000 > 1048576) AS ids,
-  count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2, count(*) FILTER (WHERE k = 4) AS n4, count(*) FILTER (WHERE k = 5) AS n5, count(*) FILTER (WHERE k = 6) AS n6,
-  count(*) FILTER (WHERE k = 7) AS n7, count(*) FILTER (WHERE k = 8) AS n8, count(*) FILTER (WHERE k = 9) AS n9, count(*) FILTER (WHERE k = 10) AS n10, count(*) FILTER (WHERE k = 11) AS n11,
-  count(*) FILTER (WHERE k = 12 AND x < 50) AS residual FROM e GROUP BY r),
+@query("e33_all_statuses", f"""
+WITH {VARIED_SQL},
 u AS (SELECT r, unnest([
-  {'c': 'T0-attention-head-uniformity', 'v': heads, 'b': 0, 'n': n7}, {'c': 'T0-clip-grad-bounded', 'v': clip, 'b': 0, 'n': n0}, {'c': 'T0-dtype-propagation', 'v': 0, 'b': 0, 'n': n5},
-  {'c': 'T0-evaluator-eval-mode', 'v': 0, 'b': 0, 'n': n11}, {'c': 'T0-grad-norm-finite', 'v': 0, 'b': overflow, 'n': n2}, {'c': 'T0-initial-lr-present', 'v': lr, 'b': 0, 'n': n9},
-  {'c': 'T0-build-has-modules', 'v': 0, 'b': 0, 'n': 1}, {'c': 'T0-loss-per-token-dispersion', 'v': 0, 'b': lost, 'n': n4}, {'c': 'T0-loss-reduction-mode-correct', 'v': 0, 'b': 0, 'n': n4},
-  {'c': 'T0-module-grad-output-alive', 'v': 0, 'b': 0, 'n': n8}, {'c': 'T0-no-nan-inf', 'v': 0, 'b': 0, 'n': 1}, {'c': 'T0-norm-output-unit-rms', 'v': 0, 'b': 0, 'n': n5},
-  {'c': 'T0-optim-lr-positive', 'v': 0, 'b': 0, 'n': 1}, {'c': 'T0-optim-step-counter-monotonic', 'v': 0, 'b': 0, 'n': CASE WHEN n1 > 1 THEN 1 ELSE 0 END}, {'c': 'T0-param-update-applied', 'v': upd, 'b': 0, 'n': n1},
-  {'c': 'T0-softmax-degenerate', 'v': 0, 'b': 0, 'n': n5}, {'c': 'T0-token-id-in-vocab', 'v': ids, 'b': 0, 'n': n10}, {'c': 'T0-checkpoint-preserve-rng', 'v': 0, 'b': 0, 'n': 0},
-  {'c': 'T1-buffer-replica-cksum-equal', 'v': 0, 'b': 0, 'n': 0}, {'c': 'T1-comm-dtype-matches-training', 'v': comm, 'b': 0, 'n': CASE WHEN r < 2 THEN 1 ELSE 0 END},
-  {'c': 'T1-expert-bias-fp32', 'v': 0, 'b': 0, 'n': n5}, {'c': 'T1-fwd-output-block-uniformity', 'v': 0, 'b': 0, 'n': n5}, {'c': 'T1-grad-flow-block-uniformity', 'v': 0, 'b': 0, 'n': n8},
-  {'c': 'T1-grad-replica-cksum-equal', 'v': 0, 'b': 0, 'n': n2}, {'c': 'T1-jitter-preserves-dtype', 'v': jitter, 'b': 0, 'n': n6}, {'c': 'T1-layer-count-strict', 'v': 0, 'b': 0, 'n': 0},
-  {'c': 'T1-multi-backward-per-step-fragile-config', 'v': 0, 'b': 0, 'n': 1}, {'c': 'T1-process-group-size-correct', 'v': 0, 'b': 0, 'n': 1}, {'c': 'T1-replica-cksum-equal', 'v': 0, 'b': 0, 'n': 1},
-  {'c': 'T1-residual-stream-preserved', 'v': residual, 'b': 0, 'n': 1}, {'c': 'T1-router-has-calculate-per-token-loss', 'v': CASE WHEN r = 1 THEN router ELSE 0 END, 'b': 0, 'n': CASE WHEN r = 1 THEN n5 ELSE 0 END},
-  {'c': 'T1-sqrt-decay-front-loaded', 'v': 0, 'b': 0, 'n': 0}], recursive := true) FROM g)
+  {{'c': 'T0-attention-head-uniformity', 'v': heads, 'b': 0, 'n': n7}}, {{'c': 'T0-clip-grad-bounded', 'v': clip, 'b': 0, 'n': n0}}, {{'c': 'T0-dtype-propagation', 'v': 0, 'b': 0, 'n': n5}},
+  {{'c': 'T0-evaluator-eval-mode', 'v': 0, 'b': 0, 'n': n11}}, {{'c': 'T0-grad-norm-finite', 'v': 0, 'b': overflow, 'n': n2}}, {{'c': 'T0-initial-lr-present', 'v': lr, 'b': 0, 'n': n9}},
+  {{'c': 'T0-build-has-modules', 'v': CASE WHEN r = 1 THEN 1 ELSE 0 END, 'b': 0, 'n': 1}}, {{'c': 'T0-loss-per-token-dispersion', 'v': 0, 'b': lost, 'n': n4}}, {{'c': 'T0-loss-reduction-mode-correct', 'v': 0, 'b': 0, 'n': n4}},
+  {{'c': 'T0-module-grad-output-alive', 'v': 0, 'b': 0, 'n': n8}}, {{'c': 'T0-no-nan-inf', 'v': nan, 'b': 0, 'n': 1}}, {{'c': 'T0-norm-output-unit-rms', 'v': rms, 'b': 0, 'n': n5}},
+  {{'c': 'T0-optim-lr-positive', 'v': CASE WHEN r = 2 THEN 1 ELSE 0 END, 'b': 0, 'n': 1}}, {{'c': 'T0-optim-step-counter-monotonic', 'v': steps, 'b': 0, 'n': CASE WHEN n1 > 1 THEN 1 ELSE 0 END}}, {{'c': 'T0-param-update-applied', 'v': upd, 'b': 0, 'n': n1}},
+  {{'c': 'T0-softmax-degenerate', 'v': 0, 'b': 0, 'n': n5}}, {{'c': 'T0-token-id-in-vocab', 'v': ids, 'b': 0, 'n': n10}}, {{'c': 'T0-checkpoint-preserve-rng', 'v': 0, 'b': 0, 'n': 0}},
+  {{'c': 'T1-buffer-replica-cksum-equal', 'v': 0, 'b': 0, 'n': 0}}, {{'c': 'T1-comm-dtype-matches-training', 'v': comm, 'b': 0, 'n': CASE WHEN r < 2 THEN 1 ELSE 0 END}},
+  {{'c': 'T1-expert-bias-fp32', 'v': bias, 'b': 0, 'n': n5}}, {{'c': 'T1-fwd-output-block-uniformity', 'v': 0, 'b': 0, 'n': n5}}, {{'c': 'T1-grad-flow-block-uniformity', 'v': 0, 'b': 0, 'n': n8}},
+  {{'c': 'T1-grad-replica-cksum-equal', 'v': 0, 'b': 0, 'n': n2}}, {{'c': 'T1-jitter-preserves-dtype', 'v': jitter, 'b': 0, 'n': n6}}, {{'c': 'T1-layer-count-strict', 'v': 0, 'b': 0, 'n': 0}},
+  {{'c': 'T1-multi-backward-per-step-fragile-config', 'v': 0, 'b': 0, 'n': 1}}, {{'c': 'T1-process-group-size-correct', 'v': 0, 'b': 0, 'n': 1}}, {{'c': 'T1-replica-cksum-equal', 'v': CASE WHEN r = 0 THEN 1 ELSE 0 END, 'b': 0, 'n': 1}},
+  {{'c': 'T1-residual-stream-preserved', 'v': residual, 'b': 0, 'n': 1}}, {{'c': 'T1-router-has-calculate-per-token-loss', 'v': CASE WHEN r = 1 THEN router ELSE 0 END, 'b': 0, 'n': CASE WHEN r = 1 THEN n5 ELSE 0 END}},
+  {{'c': 'T1-sqrt-decay-front-loaded', 'v': 0, 'b': 0, 'n': 0}}], recursive := true) FROM h)
 SELECT 'run' || CAST(r AS VARCHAR) AS run, c AS check_id, CAST(v AS BIGINT) AS n_violations, CAST(b AS BIGINT) AS n_errors,
   CASE WHEN v > 0 THEN 'fail' WHEN b > 0 THEN 'error' WHEN n = 0 THEN 'passive' ELSE 'pass' END AS status FROM u""")
 def e33_statuses(v):
@@ -475,6 +485,16 @@ def e33_statuses(v):
     return S.results(varied(v), R.RULES).select("run", "check_id", "n_violations", "n_errors", "status")
 
 
+@query("c17_specs_on_all_hookpoints", f"""
+WITH {VARIED_SQL}, u AS (SELECT unnest([{{'c': 'T0-clip-grad-bounded', 'n': clip}}, {{'c': 'T0-initial-lr-present', 'n': lr}}, {{'c': 'T0-no-nan-inf', 'n': nan}}, {{'c': 'T0-norm-output-unit-rms', 'n': rms}},
+  {{'c': 'T0-optim-step-counter-monotonic', 'n': steps}}, {{'c': 'T0-token-id-in-vocab', 'n': ids}}, {{'c': 'T1-expert-bias-fp32', 'n': bias}}, {{'c': 'T1-jitter-preserves-dtype', 'n': jitter}}, {{'c': 'T1-residual-stream-preserved', 'n': residual}},
+  {{'c': 'T0-build-has-modules', 'n': CASE WHEN r = 1 THEN 1 ELSE 0 END}}, {{'c': 'T0-optim-lr-positive', 'n': CASE WHEN r = 2 THEN 1 ELSE 0 END}}, {{'c': 'T1-replica-cksum-equal', 'n': CASE WHEN r = 0 THEN 1 ELSE 0 END}}], recursive := true) FROM h)
+SELECT c AS check_id, CAST(sum(n) AS BIGINT) AS n FROM u GROUP BY c HAVING sum(n) > 0""")
+def c17_varied(v):
+    """The declarative specs over every hookpoint: twelve of the thirteen fire."""
+    return S.violations(varied(v), R.spec_checks()).groupBy("check_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("e34_guard_arms", """
 SELECT 'full' AS arm, (SELECT count(*) FROM v_tensor WHERE block <> 2 AND NOT (l2 * label / 8 BETWEEN 0.5 AND 2.0)) AS norm_rms,
   (SELECT count(*) FROM orders WHERE o_custkey % 4 > 1 AND o_orderstatus = 'P') + (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT') AS replicas
@@ -532,3 +552,12 @@ def e35_div(v):
     g = v.lineitem.groupBy("l_returnflag", "l_linenumber").agg(F.avg("l_extendedprice").alias("a"), F.avg("l_quantity").alias("b"))
     return G.value_scaling(g, F.col("a"), F.lit(1.0), F.col("b") * 1000, 0.5, 2.0).select(
         "l_returnflag", "l_linenumber", F.round("scale_ratio", 6).alias("ratio"))
+
+
+@query("e35_cached_against_actual", """
+WITH c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) END AS cached, o_totalprice AS actual FROM orders)
+SELECT o_orderkey, round(abs(cached - actual), 9) AS gap FROM c WHERE cached IS NULL OR abs(cached - actual) > 1e-3""")
+def e35_cached(v):
+    """A copy kept in single precision against the value itself, by absolute tolerance; every fiftieth copy is missing."""
+    cached = F.when(F.col("o_orderkey") % 50 != 0, F.col("o_totalprice").cast("float").cast("double"))
+    return G.stale_copy(v.orders, cached, F.col("o_totalprice"), 1e-3).select("o_orderkey", F.round("gap", 9).alias("gap"))
