@@ -495,6 +495,18 @@ def c17_varied(v):
     return S.violations(varied(v), R.spec_checks()).groupBy("check_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("c15_tiers_over_all_rules", f"""
+WITH {VARIED_SQL}, t AS (SELECT sum(clip + upd + lr + nan + rms + steps + ids + heads) + 2 AS low, sum(comm + bias + jitter + residual) + 1 + sum(CASE WHEN r = 1 THEN router ELSE 0 END) AS high FROM h)
+SELECT 0 AS tier, CAST(low AS BIGINT) AS n_violations FROM t UNION ALL SELECT 1, CAST(low + high AS BIGINT) FROM t""")
+def c15_tiers(v):
+    """Violations found with the rules of tier 0, and with those of tier 1 added."""
+    t, out = varied(v), None
+    for tier in (0, 1):
+        d = S.violations(t, S.in_tier(R.RULES, tier)).agg(F.count(F.lit(1)).alias("n_violations")).select(F.lit(tier).alias("tier"), "n_violations")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 @query("e34_guard_arms", """
 SELECT 'full' AS arm, (SELECT count(*) FROM v_tensor WHERE block <> 2 AND NOT (l2 * label / 8 BETWEEN 0.5 AND 2.0)) AS norm_rms,
   (SELECT count(*) FROM orders WHERE o_custkey % 4 > 1 AND o_orderstatus = 'P') + (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT') AS replicas

@@ -46,6 +46,24 @@ def a02_rel(v):
     return traces.relation_sizes(traces.typed_state(_dump(v)))
 
 
+STAGES = ("model-before-backward", "main-grad-in-backward", "optimizer-state", "call-begin", "comm-all-reduce", "parallel-metadata", "checkpoint-save", "loss")
+
+
+@query("a02_all_relations", """
+WITH d AS (SELECT l_orderkey % 8 AS k, l_quantity >= 25 AS big, l_suppkey % 3 = 0 AS third FROM lineitem)
+SELECT 'tensor_state' AS relation, count(*) FILTER (WHERE k = 0 AND big) AS n_rows FROM d UNION ALL SELECT 'grad_state', count(*) FILTER (WHERE k = 1 OR k = 0 AND third) FROM d
+UNION ALL SELECT 'optimizer_state', count(*) FILTER (WHERE k = 2 OR k = 6 AND third) FROM d UNION ALL SELECT 'call_event', count(*) FILTER (WHERE k = 3) FROM d
+UNION ALL SELECT 'comm_event', count(*) FILTER (WHERE k = 4) FROM d UNION ALL SELECT 'topology_lineage', count(*) FILTER (WHERE k = 5 AND third OR k = 0 AND NOT big) FROM d
+UNION ALL SELECT 'checkpoint_state', count(*) FILTER (WHERE k = 6) FROM d UNION ALL SELECT 'loss_event', count(*) FILTER (WHERE k = 7) FROM d""")
+def a02_all(v):
+    """One dump that holds rows of all eight logical relations, some of them rows of two."""
+    k, big, third = F.col("l_orderkey") % 8, F.col("l_quantity") >= 25, F.col("l_suppkey") % 3 == 0
+    data = F.to_json(F.struct(F.when((k == 0) & big, "c").alias("cksum"), F.when((k == 0) & third, "g").alias("grad_cksum"), F.when((k == 6) & third, "exp_avg").alias("state_key"),
+                              F.when((k == 5) & third, "PARALLEL_METADATA").alias("type"), F.when((k == 0) & ~big, F.lit(True)).alias("param_sharded")))
+    dump = v.lineitem.select(F.col("l_linenumber").alias("step"), F.element_at(F.array(*map(F.lit, STAGES)), (k + 1).cast("int")).alias("stage"), data.alias("data"))
+    return traces.relation_sizes(traces.typed_state(dump))
+
+
 @query("a03_union_ranks", """
 SELECT 'rank' || CAST(rank AS VARCHAR) AS run, count(*) AS n_events, CAST(sum(event_id) AS BIGINT) AS id_sum FROM v_trace GROUP BY 1""")
 def a03(v):
