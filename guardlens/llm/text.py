@@ -70,13 +70,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def prefix_sums(data: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, down): the hash of the word [s, e) of the data is mix((sums[e] - sums[s]) * down[s])."""
+    up, down = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_LOWER if fold else _SAME)[data] * up[:len(data)], out=sums[1:])
+    return sums, down
+
+
 def _segment(data: np.ndarray, is_word: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     m = is_word[data]
     edges = np.flatnonzero(np.diff(m, prepend=False, append=False))
     starts, ends = edges[0::2], edges[1::2]
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER if fold else _SAME)[data] * up[:len(data)], out=sums[1:])
+    sums, down = prefix_sums(data, fold)
     return starts, ends, mix((sums[ends] - sums[starts]) * down[starts])
 
 

@@ -12,12 +12,14 @@
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the prior alone.
 Without any page decided by a rule every verdict is allow. Null HTML has no words. Repeated rows are judged
-one by one; other columns are not read.
+one by one; other columns are not read. A host of any length is handled: its substrings are rows of a few numbers, thinned by a bitmap of the
+words, and the split is linear in its length. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guardlens.llm.text import as_bytes, chunks, hash_words
+from guardlens.llm.bitmaps import bitmap, in_bitmap
+from guardlens.llm.text import as_bytes, chunks, mix, prefix_sums
 from guardlens.session import cut
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 BROADCAST_TOKENS, SALTS = 1 << 16, 16
+WORD_BITS = 24  # a bitmap of the words' hashes, two megabytes, thins the substrings before they are joined
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: words are letters: a-z (after lower-casing) and everything outside ASCII
 BY_LETTER = np.array([97 <= b < 123 or 65 <= b < 91 or b >= 128 for b in range(256)])
@@ -68,19 +72,31 @@ def word_counts(pages: DataFrame, text_col: str) -> DataFrame:
     return pages.select(text_col).mapInArrow(run, "h long, n long, size long").groupBy("h").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
 
 
-def substrings(runs: DataFrame, lengths: list[int]) -> DataFrame:
-    """(run, a, b, h): every substring [a, b) of distinct letter runs that has one of the lengths in bytes, with its hash."""
+def run_hashes(raw: bytes, size: int) -> np.ndarray:
+    """Word hash of every ``size`` bytes of a run: from prefix sums, so that a hash costs the same for any size."""
+    n = len(raw) - size + 1
+    sums, down = prefix_sums(np.frombuffer(raw, np.uint8))
+    return mix((sums[size:] - sums[:n]) * down[:n])
+
+
+def substrings(runs: DataFrame, lengths: list[int], words) -> DataFrame:
+    """(no, a, b, h): substrings [a, b) of numbered letter runs that have one of the lengths in bytes and a hash of the bitmap.
+
+    A row carries the number of its run, not the run.
+    """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = words.value
         for batch in batches:
-            for run in batch.column(0).to_pylist():
+            for no, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = run.encode()
                 for size in (k for k in lengths if k <= len(raw)):
-                    a = np.arange(len(raw) - size + 1, dtype=np.int32)
-                    _, _, h = hash_words(np.frombuffer(b"\n".join(raw[k:k + size] for k in a.tolist()), np.uint8), BY_LETTER)
-                    yield pa.RecordBatch.from_arrays([pa.array([run] * len(a)), pa.array(a), pa.array(a + np.int32(size)), pa.array(h.view(np.int64))],
-                                                     names=["run", "a", "b", "h"])
+                    h = run_hashes(raw, size)
+                    a = np.flatnonzero(in_bitmap(have, h)).astype(np.int32)
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), no)), pa.array(a), pa.array(a + np.int32(size)), pa.array(h[a].view(np.int64))],
+                                                         names=["no", "a", "b", "h"])
 
-    return runs.mapInArrow(rows, "run string, a int, b int, h long")
+    return runs.select("no", "run").mapInArrow(rows, "no long, a int, b int, h long")
 
 
 def best_split(run: str, known: dict[tuple[int, int], int], total: int) -> list[str]:
@@ -91,15 +107,16 @@ def best_split(run: str, known: dict[tuple[int, int], int], total: int) -> list[
     ending: dict[int, list[tuple[int, int]]] = {}
     for (a, b), n in known.items():
         ending.setdefault(b, []).append((a, n))
-    start = 0  # where the best last word that is not known begins: best[a] + a is largest
+    # a last word that is not known begins where best[a] + a is largest; as many starts are kept as known words can rule out
+    keep = max(map(len, ending.values()), default=0) + 1
+    starts: list[tuple[float, int]] = []
     for b in range(1, len(raw) + 1):
-        if best[b - 1] + b - 1 > best[start] + start:
-            start = b - 1
+        insort(starts, (-(best[b - 1] + b - 1), b - 1))
+        del starts[keep:]
         ways = [(best[a] + math.log10(n) - log_n, -a) for a, n in ending.get(b, [])]
-        if (start, b) not in known:
+        start = next((a for _, a in starts if (a, b) not in known), None)
+        if start is not None:
             ways.append((best[start] + (1 - log_n - (b - start)), -start))
-        else:  # a known word may be less likely than the same letters unknown: look at the other starts
-            ways.extend((best[a] + (1 - log_n - (b - a)), -a) for a in range(b) if (a, b) not in known)
         best[b], a = max(ways)
         back[b] = -a
     out, b = [], len(raw)
@@ -113,9 +130,11 @@ def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
     """(run, words) for distinct letter runs."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     lengths = sorted(r[0] for r in counts.select("size").distinct().collect())  # one number for each length
+    numbered = cut(runs.withColumn("no", F.monotonically_increasing_id()), "runs")
+    words = runs.sparkSession.sparkContext.broadcast(bitmap(counts, "h", WORD_BITS))
     # a run has at most as many rows as there are lengths for each of its bytes
-    found = substrings(runs, lengths).join(counts, "h").groupBy("run").agg(F.collect_list(F.struct("a", "b", "n")).alias("known"))
-    known = runs.join(found, "run", "left").select("run", "known")
+    found = substrings(numbered, lengths, words).join(counts, "h").groupBy("no").agg(F.collect_list(F.struct("a", "b", "n")).alias("known"))
+    known = numbered.join(found, "no", "left").select("run", "known")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

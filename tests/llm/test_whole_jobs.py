@@ -1,11 +1,12 @@
 """Cases that an operator once did only in part."""
 
 import math
+import random
 
 import numpy as np
 
 from llm_rows import prose
-from guardlens.llm import decontaminate, jaccard_join, license_scan, url_filter
+from guardlens.llm import decontaminate, jaccard_join, license_scan, text, url_filter
 
 
 def test_bridge_between_clusters_of_which_the_later_one_is_larger():
@@ -83,3 +84,39 @@ def test_a_region_of_few_very_long_sets_is_cut_into_blocks(spark):
         cells.setdefault(r.p, set()).add(r.e)
     assert max(map(len, cells.values())) < 40  # one cell by the number of sets, 40,000 shingles in four blocks
     assert all(any({a, b} <= c for c in cells.values()) for a in range(40) for b in range(40))
+
+
+def test_hashes_of_substrings_are_those_of_words():
+    raw = ("abcdefghij" * 30 + "été" * 20).encode()
+    for size in (1, 2, 7, 60):
+        got = url_filter.run_hashes(raw, size)
+        for a in range(0, len(raw) - size + 1, 13):
+            _, _, h = text.hash_words(np.frombuffer(raw[a:a + size], np.uint8), url_filter.BY_LETTER)
+            assert got[a] == h[0]
+
+
+def test_a_very_long_host_is_segmented(spark):
+    words = ["cat", "dog", "house", "sat", "at", "a"]
+    r = random.Random(8)
+    host = "".join(r.choice(words[:4]) for _ in range(25_000)) + "q" * 200
+    pages = spark.createDataFrame([(0, "http://h.com/x", " ".join(words * 30) + " " + "z" * 150), (1, f"http://{host}/", None)], "page_id long, url string, html string")
+    got = {x.page_id: x for x in url_filter.judged(pages).collect()}
+    split = got[1].host_words.split(" ")
+    assert "".join(split) == host and set(split[:-1]) <= set(words) and split[-1] == "q" * 200
+
+
+def test_best_split_of_random_runs_against_all_splits():
+    r = random.Random(5)
+    for _ in range(200):
+        run = "".join(r.choice("abc") for _ in range(r.randint(1, 9)))
+        known = {(a, b): r.choice([1, 5, 900, 10 ** 6]) for a in range(len(run)) for b in range(a + 1, len(run) + 1) if r.random() < .3}
+        total = 10 ** 6
+
+        def p(cuts):
+            return sum(math.log10(known[a, b] / total) if (a, b) in known else 1 - math.log10(total) - (b - a) for a, b in zip(cuts, cuts[1:]))
+        every = [[0, *[k + 1 for k in range(len(run) - 1) if m >> k & 1], len(run)] for m in range(1 << (len(run) - 1))]
+        got = url_filter.best_split(run, known, total)
+        cuts = [0]
+        for w in got:
+            cuts.append(cuts[-1] + len(w))
+        assert abs(p(cuts) - max(map(p, every))) < 1e-9
