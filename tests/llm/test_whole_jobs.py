@@ -4,9 +4,10 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from llm_rows import prose
-from guardlens.llm import decontaminate, jaccard_join, license_scan, text, url_filter
+from guardlens.llm import decontaminate, hpyp, jaccard_join, license_scan, text, url_filter
 
 
 def test_bridge_between_clusters_of_which_the_later_one_is_larger():
@@ -120,3 +121,13 @@ def test_best_split_of_random_runs_against_all_splits():
         for w in got:
             cuts.append(cuts[-1] + len(w))
         assert abs(p(cuts) - max(map(p, every))) < 1e-9
+
+
+def test_a_flat_vocabulary_fills_the_frequent_words(spark):
+    flat = spark.createDataFrame([(k * 7919, 3) for k in range(60)], "h long, n long")
+    assert 14 <= len(hpyp.most_frequent(flat, 20)) <= 20 and len(hpyp.most_frequent(flat, 60)) == 60 and len(hpyp.most_frequent(flat, 0)) == 0
+    mixed = flat.union(spark.createDataFrame([(1, 1000), (2, 500), (3, 1)], "h long, n long"))
+    got = hpyp.most_frequent(mixed, 12).to_pydict()
+    assert {1, 2} <= set(got["h"]) and 3 not in got["h"] and 8 <= len(got["h"]) <= 12
+    many = spark.range(200_000).select(F.col("id").alias("h"), F.lit(2).cast("long").alias("n"))
+    assert 900 <= len(hpyp.most_frequent(many, 1000)) <= 1000
