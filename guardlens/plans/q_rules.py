@@ -433,6 +433,7 @@ g AS (SELECT r, count(*) FILTER (WHERE k = 0 AND x > 60.0 * 1.01) AS clip, count
   count(*) FILTER (WHERE k = 9 AND NOT x < 80) AS lr, count(*) FILTER (WHERE k = 10 AND x * 1000 > 1048576) AS ids,
   count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2, count(*) FILTER (WHERE k = 4) AS n4, count(*) FILTER (WHERE k = 5) AS n5, count(*) FILTER (WHERE k = 6) AS n6,
   count(*) FILTER (WHERE k = 7) AS n7, count(*) FILTER (WHERE k = 8) AS n8, count(*) FILTER (WHERE k = 9) AS n9, count(*) FILTER (WHERE k = 10) AS n10, count(*) FILTER (WHERE k = 11) AS n11,
+  count(*) FILTER (WHERE k = 5 AND NOT (x / sqrt(32) BETWEEN 0.5 AND 2.0)) AS rms_all, count(*) FILTER (WHERE k = 3 AND r > 0) AS comm_all,
   count(*) FILTER (WHERE k = 12 AND x < 50) AS residual FROM e GROUP BY r),
 h AS (SELECT * FROM g JOIN m USING (r))"""
 
@@ -458,7 +459,8 @@ def varied(v):
                        framework_invariants=F.create_map(F.lit("megatron"), F.map_filter(F.create_map(F.lit("training_dtype"), dtype, F.lit("calculate_per_token_loss"), F.when(run == 1, "true").otherwise("false")), lambda _, y: y.isNotNull())),
                        model=F.struct(F.lit(5).alias("n_parameters"), F.when(run == 1, 0).otherwise(2).alias("n_modules")),
                        optimizer=F.struct(F.array(F.struct(F.when(run == 2, 0.0).otherwise(0.1).alias("lr"))).alias("param_groups")),
-                       cross_rank_cksums=F.array(F.struct(F.lit("w").alias("name"), F.lit(2).alias("group_size"), (run != 0).alias("all_equal"))))
+                       cross_rank_cksums=F.array(F.struct(F.lit("w").alias("name"), F.lit(2).alias("group_size"), (run != 0).alias("all_equal")),
+                                                  F.struct(F.lit("alone").alias("name"), F.lit(1).alias("group_size"), F.lit(False).alias("all_equal"))))
     texts = v.events_as("optim.step.pre", v.events.where(overflow), "event_id", total_grad_l2=F.lit("overflow"))
     return t.unionByName(texts).unionByName(snap)
 
@@ -525,6 +527,24 @@ def e34(v):
     return out.groupBy("arm").agg(F.count_if(F.col("check_id") == ids[0]).alias("norm_rms"), F.count_if(F.col("check_id") == ids[1]).alias("replicas"))
 
 
+@query("e34_arms_over_all_rules", f"""
+WITH {VARIED_SQL}, b AS (SELECT arm, unnest([{{'c': 'T0-clip-grad-bounded', 'n': clip}}, {{'c': 'T0-param-update-applied', 'n': upd}}, {{'c': 'T0-initial-lr-present', 'n': lr}}, {{'c': 'T0-no-nan-inf', 'n': nan}},
+  {{'c': 'T0-norm-output-unit-rms', 'n': CASE WHEN arm = 'no_precond' THEN rms_all ELSE rms END}}, {{'c': 'T0-optim-step-counter-monotonic', 'n': steps}}, {{'c': 'T0-token-id-in-vocab', 'n': ids}}, {{'c': 'T0-attention-head-uniformity', 'n': heads}},
+  {{'c': 'T1-comm-dtype-matches-training', 'n': CASE WHEN arm = 'no_precond' THEN comm_all ELSE comm END}}, {{'c': 'T1-expert-bias-fp32', 'n': bias}}, {{'c': 'T1-jitter-preserves-dtype', 'n': jitter}}, {{'c': 'T1-residual-stream-preserved', 'n': residual}},
+  {{'c': 'T1-router-has-calculate-per-token-loss', 'n': CASE WHEN arm = 'no_precond' OR r = 1 THEN router ELSE 0 END}}, {{'c': 'T0-build-has-modules', 'n': CASE WHEN r = 1 THEN 1 ELSE 0 END}}, {{'c': 'T0-optim-lr-positive', 'n': CASE WHEN r = 2 THEN 1 ELSE 0 END}},
+  {{'c': 'T1-replica-cksum-equal', 'n': CASE WHEN r = 0 THEN 1 ELSE 0 END + CASE WHEN arm = 'no_topo' THEN 1 ELSE 0 END}},
+  {{'c': 'T1-multi-backward-per-step-fragile-config', 'n': CASE WHEN arm = 'no_precond' AND n11 > 1 THEN 1 ELSE 0 END}}], recursive := true) FROM h, (VALUES ('full'), ('no_topo'), ('no_precond')) a(arm))
+SELECT arm, c AS check_id, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY 1, 2 HAVING sum(n) > 0""")
+def e34_all(v):
+    """All rules under each guard arm: what topology guards and preconditions keep from firing."""
+    t, out = varied(v), None
+    for name in S.ARMS:
+        rules, guards = R.arm(name)
+        d = S.violations(t, rules, guards).groupBy("check_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("arm"), "check_id", "n")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 @query("e35_invocation_frequency", """
 SELECT step, count(*) AS n_rows, 10 AS expected FROM v_trace WHERE hookpoint = 'view' GROUP BY step HAVING count(*) <> 10""")
 def e35_freq(v):
