@@ -177,7 +177,7 @@ def quota_fill_split(cases: DataFrame, key: str, leak_key: Column, strata: Seque
     run = ordered.running_sum(groups, F.col("size"), ordered.Order(tuple(strata), "h", ("__leak",), span), "cum", inclusive=False)
     wanted = (_null_safe(run, quotas, strata).where(F.col("cum") < F.col("quota"))
               .select("__leak", "size", (F.col("__no") * F.lit(1 << 32) + F.col("h")).alias("place")))
-    first = cut(first_fit(wanted, "size", "place", ["__leak"], total, 1 << 32).select("__leak", "size"), "first-fit")
+    first = cut(first_fit(wanted, "size", "place", ["__leak"], total, span).select("__leak", "size"), "first-fit")
     short = total - (first.agg(F.sum("size").alias("n")).first().n or 0)
     others = groups.join(first, "__leak", "left_anti").select("__leak", "size", "h")
     second = first_fit(others, "size", "h", ["__leak"], short, span).select("__leak", "size")

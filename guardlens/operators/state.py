@@ -148,6 +148,14 @@ def completeness(df: DataFrame, entity: Sequence[str], replica: str, degree: int
     return g.select(*entity, F.explode(mask_members(degree, present=False)).alias("missing_replica"))
 
 
+def replica_set_report(df: DataFrame, entity: Sequence[str], replica: str, degree: int) -> DataFrame:
+    """(entity, replica, problem): expected replicas [0, degree) that an entity lacks, and numbers outside that it has (null too)."""
+    r = F.col(replica).cast("long")
+    lacks = completeness(df, entity, replica, degree).select(*entity, F.col("missing_replica").cast("long").alias("replica"), F.lit("missing").alias("problem"))
+    other = df.where(r.isNull() | (r < 0) | (r >= degree)).groupBy(*entity, r.alias("replica")).agg(F.lit("unexpected").alias("problem"))
+    return lacks.unionByName(other.select(*entity, "replica", "problem"))
+
+
 def distribution_consistency(df: DataFrame, entity: Sequence[str], stats: Sequence[str], tolerance: float) -> DataFrame:
     """Statistics whose spread over the replicas of an entity exceeds the tolerance."""
     aggs = [a for s in stats for a in (F.min(s).alias(f"__lo_{s}"), F.max(s).alias(f"__hi_{s}"))]

@@ -60,6 +60,16 @@ def f05_complete(v):
     return S.completeness(v.state, ["name"], "replica", 8)
 
 
+@query("f05_replica_set", """
+WITH s AS (SELECT DISTINCT l_orderkey AS name, CASE WHEN l_quantity >= 49 THEN NULL ELSE l_linenumber - 1 END AS r FROM lineitem), g AS (SELECT name, unnest(range(5)) AS r FROM (SELECT DISTINCT name FROM s))
+SELECT g.name, g.r AS replica, 'missing' AS problem FROM g LEFT JOIN s ON g.name = s.name AND g.r = s.r WHERE s.name IS NULL
+UNION ALL SELECT name, CAST(r AS BIGINT), 'unexpected' FROM s WHERE r IS NULL OR r >= 5""")
+def f05_set(v):
+    """Five replicas are expected; some entities have more, or rows without a replica number."""
+    r = F.when(F.col("l_quantity") < 49, F.col("l_linenumber") - 1)
+    return S.replica_set_report(v.lineitem.select(F.col("l_orderkey").alias("name"), r.alias("replica")), ["name"], "replica", 5)
+
+
 @query("f06_optimizer_state_consistency", """
 SELECT key, tp, count(DISTINCT cksum) AS n_values, count(*) AS n_rows, min(cksum) AS min_value, max(cksum) AS max_value
 FROM (SELECT CAST(name AS VARCHAR) || '[' || dtype || ']' AS key, tp, cksum FROM v_state) GROUP BY key, tp HAVING count(DISTINCT cksum) > 1""")
