@@ -19,7 +19,8 @@ item (k = its length, w = 1), which documents compute for each short length that
 
 Null and empty texts have no words and no hits; the digest of no items is the sha256 of the empty string.
 Rows are told apart by a row number, so repeated rows and equal or null ids each give their own result. Null
-item ids are left out of the lists. Other columns are not read.
+item ids are left out of the lists. Other columns are not read, in either table, and may have any name. A text of any length is
+hashed in segments; of it only windows with a fingerprint of the benchmark are kept. An empty table gives no rows, an empty benchmark no hits.
 """
 
 from __future__ import annotations

@@ -25,7 +25,7 @@ taken where distances can be below 1, among documents that share shingles:
    largest component already are put off; at the end those outside the component that is largest then are compared too.
 
 Texts without words (null, empty, white space) have no set and link with nothing; a null id cannot be a component's
-smallest id unless all its members' are null. Rows with equal ids and texts are copies of each other. Hashes
+smallest id unless all its members' are null. An empty table gives no rows; only the id and text columns are read. Rows with equal ids and texts are copies of each other. Hashes
 have 64 bits; two different sets or shingles meet with a chance of about 2**-64 a pair.
 """
 

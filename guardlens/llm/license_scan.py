@@ -16,7 +16,8 @@ match can reach, the longest common subsequence up to every later word, exactly.
 
 Null and empty texts match nothing. Of equally covered templates the longer one is reported, then the first by name;
 ``licenses`` has the names of all templates that reach both thresholds.
-Rows are judged one by one; only id and text are read.
+Rows are judged one by one, so repeated rows and equal or null ids each give a row; only id and text are read, so other columns may have
+any name. An empty table gives no rows.
 """
 
 from __future__ import annotations

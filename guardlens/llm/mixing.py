@@ -13,7 +13,7 @@ the id alone, so reruns agree and the documents taken for a smaller budget are a
 At the last hash value the nearer side of the rest is chosen, so a source misses its target by at most half
 the words of one hash value. Null and empty texts have size 0. Rows with equal ids (null is one) share a
 hash and are taken or left together; a source without words has target 0 and takes nothing. Only the id,
-text and source columns are read. The window over the sources has one row for each source.
+text and source columns are read. An empty table gives no rows. The window over the sources has one row for each source.
 """
 
 from __future__ import annotations

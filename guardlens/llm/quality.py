@@ -15,7 +15,7 @@ A document is rejected if the removed words exceed ``max_lost`` percent of all,
 fewer than ``min_words`` words, or over ``max_repeat`` percent of the words in repeated 3-word windows.
 
 Null texts count as empty: all figures 0 and, having fewer than ``min_words`` words, not kept. Repeated
-rows and equal ids are judged one by one; other columns are not read.
+rows and equal ids are judged one by one; other columns are not read and may have any name. An empty table gives no rows.
 """
 
 from __future__ import annotations

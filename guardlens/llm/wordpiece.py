@@ -10,7 +10,9 @@ A word (a run of anything but ASCII white space) is matched with a leading space
 words. If some byte sequence has no match the word counts as one unknown piece. Lengths of words are kept in a
 bounded table of the worker, so that a frequent word is walked once.
 
-Null, empty and blank texts have no words and no pieces. Rows are counted one by one; other columns are not read.
+Null, empty and blank texts have no words and no pieces. Rows are counted one by one, so repeated rows and equal or null ids each give a
+row. A text of any length needs memory for its own words; a word of any length is one pass over its bytes. An empty table gives no
+rows. Only the id and text columns are read, so others may have any name. The vocabulary file must be readable under its path on every machine.
 """
 
 from __future__ import annotations

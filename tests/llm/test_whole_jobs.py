@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from llm_rows import prose
-from guardlens.llm import decontaminate, hpyp, jaccard_join, license_scan, text, url_filter
+from guardlens.llm import decontaminate, fim, hpyp, importance, jaccard_join, license_scan, text, url_filter
 
 
 def test_bridge_between_clusters_of_which_the_later_one_is_larger():
@@ -131,3 +131,26 @@ def test_a_flat_vocabulary_fills_the_frequent_words(spark):
     assert {1, 2} <= set(got["h"]) and 3 not in got["h"] and 8 <= len(got["h"]) <= 12
     many = spark.range(200_000).select(F.col("id").alias("h"), F.lit(2).cast("long").alias("n"))
     assert 900 <= len(hpyp.most_frequent(many, 1000)) <= 1000
+
+
+def test_columns_of_other_names_are_not_read(spark, docs):
+    """Tables whose further columns bear the names that operators use themselves give the same rows."""
+    names = ["row", "id", "n", "h", "cand", "words", "fp", "item", "salt", "items", "spans", "pos", "data", "form", "score", "rank", "n_features", "buckets", "e", "p", "key"]
+    wide = docs.select("doc_id", "text", "source", *[F.lit("x").alias(n) for n in names])
+    items = spark.createDataFrame([(1, prose(1, 30)), (None, prose(3, 12)), (2, None)], "item_id long, text string")
+    more = items.select("item_id", "text", *[F.lit(7).alias(n) for n in names])
+    plain = docs.select("doc_id", "text", "source")
+    rows = lambda d: sorted(map(str, (tuple(r) for r in d.collect())))
+    assert rows(decontaminate.digests(decontaminate.decontaminate(wide, more), "doc_id")) == rows(decontaminate.digests(decontaminate.decontaminate(plain, items), "doc_id"))
+    assert rows(fim.report(wide)) == rows(fim.report(plain))
+    assert rows(importance.report(wide, more)) == rows(importance.report(plain, items))
+    assert decontaminate.clean_documents(wide, more).columns == wide.columns and jaccard_join.one_of_each(wide).columns == wide.columns
+
+
+def test_empty_tables_give_no_rows(empty):
+    from guardlens.llm import quality, wordpiece
+    from guardlens.llm.queries import tokenizer_file
+    assert license_scan.scan(empty).count() == 0 and quality.judged(empty).count() == 0
+    assert wordpiece.token_counts(empty, tokenizer_file("byte_bpe_50k.json")).count() == 0
+    none = empty.select(empty.doc_id.alias("item_id"), "text")
+    assert decontaminate.decontaminate(empty, none).count() == 0
