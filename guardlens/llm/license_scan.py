@@ -3,19 +3,18 @@
 Text and template are words (runs of 0-9, a-z after lower-casing, and characters outside ASCII). Words that occur once in
 both are anchors; the longest increasing subsequence of their places keeps the anchors in order, and the gaps
 between them are aligned in the same way. In a gap without anchors the common head and tail match, and what is left
-counts by its longest common subsequence. Coverage is the share of the template's words that are matched.
+by a longest common subsequence. Coverage is the share of the template's words that are matched.
 
 Every document meets every template, but most pairs are settled by a bound: a template cannot match more words than
 it shares with the document, counted with repetition. Only pairs whose bound reaches ``min_coverage`` are aligned;
 none above it is lost. A match must also be dense: at least ``min_density`` of the words between its first and last
-anchor. Memory is that of one group of texts and one long text's words.
+one, so it is at most ``reach`` words long. In a whole text repeated notices have no unique words and stray words stretch
+a match; the alignment therefore runs in windows (see ``windows``) whose own bound reaches ``min_coverage``, and of each
+alignment the longest dense run counts. Bounds of all windows are prefix sums, and the number of windows is linear in the
+text, so that long texts take time in proportion. Memory is that of one group of texts and one long text's words.
 
-Over a whole text, repeated notices have no unique words and stray words stretch a match. Where the alignment is not a full
-and dense match, every stretch that could be dense is therefore looked at: from each template word, as far as a dense
-match can reach, the longest common subsequence up to every later word, exactly. The best dense stretch counts.
-
-Null and empty texts match nothing. Of equally covered templates the longer one is reported, then the first by name;
-``licenses`` has the names of all templates that reach both thresholds.
+Null and empty texts match nothing. The template with most matches, less the words left over in it and in its stretch, is reported
+(so a notice wins over a shorter one that it contains and over a longer one of which it is a part), of equals the first by name; ``licenses`` has the names of all templates that reach both thresholds.
 Rows are judged one by one, so repeated rows and equal or null ids each give a row; only id and text are read, so other columns may have
 any name. An empty table gives no rows.
 """
@@ -29,55 +28,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from guardlens.llm.license_texts import TEMPLATES
 from guardlens.llm.text import BY_ALNUM, as_bytes, chunks, hash_words
 
-#: fixed values: license notices as their stewards publish them
-TEMPLATES = {
-    "mit-notice": "Released under the MIT License.",
-    "apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
-    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to
-use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom
-the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
-shall be included in all copies or substantial portions of the Software.""",
-    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
-the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
-conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
-of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
-    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
-compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required
-by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
-WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions
-and limitations under the License.""",
-    "gpl-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
-Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
-version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
-warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
-}
 MIN_COVERAGE, MIN_DENSITY = 80, 50
 
 
-def _lcs_length(a: list[int], b: list[int]) -> int:
-    """Longest common subsequence by bits: one big-integer step for each word of the longer side."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return 0
+def lcs_pairs(text: list[int], template: list[int]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, by bits: one big-integer step for each word of the text that the template has."""
     where: dict[int, int] = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for x in b:
-        m = where.get(x)
-        if m:
-            hit = row & m
-            row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    for j, x in enumerate(template):
+        where[x] = where.get(x, 0) | 1 << j
+    at = [i for i, x in enumerate(text) if x in where]
+    full = (1 << len(template)) - 1
+    rows = [full]
+    for i in at:
+        row = rows[-1]
+        hit = row & where[text[i]]
+        rows.append(((row + hit) | (row - hit)) & full)
+    out, k, j = [], len(at), len(template)
+    while k and j:
+        if rows[k] >> (j - 1) & 1:   # the template's word adds nothing
+            j -= 1
+        elif rows[k - 1] >> (j - 1) & 1:
+            k, j = k - 1, j - 1
+            out.append((at[k], j))
+        else:                        # an earlier word of the text does as well
+            k -= 1
+    return out[::-1]
 
 
 def anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -108,73 +86,105 @@ def anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def align(text: list[int], template: list[int]) -> tuple[int, int, int]:
-    """Matched words, and the text positions [first, end) they span (0, 0 without any)."""
-    matched, first, end = 0, len(text), 0
+def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
+    """Matched places (text, template), in order."""
+    out: list[tuple[int, int]] = []
     todo = [(0, len(text), 0, len(template))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
         while a0 < a1 and b0 < b1 and text[a0] == template[b0]:
-            matched, first, end = matched + 1, min(first, a0), max(end, a0 + 1)
+            out.append((a0, b0))
             a0, b0 = a0 + 1, b0 + 1
         while a0 < a1 and b0 < b1 and text[a1 - 1] == template[b1 - 1]:
             a1, b1 = a1 - 1, b1 - 1
-            matched, first, end = matched + 1, min(first, a1), max(end, a1 + 1)
+            out.append((a1, b1))
         if a0 >= a1 or b0 >= b1:
             continue
         a, b = text[a0:a1], template[b0:b1]
         found = anchors(a, b)
         if not found:
-            words = set(b)
-            at = [i for i, w in enumerate(a) if w in words]
-            n = _lcs_length([a[i] for i in at], b)
-            if n:
-                matched, first, end = matched + n, min(first, a0 + at[0]), max(end, a0 + at[-1] + 1)
+            out += [(a0 + i, b0 + j) for i, j in lcs_pairs(a, b)]
             continue
         x, y = a0, b0
         for i, j in found:
             todo.append((x, a0 + i, y, b0 + j))
             x, y = a0 + i + 1, b0 + j + 1
-            matched, first, end = matched + 1, min(first, a0 + i), max(end, a0 + i + 1)
+            out.append((a0 + i, b0 + j))
         todo.append((x, a1, y, b1))
-    return (matched, first, end) if matched else (0, 0, 0)
-
-
-def best_stretch(text: list[int], template: list[int], min_coverage: int, min_density: int) -> tuple[int, int, int]:
-    """The stretch of the text that matches most of the template among those that reach both thresholds, the shortest and
-    first of equals: matched words, and its positions [first, end); (0, 0, 0) if none does."""
+    return sorted(out)
+
+
+def densest(pairs: list[tuple[int, int]], min_density: int) -> tuple[int, int, int]:
+    """The longest run of matched places that is dense, the shortest and first of equals: matched words, text positions [first, end)."""
+    if not pairs:
+        return 0, 0, 0
+    at = np.array([i for i, _ in pairs])
+    k = np.arange(len(at))
+    level = 100 * k - min_density * at  # [i, j] is dense where level[j] - level[i] >= min_density - 100
+    ahead = np.maximum.accumulate(level[::-1])[::-1]
+    reach = np.searchsorted(-ahead, -(level + min_density - 100), side="right") - 1
+    m = reach - k + 1
+    best = np.flatnonzero(m == m.max())
+    i = int(best[np.argmin(at[reach[best]] - at[best])])
+    return int(m[i]), int(at[i]), int(at[reach[i]]) + 1
+
+
+def shared_words(h: np.ndarray, template: np.ndarray, length: int) -> np.ndarray:
+    """For each position, how many words the next ``length`` words share with the template, counted with repetition."""
+    words, need = np.unique(template, return_counts=True)
+    slot = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    at = np.flatnonzero(words[slot] == h)
+    by_word = at[np.argsort(slot[at], kind="stable")]
+    w = slot[by_word]
+    k = np.arange(len(w))
+    # an occurrence counts for starts behind the one that is `need` occurrences earlier, as only so many are needed
+    earlier = k - need[w]
+    same = (earlier >= 0) & (w[np.maximum(earlier, 0)] == w)
+    low = np.maximum(np.where(same, by_word[np.maximum(earlier, 0)] + 1, 0), by_word - length + 1).clip(0)
+    steps = np.bincount(low, minlength=len(h) + 1) - np.bincount(by_word + 1, minlength=len(h) + 1)
+    return np.cumsum(steps)[:len(h)]
+
+
+def windows(h: np.ndarray, template: np.ndarray, min_coverage: int, min_density: int) -> Iterator[tuple[int, int]]:
+    """Windows [a, b) of the text that may hold a dense match.
+
+    A dense match is at most ``reach`` words long. For each stretch of starts: the window of the template's length and the one
+    of ``reach`` that share most words with it (of equals, the one that begins as the template does), and one that holds every
+    dense match that starts there. Stretches in which no start shares enough words have none.
+    """
     size = len(template)
-    reach = 100 * size // min_density if min_density else len(text)
-    need: dict[int, int] = {}
-    where: dict[int, int] = {}
-    for i, x in enumerate(template):
-        need[x] = need.get(x, 0) + 1
-        where[x] = where.get(x, 0) | 1 << i
-    full = (1 << size) - 1
-    at = [i for i, x in enumerate(text) if x in need]
-    have = dict.fromkeys(need, 0)
-    best, bound, upto = (0, 0, 0), 0, 0
-    for k, a in enumerate(at):
-        while upto < len(at) and at[upto] < a + reach:
-            x = text[at[upto]]
-            have[x] += 1
-            bound += have[x] <= need[x]
-            upto += 1
-        if 100 * bound >= min_coverage * size and bound >= best[0]:
-            row, m = full, 0
-            for i in at[k:upto]:
-                hit = row & where[text[i]]
-                row = ((row + hit) | (row - hit)) & full
-                n = size - row.bit_count()
-                if n > m:
-                    m, span = n, i + 1 - a
-                    if 100 * m >= min_coverage * size and 100 * m >= min_density * span and (m, -span) > (best[0], best[1] - best[2]):
-                        best = (m, a, i + 1)
-            if best[0] == size == best[2] - best[1]:
+    reach = max(size, 100 * size // min_density if min_density else len(h))
+    wide = shared_words(h, template, reach)
+    tight = shared_words(h, template, size)
+    head = np.zeros(len(h), np.int64)
+    go = np.ones(len(h), bool)
+    for j in range(min(4, size, len(h))):
+        go[len(h) - j:] = False
+        go[:len(h) - j] &= h[j:] == template[j]
+        head += go
+    step = max(1, size // 2)
+    starts = np.flatnonzero(100 * wide >= min_coverage * size)
+    for block in np.unique(starts // step).tolist():
+        a, b = block * step, min(len(h), (block + 1) * step)
+        for shared, length in ((tight, size), (wide, reach)):
+            s = a + int(np.argmax(shared[a:b] * 8 + head[a:b]))
+            if 100 * shared[s] >= min_coverage * size:
+                yield s, min(len(h), s + length)
+        yield a, min(len(h), b + reach)
+
+
+def best_match(h: np.ndarray, template: np.ndarray, min_coverage: int = MIN_COVERAGE, min_density: int = MIN_DENSITY) -> tuple[int, int, int]:
+    """Matched words and text positions [first, end) of the best dense alignment; (0, 0, 0) if none reaches both thresholds."""
+    best, words, done = (0, 0, 0), template.tolist(), (0, 0)
+    for a, b in windows(h, template, min_coverage, min_density):
+        if (a, b) == done:
+            continue
+        done = (a, b)
+        m, first, end = densest(align(h[a:b].tolist(), words), min_density)
+        if 100 * m >= min_coverage * len(words) and (m, first - end) > (best[0], best[1] - best[2]):
+            best = (m, a + first, a + end)
+            if m == len(words) == end - first:
                 break
-        x = text[a]
-        bound -= have[x] <= need[x]
-        have[x] -= 1
     return best
 
 
@@ -191,7 +201,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         for row, k in zip(need, names):
             np.add.at(row, np.searchsorted(vocabulary, hashes[k]), 1)
         total = need.sum(axis=1)
-        words_of = {k: hashes[k].tolist() for k in names}
         quick = np.zeros(1 << 16, bool)
         quick[vocabulary & np.uint64(0xFFFF)] = True
         for batch in batches:
@@ -207,20 +216,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                 for i in range(n):
                     h = c.hash[c.bounds[i]:c.bounds[i + 1]]
                     best = (len(h), None, 0, None, None, None, None, [])
-                    rank = (0.0, 0)
-                    text = None
+                    rank = None
                     for t in np.flatnonzero(100 * bound[i] >= min_coverage * total):
                         k, size = names[t], int(total[t])
-                        text = h.tolist() if text is None else text
-                        m, a, b = align(text, words_of[k])
-                        if 100 * m < min_coverage * size or 100 * m < min_density * (b - a):
-                            m, a, b = 0, 0, 0
-                        if m < size:
-                            m, a, b = max((m, a, b), best_stretch(text, words_of[k], min_coverage, min_density), key=lambda x: x[0])
+                        m, a, b = best_match(h, hashes[k], min_coverage, min_density)
                         if m:
                             best[-1].append(k)
-                            if (m / size, size) > rank:
-                                rank = (m / size, size)
+                            fit = 3 * m - size - (b - a)  # matches, less what is left over in the template and in the stretch
+                            if rank is None or (fit, m) > rank:
+                                rank = (fit, m)
                                 best = (len(h), k, m, size, m / size, a, b, best[-1])
                     rows.append(best)
             cols = list(zip(*rows)) or [[]] * 8

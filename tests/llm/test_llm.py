@@ -286,10 +286,11 @@ def test_alignment_is_at_most_the_longest_common_subsequence():
 
     for _ in range(200):
         a, b = (r.integers(0, 12, r.integers(0, 25)).tolist() for _ in range(2))
-        assert license_scan._lcs_length(a, b) == lcs(a, b)
-        m, first, end = license_scan.align(a, b)
-        assert m <= lcs(a, b) and (m > 0) == (lcs(a, b) > 0)
-        assert license_scan.align(a, a)[0] == len(a)
+        for pairs in (license_scan.lcs_pairs(a, b), license_scan.align(a, b)):
+            assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+            assert len(pairs) <= lcs(a, b) and bool(pairs) == (lcs(a, b) > 0)
+        assert len(license_scan.lcs_pairs(a, b)) == lcs(a, b)
+        assert len(license_scan.align(a, a)) == len(a)
         chain = license_scan.anchors(a, b)
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(chain, chain[1:]))
 

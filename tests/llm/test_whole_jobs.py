@@ -41,14 +41,68 @@ def test_notice_twice_in_a_long_text_and_stray_words_far_away(spark):
     assert got[4].licenses == [] and {"apache-2.0-notice", "apache-2.0-short"} <= set(got[5].licenses)
 
 
-def test_best_stretch_is_the_best_of_all_stretches():
+def best_stretch(text: list[int], template: list[int]) -> tuple[int, int]:
+    """Brute force: most words that any stretch matches with coverage 80 and density 50, and the least length that does."""
+    best = (0, 0)
+    for a in range(len(text)):
+        for b in range(a + 1, min(len(text), a + 2 * len(template)) + 1):
+            m = len(license_scan.lcs_pairs(text[a:b], template))
+            if 100 * m >= 80 * len(template) and 100 * m >= 50 * (b - a):
+                best = max(best, (m, a - b))
+    return best
+
+
+def test_license_windows_against_every_stretch():
     r = np.random.default_rng(3)
-    for _ in range(300):
-        text, template = r.integers(0, 9, r.integers(1, 30)).tolist(), r.integers(0, 6, r.integers(1, 8)).tolist()
-        every = [(license_scan._lcs_length(text[a:b], template), a, b) for a in range(len(text)) for b in range(a + 1, len(text) + 1)]
-        dense = [(m, a - b, -a) for m, a, b in every if 100 * m >= 80 * len(template) and 100 * m >= 50 * (b - a)]
-        m, span, a = max(dense, default=(0, 0, 0))
-        assert license_scan.best_stretch(text, template, 80, 50) == (m, -a, -a - span)
+    same = found = 0
+    for _ in range(150):
+        template = r.integers(0, 14, r.integers(3, 12))
+        copy = [x for x in template.tolist() if r.random() > 0.05]
+        text = [*r.integers(0, 14, r.integers(0, 20)).tolist(), *copy, *r.integers(0, 14, r.integers(0, 20)).tolist(), *copy]
+        m, a, b = license_scan.best_match(np.array(text), template)
+        want = best_stretch(text, template.tolist())
+        assert m <= want[0] and (not m or (100 * m >= 80 * len(template) and 100 * m >= 50 * (b - a)))
+        assert m == 0 or len(license_scan.lcs_pairs(text[a:b], template.tolist())) >= m
+        if want[0] == len(template) == -want[1]:
+            assert (m, b - a) == (len(template), len(template))  # verbatim copies are always found
+        found += want[0] > 0
+        same += m == want[0] > 0
+    assert found > 100 and same >= 0.95 * found
+
+
+def test_words_shared_with_a_window():
+    r = np.random.default_rng(4)
+    for _ in range(100):
+        h, t, n = r.integers(0, 8, r.integers(1, 40)), r.integers(0, 6, r.integers(1, 9)), int(r.integers(1, 15))
+        want = [sum(min((h[s:s + n] == w).sum(), (t == w).sum()) for w in np.unique(t)) for s in range(len(h))]
+        assert license_scan.shared_words(h, t, n).tolist() == want
+
+
+def test_every_notice_is_told_from_its_relatives_in_long_texts(spark):
+    names = list(license_scan.TEMPLATES)
+    assert len(names) >= 35 and len(set(license_scan.TEMPLATES.values())) == len(names)
+    rows = [(k, f"{prose(900 + k, 300)} {license_scan.TEMPLATES[n]} {prose(950 + k, 300)}") for k, n in enumerate(names)]
+    edited = []
+    for k, n in enumerate(names):
+        w = license_scan.TEMPLATES[n].split()
+        if len(w) >= 40:  # one word in fifteen changed, and a line put between
+            w = [x if i % 15 != 7 else "changed" for i, x in enumerate(w)]
+            edited.append((1000 + k, f"{prose(900 + k, 300)} {' '.join(w[:20])} a line between {' '.join(w[20:])} {prose(950 + k, 300)}"))
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows + edited, "doc_id long, text string")).collect()}
+    for k, n in enumerate(names):
+        assert n in got[k].licenses and got[k].license == n and got[k].coverage == 1.0, (n, got[k].license)
+    assert len(edited) > 20
+    for k, _ in edited:
+        assert names[k - 1000] in got[k].licenses and got[k].coverage > 0.85
+
+
+def test_a_million_words_of_notices_are_read_in_linear_time():
+    template = np.unique(np.arange(160))
+    r = np.random.default_rng(6)
+    for text in (np.tile(template, 6000), r.permutation(np.tile(template, 600))):
+        m, a, b = license_scan.best_match(text, template)
+        assert m == 0 or b - a <= 320
+    assert license_scan.best_match(np.tile(template, 6000), template) == (160, 0, 160)
 
 
 def test_rows_are_kept_and_dropped_by_row_not_by_id(spark):
