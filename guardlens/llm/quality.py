@@ -5,9 +5,10 @@ is rejected. One pass over the texts, no shuffle; a row needs memory for its own
 
 Line rules (a line without words neither fails nor counts):
 
-* navigation: at least ``max_bars`` cells between ``|``, ``>``, or at most ``short_line`` words and no
-  sentence mark at its end;
-* boilerplate: one of the fixed phrases, or a brace (markup and code), or equal to an earlier line;
+* navigation: at least ``max_bars`` cell borders (``|``, ``>``) with at most ``cell_words`` words a cell, or at most ``short_line``
+  words and no sentence mark at its end;
+* boilerplate: equal to an earlier line, or more than ``boiler_share`` percent of its words stand in sentences with one of the fixed
+  phrases (of any language, as texts mix them) or a brace (markup and code), so that one phrase does not fail a long paragraph;
 * punctuation: more than ``symbol_share`` percent of its words carry one of ``#*$%&|<>``, or it has at least
   ``run_on`` words without any sentence mark.
 
@@ -20,6 +21,7 @@ rows and equal ids are judged one by one; other columns are not read and may hav
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,9 +32,22 @@ from pyspark.sql import functions as F
 
 from guardlens.llm.text import as_bytes, chunks
 
-#: fixed phrases, lower case
-BOILERPLATE = (b"all rights reserved", b"cookie", b"privacy policy", b"terms of use", b"terms of service", b"lorem ipsum",
-               b"javascript", b"subscribe to", b"sign up for", b"click here", b"read more", b"share this")
+#: fixed phrases by language, lower case
+BOILERPLATE = {
+    "any": ("cookie", "javascript", "lorem ipsum", "copyright ©"),
+    "en": ("all rights reserved", "privacy policy", "terms of use", "terms of service", "subscribe to", "sign up for", "click here", "read more",
+           "share this"),
+    "de": ("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "allgemeine geschäftsbedingungen", "newsletter abonnieren",
+           "jetzt anmelden", "hier klicken", "klicken sie hier", "mehr lesen", "weiterlesen", "impressum"),
+    "fr": ("tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "abonnez-vous", "inscrivez-vous",
+           "cliquez ici", "lire la suite", "en savoir plus", "partager cet article"),
+    "es": ("todos los derechos reservados", "política de privacidad", "términos de uso", "condiciones de uso", "aviso legal", "suscríbete",
+           "suscríbase", "regístrate", "haga clic aquí", "haz clic aquí", "leer más", "compartir este"),
+}
+#: as bytes; letters outside ASCII also as capitals, as lower-casing bytes leaves those
+PHRASES = tuple(sorted({x for group in BOILERPLATE.values() for p in group for x in (p.encode(), p.upper().encode().lower())}))
+#: sentences end behind a mark and white space, or behind a mark of scripts without spaces
+SENTENCE = re.compile(r"(?<=[.!?;])[ \t\r\v\f\"')\]]+|(?<=…)|(?<=。)|(?<=！)|(?<=？)|(?<=।)")
 SYMBOLS = b"#*$%&|<>"
 MARKS = (b".", b"!", b"?", b":", b";", "…".encode(), "。".encode(), "！".encode(), "？".encode(), "؟".encode(), "।".encode())
 CLOSERS = b"\"')]*_ \t\r\v\f"
@@ -44,23 +59,32 @@ class Rules:
     max_repeat: int = 50
     max_lost: int = 50
     max_bars: int = 3
+    cell_words: int = 6
+    boiler_share: int = 50
     short_line: int = 3
     symbol_share: int = 30
     run_on: int = 400
 
 
-def line_fails(line: bytes, words: int, seen: bool, r: Rules) -> str:
+def boilerplate_words(line: bytes, phrases: tuple[bytes, ...] = PHRASES) -> int:
+    """Words of the line's sentences that have one of the phrases or a brace."""
+    low = line.lower()
+    if b"{" not in low and b"}" not in low and not any(p in low for p in phrases):
+        return 0
+    sentences = [x.encode("utf-8", "surrogateescape") for x in SENTENCE.split(low.decode("utf-8", "surrogateescape"))]
+    return sum(len(x.split()) for x in sentences if b"{" in x or b"}" in x or any(p in x for p in phrases))
+
+
+def line_fails(line: bytes, words: int, seen: bool, r: Rules, phrases: tuple[bytes, ...] = PHRASES) -> str:
     """Name of the rule that a line with words fails, else an empty string."""
-    if line.count(b"|") + line.count(b" > ") >= r.max_bars:
+    bars = line.count(b"|") + line.count(b" > ")
+    if bars >= r.max_bars and words <= r.cell_words * (bars + 1):
         return "navigation"
     end = line.rstrip(CLOSERS)
     closed = end.endswith(MARKS)
     if words <= r.short_line and not closed:
         return "navigation"
-    if seen or b"{" in line or b"}" in line:
-        return "boilerplate"
-    low = line.lower()
-    if any(p in low for p in BOILERPLATE):
+    if seen or 100 * boilerplate_words(line, phrases) > r.boiler_share * words:
         return "boilerplate"
     if len(line) != len(line.translate(None, SYMBOLS)):
         marked = sum(len(w) != len(w.translate(None, SYMBOLS)) for w in line.split())
@@ -74,6 +98,8 @@ def line_fails(line: bytes, words: int, seen: bool, r: Rules) -> str:
 def clean_lines(text: bytes, r: Rules) -> tuple[bytes, int, int]:
     """Text without its failing lines, words removed, lines (with a word) equal to an earlier one."""
     kept, lost, dups, seen = [], 0, 0, set()
+    low = text.lower()
+    phrases = tuple(p for p in PHRASES if p in low)  # one search of the text spares most lines theirs
     for line in text.split(b"\n"):
         n = len(line.split())
         if not n:
@@ -82,7 +108,7 @@ def clean_lines(text: bytes, r: Rules) -> tuple[bytes, int, int]:
         again = line in seen
         dups += again
         seen.add(line)
-        if line_fails(line, n, again, r):
+        if line_fails(line, n, again, r, phrases):
             lost += n
         else:
             kept.append(line)

@@ -67,6 +67,17 @@ def test_quality_lines_and_kept_documents(spark, docs):
     assert quality.line_fails(b"a### b$$$ c%%% d&&& e.", 5, False, r) == "punctuation"
     assert quality.line_fails(b"A plain sentence of words.", 5, False, r) == ""
     assert quality.line_fails(b"A plain sentence of words.", 5, True, r) == "boilerplate"
+    for line in ("Alle Rechte vorbehalten bei uns.", "TOUS DROITS RÉSERVÉS, PARIS.", "Política de privacidad y AVISO LEGAL.", "Haz clic aquí para ver.",
+                 "Read more about it at http://x.org today.", "if (x) { return y; } else z."):
+        assert quality.line_fails(line.encode(), len(line.split()), False, r) == "boilerplate", line
+    long = prose(9, 120).replace("\n", " ")
+    for phrase in ("We use a cookie here.", "Read more.", "Weiterlesen.", "En savoir plus.", "A set {a, b} is meant.", "One | two | three | four."):
+        line = f"{long}. {phrase} {long}."
+        assert quality.line_fails(line.encode(), len(line.split()), False, r) == "", phrase
+        only = " ".join([phrase] * 3)
+        assert quality.line_fails(only.encode(), len(only.split()), False, r) in ("boilerplate", "navigation"), phrase
+    assert quality.boilerplate_words("它很好。Cookie 说明。好 的".encode()) == 2
+    assert quality.boilerplate_words(b"") == 0 and quality.boilerplate_words(b"\xff { \xfe") == 3
     kept = quality.kept_documents(docs)
     assert kept.columns == docs.columns and kept.where("text is null").isEmpty()
     one = spark.createDataFrame([(1, prose(8, 90) + "\nAll rights reserved.", 7)], "doc_id long, text string, n_chars long")
