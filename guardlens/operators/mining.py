@@ -116,6 +116,7 @@ def parametric_candidates(profile: DataFrame, relations: Sequence[str] = RELATIO
              "stat_positive": (stat, "tsb", "_positive", ">", "0"), "nonzero": (number, "sp", "_nonzero", ">", "0"),
              "all_equal": (F.col("path").endswith(".all_equal"), "cre", "", "==", "true")}
     items = []
+    # fixed values: the forms of candidate ids ("hyp/...", here and in shape_candidates), by which results are compared
     for r in relations:
         cond, code, suffix, op, value = rules[r]
         items.append(F.when(cond, F.struct(

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from guardlens.sources import filesets
+
 
 def build_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Hashes are computed on executors, one file per row; files above 2 GB must be split first."""
-    b = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return b.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("size"),
-                    F.sha2("content", 256).alias("sha256"))
+    """(path relative to the folder, size, sha256) of its files, of any size; equal names in different folders stay apart."""
+    return filesets.digests(spark, path, glob)
 
 
 def content_manifest(df: DataFrame, path: Column, content: Column) -> DataFrame:

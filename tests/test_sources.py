@@ -93,11 +93,16 @@ def test_markdown_and_hits(spark):
 def test_manifest_files(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"abc")
     (tmp_path / "y.bin").write_bytes(b"de")
+    (tmp_path / "sub" / "deep").mkdir(parents=True)
+    (tmp_path / "sub" / "deep" / "x.bin").write_bytes(b"other")
+    (tmp_path / "sub" / "none.bin").write_bytes(b"")
     m = manifest.build_manifest(spark, str(tmp_path), "*.bin")
     got = {r.path: (r["size"], r.sha256) for r in m.collect()}
     assert got["x.bin"] == (3, hashlib.sha256(b"abc").hexdigest())
+    assert got["sub/deep/x.bin"] == (5, hashlib.sha256(b"other").hexdigest()) and got["sub/none.bin"] == (0, hashlib.sha256(b"").hexdigest())
     exp = m.where(F.col("path") == "x.bin").unionByName(spark.createDataFrame([("z.bin", 1, "q")], m.schema))
-    assert {r.path: r.status for r in manifest.verify_manifest(m, exp).collect()} == {"x.bin": "ok", "y.bin": "unexpected", "z.bin": "missing"}
+    assert {r.path: r.status for r in manifest.verify_manifest(m, exp).collect()} == {
+        "x.bin": "ok", "y.bin": "unexpected", "sub/deep/x.bin": "unexpected", "sub/none.bin": "unexpected", "z.bin": "missing"}
 
 
 def test_result_sinks(spark, tmp_path):
