@@ -355,10 +355,10 @@ SELECT a.path, CASE WHEN e.h IS NULL THEN 'unexpected' WHEN a.size <> e.size THE
 FROM a LEFT JOIN e ON a.path = e.path""")
 def a21_verify(v):
     actual = manifest.content_manifest(v.pages, F.col("url"), F.col("html"))
-    e = v.pages.where(~F.col("url").contains("/fr/"))
-    expected = manifest.content_manifest(e, F.col("url"), F.col("html")).join(e.select(F.col("url").alias("path"), "page_id"), "path")
-    expected = expected.select("path", F.when(F.col("page_id") % 7 == 1, F.col("size") + 1).otherwise(F.col("size")).alias("size"),
-                               F.when(F.col("page_id") % 11 == 2, F.lit("x")).otherwise(F.col("sha256")).alias("sha256"))
+    # one line for each page, also where several pages have one url
+    e = manifest.content_manifest(v.pages.where(~F.col("url").contains("/fr/")), F.col("url"), F.col("html"), "page_id")
+    expected = e.select("path", F.when(F.col("page_id") % 7 == 1, F.col("size") + 1).otherwise(F.col("size")).alias("size"),
+                        F.when(F.col("page_id") % 11 == 2, F.lit("x")).otherwise(F.col("sha256")).alias("sha256"))
     return manifest.verify_manifest(actual, expected)
 
 

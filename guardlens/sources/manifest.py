@@ -13,10 +13,10 @@ def build_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
     return filesets.digests(spark, path, glob)
 
 
-def content_manifest(df: DataFrame, path: Column, content: Column) -> DataFrame:
-    """Manifest over contents held in a table."""
+def content_manifest(df: DataFrame, path: Column, content: Column, *keep: str) -> DataFrame:
+    """Manifest over contents held in a table; one line for each row, with the columns to ``keep``."""
     raw = content.cast("binary")
-    return df.select(path.alias("path"), F.octet_length(raw).cast("long").alias("size"), F.sha2(raw, 256).alias("sha256"))
+    return df.select(path.alias("path"), F.octet_length(raw).cast("long").alias("size"), F.sha2(raw, 256).alias("sha256"), *keep)
 
 
 def verify_manifest(actual: DataFrame, expected: DataFrame) -> DataFrame:
