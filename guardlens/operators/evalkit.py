@@ -347,7 +347,9 @@ SILENT_TITLE = ("skip", "wrong", "incorrect", "mismatch", "undercount", "lost",
 
 
 def _crashes(low: Column) -> Column:
-    bounded = r"\b(" + "|".join(CRASH_BOUNDED) + r")\b"
+    # \b depends on the Java version: a word stands alone if no letter, digit or underscore of any script is beside it
+    words, letter = "(?:" + "|".join(CRASH_BOUNDED) + ")", r"[\p{L}\p{N}_]"
+    bounded = f"{words}(?!{letter})(?<!{letter}{words})"
     return X.contains_any(low, CRASH_PLAIN) | (X.contains_any(low, CRASH_BOUNDED) & low.rlike(bounded))
 
 

@@ -27,3 +27,10 @@ def differs(spark, sf, tmp_path):
 def test_manifest_of_equal_urls(differs):
     same = F.when(F.col("page_id") % 10 < 2, F.lit("http://example.net/en/1")).otherwise(F.col("url"))
     assert differs("a21_verify_manifest", "pages", lambda d: d.withColumn("url", same)) is None
+
+
+@pytest.mark.parametrize("query", ["b23_evidence_level", "m20_evidence_grid"])
+def test_crash_words_beside_letters_of_any_script(differs, query):
+    texts = ["über schüinf er", "schä inf, er", "infä x", "das nanü", "oom", "_nan", "nan1", "é crash é", "Αnan", ""]
+    text = F.element_at(F.array(*map(F.lit, texts), F.lit(None).cast("string")), (F.col("doc_id") % 11 + 1).cast("int"))
+    assert differs(query, "documents", lambda d: d.withColumn("text", text)) is None
