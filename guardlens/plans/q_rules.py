@@ -11,9 +11,10 @@ from guardlens.plans.views import tensor_json
 INF = float("inf")
 
 
-def found(trace, *ids, checks=None, guards=S.ALL_GUARDS):
+def found(trace, *ids, checks=None, guards=S.ALL_GUARDS, digits=6):
     checks = checks or [R.RULES_BY_ID[i] for i in ids]
-    return S.violations(trace, checks, guards).select("run", "event_id", "entity", "issue", F.round("observed", 6).alias("observed"))
+    observed = F.col("observed") if digits is None else F.round("observed", digits)
+    return S.violations(trace, checks, guards).select("run", "event_id", "entity", "issue", observed.alias("observed"))
 
 
 def kmap(**kv):
@@ -28,10 +29,12 @@ def attention(v):
 
 @query("e01_attention_head_uniformity", """
 SELECT 'run' || CAST(event_id % 3 AS VARCHAR) AS run, event_id, 'layers.' || CAST(user_id % 8 AS VARCHAR) AS entity, 'per-head ratio' AS issue,
-       CASE WHEN user_id = 31 THEN 'inf'::DOUBLE ELSE round(value / 4, 6) END AS observed
-FROM events WHERE user_id % 29 = 0 OR user_id = 31 OR value / 4 > 10""")
+       ratio AS observed
+FROM (SELECT *, CASE WHEN user_id = 31 THEN 'inf'::DOUBLE ELSE value / 4 END AS ratio FROM events)
+WHERE ratio IS NOT NULL AND (user_id % 29 = 0 OR (ratio > 10 AND NOT isnan(ratio)))""")
 def e01(v):
-    return found(attention(v), "T0-attention-head-uniformity")
+    """The ratio as it is: halves of the last digit are rounded differently by the two engines."""
+    return found(attention(v), "T0-attention-head-uniformity", digits=None)
 
 
 @query("e02_checkpoint_preserve_rng", """

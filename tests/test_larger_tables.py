@@ -34,3 +34,10 @@ def test_crash_words_beside_letters_of_any_script(differs, query):
     texts = ["über schüinf er", "schä inf, er", "infä x", "das nanü", "oom", "_nan", "nan1", "é crash é", "Αnan", ""]
     text = F.element_at(F.array(*map(F.lit, texts), F.lit(None).cast("string")), (F.col("doc_id") % 11 + 1).cast("int"))
     assert differs(query, "documents", lambda d: d.withColumn("text", text)) is None
+
+
+@pytest.mark.parametrize("ratio", [None, float("nan"), float("inf"), 500.000005, 201.27132750000002])
+def test_ratio_of_heads_of_any_kind(differs, ratio):
+    value = F.when(F.col("event_id") % 3 == 0, F.lit(ratio).cast("double")).otherwise(F.col("value"))
+    user = F.when(F.col("event_id") % 2 == 0, F.col("user_id") * 29).otherwise(F.col("user_id"))
+    assert differs("e01_attention_head_uniformity", "events", lambda d: d.withColumn("value", value).withColumn("user_id", user)) is None
