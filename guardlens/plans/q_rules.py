@@ -86,18 +86,17 @@ def e05(v):
     return found(fwd.unionByName(ck), "T0-evaluator-eval-mode")
 
 
-GRAD_SQL = """CASE WHEN o_custkey % 50 = 1 THEN 'NaN' WHEN o_custkey % 52 = 1 THEN 'Inf' WHEN o_custkey % 51 = 1 THEN 'zero' WHEN o_totalprice > 400000 THEN 'explosion' END"""
-
-
-@query("e06_grad_norm_finite", f"""
-SELECT 'run' || CAST(o_orderkey % 3 AS VARCHAR) AS run, o_orderkey AS event_id, 'total_grad_l2' AS entity, {GRAD_SQL} AS issue,
-  round(CASE {GRAD_SQL} WHEN 'NaN' THEN 'nan'::DOUBLE WHEN 'Inf' THEN 'inf'::DOUBLE WHEN 'zero' THEN 0.0 ELSE o_totalprice * 1e6 END, 6) AS observed
-FROM orders WHERE {GRAD_SQL} IS NOT NULL""")
+@query("e06_grad_norm_finite", """
+WITH g AS (SELECT o_orderkey, CASE WHEN o_custkey % 50 = 1 THEN 'nan'::DOUBLE WHEN o_custkey % 52 = 1 THEN 'inf'::DOUBLE WHEN o_custkey % 51 = 1 THEN 0.0
+  WHEN o_totalprice > 400000 THEN o_totalprice * 1e6 ELSE o_totalprice END AS g FROM orders),
+i AS (SELECT *, CASE WHEN isnan(g) THEN 'NaN' WHEN isinf(g) THEN 'Inf' WHEN g = 0 THEN 'zero' WHEN g > 1e10 THEN 'explosion' END AS issue FROM g)
+SELECT 'run' || CAST(o_orderkey % 3 AS VARCHAR) AS run, o_orderkey AS event_id, 'total_grad_l2' AS entity, issue, g AS observed FROM i WHERE issue IS NOT NULL""")
 def e06(v):
+    """The norm as it is: rounding changes numbers of twelve digits by their last bit in one engine."""
     c = F.col("o_custkey")
     g = (F.when(c % 50 == 1, F.lit(float("nan"))).when(c % 52 == 1, F.lit(INF)).when(c % 51 == 1, 0.0)
          .when(F.col("o_totalprice") > 400000, F.col("o_totalprice") * 1e6).otherwise(F.col("o_totalprice")))
-    return found(v.events_as("optim.step.pre", "orders", "o_orderkey", total_grad_l2=g), "T0-grad-norm-finite")
+    return found(v.events_as("optim.step.pre", "orders", "o_orderkey", total_grad_l2=g), "T0-grad-norm-finite", digits=None)
 
 
 @query("e07_initial_lr_present", """

@@ -41,3 +41,8 @@ def test_ratio_of_heads_of_any_kind(differs, ratio):
     value = F.when(F.col("event_id") % 3 == 0, F.lit(ratio).cast("double")).otherwise(F.col("value"))
     user = F.when(F.col("event_id") % 2 == 0, F.col("user_id") * 29).otherwise(F.col("user_id"))
     assert differs("e01_attention_head_uniformity", "events", lambda d: d.withColumn("value", value).withColumn("user_id", user)) is None
+
+
+def test_gradient_norms_of_any_kind(differs):
+    odd = F.element_at(F.array(*[F.lit(x).cast("double") for x in (0.0, -0.0, None, float("nan"), float("inf"), -1.0, 400000.0, 437938.3745419559)]), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    assert differs("e06_grad_norm_finite", "orders", lambda d: d.withColumn("o_totalprice", odd)) is None
