@@ -138,10 +138,11 @@ def e10(v):
 
 @query("e11_module_grad_output_alive", """
 SELECT 'run' || CAST(c_custkey % 3 AS VARCHAR) AS run, c_custkey AS event_id, c_name AS entity, 'zero grad_output' AS issue, 0.0::DOUBLE AS observed
-FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal < 0""")
+FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal <= 0""")
 def e11(v):
+    """Balances up to zero are gradients of zero; without a balance there is no norm."""
     cls = F.when(F.col("c_mktsegment") == "BUILDING", "Linear").when(F.col("c_mktsegment") == "MACHINERY", "LayerNorm").otherwise("Attention")
-    go = F.array(tensor_json(l2_norm=F.lit(1.0)), tensor_json(l2_norm=F.greatest(F.col("c_acctbal"), F.lit(0.0))))
+    go = F.array(tensor_json(l2_norm=F.lit(1.0)), tensor_json(l2_norm=F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).when(F.col("c_acctbal") <= 0, 0.0)))
     return found(v.events_as("module.bwd", "customer", "c_custkey", module_class=cls, module_name=F.col("c_name"), grad_output=go), "T0-module-grad-output-alive")
 
 

@@ -46,3 +46,8 @@ def test_ratio_of_heads_of_any_kind(differs, ratio):
 def test_gradient_norms_of_any_kind(differs):
     odd = F.element_at(F.array(*[F.lit(x).cast("double") for x in (0.0, -0.0, None, float("nan"), float("inf"), -1.0, 400000.0, 437938.3745419559)]), (F.col("o_orderkey") % 8 + 1).cast("int"))
     assert differs("e06_grad_norm_finite", "orders", lambda d: d.withColumn("o_totalprice", odd)) is None
+
+
+def test_gradient_output_of_zero(differs):
+    odd = F.element_at(F.array(*[F.lit(x).cast("double") for x in (0.0, -0.0, None, float("nan"), -1.0, 0.01)]), (F.col("c_custkey") % 6 + 1).cast("int"))
+    assert differs("e11_module_grad_output_alive", "customer", lambda d: d.withColumn("c_acctbal", odd)) is None
