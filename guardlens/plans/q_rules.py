@@ -440,6 +440,10 @@ g AS (SELECT r, count(*) FILTER (WHERE k = 0 AND x > 60.0 * 1.01) AS clip, count
   count(*) FILTER (WHERE k = 12 AND x < 50) AS residual FROM e GROUP BY r),
 h AS (SELECT * FROM g JOIN m USING (r))"""
 
+# Zeros, which few of the events have: a gradient norm of zero, and a zero gradient output of a class without parameters.
+ZERO_SQL = """
+z AS (SELECT r, count(*) FILTER (WHERE k = 2 AND x = 0) AS zero, count(*) FILTER (WHERE k = 8 AND x = 0) AS dead FROM e GROUP BY r)"""
+
 
 def varied(v):
     """Every hookpoint of the rules, with declared, undeclared and switched-off configuration by run, and payloads of wrong types."""
@@ -501,7 +505,7 @@ def c17_varied(v):
 
 
 @query("c15_tiers_over_all_rules", f"""
-WITH {VARIED_SQL}, t AS (SELECT sum(clip + upd + lr + nan + rms + steps + ids + heads) + 2 AS low, sum(comm + bias + jitter + residual) + 1 + sum(CASE WHEN r = 1 THEN router ELSE 0 END) AS high FROM h)
+WITH {VARIED_SQL}, {ZERO_SQL}, t AS (SELECT sum(clip + upd + lr + nan + rms + steps + ids + heads + zero) + 2 AS low, sum(comm + bias + jitter + residual) + 1 + sum(CASE WHEN r = 1 THEN router ELSE 0 END) AS high FROM h JOIN z USING (r))
 SELECT 0 AS tier, CAST(low AS BIGINT) AS n_violations FROM t UNION ALL SELECT 1, CAST(low + high AS BIGINT) FROM t""")
 def c15_tiers(v):
     """Violations found with the rules of tier 0, and with those of tier 1 added."""

@@ -51,3 +51,8 @@ def test_gradient_norms_of_any_kind(differs):
 def test_gradient_output_of_zero(differs):
     odd = F.element_at(F.array(*[F.lit(x).cast("double") for x in (0.0, -0.0, None, float("nan"), -1.0, 0.01)]), (F.col("c_custkey") % 6 + 1).cast("int"))
     assert differs("e11_module_grad_output_alive", "customer", lambda d: d.withColumn("c_acctbal", odd)) is None
+
+
+def test_zeros_in_c15_tiers_over_all_rules(differs):
+    value = F.when(F.floor(F.col("event_id") / 39) % 4 == 0, 0.0).otherwise(F.col("value"))
+    assert differs("c15_tiers_over_all_rules", "events", lambda d: d.withColumn("value", value)) is None
