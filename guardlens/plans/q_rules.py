@@ -473,10 +473,10 @@ def varied(v):
 
 
 @query("e33_all_statuses", f"""
-WITH {VARIED_SQL},
+WITH {VARIED_SQL}, {ZERO_SQL},
 u AS (SELECT r, unnest([
   {{'c': 'T0-attention-head-uniformity', 'v': heads, 'b': 0, 'n': n7}}, {{'c': 'T0-clip-grad-bounded', 'v': clip, 'b': 0, 'n': n0}}, {{'c': 'T0-dtype-propagation', 'v': 0, 'b': 0, 'n': n5}},
-  {{'c': 'T0-evaluator-eval-mode', 'v': 0, 'b': 0, 'n': n11}}, {{'c': 'T0-grad-norm-finite', 'v': 0, 'b': overflow, 'n': n2}}, {{'c': 'T0-initial-lr-present', 'v': lr, 'b': 0, 'n': n9}},
+  {{'c': 'T0-evaluator-eval-mode', 'v': 0, 'b': 0, 'n': n11}}, {{'c': 'T0-grad-norm-finite', 'v': zero, 'b': overflow, 'n': n2}}, {{'c': 'T0-initial-lr-present', 'v': lr, 'b': 0, 'n': n9}},
   {{'c': 'T0-build-has-modules', 'v': CASE WHEN r = 1 THEN 1 ELSE 0 END, 'b': 0, 'n': 1}}, {{'c': 'T0-loss-per-token-dispersion', 'v': 0, 'b': lost, 'n': n4}}, {{'c': 'T0-loss-reduction-mode-correct', 'v': 0, 'b': 0, 'n': n4}},
   {{'c': 'T0-module-grad-output-alive', 'v': 0, 'b': 0, 'n': n8}}, {{'c': 'T0-no-nan-inf', 'v': nan, 'b': 0, 'n': 1}}, {{'c': 'T0-norm-output-unit-rms', 'v': rms, 'b': 0, 'n': n5}},
   {{'c': 'T0-optim-lr-positive', 'v': CASE WHEN r = 2 THEN 1 ELSE 0 END, 'b': 0, 'n': 1}}, {{'c': 'T0-optim-step-counter-monotonic', 'v': steps, 'b': 0, 'n': CASE WHEN n1 > 1 THEN 1 ELSE 0 END}}, {{'c': 'T0-param-update-applied', 'v': upd, 'b': 0, 'n': n1}},
@@ -486,7 +486,7 @@ u AS (SELECT r, unnest([
   {{'c': 'T1-grad-replica-cksum-equal', 'v': 0, 'b': 0, 'n': n2}}, {{'c': 'T1-jitter-preserves-dtype', 'v': jitter, 'b': 0, 'n': n6}}, {{'c': 'T1-layer-count-strict', 'v': 0, 'b': 0, 'n': 0}},
   {{'c': 'T1-multi-backward-per-step-fragile-config', 'v': 0, 'b': 0, 'n': 1}}, {{'c': 'T1-process-group-size-correct', 'v': 0, 'b': 0, 'n': 1}}, {{'c': 'T1-replica-cksum-equal', 'v': CASE WHEN r = 0 THEN 1 ELSE 0 END, 'b': 0, 'n': 1}},
   {{'c': 'T1-residual-stream-preserved', 'v': residual, 'b': 0, 'n': 1}}, {{'c': 'T1-router-has-calculate-per-token-loss', 'v': CASE WHEN r = 1 THEN router ELSE 0 END, 'b': 0, 'n': CASE WHEN r = 1 THEN n5 ELSE 0 END}},
-  {{'c': 'T1-sqrt-decay-front-loaded', 'v': 0, 'b': 0, 'n': 0}}], recursive := true) FROM h)
+  {{'c': 'T1-sqrt-decay-front-loaded', 'v': 0, 'b': 0, 'n': 0}}], recursive := true) FROM h JOIN z USING (r))
 SELECT 'run' || CAST(r AS VARCHAR) AS run, c AS check_id, CAST(v AS BIGINT) AS n_violations, CAST(b AS BIGINT) AS n_errors,
   CASE WHEN v > 0 THEN 'fail' WHEN b > 0 THEN 'error' WHEN n = 0 THEN 'passive' ELSE 'pass' END AS status FROM u""")
 def e33_statuses(v):
