@@ -535,12 +535,13 @@ def e34(v):
 
 
 @query("e34_arms_over_all_rules", f"""
-WITH {VARIED_SQL}, b AS (SELECT arm, unnest([{{'c': 'T0-clip-grad-bounded', 'n': clip}}, {{'c': 'T0-param-update-applied', 'n': upd}}, {{'c': 'T0-initial-lr-present', 'n': lr}}, {{'c': 'T0-no-nan-inf', 'n': nan}},
+WITH {VARIED_SQL}, {ZERO_SQL}, b AS (SELECT arm, unnest([{{'c': 'T0-grad-norm-finite', 'n': zero}}, {{'c': 'T0-module-grad-output-alive', 'n': CASE WHEN arm = 'no_precond' THEN dead ELSE 0 END}},
+  {{'c': 'T0-clip-grad-bounded', 'n': clip}}, {{'c': 'T0-param-update-applied', 'n': upd}}, {{'c': 'T0-initial-lr-present', 'n': lr}}, {{'c': 'T0-no-nan-inf', 'n': nan}},
   {{'c': 'T0-norm-output-unit-rms', 'n': CASE WHEN arm = 'no_precond' THEN rms_all ELSE rms END}}, {{'c': 'T0-optim-step-counter-monotonic', 'n': steps}}, {{'c': 'T0-token-id-in-vocab', 'n': ids}}, {{'c': 'T0-attention-head-uniformity', 'n': heads}},
   {{'c': 'T1-comm-dtype-matches-training', 'n': CASE WHEN arm = 'no_precond' THEN comm_all ELSE comm END}}, {{'c': 'T1-expert-bias-fp32', 'n': bias}}, {{'c': 'T1-jitter-preserves-dtype', 'n': jitter}}, {{'c': 'T1-residual-stream-preserved', 'n': residual}},
   {{'c': 'T1-router-has-calculate-per-token-loss', 'n': CASE WHEN arm = 'no_precond' OR r = 1 THEN router ELSE 0 END}}, {{'c': 'T0-build-has-modules', 'n': CASE WHEN r = 1 THEN 1 ELSE 0 END}}, {{'c': 'T0-optim-lr-positive', 'n': CASE WHEN r = 2 THEN 1 ELSE 0 END}},
   {{'c': 'T1-replica-cksum-equal', 'n': CASE WHEN r = 0 THEN 1 ELSE 0 END + CASE WHEN arm = 'no_topo' THEN 1 ELSE 0 END}},
-  {{'c': 'T1-multi-backward-per-step-fragile-config', 'n': CASE WHEN arm = 'no_precond' AND n11 > 1 THEN 1 ELSE 0 END}}], recursive := true) FROM h, (VALUES ('full'), ('no_topo'), ('no_precond')) a(arm))
+  {{'c': 'T1-multi-backward-per-step-fragile-config', 'n': CASE WHEN arm = 'no_precond' AND n11 > 1 THEN 1 ELSE 0 END}}], recursive := true) FROM h JOIN z USING (r), (VALUES ('full'), ('no_topo'), ('no_precond')) a(arm))
 SELECT arm, c AS check_id, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY 1, 2 HAVING sum(n) > 0""")
 def e34_all(v):
     """All rules under each guard arm: what topology guards and preconditions keep from firing."""
