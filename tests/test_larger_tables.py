@@ -66,3 +66,8 @@ def test_zeros_in_e33_all_statuses(differs):
 def test_zeros_in_e34_arms_over_all_rules(differs):
     value = F.when(F.floor(F.col("event_id") / 39) % 4 == 0, 0.0).otherwise(F.col("value"))
     assert differs("e34_arms_over_all_rules", "events", lambda d: d.withColumn("value", value)) is None
+
+
+def test_zeros_in_j06_mined_candidates(differs):
+    value = F.when(F.floor(F.col("event_id") / 39) % 4 == 0, 0.0).otherwise(F.col("value"))
+    assert differs("j06_mined_candidates", "events", lambda d: d.withColumn("value", value)) is None
