@@ -160,10 +160,25 @@ s AS (SELECT 0::BIGINT AS k, 0::BIGINT AS total, FALSE AS took, NULL::VARCHAR AS
 f AS MATERIALIZED (SELECT leak FROM s WHERE took),
 o AS MATERIALIZED (SELECT leak, size, row_number() OVER (ORDER BY h, leak) AS k FROM h WHERE leak NOT IN (SELECT leak FROM f)),
 t AS (SELECT 0::BIGINT AS k, (SELECT max(total) FROM s)::BIGINT AS total, FALSE AS took, NULL::VARCHAR AS leak
-  UNION ALL SELECT o.k, t.total + CASE WHEN t.total + o.size <= 60 THEN o.size ELSE 0 END, t.total + o.size <= 60, o.leak FROM t JOIN o ON o.k = t.k + 1)
-SELECT p_partkey, p_type, CASE WHEN p_brand || '#' || CAST(p_partkey % 97 % (p_size + 2) AS VARCHAR) IN (SELECT leak FROM f UNION ALL SELECT leak FROM t WHERE took) THEN 'test' ELSE 'dev' END AS split FROM part""")
+  UNION ALL SELECT o.k, t.total + CASE WHEN t.total + o.size <= 60 THEN o.size ELSE 0 END, t.total + o.size <= 60, o.leak FROM t JOIN o ON o.k = t.k + 1),
+ch AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY inside, size ORDER BY leak) AS no FROM (SELECT leak, size, leak IN (SELECT leak FROM f UNION ALL SELECT leak FROM t WHERE took) AS inside FROM h)),
+l AS MATERIALIZED (SELECT 60 - coalesce(sum(size) FILTER (WHERE inside), 0)::BIGINT AS short, least(60, max(size) ** 2)::BIGINT AS most FROM ch),
+n AS MATERIALIZED (SELECT inside, size AS s, count(*) AS n, row_number() OVER (PARTITION BY inside ORDER BY size) AS step FROM ch WHERE size <= 120 GROUP BY inside, size),
+made AS (SELECT inside, 0::BIGINT AS step, list_transform(range(0, 121), lambda i: CASE WHEN i = 0 THEN CAST([] AS STRUCT(s BIGINT, k BIGINT)[]) END) AS sums FROM (VALUES (TRUE), (FALSE)) b(inside)
+  UNION ALL SELECT m.inside, n.step, list_transform(range(0, 121), lambda i: CASE WHEN m.sums[i + 1] IS NOT NULL THEN m.sums[i + 1] ELSE list_transform(
+    list_filter(range(1, least(n.n, i // n.s) + 1), lambda k: m.sums[i - k * n.s + 1] IS NOT NULL)[1:1], lambda k: list_append(m.sums[i - k * n.s + 1], {'s': n.s, 'k': k}))[1] END)
+  FROM made m JOIN n ON n.inside = m.inside AND n.step = m.step + 1),
+done AS MATERIALIZED (SELECT inside, arg_max(sums, step) AS sums FROM made GROUP BY inside),
+r AS MATERIALIZED (SELECT min(r) AS r, any_value(g.sums) AS gives, any_value(w.sums) AS takes, any_value(short) AS short FROM l, done g, done w, range(0, 61) x(r)
+  WHERE g.inside AND NOT w.inside AND short > 0 AND r <= most AND g.sums[r + 1] IS NOT NULL AND w.sums[r + short + 1] IS NOT NULL),
+mv AS MATERIALIZED (SELECT TRUE AS inside, unnest(gives[r + 1], recursive := true) FROM r UNION ALL SELECT FALSE, unnest(takes[r + short + 1], recursive := true) FROM r),
+c2 AS MATERIALIZED (SELECT ch.leak FROM ch LEFT JOIN mv ON mv.inside = ch.inside AND mv.s = ch.size AND ch.no <= mv.k WHERE ch.inside = (mv.s IS NULL))
+SELECT p_partkey, p_type, CASE WHEN p_brand || '#' || CAST(p_partkey % 97 % (p_size + 2) AS VARCHAR) IN (SELECT leak FROM c2) THEN 'test' ELSE 'dev' END AS split FROM part""")
 def m12_fill(v):
-    """Sequential rule of the original split: quotas, groups that do not fit are passed over, the shortfall is filled from all strata."""
+    """Sequential rule of the original split: quotas, groups that do not fit are passed over, the shortfall is filled from all strata.
+
+    What no group fits is made up by the least exchange of chosen for other groups.
+    """
     leak = F.concat_ws("#", "p_brand", (F.col("p_partkey") % 97 % (F.col("p_size") + 2)).cast("string"))
     return M.quota_fill_split(v.part.select("p_partkey", "p_type", "p_brand", "p_size"), "p_partkey", leak, ["p_type"], 60, seed=5)
 

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from guardlens.plans.registry import load
@@ -71,3 +72,14 @@ def test_zeros_in_e34_arms_over_all_rules(differs):
 def test_zeros_in_j06_mined_candidates(differs):
     value = F.when(F.floor(F.col("event_id") / 39) % 4 == 0, 0.0).otherwise(F.col("value"))
     assert differs("j06_mined_candidates", "events", lambda d: d.withColumn("value", value)) is None
+
+
+@pytest.mark.parametrize("sizes", [(7, 11, 13, 17, 19, 23, 29, 31, 37, 41), (25, 35, 31, 28, 27, 33), (50, 45, 44, 20, 21, 13, 13, 8), (70, 90, 110)])
+def test_quota_fill_with_few_groups(differs, spark, sizes):
+    def change(d):
+        groups = spark.createDataFrame([(f"{b}{n}", n) for b in ("A", "B") for n in sizes], "p_brand string, n int")
+        rows = groups.withColumn("i", F.explode(F.sequence(F.lit(1), "n"))).drop("n")
+        key = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("p_brand", "i")).cast("long")
+        return rows.select(key.alias("p_partkey"), F.lit("x").alias("p_name"), "p_brand", F.element_at(F.array(F.lit("S"), F.lit("M")), (key % 2 + 1).cast("int")).alias("p_type"),
+                           F.lit(-1).alias("p_size"), F.lit(900.0).alias("p_retailprice"))
+    assert differs("m12_quota_fill", "part", change) is None
