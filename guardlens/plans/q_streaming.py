@@ -47,15 +47,10 @@ def drained(v, trace, part, name, make):
 
 
 def to_table(v, stream_of, trace, part, name):
-    return to_table_and_state(v, stream_of, trace, part, name)[0]
-
-
-def to_table_and_state(v, stream_of, trace, part, name):
-    """Rows of the sink, and the folder of the checkpoint that holds what is open."""
     folder = staged(v, trace, part, name)
     out = stream_of(stream_trace(v.spark, f"{folder}/in", trace.schema, max_files=FILES))
     K.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint")
-    return v.spark.read.schema(out.schema).parquet(f"{folder}/out"), f"{folder}/checkpoint"
+    return v.spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
 THIRD = "CAST(floor(event_id * 3 / ((SELECT max(event_id) FROM events) + 1)) AS BIGINT)"
@@ -218,9 +213,7 @@ def ticking(v):
 
 
 def voted(v, keys, value, trace, name, **kw):
-    Y.stateful(v.spark)
-    closed, state = to_table_and_state(v, lambda s: Y.votes(s, keys, value, **kw), trace, third(v), name)
-    return closed.unionByName(Y.open_groups(v.spark, state, keys))
+    return drained(v, trace, third(v), name, lambda root: Y.Votes(K.BatchState(v.spark, root), keys, value, **kw))[0].finished()
 
 
 @query("k07_votes_by_entity_and_step", """

@@ -1,98 +1,102 @@
 """Keyed streaming state with timers: groups that close when they are complete, and event-time joins.
 
-A group is one key, such as (entity, step) of a replica check. Its state is a few numbers whatever the number of rows. It closes
+A group is one key, such as (entity, step) of a replica check. Its state is one row of a few numbers, whatever the number of its rows. It closes
 when as many rows have come as its degree says, or when event time passes its first row by ``wait``; what is still open when the
-stream ends is read from the checkpoint by ``open_groups``, so that no group goes unreported. Rows that come after their group has
-closed go to the side output ``late``. Keys are spread by the shuffle; a group has at most about ``degree`` rows, so none is large.
+stream ends is reported by ``finished``, so that no group goes unreported. Rows that come after their group has closed, or behind
+the watermark, go to the side output ``late``.
 
-State lives in the RocksDB provider (``stateful`` sets it for the session): it spills to disk and is checkpointed to the shared folder.
+The rows of a batch are combined by group in each task, then merged with the state of the batch before in one aggregation, so a hot
+group costs no more than others and no row of state is handled one by one. State is a table per batch id in the shared folder:
+open groups, and closed ones until their timer has passed; a batch that is run again overwrites its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = "n long, low string, high string, closed boolean"
-OUT = "n_rows long, min_value string, max_value string, closed_by string"
-
-
-def stateful(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-
-
-class Vote(StatefulProcessor):
-    """Rows of a group: how many, and the smallest and largest value (equal iff all agree)."""
-
-    def __init__(self, keys: Sequence[str], degree: int | None, wait_ms: int):
-        self.keys, self.degree, self.wait = list(keys), degree, wait_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.group = handle.getValueState("group", STATE)
-
-    def _row(self, key, n, low, high, by) -> pd.DataFrame:
-        return pd.DataFrame({**{k: [v] for k, v in zip(self.keys, key)}, "n_rows": [n], "min_value": [low], "max_value": [high], "closed_by": [by]})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = not self.group.exists()
-        n, low, high, closed = (0, None, None, False) if new else self.group.get()
-        first, late = None, 0
-        for r in rows:
-            if closed:
-                late += len(r)
-                continue
-            values = r["value"].dropna()
-            n += len(r)
-            if len(values):
-                low = min(x for x in (low, values.min()) if x is not None)
-                high = max(x for x in (high, values.max()) if x is not None)
-            at = int(r["at_ms"].min())
-            first = at if first is None else min(first, at)
-        if new and first is not None:
-            self.handle.registerTimer(first + self.wait)
-        if late:
-            yield self._row(key, late, None, None, "late")
-        elif self.degree is not None and n >= self.degree:
-            closed = True
-            yield self._row(key, n, low, high, "degree")
-        self.group.update((n, low, high, closed))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, low, high, closed = self.group.get()
-        self.group.clear()
-        if not closed:
-            yield self._row(key, n, low, high, "timer")
-
-    def close(self) -> None:
-        pass
-
-
-def votes(stream: DataFrame, keys: Sequence[str], value: str, time: str = "ts", degree: int | None = None, wait: str = "10 minutes",
-          lateness: str = "10 minutes") -> DataFrame:
-    """(keys, n_rows, min_value, max_value, closed_by) of every group as it closes, and rows that were late for theirs.
+
+from guardlens.streaming.online import BatchState
+
+VOTE = ("n_rows", "min_value", "max_value", "closed_by")
+
+
+def _ms(text: str) -> int:
+    return int(pd.Timedelta(text).total_seconds() * 1000)
+
+
+class Votes:
+    """Rows of each group: how many, and the smallest and largest value (equal iff all agree).
 
     Without a degree groups close by time only: a count per key. A null value counts as a row but does not vote.
     """
-    wait_ms = int(pd.Timedelta(wait).total_seconds() * 1000)
-    schema = ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in keys)
-    rows = (stream.withWatermark(time, lateness)
-            .select(*keys, F.col(value).cast("string").alias("value"), F.unix_millis(time).alias("at_ms"), time))
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=Vote(keys, degree, wait_ms), outputStructType=f"{schema}, {OUT}", outputMode="Append", timeMode="EventTime")
-
-
-def open_groups(spark: SparkSession, checkpoint: str, keys: Sequence[str]) -> DataFrame:
-    """Groups that were open when the stream ended, in the form of ``votes``."""
-    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "group").load()
-    return (state.where("NOT value.closed")
-            .select(*[F.col(f"key.{k}").alias(k) for k in keys], F.col("value.n").alias("n_rows"), F.col("value.low").alias("min_value"),
-                    F.col("value.high").alias("max_value"), F.lit("end").alias("closed_by")))
+
+    def __init__(self, state: BatchState, keys: Sequence[str], value: str, time: str = "ts", degree: int | None = None, wait: str = "10 minutes",
+                 lateness: str = "10 minutes"):
+        self.state, self.keys, self.value, self.time, self.degree = state, list(keys), value, time, degree
+        self.wait, self.lateness = _ms(wait), _ms(lateness)
+
+    def _mark(self, batch_id: int) -> int | None:
+        """Watermark after a batch: the largest time so far, less the lateness."""
+        top = self.state.spark.read.schema("top long").parquet(self.state.path("mark", batch_id)).first().top if batch_id >= 0 else None
+        return None if top is None else top - self.lateness
+
+    def _kept(self, groups: DataFrame) -> DataFrame:
+        return groups.where("kept").select(*self.keys, "n", "low", "high", "closed", "due")
+
+    def _groups(self, batch_id: int) -> DataFrame:
+        return self.state.spark.read.parquet(self.state.path("groups", batch_id))
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        mark, at = self._mark(batch_id - 1), F.unix_millis(self.time)
+        value, none = F.col(self.value).cast("string"), F.lit(None)
+        behind = F.lit(False) if mark is None else F.coalesce(at <= F.lit(mark), F.lit(False))
+        fresh = batch.select(*self.keys, F.lit(0).cast("long").alias("old_n"), F.when(~behind, 1).otherwise(0).cast("long").alias("new_n"), F.when(behind, 1).otherwise(0).cast("long").alias("behind"),
+                             none.cast("string").alias("old_low"), none.cast("string").alias("old_high"), F.when(~behind, value).alias("low"), F.when(~behind, value).alias("high"),
+                             F.lit(False).alias("closed"), none.cast("long").alias("due"), F.when(~behind, at).alias("first"))
+        if batch_id > 0:
+            old = self._kept(self._groups(batch_id - 1))
+            fresh = fresh.unionByName(old.select(*self.keys, F.col("n").alias("old_n"), F.lit(0).cast("long").alias("new_n"), F.lit(0).cast("long").alias("behind"), F.col("low").alias("old_low"),
+                                                 F.col("high").alias("old_high"), none.cast("string").alias("low"), none.cast("string").alias("high"), "closed", "due", none.cast("long").alias("first")))
+        g = fresh.groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in ("old_n", "new_n", "behind")], *[F.min(c).alias(c) for c in ("old_low", "low", "due", "first")],
+                                          *[F.max(c).alias(c) for c in ("old_high", "high", "closed")])
+        was = F.col("closed")
+        n = F.col("old_n") + F.when(was, 0).otherwise(F.col("new_n"))
+        full = F.lit(False) if self.degree is None else ~was & (F.col("new_n") > 0) & (n >= self.degree)
+        due = F.coalesce(F.col("due"), F.col("first") + self.wait)
+        over = F.lit(False) if mark is None else F.coalesce(due <= F.lit(mark), F.lit(False))
+        known = F.col("old_n") + F.col("new_n") > 0
+        late = F.col("behind") + F.when(was, F.col("new_n")).otherwise(0)
+        low, high = (F.when(was, F.col(f"old_{c}")).otherwise(f(f"old_{c}", c)) for c, f in (("low", F.least), ("high", F.greatest)))
+        g = g.select(*self.keys, n.alias("n"), low.alias("low"), high.alias("high"), (was | full).alias("closed"), due.alias("due"), (known & ~over).alias("kept"), late.alias("late"),
+                     F.when(full, "degree").when(over & known & ~was, "timer").alias("closed_by"))
+        self.state.write("groups", batch_id, g)
+        top = batch.agg(F.max(at).alias("top")).select(F.greatest("top", F.lit(None if mark is None else mark + self.lateness).cast("long")).alias("top"))
+        self.state.write("mark", batch_id, top)
+
+    def closed(self) -> DataFrame:
+        """(keys, n_rows, min_value, max_value, closed_by) of every group that has closed, and the rows that were late for theirs."""
+        d = self._all()
+        by = d.where("closed_by IS NOT NULL").select(*self.keys, *self._vote("n", F.col("low"), F.col("high"), F.col("closed_by")))
+        none = F.lit(None).cast("string")
+        return by.unionByName(d.where("late > 0").select(*self.keys, *self._vote("late", none, none, F.lit("late"))))
+
+    def finished(self) -> DataFrame:
+        """``closed``, and the groups that are open when the stream has ended: their timer has passed, or it is the end that closes them."""
+        last = self._all().agg(F.max("batch").alias("b")).first().b
+        mark = self._mark(last)
+        by = F.lit("end") if mark is None else F.when(F.col("due") <= F.lit(mark), "timer").otherwise("end")
+        left = self._kept(self._groups(last)).where("NOT closed")
+        return self.closed().unionByName(left.select(*self.keys, *self._vote("n", F.col("low"), F.col("high"), by)))
+
+    def _all(self) -> DataFrame:
+        return self.state.spark.read.parquet(f"{self.state.root}/groups")
+
+    @staticmethod
+    def _vote(n: str, low: Column, high: Column, by: Column) -> list[Column]:
+        return [c.alias(name) for c, name in zip((F.col(n), low, high, by), VOTE)]
 
 
 def pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, within: str, lateness: str = "10 minutes",
