@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from guardlens.operators.spec import Check
@@ -59,6 +60,13 @@ class JsonLeaves:
             yield leaf
 
 
+def leaf_counts(df: DataFrame, column: str) -> DataFrame:
+    """(path, type, n): how many texts of a column have each leaf. Equal texts are counted first and read once."""
+    texts = df.groupBy(F.col(column).alias("__text")).agg(F.count(F.lit(1)).alias("__n"))
+    leaves = texts.lateralJoin(JsonLeaves(F.col("__text").outer()))
+    return leaves.groupBy("path", "type").agg(F.sum("__n").alias("n"))
+
+
 def register_json_leaves(spark: SparkSession, name: str = "gl_json_leaves") -> str:
     spark.udtf.register(name, JsonLeaves)
     return name

@@ -39,8 +39,7 @@ def n03(v):
 @query("n04_json_leaves", """
 SELECT '$.k' AS path, 'number' AS type, count(*) AS n FROM events""")
 def n04(v):
-    leaves = v.events.select("props").lateralJoin(sqlfuncs.JsonLeaves(F.col("props").outer()))
-    return leaves.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"))
+    return sqlfuncs.leaf_counts(v.events, "props")
 
 
 @query("n05_stateful_detector", """

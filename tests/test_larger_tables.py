@@ -83,3 +83,10 @@ def test_quota_fill_with_few_groups(differs, spark, sizes):
         return rows.select(key.alias("p_partkey"), F.lit("x").alias("p_name"), "p_brand", F.element_at(F.array(F.lit("S"), F.lit("M")), (key % 2 + 1).cast("int")).alias("p_type"),
                            F.lit(-1).alias("p_size"), F.lit(900.0).alias("p_retailprice"))
     assert differs("m12_quota_fill", "part", change) is None
+
+
+def test_leaf_counts_read_equal_texts_once(spark):
+    from guardlens.functions import sqlfuncs
+    texts = ['{"a": 1, "b": [true, {"c": null}]}'] * 3 + ['{"a": "x"}', "no json", None, '{"b": []}']
+    got = {(r.path, r.type): r.n for r in sqlfuncs.leaf_counts(spark.createDataFrame([(x,) for x in texts], "p string"), "p").collect()}
+    assert got == {("$.a", "number"): 3, ("$.a", "string"): 1, ("$.b[*]", "bool"): 3, ("$.b[*].c", "null"): 3, ("$.b[*]", "empty"): 1}
