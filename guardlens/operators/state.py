@@ -4,8 +4,9 @@ All operators are column-parameterised: ``entity`` is the list of key columns of
 object, ``replica`` the integer replica number, ``value`` the compared column.
 
 Skew: values are pre-counted per (entity, value) before the entity-level reduction, so an
-entity holding a large share of all rows collapses map-side to its distinct values. Replica
-sets are bit masks of fixed width (``degree`` bits), never collected lists.
+entity holding a large share of all rows collapses to its distinct values first. Replica
+sets are bit masks of fixed width (``degree`` bits), never collected lists. Checks over several columns
+are dealt over tasks by the number of rows, as they have about as many groups as rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardlens.functions import exprs as X
+from guardlens.session import spread
 
 BITS = 62
 
@@ -97,9 +99,14 @@ def replica_equality_multi(df: DataFrame, entity: Sequence[str], replica: str, v
     degree = degree_of(d, replica, degree)
     words = [f"__m{w}" for w in range((degree + BITS - 1) // BITS)]
     # replicas that agree collapse to one row before the distinct counts expand anything
-    pre = d.groupBy(*entity, *values).agg(*masks(replica, degree), F.count(F.lit(1)).alias("__c"))
-    g = pre.groupBy(*entity).agg(*[F.bit_or(w).alias(w) for w in words], F.sum("__c").alias("n_rows"),
-                                 *[F.count_distinct(v).alias(f"n_{v}") for v in values])
+    rows = d.count()
+    pre = spread(d, rows, *entity, *values).groupBy(*entity, *values).agg(*masks(replica, degree), F.count(F.lit(1)).alias("__c"))
+    # the values of an entity are counted where its combinations lie
+    pairs = F.array(*[F.struct(F.lit(i).alias("__a"), F.col(v).cast("string").alias("__v")) for i, v in enumerate(values)])
+    one = (spread(pre, rows, *entity).select(*entity, *words, "__c", F.inline(pairs)).groupBy(*entity, "__a", "__v")
+           .agg(*[F.bit_or(w).alias(w) for w in words], F.sum("__c").alias("__c")))
+    g = one.groupBy(*entity).agg(*[F.bit_or(w).alias(w) for w in words], F.sum(F.when(F.col("__a") == 0, F.col("__c"))).alias("n_rows"),
+                                 *[F.count_if((F.col("__a") == i) & F.col("__v").isNotNull()).alias(f"n_{v}") for i, v in enumerate(values)])
     g = g.withColumn("n_replicas", mask_size(degree).cast("long"))
     every = F.lit(True)
     for v in values:
@@ -128,8 +135,10 @@ def attribute_consistency(df: DataFrame, entity: Sequence[str], attributes: Sequ
     d = df if guard is None else df.where(guard)
     pairs = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("__v")) for a in attributes])
     # replicas that agree on all attributes collapse to one row before the attributes are spread
-    pre = d.groupBy(*entity, *attributes).agg(F.count(F.lit(1)).alias("__n"))
-    long = pre.select(*entity, "__n", F.inline(pairs)).where(F.col("__v").isNotNull())
+    rows = d.count()
+    pre = spread(d, rows, *entity, *attributes).groupBy(*entity, *attributes).agg(F.count(F.lit(1)).alias("__n"))
+    # one row for each combination an entity has: all its attributes are counted where it lies
+    long = spread(pre, rows, *entity).select(*entity, "__n", F.inline(pairs)).where(F.col("__v").isNotNull())
     return (long.groupBy(*entity, "attribute", "__v").agg(F.sum("__n").alias("__c"))
             .groupBy(*entity, "attribute").agg(F.count(F.lit(1)).alias("n_values"), F.sum("__c").alias("n_rows"))
             .where(F.col("n_values") > 1))

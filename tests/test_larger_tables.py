@@ -90,3 +90,16 @@ def test_leaf_counts_read_equal_texts_once(spark):
     texts = ['{"a": 1, "b": [true, {"c": null}]}'] * 3 + ['{"a": "x"}', "no json", None, '{"b": []}']
     got = {(r.path, r.type): r.n for r in sqlfuncs.leaf_counts(spark.createDataFrame([(x,) for x in texts], "p string"), "p").collect()}
     assert got == {("$.a", "number"): 3, ("$.a", "string"): 1, ("$.b[*]", "bool"): 3, ("$.b[*].c", "null"): 3, ("$.b[*]", "empty"): 1}
+
+
+def test_state_checks_are_dealt_by_rows(spark, monkeypatch):
+    from guardlens import session
+    from guardlens.operators import state as S
+    monkeypatch.setattr(session, "ROWS_A_TASK", 10)
+    assert session.spread(spark.range(95), 95, "id").rdd.getNumPartitions() == 10
+    rows = [(i // 4, i % 4, "a" if i % 8 else "b", None if i % 3 else "c", "x") for i in range(80)] + [(None, 0, "a", "c", "x"), (None, 1, "b", "c", "x")]
+    d = spark.createDataFrame(rows, "e int, r int, p string, q string, z string")
+    multi = {r.e: (r.n_replicas, r.n_rows, r.n_p, r.n_q, r.inconsistency_type, r.replicas) for r in S.replica_equality_multi(d, ["e"], "r", ["p", "q"]).collect()}
+    assert multi == {**{e: (4, 4, 2, 1, "p_inconsistent", "0,1,2,3") for e in range(0, 20, 2)}, None: (2, 2, 2, 1, "p_inconsistent", "0,1")}
+    found = S.attribute_consistency(d, ["e"], ["p", "q", "z"])
+    assert {(r.e, r.attribute, r.n_values, r.n_rows) for r in found.collect()} == {*((e, "p", 2, 4) for e in range(0, 20, 2)), (None, "p", 2, 2)}
