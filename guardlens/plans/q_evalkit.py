@@ -10,6 +10,7 @@ from guardlens.plans.q_exprs import EVIDENCE_SQL, evidence
 from guardlens.plans.q_rules import norm_trace, replica_records
 from guardlens.plans.q_sources import _iteration_log
 from guardlens.plans.registry import query
+from guardlens.session import spread
 from guardlens.sources import textlogs
 
 
@@ -64,7 +65,8 @@ WITH h AS (SELECT l_suppkey, l_orderkey, count(*) AS n, md5(string_agg(CAST(CAST
 SELECT n AS n_rows, count(*) AS n_captures, CAST(min(l_suppkey * 100000000 + l_orderkey) AS BIGINT) AS first_key FROM h GROUP BY n, h HAVING count(*) > 1""")
 def m04(v):
     d = v.lineitem.select("l_suppkey", "l_orderkey", F.expr("CAST(l_quantity AS INT) div 10").alias("q"))
-    fp = R.fingerprint(d, ["l_suppkey", "l_orderkey"], ["q"])
+    # captures of a few rows each: about as many groups as rows
+    fp = R.fingerprint(spread(d, d.count(), "l_suppkey", "l_orderkey"), ["l_suppkey", "l_orderkey"], ["q"])
     dup = M.duplicate_captures(fp, ["l_suppkey", "l_orderkey"], ["n_rows", "hash_sum", "hash_xor"])
     return dup.select("n_rows", "n_captures", (F.col("l_suppkey") * 100000000 + F.col("l_orderkey")).alias("first_key"))
 
