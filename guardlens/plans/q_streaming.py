@@ -12,7 +12,7 @@ from guardlens.operators import rules as R
 from guardlens.plans.q_rules import clip, counter
 from guardlens.plans.registry import query
 from guardlens.plans.views import micros
-from guardlens.session import work_folder
+from guardlens.session import ROWS_A_TASK, work_folder
 from guardlens.sources.traces import stream_trace
 from guardlens.streaming import incremental as I
 from guardlens.streaming import keyed as Y
@@ -21,15 +21,20 @@ from guardlens.streaming import online as K
 TRACE = T.StructType([*sc.ENVELOPE.fields, T.StructField("run", sc.S)])
 
 
-FILES = 4  # of a part; a micro-batch takes as many
+FILES = 4  # of a part, at least; a micro-batch takes as many as a part has
+
+
+def files(trace):
+    """Files of each part: as many as the rows need, so that the tasks of a batch grow in number and not in size."""
+    return max(FILES, -(-trace.count() // ROWS_A_TASK))
 
 
 def staged(v, trace, part, name):
-    """Write the parts one after the other, so that file order is batch order."""
-    folder = work_folder(v.spark, name)
+    """Write the parts one after the other, so that file order is batch order; (folder, files of a part)."""
+    folder, n = work_folder(v.spark, name), files(trace)
     for i in range(3):
-        trace.where(part == i).repartition(FILES).write.mode("append").parquet(f"{folder}/in")
-    return folder
+        trace.where(part == i).repartition(n).write.mode("append").parquet(f"{folder}/in")
+    return folder, n
 
 
 def third(v, column="event_id"):
@@ -39,16 +44,16 @@ def third(v, column="event_id"):
 
 
 def drained(v, trace, part, name, make):
-    folder = staged(v, trace, part, name)
+    folder, n = staged(v, trace, part, name)
     handler = make(f"{folder}/state")
-    stream = stream_trace(v.spark, f"{folder}/in", trace.schema, max_files=FILES)
+    stream = stream_trace(v.spark, f"{folder}/in", trace.schema, max_files=n)
     K.run_batches(stream, handler, f"{folder}/checkpoint")
     return handler, folder
 
 
 def to_table(v, stream_of, trace, part, name):
-    folder = staged(v, trace, part, name)
-    out = stream_of(stream_trace(v.spark, f"{folder}/in", trace.schema, max_files=FILES))
+    folder, n = staged(v, trace, part, name)
+    out = stream_of(stream_trace(v.spark, f"{folder}/in", trace.schema, max_files=n))
     K.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint")
     return v.spark.read.schema(out.schema).parquet(f"{folder}/out")
 
@@ -303,12 +308,12 @@ def incremental(v, name):
     t = shifting(v)
     again = t.where("part < 2").withColumn("part", F.col("part") + 1)
     both = t.unionByName(again)
-    folder = work_folder(v.spark, name)
+    folder, n = work_folder(v.spark, name), files(t)
     for i in range(3):
-        both.where(F.col("part") == i).drop("part").repartition(FILES).write.mode("append").parquet(f"{folder}/in")
+        both.where(F.col("part") == i).drop("part").repartition(n).write.mode("append").parquet(f"{folder}/in")
     runner = I.IncrementalRunner(v.spark, f"{folder}/state", [R.RULES_BY_ID[i] for i in INCREMENTAL], span=1000)
     schema = both.drop("part").schema
-    K.run_batches(stream_trace(v.spark, f"{folder}/in", schema, max_files=FILES), runner, f"{folder}/checkpoint")
+    K.run_batches(stream_trace(v.spark, f"{folder}/in", schema, max_files=n), runner, f"{folder}/checkpoint")
     return runner
 
 

@@ -103,3 +103,15 @@ def test_state_checks_are_dealt_by_rows(spark, monkeypatch):
     assert multi == {**{e: (4, 4, 2, 1, "p_inconsistent", "0,1,2,3") for e in range(0, 20, 2)}, None: (2, 2, 2, 1, "p_inconsistent", "0,1")}
     found = S.attribute_consistency(d, ["e"], ["p", "q", "z"])
     assert {(r.e, r.attribute, r.n_values, r.n_rows) for r in found.collect()} == {*((e, "p", 2, 4) for e in range(0, 20, 2)), (None, "p", 2, 2)}
+
+
+@pytest.mark.parametrize("query", ["k03_incremental_standing", "k04_incremental_changes"])
+def test_files_of_a_batch_grow_with_its_rows(spark, sf, query, monkeypatch):
+    """A batch of more rows comes in more files, and is still one part."""
+    from guardlens.plans import q_streaming
+    monkeypatch.setattr(q_streaming, "ROWS_A_TASK", 20)
+    seen = []
+    read = q_streaming.stream_trace
+    monkeypatch.setattr(q_streaming, "stream_trace", lambda *a, max_files: seen.append(max_files) or read(*a, max_files=max_files))
+    assert compare(spark, connect(sf), load()[query], sf) is None
+    assert seen[0] >= spark.read.parquet(f"{sf}/events.parquet").count() // 20 > q_streaming.FILES
