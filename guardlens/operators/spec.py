@@ -398,14 +398,16 @@ WALK_FIELDS = ("inputs", "output", "outputs", "grad_input", "grad_output", "para
                "model", "input_ids")
 
 
-def tensor_summaries(p: Column, fields: Iterable[str] = WALK_FIELDS) -> Column:
+def tensor_summaries(p: Column, fields: Iterable[str] = WALK_FIELDS, tensor: Sequence[str] | None = None) -> Column:
     """Every tensor summary of a payload: known single, list and parameter positions.
 
     Model parameters carry dtype and shape themselves, so both the parameter and its nested
-    summary are included.
+    summary are included. ``tensor``: the fields that the summaries were parsed with, dtype and shape among them.
     """
+    kind = sc.TENSOR if tensor is None else sc.narrow(sc.TENSOR, set(tensor))
+
     def norm(x: Column) -> Column:
-        return F.struct(*[x.getField(f.name).alias(f.name) for f in sc.TENSOR.fields])
+        return F.struct(*[x.getField(f.name).alias(f.name) for f in kind.fields])
 
     one, many = [], []
     for f in fields:
@@ -417,7 +419,7 @@ def tensor_summaries(p: Column, fields: Iterable[str] = WALK_FIELDS) -> Column:
             many.append(F.transform(prm, lambda x: x.getField("tensor_summary")))
         else:
             one.append(p.getField(f))
-    empty = F.array().cast("array<" + sc.TENSOR.simpleString() + ">")
+    empty = F.array().cast("array<" + kind.simpleString() + ">")
     parts = [F.coalesce(m, empty) for m in many] + ([F.array(*one)] if one else [])
     allts = parts[0] if len(parts) == 1 else F.concat(*parts)
     return F.filter(allts, lambda t: t.isNotNull() & t.getField("dtype").isNotNull() & t.getField("shape").isNotNull())

@@ -85,8 +85,9 @@ def b11(v):
         F.array(tensor_json(has_nan=F.col("l_discount") >= 0.1), tensor_json(has_nan=F.col("l_tax") >= 0.08)).alias("inputs"),
         F.struct(F.array(F.struct(F.lit("w").alias("name"), tensor_json(has_nan=F.col("l_quantity") >= 49).alias("tensor_summary"))).alias("parameters")).alias("model"),
     )).alias("payload"))
-    p = F.from_json("payload", sc.payload_schema(["output", "inputs", "model"]))
-    ts = tensor_summaries(F.col("p"), ("output", "inputs", "model"))
+    walked, read = ("output", "inputs", "model"), ("dtype", "shape", "has_nan")
+    p = F.from_json("payload", sc.payload_schema(walked, read))
+    ts = tensor_summaries(F.col("p"), walked, read)
     return d.withColumn("p", p).select("l_orderkey", "l_linenumber", F.explode(ts).alias("t")).groupBy("l_orderkey", "l_linenumber").agg(
         F.count(F.lit(1)).alias("n_summaries"), F.count_if(F.col("t.has_nan")).alias("n_bad"))
 

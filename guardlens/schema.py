@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import types as T
 
@@ -62,12 +62,23 @@ PAYLOAD = _st(
 )
 
 
-def payload_schema(fields: Iterable[str]) -> T.StructType:
+def payload_schema(fields: Iterable[str], tensor: Sequence[str] | None = None) -> T.StructType:
+    """Payload fields to parse; of every tensor summary only the fields named by ``tensor``, if it is given."""
     wanted = set(fields)
     unknown = wanted - set(PAYLOAD.fieldNames())
     if unknown:
         raise ValueError(f"unknown payload fields: {sorted(unknown)}")
-    return T.StructType([f for f in PAYLOAD.fields if f.name in wanted])
+    found = T.StructType([f for f in PAYLOAD.fields if f.name in wanted])
+    return found if tensor is None else narrow(found, set(tensor))
+
+
+def narrow(t: T.DataType, names: set[str]) -> T.DataType:
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(narrow(t.elementType, names), t.containsNull)
+    if not isinstance(t, T.StructType):
+        return t
+    own = set(TENSOR.fieldNames()) - names if set(TENSOR.fieldNames()) <= set(t.fieldNames()) else set()
+    return T.StructType([T.StructField(f.name, narrow(f.dataType, names), f.nullable) for f in t.fields if f.name not in own])
 
 
 STATE_DATA = _st(

@@ -115,3 +115,13 @@ def test_files_of_a_batch_grow_with_its_rows(spark, sf, query, monkeypatch):
     monkeypatch.setattr(q_streaming, "stream_trace", lambda *a, max_files: seen.append(max_files) or read(*a, max_files=max_files))
     assert compare(spark, connect(sf), load()[query], sf) is None
     assert seen[0] >= spark.read.parquet(f"{sf}/events.parquet").count() // 20 > q_streaming.FILES
+
+
+def test_a_walk_parses_what_it_reads():
+    """Of tensor summaries only the named fields are parsed, in lists and parameters too."""
+    from guardlens import schema as sc
+    t = sc.payload_schema(["output", "inputs", "model"], ("dtype", "shape", "has_nan"))
+    prm = t["model"].dataType["parameters"].dataType.elementType
+    for x in (t["output"].dataType, t["inputs"].dataType.elementType, prm["tensor_summary"].dataType):
+        assert set(x.fieldNames()) == {"dtype", "shape", "has_nan"}
+    assert {"name", "dtype", "tensor_summary"} <= set(prm.fieldNames()) and "std" not in prm.fieldNames()
