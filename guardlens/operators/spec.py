@@ -169,8 +169,17 @@ def row_violations(trace: DataFrame, checks: Sequence[Check], guards: frozenset[
     p = F.col("p")
     parsed = parse(trace, checks)
     merged = _by_hookpoint(checks, lambda c: _labelled(_found(c, p, guards), c.check_id), LABELLED_TYPE)
-    return (parsed.select("run", "rank", "step", "event_id", F.inline(merged))
-            .select(*violation_columns()))
+    return _inlined(parsed, ["run", "rank", "step", "event_id"], merged).select(*violation_columns())
+
+
+def _inlined(parsed: DataFrame, keep: Sequence[str], rows: Column) -> DataFrame:
+    """One row for each element of an array with a check_id.
+
+    The array is built as a column first: inside the generator a large expression is interpreted, not compiled. The generator is an
+    outer one, as for others the optimizer tests the array for elements below the parse, and so parses every payload many times.
+    """
+    return (parsed.select(*keep, rows.alias("__rows")).select(*keep, F.inline_outer("__rows"))
+            .where(F.col("check_id").isNotNull()))
 
 
 def _found(c: Check, p: Column, guards: frozenset[str]) -> Column:
@@ -248,7 +257,7 @@ def results(trace: DataFrame, checks: Sequence[Check], guards: frozenset[str] =
 
     kind = "array<struct<check_id:string,scope:int,checked:int,found:int,bad:int,veto:int" + "".join(f",need{i}:int" for i in range(most)) + ">>"
     names = {"scope": "n_scope", "checked": "n_checked", "found": "n_row", "bad": "n_bad", "veto": "n_veto", **{f"need{i}": f"n_need{i}" for i in range(most)}}
-    seen = (parsed.select("run", F.inline(_by_hookpoint(checks, counts, kind)))
+    seen = (_inlined(parsed, ["run"], _by_hookpoint(checks, counts, kind))
             .groupBy("run", "check_id").agg(*[F.sum(k).alias(n) for k, n in names.items()]))
     # one row per (run, check), also for checks without any event in scope
     wanted = [F.array(*[F.lit(n) for _, n in c.needs]).cast("array<int>") for c in checks]

@@ -125,3 +125,18 @@ def test_a_walk_parses_what_it_reads():
     for x in (t["output"].dataType, t["inputs"].dataType.elementType, prm["tensor_summary"].dataType):
         assert set(x.fieldNames()) == {"dtype", "shape", "has_nan"}
     assert {"name", "dtype", "tensor_summary"} <= set(prm.fieldNames()) and "std" not in prm.fieldNames()
+
+
+def test_rules_are_evaluated_outside_the_generator(spark, sf):
+    """The array of all rules is a compiled column of one parse: neither is it interpreted in the generator, nor tested below the parse."""
+    from guardlens.operators import rules as R
+    from guardlens.operators import spec as S
+    from guardlens.plans.q_rules import fleet
+    from guardlens.plans.views import Views
+    trace = fleet(Views(spark, sf))
+    rows = [r for r in R.RULES if r.findings is not None]
+    for d in (S.row_violations(trace, rows), S.results(trace, rows)):
+        plan = d._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        generators = [x for x in plan if "Generate " in x and "check_id" in x and "wanted" not in x]
+        assert generators and all("__rows#" in x for x in generators)
+        assert not [x for x in plan if "Filter " in x and "from_json" in x]
