@@ -73,11 +73,13 @@ _GUARDED = (f"coalesce(CASE WHEN t.guard IS NULL THEN true WHEN try_cast(t.guard
             f"{_compare('t.guard.op', f'try_cast({_GUARD_VALUE} AS DOUBLE)', 'try_cast(t.guard.value AS DOUBLE)', tuple(OPS))} "
             f"ELSE {_compare('t.guard.op', _GUARD_VALUE, 't.guard.value', _TEXT)} END, false)")
 _RAW, _RHS = _GET.format(x="x", p="t.leaf"), _GET.format(x="x", p="t.other")
-_NUMBER, _OTHER = f"try_cast({_RAW} AS DOUBLE)", f"IF(t.other IS NULL, t.number, try_cast({_RHS} AS DOUBLE))"
-_CODE = f"""CASE WHEN NOT {_GUARDED} THEN {OUT} WHEN {_RAW} IS NULL THEN {HOLDS}
-  WHEN t.number IS NULL AND t.other IS NULL THEN CASE WHEN t.op NOT IN ('==', '!=') THEN {ERROR} WHEN {_compare('t.op', _RAW, 't.value', _TEXT)} THEN {HOLDS} ELSE {FAILS} END
-  WHEN {_NUMBER} IS NULL THEN {ERROR} WHEN {_OTHER} IS NULL THEN IF({_RHS} IS NULL, {HOLDS}, {ERROR})
+_NUMBER, _OTHER = "try_cast(y.raw AS DOUBLE)", "IF(t.other IS NULL, t.number, try_cast(y.rhs AS DOUBLE))"
+_READ = f"""CASE WHEN y.raw IS NULL THEN {HOLDS}
+  WHEN t.number IS NULL AND t.other IS NULL THEN CASE WHEN t.op NOT IN ('==', '!=') THEN {ERROR} WHEN {_compare('t.op', 'y.raw', 't.value', _TEXT)} THEN {HOLDS} ELSE {FAILS} END
+  WHEN {_NUMBER} IS NULL THEN {ERROR} WHEN {_OTHER} IS NULL THEN IF(y.rhs IS NULL, {HOLDS}, {ERROR})
   ELSE coalesce(IF({_compare('t.op', _NUMBER, _OTHER, tuple(OPS))}, {HOLDS}, {FAILS}), {ERROR}) END"""
+#: the values are read once for all the tests on them: a path that is data is parsed at every read
+_CODE = f"CASE WHEN NOT {_GUARDED} THEN {OUT} ELSE element_at(transform(array(struct({_RAW} AS raw, {_RHS} AS rhs)), y -> {_READ}), 1) END"
 _KNOWN = ", ".join(f"'{k}'" for k in OPS)
 _TERM = f"""CASE WHEN doc IS NULL OR t.op NOT IN ({_KNOWN}) THEN {ERROR} ELSE coalesce(array_max(transform({_ELEMENTS}, x -> {_CODE})), {OUT}) END"""
 _STATES = f"transform(cands, c -> struct(c.candidate_id AS candidate_id, coalesce(array_max(transform(c.terms, t -> {_TERM})), {OUT}) AS code))"
@@ -110,6 +112,7 @@ def candidate_failures(trace: DataFrame, candidates: DataFrame, profile: DataFra
               .select("candidate_id", "run", *rank, "event_id", F.col("raw").try_cast("double").alias("v"),
                       (F.col("doc").isNull() | ~F.col("plain") | F.col("raw").isNotNull() & F.col("raw").try_cast("double").isNull()).alias("bad"))
               .where("v IS NOT NULL OR bad"))
+    series = cut(series, "series")  # read twice: without this every payload is parsed twice
     d = ordered.with_previous(series, "v", ordered.Order(("candidate_id", "run", *rank), "event_id", (), span), "pv")
     mono = d.groupBy("candidate_id", "run").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(~(F.col("v") > F.col("pv"))).alias("n_violations"),
                                                 F.count_if(F.col("bad")).alias("n_errors"))

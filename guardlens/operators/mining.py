@@ -48,7 +48,8 @@ def schema_profile(trace: DataFrame, hookpoint: str = "hookpoint", payload: str
     docs = trace.select(F.col(hookpoint).alias("hookpoint"), F.col(key).alias("__key"), clean.alias("doc"))
     counted = (docs.select("hookpoint", "__key", shape_of("doc").alias("shape"))
                .groupBy("hookpoint", "shape").agg(F.count(F.lit(1)).alias("n"), F.min("__key").alias("__key")))
-    counted = cut(counted, "payload-shapes").where(F.col("shape") != "")
+    # a stored flag: a condition on the shape itself would be inferred for the documents too and parse every payload again
+    counted = cut(counted.withColumn("parsed", F.col("shape") != ""), "payload-shapes").where("parsed").drop("parsed")
     # fetch one document per shape by its key; keys may repeat across runs, so the shape is tested again
     found = docs.join(counted.select("hookpoint", "__key").distinct(), ["hookpoint", "__key"], "left_semi")
     found = found.select("hookpoint", "doc", shape_of("doc").alias("shape")).dropDuplicates(["hookpoint", "shape"])

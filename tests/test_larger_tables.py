@@ -140,3 +140,18 @@ def test_rules_are_evaluated_outside_the_generator(spark, sf):
         generators = [x for x in plan if "Generate " in x and "check_id" in x and "wanted" not in x]
         assert generators and all("__rows#" in x for x in generators)
         assert not [x for x in plan if "Filter " in x and "from_json" in x]
+
+
+def test_a_profile_and_a_replay_parse_each_payload_once(spark, sf):
+    """Documents are fetched by key before they are parsed, a term reads its value once, and a series is stored for its two readers."""
+    from guardlens.operators import candidates as C
+    from guardlens.operators import mining as J
+    from guardlens.plans.q_mining import mined, mixed
+    from guardlens.plans.views import Views
+    v = Views(spark, sf)
+    text = lambda d: d._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in text(J.schema_profile(mixed(v))) if "Filter " in x and "variant" in x.lower()]
+    assert [C._CODE.count(f"try_variant_get(x, t.{side}") for side in ("leaf", "other")] == [1, 1]
+    candidates, profile = mined(v)
+    plan = text(C.candidate_failures(mixed(v), candidates, profile, span=1000))
+    assert sum("json" in x.lower() and "variant" in x.lower() for x in plan) <= 1
